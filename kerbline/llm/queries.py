@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import simhash_golay
+from kerbline.llm import debruijn, simhash_golay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: list[Query] = [op6_simhash_golay]
+QUERIES: list[Query] = [op4_debruijn, op6_simhash_golay]
 
 
 def queries() -> dict[str, Query]:
