@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import debruijn, simhash_golay
+from kerbline.llm import debruijn, packing, simhash_golay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,17 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: list[Query] = [op4_debruijn, op6_simhash_golay]
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
+
+
+QUERIES: list[Query] = [op4_debruijn, op6_simhash_golay, op7_packing]
 
 
 def queries() -> dict[str, Query]:
