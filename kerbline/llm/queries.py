@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import debruijn, packing, sharding, simhash_golay
+from kerbline.llm import debruijn, kneser_ney, packing, sharding, simhash_golay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,11 +36,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Query] = [op4_debruijn, op6_simhash_golay, op7_packing, op10_sharding]
+QUERIES: list[Query] = [op4_debruijn, op6_simhash_golay, op7_packing, op8_kneser_ney, op10_sharding]
 
 
 def queries() -> dict[str, Query]:
