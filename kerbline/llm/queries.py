@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import debruijn, kneser_ney, packing, sharding, simhash_golay
+from kerbline.llm import debruijn, kneser_ney, packing, secret_scan, sharding, simhash_golay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = debruijn.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Query] = [op4_debruijn, op6_simhash_golay, op7_packing, op8_kneser_ney, op10_sharding]
+QUERIES: list[Query] = [op2_secret_scan, op4_debruijn, op6_simhash_golay, op7_packing, op8_kneser_ney, op10_sharding]
 
 
 def queries() -> dict[str, Query]:
