@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, debruijn, kneser_ney, packing, secret_scan, sharding, simhash_golay
+from kerbline.llm import chat_format, debruijn, kneser_ney, oracles, packing, secret_scan, sharding, simhash_golay, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Query] = [op2_secret_scan, op3_chat_format, op4_debruijn, op6_simhash_golay, op7_packing, op8_kneser_ney, op10_sharding]
+QUERIES: list[Query] = [op1_url_filter, op2_secret_scan, op3_chat_format, op4_debruijn, op6_simhash_golay, op7_packing, op8_kneser_ney, op10_sharding]
 
 
 def queries() -> dict[str, Query]:
@@ -66,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": oracles.OP1}
