@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, debruijn, kneser_ney, oracles, packing, secret_scan, sharding, simhash_golay, url_filter
+from kerbline.llm import chat_format, debruijn, html_render, kneser_ney, oracles, packing, secret_scan, sharding, simhash_golay, template_decon, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,11 +62,15 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_template_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Query] = [op1_url_filter, op2_secret_scan, op3_chat_format, op4_debruijn, op6_simhash_golay, op7_packing, op8_kneser_ney, op10_sharding]
+QUERIES: list[Query] = [op1_url_filter, op2_secret_scan, op3_chat_format, op4_debruijn, op5_html_render, op6_simhash_golay, op7_packing, op8_kneser_ney, op9_template_decon, op10_sharding]
 
 
 def queries() -> dict[str, Query]:
