@@ -76,7 +76,7 @@ class WordIds(dict):
 
     def document(self, text: bytes, end_id: int) -> bytes:
         words = text.split()
-        fresh = list(set(words) - self.keys())
+        fresh = [w for w in set(words) if w not in self]
         if len(fresh) > REMEMBERED // 2:
             return b"".join(self._encode([text])) + np.array([end_id], "<u4").tobytes()
         if fresh:
