@@ -36,6 +36,9 @@ CHUNK_BYTES = 8 << 20
 CHUNKS_A_PARTITION = 4
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
+#: Bits of a window's second hash that come back to its chunk, where it is told from the chunk's own windows only.
+TWO_KEPT = 0xFFFF
+
 _hashes = WordHashes(7)
 
 
@@ -93,8 +96,9 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
-REGIONS = "chunk int, minimizer long, lo long, hi long, region long, forked boolean"
-SETTLED = "chunk int, kind int, one long, two long, lo long, hi long"
+#: several: more than one document of the chunk holds it. forked: the chunk holds it with more than one region.
+REGIONS = "chunk int, minimizer long, lo long, region long, several boolean, forked boolean"
+WINDOWS = "chunk int, one long, two long, lo long, several boolean"
 
 
 def _regions(k: int):
@@ -113,7 +117,7 @@ def _regions(k: int):
             lo = hi = doc
             r_lo = r_hi = region
         chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(lo), chunk, np.int32)), "minimizer": signed(sorted_key[fresh]), "lo": lo, "hi": hi, "region": signed(r_lo), "forked": r_lo != r_hi})
+        return pa.table({"chunk": pa.array(np.full(len(lo), chunk, np.int32)), "minimizer": signed(sorted_key[fresh]), "lo": lo, "region": signed(r_lo), "several": lo < hi, "forked": r_lo != r_hi})
 
     return run
 
@@ -132,29 +136,25 @@ def _column(table: pa.Table, name: str, kind=None) -> np.ndarray:
 
 
 def _expand(k: int):
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """Settled regions pass through (kind 0); the windows of forked ones follow, each once (kind 1)."""
-        forked = _column(shared, "forked").astype(bool)
-        keys, lows = _column(shared, "minimizer", np.uint64), _column(shared, "lo")
-        kind, one, two, lo, hi = [np.zeros((~forked).sum(), np.int32)], [keys[~forked]], [keys[~forked]], [lows[~forked]], [lows[~forked]]
-        if forked.any():
+    def run(docs: pa.Table, forked: pa.Table) -> pa.Table:
+        """The windows of forked regions, each once."""
+        keys = np.sort(_column(forked, "minimizer", np.uint64))
+        chunk, a, b = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        lo = hi = np.zeros(0, np.int64)
+        if len(keys) and len(docs):
+            chunk = forked.column("chunk")[0].as_py()
             p, (ids, real) = paths(docs.column("text"), k), _ids(docs)
-            hit, _ = _found(p.minimizer, np.sort(keys[forked]))
-            each = np.repeat(hit & real[p.doc], np.diff(p.run))
-            a, b, doc = p.one[each], p.two[each], ids[np.repeat(p.doc, np.diff(p.run))[each]]
+            hit, _ = _found(p.minimizer, keys)
+            size = np.diff(p.run)
+            each = np.repeat(hit & real[p.doc], size)
+            a, b, doc = p.one[each], p.two[each], ids[np.repeat(p.doc, size)[each]]
             order = np.lexsort((b, a))
             fresh = np.ones(len(a), bool)
             fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
             if len(a):
-                x, y = lowest_by(order, fresh, doc)
-                kind.append(np.ones(len(x), np.int32))
-                one.append(a[order][fresh])
-                two.append(b[order][fresh])
-                lo.append(x)
-                hi.append(y)
-        kind = np.concatenate(kind)
-        chunk = np.full(len(kind), shared.column("chunk")[0].as_py() if len(shared) else 0, np.int32)
-        return pa.table({"chunk": chunk, "kind": kind, "one": signed(np.concatenate(one)), "two": signed(np.concatenate(two)), "lo": np.concatenate(lo), "hi": np.concatenate(hi)})
+                lo, hi = lowest_by(order, fresh, doc)
+                a, b = a[order][fresh], b[order][fresh]
+        return pa.table({"chunk": pa.array(np.full(len(a), chunk, np.int32)), "one": signed(a), "two": signed(b), "lo": lo, "several": lo < hi})
 
     return run
 
@@ -176,7 +176,7 @@ def _cut(k: int, id_type: pa.DataType):
                 hit, at = np.repeat(hit, size), np.repeat(at, size)
             else:
                 hit, at = _found(p.one, one)
-                hit &= two[at] == p.two
+                hit &= two[at] == p.two & np.uint64(TWO_KEPT)
             source[hit] = lo[at[hit]]
         of = np.repeat(p.doc, np.diff(p.run))
         gone = (source < ids[of]) & real[of]
@@ -228,12 +228,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     regions = dealt.groupBy("chunk").applyInArrow(_regions(k), REGIONS)
     held = Window.partitionBy("minimizer")
     shared = regions.select(
-        "chunk", "minimizer", F.min("lo").over(held).alias("lo"), F.max("hi").over(held).alias("hi"),
+        "chunk", "minimizer", F.min("lo").over(held).alias("lo"), F.max("lo").over(held).alias("last"), F.max("several").over(held).alias("several"),
         (F.max("forked").over(held) | (F.min("region").over(held) != F.max("region").over(held))).alias("forked"),
-    ).where("lo < hi").drop("hi")
-    expanded = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_expand(k), SETTLED)
-    held = Window.partitionBy("kind", "one", "two")
-    settled = expanded.select("chunk", "kind", "one", "two", F.min("lo").over(held).alias("lo"), F.max("hi").over(held).alias("hi")).where("kind = 0 or lo < hi").drop("hi")
+    ).where("lo < last or several")
+    forked = shared.where("forked").select("chunk", "minimizer")
+    windows = dealt.groupBy("chunk").cogroup(forked.groupBy("chunk")).applyInArrow(_expand(k), WINDOWS)
+    held = Window.partitionBy("one", "two")
+    repeated = windows.select("chunk", "one", "two", F.min("lo").over(held).alias("lo"), F.max("lo").over(held).alias("last"), F.max("several").over(held).alias("several")).where("lo < last or several")
+    whole = shared.where("not forked").select("chunk", F.lit(0).alias("kind"), F.col("minimizer").alias("one"), F.lit(0).cast("long").alias("two"), "lo")
+    settled = whole.unionByName(repeated.select("chunk", F.lit(1).alias("kind"), "one", F.col("two").bitwiseAND(TWO_KEPT).alias("two"), "lo"))
     return (
         dealt.groupBy("chunk")
         .cogroup(settled.groupBy("chunk"))
