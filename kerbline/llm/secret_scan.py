@@ -137,18 +137,29 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     return none.unionByName(some).select("doc_id", *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans"), "n_live")
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]") -> DataFrame:
     """docs with every base span, and every span that looks live, replaced by the mask; overlapping spans make one mask.
 
-    Rows without a span come back as they are. Whether a span is masked rests on the whole table.
+    Rows without a span come back as they are, null texts too. Whether a span is masked rests on the whole table. Columns of docs
+    may have any names.
     """
-    found = scan(docs, text_col)
-    none = found.where(F.size("candidates") == 0).drop("candidates")
-    some = written(found.where(F.size("candidates") > 0).withColumn("_row", F.monotonically_increasing_id()), "candidates")
-    known = ownership(some, F.col(id_col), F.col(owner_col)).where("live").select("secret")
-    each = some.select("_row", F.explode("candidates").alias("c")).withColumn("secret", F.sha2(F.col("c.value"), 256))
-    judged = each.join(known.withColumn("live", F.lit(True)), "secret", "left").where((F.col("c.kind") < KINDS.index("token")) | F.col("live"))
-    spans = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("c.start", "c.end"))).alias("_spans"))
+    c, row, spans = (_unused(n, docs.columns) for n in ("candidates", "row", "spans"))
+    found = docs.withColumn(c, candidates(F.coalesce(F.col(text_col), F.lit(""))))
+    none = found.where(F.size(c) == 0).drop(c)
+    some = written(found.where(F.size(c) > 0).withColumn(row, F.monotonically_increasing_id()), "candidates")
+    slim = some.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(c).alias("candidates"))
+    known = ownership(slim, F.col("id"), F.col("owner")).where("live").select("secret", F.lit(True).alias("live"))
+    each = slim.select("row", F.explode("candidates").alias("c")).withColumn("secret", F.sha2(F.col("c.value"), 256))
+    judged = each.join(known, "secret", "left").where((F.col("c.kind") < KINDS.index("token")) | F.col("live"))
+    by_row = judged.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("c.start", "c.end"))).alias(spans))
     text = F.col(text_col)
 
     def add(acc: Column, x: Column) -> Column:
@@ -157,7 +168,7 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owne
         out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
-    masked = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    changed = some.drop("candidates").join(spans, "_row", "left").withColumn(text_col, masked).drop("_row", "_spans")
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
+    masked = F.when(F.col(spans).isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    changed = some.drop(c).join(by_row, row, "left").withColumn(text_col, masked).select(*docs.columns)
     return none.unionByName(changed)
