@@ -39,3 +39,30 @@ select page_id, host, path,
     when good then 'allow' else 'block' end as verdict
 from mine left join learned using (host)
 """
+
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP4 = f"""
+with d as (select row_number() over () as r, doc_id, {_SPLIT} as w from documents),
+g as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as k from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+low as (select k, min(doc_id) as lo from g group by k),
+gone as (select distinct r, unnest(range(i, i + 13)) as i from g join low using (k) where lo < doc_id),
+each as (select r, doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select e.r, string_agg(w[e.i], ' ' order by e.i) as t, count(*) as n from each e left join gone o on o.r = e.r and o.i = e.i where o.r is null group by e.r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (r)
+"""
+
+_ROWS = "select conv_id, turn, role, text from conversations union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+#: The formatted length: every example holds its prefix; a turn adds the four control strings, role and text with what escaping adds.
+_ESCAPED = "length(replace({0}, chr(92), chr(92) || chr(92))) + (length({0}) - length(replace({0}, '<s>', ''))) // 3 + (length({0}) - length(replace({0}, '</s>', ''))) // 4 + (length({0}) - length(replace({0}, '[INST]', ''))) // 6 + (length({0}) - length(replace({0}, '[/INST]', ''))) // 7"
+
+OP3 = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i, count(*) over (partition by conv_id) as n from ({_ROWS})),
+s as (select *, 20 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')} as size from t),
+p as (select *, sum(size) over (partition by conv_id order by i) as upto from s)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(upto) filter (where role = 'assistant' or i = n) as bigint) as formatted_chars
+from p group by conv_id
+"""

@@ -78,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": oracles.OP1}
+    return {"op1_url_filter": oracles.OP1, "op3_chat_format": oracles.OP3, "op4_debruijn": oracles.OP4}
