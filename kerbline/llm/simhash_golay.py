@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
-from kerbline.llm.words import in_parts, signed, texts
+from kerbline.llm.words import WordHashes, in_parts, mix, signed, texts
 from kerbline.session import written
 
 MAX_DISTANCE = 4
@@ -124,32 +125,62 @@ def bucket_keys(fps: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def _fresh(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct keys in a line, and the row of each."""
+    keys = np.sort(keys, axis=1)
+    fresh = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
+    return keys[fresh], np.nonzero(fresh)[0]
+
+
+def _column(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in in_parts(batches, 20_000):
-        fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys = np.sort(bucket_keys(fps), axis=1)
-        fresh = np.concatenate([np.ones((len(fps), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
-        of, _ = np.nonzero(fresh)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), pa.array(signed(fps[of]))], ["key", "fp"])
+    """(node, check, sketches ...) to (key, node, check, sketch), a row for each key of each sketch."""
+    for part in in_parts(batches, 5000):
+        node, check = _column(part, 0), _column(part, 1)
+        for j in range(2, part.num_columns):
+            sketch = _column(part, j)
+            keys, of = _fresh(bucket_keys(sketch) | (j - 2) << 26)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(signed(x[of])) for x in (node, check, sketch))], ["key", "node", "check", "sketch"])
 
 
 # ---------------------------------------------------------------- comparing a key's rows
 
 
-def forest(fps: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (from, to) that join what is connected at this distance: each value is met once by the one that reached it."""
-    rest, links = np.unique(fps), []
-    queue: list[np.uint64] = []
-    while len(rest):
+@dataclass
+class Held:
+    """Rows to compare: two are linked if their sketches and their checks are near enough."""
+
+    node: np.ndarray
+    check: np.ndarray
+    sketch: np.ndarray
+
+    def __getitem__(self, at) -> Held:
+        return Held(self.node[at], self.check[at], self.sketch[at])
+
+    def near(self, other: Held, limit: int, far: int) -> np.ndarray:
+        hit = np.bitwise_count(self.sketch ^ other.sketch) <= limit
+        return hit & (np.bitwise_count(self.check ^ other.check) <= far) if far < 64 else hit
+
+
+def forest(held: Held, limit: int, far: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (from, to) that join what is connected at this distance: each node is met once by the one that reached it."""
+    rest, links = held[np.unique(held.node, return_index=True)[1]], []
+    queue: list[tuple[Held, int]] = []
+    while len(rest.node):
         if not queue:
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest = [(rest, 0)], rest
+            rest = rest[1:]
             continue
-        x = queue.pop()
-        hit = np.bitwise_count(rest ^ x) <= limit
+        of, i = queue.pop()
+        x = of[i : i + 1]
+        hit = rest.near(x, limit, far)
         if hit.any():
             got = rest[hit]
-            links.append((np.full(len(got), x), got))
-            queue.extend(got)
+            links.append((np.full(len(got.node), x.node[0]), got.node))
+            queue.extend((got, i) for i in range(len(got.node)))
             rest = rest[~hit]
     return links
 
@@ -158,18 +189,20 @@ def runs_of(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
 
 
-def links_in_order(key: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def links_in_order(key: np.ndarray, held: Held, limit: int, far: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys: short runs by shifted comparison, long ones by forest()."""
     edges = runs_of(key)
     size = np.diff(edges)
     short = np.repeat(size <= 8, size)
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for shift in range(1, 8):
-        hit = short[:-shift] & (key[:-shift] == key[shift:]) & (np.bitwise_count(fp[:-shift] ^ fp[shift:]) <= limit)
-        a.append(fp[:-shift][hit])
-        b.append(fp[shift:][hit])
+        hit = short[:-shift] & (key[:-shift] == key[shift:])
+        at = np.nonzero(hit)[0]
+        at = at[held[at].near(held[at + shift], limit, far)]
+        a.append(held.node[at])
+        b.append(held.node[at + shift])
     for i in np.nonzero(size > 8)[0]:
-        for x, y in forest(fp[edges[i] : edges[i + 1]], limit):
+        for x, y in forest(held[edges[i] : edges[i + 1]], limit, far):
             a.append(x)
             b.append(y)
     return np.concatenate(a), np.concatenate(b)
@@ -193,9 +226,9 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _compare(limit: int):
+def _compare(limit: int, far: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        kept = [np.zeros(0, np.uint64)] * 4
         us, vs, many = [], [], 0
 
         def flush():
@@ -205,15 +238,11 @@ def _compare(limit: int):
             return pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(signed(v))], ["u", "v"])
 
         for batch in itertools.chain(batches, [None]):
-            if batch is None:
-                key, fp, cut = held_key, held_fp, len(held_key)
-            else:
-                key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-                fp = np.concatenate([held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-                cut = int(runs_of(key)[-2]) if len(key) else 0
-            held_key, held_fp = key[cut:], fp[cut:]
+            now = kept if batch is None else [np.concatenate([old, _column(batch, i)]) for i, old in enumerate(kept)]
+            cut = len(now[0]) if batch is None or not len(now[0]) else int(runs_of(now[0])[-2])
+            kept = [x[cut:] for x in now]
             if cut:
-                u, v = links_in_order(key[:cut], fp[:cut], limit)
+                u, v = links_in_order(now[0][:cut], Held(*(x[:cut] for x in now[1:])), limit, far)
                 if len(u):
                     us.append(u)
                     vs.append(v)
@@ -225,20 +254,30 @@ def _compare(limit: int):
     return run
 
 
-def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints in column fp that join all that are connected at `limit` bits or fewer."""
+def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, far: int = 64) -> DataFrame:
+    """Links (u, v) of nodes that join all that are connected: some sketch at most `limit` bits apart and the checks at most `far`.
+
+    distinct has the columns node, check and one or more sketches, a node in one row.
+    """
     if limit > MAX_DISTANCE:
         raise ValueError("these keys are proven for distances of at most 4")
-    keys = distinct.select("fp").mapInArrow(_key_rows, "key long, fp long")
+    keys = distinct.mapInArrow(_key_rows, "key long, node long, check long, sketch long")
     hot = keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = (
-        keys.join(hot, "key", "left")
-        .select("key", "fp", F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
-        .select((F.col("key") + F.least("mine", "other").cast("long") * (1 << 26) + F.greatest("mine", "other").cast("long") * (1 << 44)).alias("key"), "fp")
-    )
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(limit), "u long, v long")
+    dealt = keys.join(hot, "key", "left").select("key", "node", "check", "sketch", F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
+    pair = F.shiftleft(F.least("mine", "other").cast("long"), 28) + F.shiftleft(F.greatest("mine", "other").cast("long"), 46)
+    dealt = dealt.select((F.col("key") + pair).alias("key"), "node", "check", "sketch")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(limit, far), "u long, v long")
+
+
+def _named(each: DataFrame, classes: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of each with component_id: the smallest id of its class's component."""
+    root = components(linked)
+    rooted = written(classes.join(root, "node", "left").select(*by, "low", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = written(rooted.join(named, "root").select(*by, "component_id"), "components")
+    return each.join(of, by)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = MAX_DISTANCE) -> DataFrame:
@@ -249,9 +288,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     each = written(fingerprints(docs, id_col, text_col, shingle), "fps")
     lowest = written(each.groupBy("fp").agg(F.min("id").alias("low")), "lowest")
-    root = components(links(lowest, limit)).select(F.col("node").alias("fp"), "root")
-    joined = lowest.join(root, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    joined = written(joined, "rooted")
-    named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = written(joined.join(named, "root").select("fp", "component_id"), "components")
-    return each.join(of, "fp").select("id", "fp", "component_id")
+    fp = F.col("fp")
+    linked = links(lowest.select(fp.alias("node"), fp.alias("check"), fp.alias("sketch")), limit)
+    return _named(each, lowest.withColumn("node", fp), linked, ["fp"]).select("id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- near copies of a given similarity
+
+#: Sketches of the set of words; one at most MAX_DISTANCE bits apart makes a candidate.
+SKETCHES = 4
+#: Bits by which fingerprints of five-word shingles differ at a Jaccard similarity of 0.8, at most; measured on held-out pairs.
+SIMILAR = 14
+_hashes = WordHashes(13)
+
+
+def sketches(text: bytes, n: int = SKETCHES) -> list[int]:
+    """SimHash of the set of words, under n hash functions made of one."""
+    words = list(set(text.lower().split()))
+    if not words:
+        return [0] * n
+    h, out = _hashes.of(words), []
+    for j in range(n):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(h), AT_ONCE):
+            counts += np.unpackbits(mix(h[i : i + AT_ONCE] + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(words), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, far: int = SIMILAR) -> DataFrame:
+    """Rows (id, component_id) for each row of docs, linked where texts are about 0.8 similar by five-word shingles, or more.
+
+    At this similarity the fingerprints of shingles differ in up to `far` bits, too many for keys; those of the sets of words differ
+    in few. So the sets' sketches make the keys, each pair that meets is verified by the sketch and by the fingerprint of shingles,
+    and the rest goes as in near_duplicates(), to which nulls, ties and empty texts are alike.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"s{j}" for j in range(SKETCHES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches):
+            held = [(fingerprint(t, shingle), *sketches(t)) for t in texts(part.column(1))]
+            columns = np.array(held, np.uint64).reshape(-1, SKETCHES + 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(signed(columns[:, j].copy())) for j in range(SKETCHES + 1))], ["id", "fp", *names])
+
+    schema = f"id {kind}, fp long, " + ", ".join(f"{n} long" for n in names)
+    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    each = written(each.withColumn("node", F.xxhash64("fp", *names)), "sketches")
+    lowest = written(each.groupBy("node").agg(F.min("id").alias("low"), *(F.min(c).alias(c) for c in ("fp", *names))), "lowest")
+    linked = links(lowest.select("node", F.col("fp").alias("check"), *names), MAX_DISTANCE, far=far)
+    return _named(each.select("id", "node"), lowest.select("node", "low"), linked, ["node"]).select("id", "component_id")

@@ -212,7 +212,7 @@ def test_links_join_components(spark, block):
                 x = x ^ (np.uint64(1) << np.uint64(b))
             fps.add(int(x))
     fps = np.array(sorted(fps), np.uint64)
-    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    table = spark.createDataFrame([(int(x),) * 3 for x in fps.view(np.int64)], "node long, check long, sketch long")
     root = {r.node: r.root for r in components.components(simhash_golay.links(table, block=block)).collect()}
     ours = [root.get(int(x), int(x)) for x in fps.view(np.int64)]
     label = linked(fps)
@@ -238,6 +238,24 @@ def test_near_duplicates_edges(spark):
     assert simhash_golay.near_duplicates(empty(spark)).count() == 0
 
 
+def test_similar_copies_are_linked(spark):
+    rng = np.random.default_rng(4)
+    rows, group = [], {}
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 400, 250)]
+        for c in range(5):
+            copy = list(words)
+            for at in rng.choice(250, 3 if c else 0, replace=False):
+                copy[at] = f"new{rng.integers(0, 999)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100, None), (101, ""), (None, "alone here")]
+    got = {r.id: r.component_id for r in simhash_golay.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == min(j for j in group if group[j] == g) for i, g in group.items())
+    assert got[100] == got[101] == 100 and got[None] is None
+    assert simhash_golay.similar(empty(spark)).count() == 0
+
+
 # ------------------------------------------------ 7
 
 
