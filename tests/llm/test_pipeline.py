@@ -1,0 +1,89 @@
+"""The pipeline stage by stage against brute force."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from kerbline.llm import kneser_ney
+from kerbline.llm.queries import tokenizer_path
+from kerbline.session import written
+
+from .test_operators import base_spans
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [("documents", docs)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF))
+        out.append((name, docs))
+    return out
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_order_and_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "secret scans", "packing"]
+    assert all(df.columns == stages[0][1].columns for _, df in stages[:-1])
+
+
+def test_quality_keeps_what_it_judges_good(stages):
+    want = {r.doc_id for r in kneser_ney.judge(stages[0][1]).where("kept").collect()}
+    assert set(texts(stages[1][1])) == want
+
+
+def test_near_copies_go_and_others_stay(stages):
+    before, after = texts(stages[1][1]), texts(stages[2][1])
+    sets = {i: shingles(t) for i, t in before.items()}
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+
+    kept = sorted(after)
+    assert not [(a, b) for n, a in enumerate(kept) for b in kept[n + 1 :] if alike(a, b) >= 0.95]
+    for gone in set(before) - set(after):
+        assert max(alike(gone, other) for other in before if other != gone) >= 0.4
+
+
+def test_benchmark_goes(spark, stages):
+    items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    before, after = texts(stages[2][1]), texts(stages[3][1])
+    dirty = {i for i, t in before.items() if any(x in " ".join(t.split()) for x in items)}
+    assert dirty and set(after) == set(before) - dirty
+
+
+def test_secrets_are_masked_and_nothing_else(stages):
+    before, after = texts(stages[3][1]), texts(stages[4][1])
+    assert set(before) == set(after)
+    for i, t in before.items():
+        out, at = [], 0
+        for start, _, end in base_spans(t):
+            if start >= at:
+                out += [t[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert after[i] == "".join(out) + t[at:]
+
+
+def test_sequences_hold_all_tokens(stages):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = stages[5][1].toPandas().sort_values(["doc_id", "start"])
+    by = {i: np.frombuffer(b"".join(g.ids), "<u4").tolist() for i, g in got.groupby("doc_id")}
+    assert by == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in texts(stages[4][1]).items()}
+
+
+def test_run_is_the_stages(spark, stages):
+    got, want = corpus_pipeline.run(spark, SF), stages[5][1]
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
