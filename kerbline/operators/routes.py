@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kerbline.streaming.live import metres
 
@@ -56,8 +57,10 @@ def upserted(sightings: DataFrame, reach: float = 2.0) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[dict] = []
+        out: list[dict] = []
+        held: dict[tuple, list[dict]] = {}
         for r in pdf.sort_values("seq").itertuples():
+            found = held.setdefault((r.damage_type, r.place), [])
             at = min(((metres(f["lat"], f["lon"], r.lat, r.lon), i) for i, f in enumerate(found)), default=(np.inf, -1))
             if at[0] <= reach:
                 f = found[at[1]]
@@ -65,7 +68,11 @@ def upserted(sightings: DataFrame, reach: float = 2.0) -> DataFrame:
                 f.update(rate=round((r.severity - f["severity"]) / 5 / days, 6), severity=r.severity, last_day=r.day, detection_count=f["detection_count"] + 1)
             else:
                 found.append({"id": r.id, "damage_type": r.damage_type, "lat": r.lat, "lon": r.lon, "severity": r.severity, "first_day": r.day, "last_day": r.day, "detection_count": 1, "rate": None})
-        return pd.DataFrame(found, columns=["id", "damage_type", "lat", "lon", "severity", "first_day", "last_day", "detection_count", "rate"])
+                out.append(found[-1])
+        return pd.DataFrame(out, columns=["id", "damage_type", "lat", "lon", "severity", "first_day", "last_day", "detection_count", "rate"])
 
     schema = "id long, damage_type string, lat double, lon double, severity int, first_day date, last_day date, detection_count int, rate double"
-    return sightings.groupBy("damage_type", "place").applyInPandas(run, schema)
+    # places are small; a few hundred share a group, as each group has a cost of its own
+    buckets = 16 * int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("damage_type", "place"), F.lit(buckets))
+    return sightings.groupBy(bucket.alias("bucket")).applyInPandas(run, schema)
