@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import REMEMBERED, in_parts, texts
+from kerbline.llm.words import in_parts, texts
 
 WINDOW = 4096
+#: Words whose ids a worker remembers: tokenizing is dear, so more than other operators do.
+REMEMBERED = 400_000
 LEAST = 256
 END_ID = 2
 #: Documents whose rests are at hand at a time.

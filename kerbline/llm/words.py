@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words remembered by a worker; past it the memory is emptied, so it stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):
@@ -63,7 +63,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most `rows`, so that the working memory does not follow the batch size."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
