@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import REMEMBERED, in_parts, rolling, signed, texts
+from kerbline.llm.words import REMEMBERED, in_parts, rolling, signed, texts, tidied
 from kerbline.session import written
 
 WINDOW = 5
@@ -143,7 +143,7 @@ def _rows(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]
 
 def template_windows(table: DataFrame, id_col: str, text_col: str, wanted=None) -> DataFrame:
     kind = table.schema[id_col].dataType.simpleString()
-    return table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _rows(b, wanted), f"id {kind}, {WINDOWS}")
+    return table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(lambda b: _rows(b, wanted)), f"id {kind}, {WINDOWS}")
 
 
 def contaminated(
