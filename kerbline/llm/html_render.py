@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import in_parts
+from kerbline.llm.words import in_parts, mapped
 
 #: Element names by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -329,4 +329,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     others. Empty in, empty out.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(_run, f"page_id {kind}, text string, n_items long, n_tables long, n_paragraphs long")
+    return mapped(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), _run, f"page_id {kind}, text string, n_items long, n_tables long, n_paragraphs long")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import in_parts, texts
+from kerbline.llm.words import in_parts, mapped, texts
 
 WINDOW = 4096
 #: Words whose ids a worker remembers: tokenizing is dear, so more than other operators do.
@@ -220,4 +220,4 @@ def pack(
             yield give()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)

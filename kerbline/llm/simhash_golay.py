@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
-from kerbline.llm.words import WordHashes, in_parts, mix, signed, texts, tidied
+from kerbline.llm.words import WordHashes, in_parts, mapped, mix, signed, texts
 from kerbline.session import written
 
 MAX_DISTANCE = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, shingle) for t in texts(part.column(1))), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(fps))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, fp long")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long")
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -261,14 +261,14 @@ def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, fa
     """
     if limit > MAX_DISTANCE:
         raise ValueError("these keys are proven for distances of at most 4")
-    keys = distinct.mapInArrow(tidied(_key_rows), "key long, node long, check long, sketch long")
+    keys = mapped(distinct, _key_rows, "key long, node long, check long, sketch long")
     hot = keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = keys.join(hot, "key", "left").select("key", "node", "check", "sketch", F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
     pair = F.shiftleft(F.least("mine", "other").cast("long"), 28) + F.shiftleft(F.greatest("mine", "other").cast("long"), 46)
     dealt = dealt.select((F.col("key") + pair).alias("key"), "node", "check", "sketch")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(_compare(limit, far)), "u long, v long")
+    return mapped(dealt.repartition("key").sortWithinPartitions("key"), _compare(limit, far), "u long, v long")
 
 
 def _named(each: DataFrame, classes: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
@@ -334,7 +334,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         _hashes.clear()
 
     schema = f"id {kind}, fp long, " + ", ".join(f"{n} long" for n in names)
-    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
+    each = mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
     each = written(each.withColumn("node", F.xxhash64("fp", *names)), "sketches")
     lowest = written(each.groupBy("node").agg(F.min("id").alias("low"), *(F.min(c).alias(c) for c in ("fp", *names))), "lowest")
     linked = links(lowest.select("node", F.col("fp").alias("check"), *names), MAX_DISTANCE, far=far)

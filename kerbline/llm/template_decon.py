@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import REMEMBERED, in_parts, rolling, signed, texts, tidied
+from kerbline.llm.words import REMEMBERED, in_parts, mapped, rolling, signed, texts
 from kerbline.session import written
 
 WINDOW = 5
@@ -139,11 +139,12 @@ def _rows(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]
             slots.append([{"kind": int(x), "value": w.strip(_EDGE).decode().lower()} for w, x in zip(own, k, strict=True) if x != LITERALS])
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(at - first[of]), pa.array(signed(h)), pa.array(slots, kind)], ["id", "at", "hash", "slots"])
+    _templates.empty()
 
 
 def template_windows(table: DataFrame, id_col: str, text_col: str, wanted=None) -> DataFrame:
     kind = table.schema[id_col].dataType.simpleString()
-    return table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(lambda b: _rows(b, wanted)), f"id {kind}, {WINDOWS}")
+    return mapped(table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lambda b: _rows(b, wanted), f"id {kind}, {WINDOWS}")
 
 
 def contaminated(

@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Words remembered by a worker; past it the memory is emptied, so it stays bounded.
 REMEMBERED = 150_000
+#: Bytes of a batch sent to a worker, about; a longer text goes alone.
+BATCH_BYTES = "8m"
 
 
 class WordHashes(dict):
@@ -84,3 +87,11 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
                 trim(0)
 
     return inner
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run) in batches of BATCH_BYTES unless the session sets a size: rows are no bound, as texts are of any length."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(tidied(run), schema)
