@@ -41,11 +41,11 @@ def snk_03(spark, sf):
     return geojson(d, "latitude", "longitude").select(x.alias("x")).select("x.properties.id", F.col("x.geometry.type").alias("kind"), F.col("x.geometry.coordinates")[0].alias("longitude"), F.col("x.geometry.coordinates")[1].alias("latitude"))
 
 
-@query("snk_10_repeat_names", "select l_orderkey, case when r > 1 then l_partkey || '__dup' || (r - 1) else cast(l_partkey as varchar) end as name from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice) as r from lineitem where l_suppkey <= 5)")
+@query("snk_10_repeat_names", "select l_orderkey, case when r > 1 then l_partkey || '__dup' || (r - 1) else cast(l_partkey as varchar) end as name from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice) as r from lineitem)")
 def snk_10(spark, sf):
     again = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")) - 1
     key = F.col("l_partkey").cast("string")
-    return V.table(spark, sf, "lineitem").where("l_suppkey <= 5").select("l_orderkey", F.when(again > 0, F.concat(key, F.lit("__dup"), again.cast("string"))).otherwise(key).alias("name"))
+    return V.table(spark, sf, "lineitem").select("l_orderkey", F.when(again > 0, F.concat(key, F.lit("__dup"), again.cast("string"))).otherwise(key).alias("name"))
 
 
 @query("flt_12_valid_fixes", duck("v_reports", body="select count(*) as n, count(*) filter (where longitude between -180 and 180 and latitude between -90 and 90 and not (latitude = 0 and longitude = 0)) as valid from v_reports"))
@@ -99,9 +99,9 @@ def jn_20(spark, sf):
     return a.join(b, "class").select("class", F.round(F.col("vb") - F.col("va"), 9).alias("delta"))
 
 
-@query("jn_21_shared_keys", "select l_partkey from lineitem where l_suppkey <= 4 group by l_partkey having count(distinct l_suppkey) = 2")
+@query("jn_21_shared_keys", "select l_partkey from lineitem group by l_partkey having count(distinct l_suppkey % 2) = 2")
 def jn_21(spark, sf):
-    return V.table(spark, sf, "lineitem").where("l_suppkey <= 4").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n = 2").select("l_partkey")
+    return V.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct(F.col("l_suppkey") % 2).alias("n")).where("n = 2").select("l_partkey")
 
 
 @query("agg_16_removed_per_class", det("select damage_type, count(*) filter (where r = 1) as kept, count(*) filter (where r > 1) as removed from (select *, row_number() over (partition by latitude, longitude order by confidence desc, id) as r from v_detections) group by damage_type"))
@@ -142,10 +142,10 @@ def agg_41(spark, sf):
     return o.groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"), F.round(F.percentile("o_totalprice", 0.5), 6).alias("middle"), at.alias("p95"))
 
 
-@query("agg_42_merged_ids", "with s as (select 0 as source, o_orderkey as id from orders where o_orderkey <= 100 union all select 1, c_custkey from customer where c_custkey <= 50), o as (select source, coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0) as base from (select source, count(*) as n from s group by source)) select source, cast(id + base as bigint) as new_id from s join o using (source)")
+@query("agg_42_merged_ids", "with s as (select 0 as source, o_orderkey as id from orders union all select 1, c_custkey from customer), o as (select source, coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0) as base from (select source, count(*) as n from s group by source)) select source, cast(id + base as bigint) as new_id from s join o using (source)")
 def agg_42(spark, sf):
-    s = V.table(spark, sf, "orders").where("o_orderkey <= 100").select(F.lit(0).alias("source"), F.col("o_orderkey").alias("id"))
-    s = s.unionByName(V.table(spark, sf, "customer").where("c_custkey <= 50").select(F.lit(1).alias("source"), F.col("c_custkey").alias("id")))
+    s = V.table(spark, sf, "orders").select(F.lit(0).alias("source"), F.col("o_orderkey").alias("id"))
+    s = s.unionByName(V.table(spark, sf, "customer").select(F.lit(1).alias("source"), F.col("c_custkey").alias("id")))
     n = s.groupBy("source").agg(F.count("*").alias("n"))  # a row for each source
     base = n.select("source", F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return s.join(F.broadcast(base), "source").select("source", (F.col("id") + F.col("base")).alias("new_id"))
@@ -169,12 +169,15 @@ def win_15(spark, sf):
     return V.reports(spark, sf).groupBy("user_id", "event_id").agg(F.max("created_at").alias("latest"))
 
 
-@query("win_16_hash_split", "with o as (select o_orderkey, row_number() over (order by md5(cast(o_orderkey as varchar)), o_orderkey) as i from orders where o_orderkey <= 1000) select o_orderkey, case when i <= 700 then 'train' when i <= 850 then 'val' else 'test' end as split from o")
+@query("win_16_hash_split", "with o as (select o_orderkey, row_number() over (order by md5(cast(o_orderkey as varchar)), o_orderkey) as i, count(*) over () as n from orders) select o_orderkey, case when i <= n * 70 // 100 then 'train' when i <= n * 85 // 100 then 'val' else 'test' end as split from o")
 def win_16(spark, sf):
-    """The first by hash are picked by a bounded top-k rather than a global sort."""
-    o = V.table(spark, sf, "orders").where("o_orderkey <= 1000").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("h"))
-    i = F.row_number().over(Window.orderBy("h", "o_orderkey"))
-    return o.select("o_orderkey", F.when(i <= 700, "train").when(i <= 850, "val").otherwise("test").alias("split"))
+    """A place in hash order is the rank within one of 4096 prefixes plus the rows of the prefixes before: no global sort."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
+    n = o.groupBy("prefix").agg(F.count("*").alias("n"))
+    at = n.select("prefix", (F.sum("n").over(Window.orderBy("prefix")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))  # 4096 rows
+    i = F.row_number().over(Window.partitionBy("prefix").orderBy("h", "o_orderkey")) + F.col("before")
+    ranked = o.join(F.broadcast(at), "prefix").select("o_orderkey", "total", i.alias("i"))
+    return ranked.select("o_orderkey", F.when(F.expr("i <= total * 70 div 100"), "train").when(F.expr("i <= total * 85 div 100"), "val").otherwise("test").alias("split"))
 
 
 @query("tk_05_triage", duck("v_reports", body="c as (select event_id, count(distinct device_id) filter (where kind <> 'dispute') as s, max(created_at) as latest from v_reports group by event_id) select event_id, case when s >= 3 then 2 when s >= 2 then 1 else 0 end as tier, latest from c order by tier desc, latest desc, event_id limit 40"))
@@ -286,14 +289,14 @@ def sc_dt_04(spark, sf):
     return V.table(spark, sf, "events").select("event_id", ((h >= 22) | (h < 5)).alias("night"))
 
 
-@query("sc_str_02_stems", "select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda w: regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'ies$', 'y'), 'ings?$', ''), 'ed$', ''), 's$', '')))) as stems from documents where doc_id % 10 = 0 and lang = 'en'")
+@query("sc_str_02_stems", "select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda w: regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'ies$', 'y'), 'ings?$', ''), 'ed$', ''), 's$', '')))) as stems from documents where lang = 'en'")
 def sc_str_02(spark, sf):
     def stem(w):
         for pattern, to in (("ies$", "y"), ("ings?$", ""), ("ed$", ""), ("s$", "")):
             w = F.regexp_replace(w, pattern, to)
         return w
 
-    d = V.table(spark, sf, "documents").where("doc_id % 10 = 0 and lang = 'en'")
+    d = V.table(spark, sf, "documents").where("lang = 'en'")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
     return d.select("doc_id", F.array_sort(F.array_distinct(F.transform(words, stem))).alias("stems"))
 
@@ -340,14 +343,16 @@ def stat_11(spark, sf):
 
 @query("opt_01_tours")
 def opt_01(spark, sf):
-    items = V.work_order_items(spark, sf).where("detection_id % 50 = 0")
-    stops = items.join(V.detections(spark, sf), F.col("detection_id") == F.col("id")).select(F.col("work_order_id").alias("order_id"), F.col("id").alias("stop_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    """A tour for each work order and survey month."""
+    items = V.work_order_items(spark, sf)
+    tour = (F.col("work_order_id") * 100_000 + F.year("survey_date") * 12 + F.month("survey_date")).alias("order_id")
+    stops = items.join(V.detections(spark, sf), F.col("detection_id") == F.col("id")).select(tour, F.col("id").alias("stop_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     return routes.planned(stops, passes=5)
 
 
-@query("opt_05_averaged_weights", "select i, round(avg(v), 6) as mean from (select unnest(embedding) as v, unnest(range(64)) as i from embeddings where vec_id % 50 = 0) group by i")
+@query("opt_05_averaged_weights", "select i, round(avg(v), 6) as mean from (select unnest(embedding) as v, unnest(range(64)) as i from embeddings) group by i")
 def opt_05(spark, sf):
-    e = V.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.posexplode("embedding").alias("i", "v"))
+    e = V.table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("i", "v"))
     return e.groupBy(F.col("i").cast("long").alias("i")).agg(F.round(F.avg("v"), 6).alias("mean"))
 
 

@@ -14,9 +14,9 @@ from kerbline.plans.registry import query
 from kerbline.plans.views import duck
 
 
-@query("jn_01_order_items", duck("v_detections", "v_items", body="select work_order_id, id, damage_type, severity from v_items join v_detections on detection_id = id where work_order_id <= 20"))
+@query("jn_01_order_items", duck("v_detections", "v_items", body="select work_order_id, id, damage_type, severity from v_items join v_detections on detection_id = id"))
 def jn_01(spark, sf):
-    items = V.work_order_items(spark, sf).where("work_order_id <= 20")
+    items = V.work_order_items(spark, sf)
     return items.join(V.detections(spark, sf), F.col("detection_id") == F.col("id")).select("work_order_id", "id", "damage_type", "severity")
 
 
@@ -33,9 +33,9 @@ def jn_03(spark, sf):
     return r.join(top, "event_id").groupBy("event_id", "latest").agg(F.count("*").alias("reports"))
 
 
-@query("jn_04_counts_or_zero", duck("v_work_orders", "v_items", body="select w.work_order_id, w.status, coalesce(n, 0) as items from v_work_orders w left join (select work_order_id, count(*) as n from v_items where detection_id % 400 = 0 group by all) using (work_order_id)"))
+@query("jn_04_counts_or_zero", duck("v_work_orders", "v_items", body="select w.work_order_id, w.status, coalesce(n, 0) as items from v_work_orders w left join (select work_order_id, count(*) as n from v_items group by all) using (work_order_id)"))
 def jn_04(spark, sf):
-    n = V.work_order_items(spark, sf).where("detection_id % 400 = 0").groupBy("work_order_id").agg(F.count("*").alias("n"))
+    n = V.work_order_items(spark, sf).groupBy("work_order_id").agg(F.count("*").alias("n"))
     return V.work_orders(spark, sf).join(n, "work_order_id", "left").select("work_order_id", "status", F.coalesce("n", F.lit(0)).alias("items"))
 
 
@@ -45,10 +45,10 @@ near as (select q.id as a, p.id as b, q.damage_type = p.damage_type as same, {me
 """
 
 
-@query("jn_05_nearest_same_kind", det(_NEAR + "select a as id, b as target_id, round(m, 6) as metres from (select *, row_number() over (partition by a order by round(m, 6), b) as r from near where same and b % 3 = 0 and a % 5 = 1 and m <= 25) where r = 1"))
+@query("jn_05_nearest_same_kind", det(_NEAR + "select a as id, b as target_id, round(m, 6) as metres from (select *, row_number() over (partition by a order by round(m, 6), b) as r from near where same and a <> b and m <= 25) where r = 1"))
 def jn_05(spark, sf):
     d = V.detections(spark, sf).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("damage_type").alias("kind"))
-    got = spatial.within(d.where("id % 5 = 1"), d.where("id % 3 = 0"), 25).where("l.kind = r.kind")
+    got = spatial.within(d, d, 25).where("l.kind = r.kind and l.id <> r.id")
     best = got.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct(F.round("metres", 6).alias("m"), F.col("r.id").alias("target_id"))).alias("b"))
     return best.select("id", "b.target_id", F.col("b.m").alias("metres"))
 

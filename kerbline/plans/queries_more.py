@@ -176,18 +176,18 @@ def set_05(spark, sf):
     return V.detections(spark, sf).select("id", *spot).groupBy("latitude", "longitude").agg(F.min("id").alias("id")).select("id")
 
 
-@query("wr_02_append_arrays", "with a as (select o_custkey as k, list(o_orderkey order by o_orderkey) as v from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey as k, list(o_orderkey order by o_orderkey) as v from orders where o_orderkey % 7 = 1 group by 1) select k, coalesce(a.v, []) || coalesce(b.v, []) as v from a full join b using (k)")
+@query("wr_02_append_arrays", "with a as (select o_custkey as k, list(o_orderkey order by o_orderkey) as v from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey as k, list(o_orderkey order by o_orderkey) as v from orders where o_orderkey % 2 = 1 group by 1) select k, coalesce(a.v, []) || coalesce(b.v, []) as v from a full join b using (k)")
 def wr_02(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    a, b = (o.where(c).groupBy("k").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v")) for c in ("o_orderkey % 2 = 0", "o_orderkey % 7 = 1"))
+    a, b = (o.where(c).groupBy("k").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v")) for c in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"))
     return writes.arrays_merged(a, b, "k", "v")
 
 
-@query("wr_04_ledger", "with l as (select distinct user_id, event_type as reason from events where event_id % 3 = 0), n as (select distinct user_id, event_type as reason from events where event_id % 3 = 1) select user_id, reason, 'old' as origin from l union all select user_id, reason, 'new' from n where not exists (select 1 from l where l.user_id = n.user_id and l.reason = n.reason)")
+@query("wr_04_ledger", "with l as (select distinct user_id, event_type as reason from events where event_id % 3 = 0), n as (select distinct user_id, event_type as reason from events where event_id % 3 > 0) select user_id, reason, 'old' as origin from l union all select user_id, reason, 'new' from n where not exists (select 1 from l where l.user_id = n.user_id and l.reason = n.reason)")
 def wr_04(spark, sf):
     e = V.table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("reason"))
     ledger = e.where("event_id % 3 = 0").select("user_id", "reason", F.lit("old").alias("origin")).distinct()
-    return writes.ledger_append(ledger, e.where("event_id % 3 = 1").select("user_id", "reason", F.lit("new").alias("origin")), "user_id", "reason")
+    return writes.ledger_append(ledger, e.where("event_id % 3 > 0").select("user_id", "reason", F.lit("new").alias("origin")), "user_id", "reason")
 
 
 @query("wr_05_bulk_delete", det("select id from v_detections where survey_date not in (date '1999-01-01', date '2000-06-01')"))
@@ -208,10 +208,10 @@ def wr_08(spark, sf):
     return V.detections(spark, sf).join(done, "id", "left").select("id", (F.coalesce("is_fixed", F.lit(False)) | F.coalesce("done", F.lit(False))).alias("is_fixed"))
 
 
-@query("wr_11_usage", "select c_custkey, c_nationkey + count(o_orderkey) as uses from customer left join orders on o_custkey = c_custkey and o_orderkey % 5 = 0 group by c_custkey, c_nationkey")
+@query("wr_11_usage", "select c_custkey, c_nationkey + count(o_orderkey) as uses from customer left join orders on o_custkey = c_custkey group by c_custkey, c_nationkey")
 def wr_11(spark, sf):
     c = V.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("uses"))
-    return writes.counted_up(c, V.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "uses")
+    return writes.counted_up(c, V.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "uses")
 
 
 @query("wr_13_partial_update", "select s_suppkey, case when s_suppkey % 3 = 0 and s_suppkey % 2 = 0 then 'renamed' else s_name end as s_name, s_acctbal from supplier")
