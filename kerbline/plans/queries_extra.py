@@ -380,3 +380,28 @@ def snk_02(spark, sf):
 @query("tk_09_priority_pages", det("select id from (select id, round(coalesce(severity, 1) * ln(coalesce(detection_count, 1) + 1), 4) as p from v_detections) order by p desc, id limit 10 offset 40"))
 def tk_09(spark, sf):
     return D.page(scored(spark, sf), "nonsense", 10, 5).select("id")
+
+
+@query("flt_20_codes", "select o_orderkey from orders where o_orderstatus = 'O' and o_orderdate + interval 30 days > timestamp '2001-06-01'")
+def flt_20(spark, sf):
+    """Codes that are neither claimed nor expired."""
+    return V.table(spark, sf, "orders").where("o_orderstatus = 'O' and o_orderdate + interval 30 days > timestamp_ntz '2001-06-01'").select("o_orderkey")
+
+
+@query("agg_47_staged", "select p_partkey, coalesce(n, 0) as n_staged, n is null as missing from part left join (select l_partkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on l_partkey = p_partkey")
+def agg_47(spark, sf):
+    n = V.table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return V.table(spark, sf, "part").join(n, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n_staged"), F.col("n").isNull().alias("missing"))
+
+
+@query("sc_geo_09_there_and_back", "select event_id, round(1 - abs(1 - (event_id % 200) / 100), 9) as progress from events")
+def sc_geo_09(spark, sf):
+    """How far along its line a vehicle is that turns round at either end."""
+    return V.table(spark, sf, "events").select("event_id", F.round(1 - F.abs(1 - (F.col("event_id") % 200) / 100), 9).alias("progress"))
+
+
+@query("sc_str_10_safe_paths", "select p_partkey, regexp_full_match(path, '[^/].*\\.jpg') and path not like '%..%' as safe from (select p_partkey, case p_partkey % 4 when 0 then '/' when 1 then '../' else '' end || p_brand || case p_partkey % 3 when 0 then '.png' else '.jpg' end as path from part)")
+def sc_str_10(spark, sf):
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 4 == 0, "/").when(k % 4 == 1, "../").otherwise(""), "p_brand", F.when(k % 3 == 0, ".png").otherwise(".jpg"))
+    return V.table(spark, sf, "part").select("p_partkey", (path.rlike(r"^[^/].*\.jpg$") & ~path.contains("..")).alias("safe"))
