@@ -41,12 +41,16 @@ def planned(stops: DataFrame, passes: int = 0, speed_kmh: float = 25.0, stop_min
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("stop_id").reset_index(drop=True)
         out = pdf.iloc[_tour(pdf.lat.to_numpy(), pdf.lon.to_numpy(), passes)].reset_index(drop=True)
-        leg = [0.0] + [metres(a.lat, a.lon, b.lat, b.lon) / 1000 for a, b in zip(out.iloc[:-1].itertuples(), out.iloc[1:].itertuples(), strict=True)]
+        y, x = out.lat.tolist(), out.lon.tolist()
+        leg = [0.0] + [metres(*ends) / 1000 for ends in zip(y[:-1], x[:-1], y[1:], x[1:], strict=True)]
         out["stop_seq"], out["leg_km"] = np.arange(len(out)), leg
         out["minutes"] = np.cumsum(leg) / speed_kmh * 60 + stop_minutes * (np.arange(len(out)) + 1)
         return out[["order_id", "stop_id", "stop_seq", "leg_km", "minutes"]]
 
-    return stops.select("order_id", "stop_id", "lat", "lon").groupBy("order_id").applyInPandas(run, "order_id long, stop_id long, stop_seq long, leg_km double, minutes double")
+    # the rows are few bytes but much work: a fixed number of partitions, which adaptive execution does not merge
+    parts = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stops.select("order_id", "stop_id", "lat", "lon").repartition(parts, "order_id")
+    return dealt.groupBy("order_id").applyInPandas(run, "order_id long, stop_id long, stop_seq long, leg_km double, minutes double")
 
 
 def upserted(sightings: DataFrame, reach: float = 2.0) -> DataFrame:
