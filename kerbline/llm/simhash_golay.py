@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
-from kerbline.llm.words import WordHashes, in_parts, mapped, mix, signed, texts
+from kerbline.llm.words import WordHashes, in_parts, mapped, mix, rolling, signed, texts
 from kerbline.session import written
 
 MAX_DISTANCE = 4
@@ -295,47 +295,151 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---------------------------------------------------------------- near copies of a given similarity
 
-#: Sketches of the set of words; one at most MAX_DISTANCE bits apart makes a candidate.
-SKETCHES = 4
-#: Bits by which fingerprints of five-word shingles differ at a Jaccard similarity of 0.8, at most; measured on held-out pairs.
-SIMILAR = 14
+#: Jaccard similarity of the sets of five-word shingles from which texts are linked.
+ALIKE = 0.8
+#: Minima of BANDS * ROWS hash orders of the set of shingles; a pair of similarity s shares no band with probability
+#: (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 5e-13 at 0.9.
+BANDS, ROWS = 32, 5
+#: Bands compared first; of the others only buckets are compared that these have not linked throughout.
+FIRST = 2
+#: Bytes of a shingle's hash where sets are compared, and bytes of the sets of one block.
+HASH_BYTES, BLOCK_BYTES = 5, 1 << 24
+_random = np.random.default_rng(SEED)
+_FLIP = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+_TIMES = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+_FOLD = _random.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
 _hashes = WordHashes(13)
 
 
-def sketches(text: bytes, n: int = SKETCHES) -> list[int]:
-    """SimHash of the set of words, under n hash functions made of one."""
-    words = list(set(text.lower().split()))
-    if not words:
-        return [0] * n
-    h, out = _hashes.of(words), []
-    for j in range(n):
-        counts = np.zeros(64, np.int64)
-        for i in range(0, len(h), AT_ONCE):
-            counts += np.unpackbits(mix(h[i : i + AT_ONCE] + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(words), bitorder="little").view(np.uint64)[0]))
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of the word shingles, in order; a shorter text is one shingle, and one without words none."""
+    words = text.lower().split()
+    return np.unique(rolling(_hashes.of(words), min(shingle, len(words)), 0x9E3779B97F4A7C15)) if words else np.zeros(0, np.uint64)
+
+
+def minima(held: np.ndarray) -> np.ndarray:
+    """The least value of the set under each hash order."""
+    out, low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32), held.astype(np.uint32)
+    for i in range(0, len(low), 2048):
+        out = np.minimum(out, ((low[i : i + 2048] ^ _FLIP) * _TIMES).min(axis=1))
     return out
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, far: int = SIMILAR) -> DataFrame:
-    """Rows (id, component_id) for each row of docs, linked where texts are about 0.8 similar by five-word shingles, or more.
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """(n, BANDS) keys of the bands of n rows of minima."""
+    return mix((least.reshape(-1, BANDS, ROWS) * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def _packed(held: np.ndarray) -> bytes:
+    return np.unique(held & np.uint64((1 << 8 * HASH_BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((sum(map(len, packed)) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, HASH_BYTES)
+    return out.view(np.uint64)[:, 0]
+
+
+def alike(nodes: list[int], packed: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links that join what is connected by sets of this Jaccard similarity: each node is met once by the one that reached it."""
+    size = np.array([len(x) // HASH_BYTES for x in packed])
+    start = np.concatenate([[0], np.cumsum(size)])
+    number = np.unique(_unpacked(packed), return_inverse=True)[1]
+    mark = np.zeros(len(number), bool)
+    rest, queue, links = np.arange(len(nodes)), [], []
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+            continue
+        x = queue.pop()
+        may = rest[np.minimum(size[rest], size[x]) / np.maximum(size[rest], size[x]) >= least]
+        if not len(may):
+            continue
+        own = number[start[x] : start[x + 1]]
+        mark[own] = True
+        shared = np.array([np.count_nonzero(mark[number[start[i] : start[i + 1]]]) for i in may])
+        mark[own] = False
+        got = may[shared / (size[may] + size[x] - shared) >= least]
+        links += [(nodes[x], nodes[i]) for i in got]
+        queue.extend(got)
+        rest = np.setdiff1d(rest, got, assume_unique=True)
+    return links
+
+
+def _alike_in_order(least: float):
+    """(key, node, shingles) in the order of key to links within equal keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, {}, []
+        for batch in itertools.chain(batches, [None]):
+            rows = [(None, 0, b"")] if batch is None else zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for k, node, shingles in rows:
+                if k != key:
+                    if len(held) > 1:
+                        out += alike(list(held), list(held.values()), least)
+                    key, held = k, {}
+                held[node] = shingles
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+                out = []
+
+    return run
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(key, blocks) of the keys to compare, of rows (node, size, root, key): not those within one root, and of keys with the same nodes one."""
+    each = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.min("node").alias("least"), F.sum("size").alias("size"), F.min("root").alias("one"), F.max("root").alias("other")
+    )
+    each = each.where("one != other").groupBy("n", "nodes", "least", "size").agg(F.min("key").alias("key"))
+    return each.select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") * HASH_BYTES / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+
+def _verified(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that join what is connected at this similarity within a key; long keys are dealt out by pairs of blocks."""
+    met = rows.join(_buckets(rows), "key").select("node", "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("mine"))
+    met = met.select("node", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")).join(sets, "node").select("key", "node", "shingles")
+    return written(mapped(met.repartition("key").sortWithinPartitions("key"), _alike_in_order(least), "u long, v long"), "alike")
 
-    At this similarity the fingerprints of shingles differ in up to `far` bits, too many for keys; those of the sets of words differ
-    in few. So the sets' sketches make the keys, each pair that meets is verified by the sketch and by the fingerprint of shingles,
-    and the rest goes as in near_duplicates(), to which nulls, ties and empty texts are alike.
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = ALIKE) -> DataFrame:
+    """Rows (id, component_id) for each row of docs, linked where the Jaccard similarity of the sets of word shingles is `least` or more.
+
+    Texts with equal sets are one class. Classes that share a band of minima are candidates (see BANDS for the recall), and each is
+    verified by the similarity itself, of hashes of HASH_BYTES bytes. Candidates of the first bands are compared and joined; of the
+    other bands, buckets that hold more than one component. Nulls, ties and empty texts are as in near_duplicates().
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"s{j}" for j in range(SKETCHES)]
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(held: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(held.tobytes(), SEED) - (1 << 63)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches):
-            held = [(fingerprint(t, shingle), *sketches(t)) for t in texts(part.column(1))]
-            columns = np.array(held, np.uint64).reshape(-1, SKETCHES + 1)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(signed(columns[:, j].copy())) for j in range(SKETCHES + 1))], ["id", "fp", *names])
+            sets = [shingle_set(t, shingle) for t in texts(part.column(1))]
+            keys = band_keys(np.array([minima(x) for x in sets], np.uint32)).ravel() if sets else np.zeros(0, np.uint64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed(keys)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "node", "size", "keys"])
         _hashes.clear()
 
-    schema = f"id {kind}, fp long, " + ", ".join(f"{n} long" for n in names)
-    each = mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
-    each = written(each.withColumn("node", F.xxhash64("fp", *names)), "sketches")
-    lowest = written(each.groupBy("node").agg(F.min("id").alias("low"), *(F.min(c).alias(c) for c in ("fp", *names))), "lowest")
-    linked = links(lowest.select("node", F.col("fp").alias("check"), *names), MAX_DISTANCE, far=far)
-    return _named(each.select("id", "node"), lowest.select("node", "low"), linked, ["node"]).select("id", "component_id")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches):
+            sets = [shingle_set(t, shingle) for t in texts(part.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([_packed(x) for x in sets], pa.binary())], ["node", "shingles"])
+        _hashes.clear()
+
+    each = written(mapped(docs, keyed, f"id {kind}, node long, size long, keys array<long>"), "bands")
+    classes = written(each.groupBy("node").agg(F.min("id").alias("low"), F.min("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    rows = classes.select("node", "size", F.posexplode("keys").alias("band", "key")).where("size > 0")
+    meeting = rows.join(_buckets(rows.withColumn("root", F.col("node"))), "key", "left_semi").select("node").distinct()
+    meeting = written(classes.join(meeting, "node", "left_semi").select("node", "low"), "meeting")
+    lows = meeting.select("low").distinct()
+    sets = mapped(docs.join(lows, docs.id.eqNullSafe(lows.low), "left_semi"), packed, "node long, shingles binary")
+    sets = written(sets.join(meeting, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    linked = _verified(rows.where(F.col("band") < FIRST).withColumn("root", F.col("node")), sets, least)
+    root = components(linked)
+    more = written(rows.where(F.col("band") >= FIRST).join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "key"), "rooted")
+    linked = linked.unionByName(_verified(more, sets, least))
+    return _named(each.select("id", "node"), classes.select("node", "low"), linked, ["node"]).select("id", "component_id")

@@ -256,6 +256,36 @@ def test_similar_copies_are_linked(spark):
     assert simhash_golay.similar(empty(spark)).count() == 0
 
 
+def test_similar_is_jaccard_of_shingles(spark):
+    """Blocks of new words inserted, appended and put in place, and scattered words, on both sides of 0.8."""
+    rng, made = np.random.default_rng(11), []
+    for g in range(60):
+        words = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 200 + 5 * g)]
+        k = int(len(words) * (0.06, 0.1, 0.16, 0.22, 0.26)[g % 5])
+        fresh, at = [f"n{g}x{x}" for x in rng.integers(0, 10**6, k)], len(words) // 3
+        copy = (words + fresh, words[:at] + fresh + words[at:], words[:at] + fresh[: k // 2] + words[at + k // 2 :], words[:at] + words[at + k :])[g % 4]
+        made += [" ".join(words), " ".join(copy)]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in made]
+    want = {2 * g: len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) >= 0.8 for g in range(60)}
+    assert 10 < sum(want.values()) < 50
+    got = {r.id: r.component_id for r in simhash_golay.similar(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert {i: got[i + 1] == got[i] for i in want} == want and all(got[i] == i for i in want)
+
+
+def test_similar_in_blocks(spark, monkeypatch):
+    """A chain of windows, each 0.8 similar to its next but not to others, in keys dealt out by blocks."""
+    monkeypatch.setattr(simhash_golay, "BLOCK", 3)
+    words = [f"w{x}" for x in range(1000)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 204])) for i in range(30)] + [(50, " ".join(words[900:])), (51, None), (52, " ")]
+    got = {r.id: r.component_id for r in simhash_golay.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(30)} | {50: 50, 51: 51, 52: 51}
+
+
 # ------------------------------------------------ 7
 
 
