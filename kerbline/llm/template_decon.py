@@ -6,6 +6,11 @@ COVERAGE of the item's distinct windows and the slots agree: where one value of
 too, for at least CONSISTENT of the slots. Copies agree trivially; a re-parameterised question does so with other values; chance
 meetings of placeholders do not.
 
+Each occurrence is judged by itself: meetings are filed by their offset (place in the document less place in the item) under two
+grids of cells half as wide as the item, so that those within a quarter of its length of each other share a cell, and neighbouring
+copies do not. In a cell each window of the item counts once, at the offset that most windows have. The whole document is judged
+as well. An item is also contained if VERBATIM of its words stand in a row in the document.
+
 Documents are scanned once against the sorted hashes of the benchmark's windows, BLOCK of them at a time whatever the size of the
 benchmark, so that only windows that meet one reach the shuffle. All else is joins and grouped sums.
 """
@@ -21,7 +26,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.words import REMEMBERED, in_parts, mapped, rolling, signed, texts
@@ -30,6 +35,8 @@ from kerbline.session import written
 WINDOW = 5
 COVERAGE = 0.8
 CONSISTENT = 0.8
+#: Words in a row, literally equal, that are reported whatever share of the item they are; of VERBATIM / WINDOW distinct windows at least.
+VERBATIM = 50
 #: Words of a window that must not be placeholders.
 LITERAL = 2
 #: Hashes that a pass over the documents holds: 8 bytes each.
@@ -152,13 +159,13 @@ def contaminated(
 ) -> DataFrame:
     """Rows (doc_id, item_id, coverage, consistency, reparameterised), one for each document and item it contains.
 
-    Null texts have no windows; an item of fewer than five words, or of placeholders almost alone, has none and is never found.
-    Rows of one id count as one document (or item) together; null ids likewise. reparameterised: some slot has another value than
-    in the item. Empty tables give an empty table.
+    The figures are those of the best occurrence. Null texts have no windows; an item of fewer than five words, or of placeholders
+    almost alone, has none and is never found. Rows of one id count as one document (or item) together; null ids likewise.
+    reparameterised: some slot has another value than in the item. Empty tables give an empty table.
     """
     spark = docs.sparkSession
-    ours = written(template_windows(benchmark, item_col, item_text).withColumnsRenamed({"id": "item_id", "slots": "item_slots"}).drop("at"), "templates")
-    size = ours.select("item_id", "hash").distinct().groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    ours = written(template_windows(benchmark, item_col, item_text).withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"}), "templates")
+    size = ours.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"), F.ceil((F.max("item_at") + WINDOW) / 4).alias("quarter"))
     distinct = ours.select("hash").distinct()
     blocks = -(-distinct.count() // BLOCK)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -170,14 +177,47 @@ def contaminated(
         hits = found if blocks == 1 else hits.unionByName(found)
     hits = written(hits.withColumnsRenamed({"id": "doc_id"}), "hits")
     share = hits.select("doc_id", "hash").distinct().join(ours.select("item_id", "hash").distinct(), "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_held"))
-    likely = share.join(size, "item_id").select("doc_id", "item_id", (F.col("n_held") / F.col("n_windows")).alias("coverage")).where(F.col("coverage") >= coverage)
+    held = F.col("n_held") / F.col("n_windows")
+    likely = share.join(size, "item_id").where((held >= coverage) | (F.col("n_held") >= VERBATIM // WINDOW)).select("doc_id", "item_id", "n_windows", "quarter")
     likely = written(likely, "likely")
-    met = hits.join(likely.select("doc_id", "item_id"), hits.doc_id.eqNullSafe(likely.doc_id)).select(hits.doc_id, "item_id", "hash", "slots").alias("h")
+    met = hits.join(likely, hits.doc_id.eqNullSafe(likely.doc_id)).select(hits.doc_id, "item_id", "n_windows", "quarter", "hash", "at", "slots").alias("h")
     met = met.join(ours.alias("o"), (F.col("h.hash") == F.col("o.hash")) & F.col("h.item_id").eqNullSafe(F.col("o.item_id")))
-    pairs = met.select("h.doc_id", "h.item_id", F.explode(F.arrays_zip(F.col("h.slots").alias("d"), F.col("o.item_slots").alias("i"))).alias("p"))
-    pairs = pairs.where("p.d.kind = p.i.kind").groupBy("doc_id", "item_id", "p.i.kind", F.col("p.i.value").alias("ours"), F.col("p.d.value").alias("theirs")).agg(F.count("*").alias("n"))
-    slots = pairs.groupBy("doc_id", "item_id", "kind", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max(F.col("ours") != F.col("theirs")).alias("other"))
-    slots = slots.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("n")).alias("consistency"), F.max("other").alias("other"))
-    out = likely.alias("l").join(slots.alias("s"), F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("s.item_id")), "left")
-    out = out.select("l.doc_id", "l.item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("other", F.lit(False)).alias("reparameterised"))
-    return out.where(F.col("consistency") >= consistent)
+    met = met.select("h.doc_id", "h.item_id", "n_windows", "quarter", "h.hash", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), "slots", "item_slots")
+    met = written(met.withColumn("equal", F.col("slots") == F.col("item_slots")), "met")
+    out = _occurrences(met, coverage, consistent).unionByName(_in_a_row(met))
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("found", "coverage", "consistency", "same")).alias("best"), F.max("found").alias("found"))
+    return best.where("found").select("doc_id", "item_id", "best.coverage", "best.consistency", (~F.col("best.same")).alias("reparameterised"))
+
+
+def _occurrences(met: DataFrame, coverage: float, consistent: float) -> DataFrame:
+    """(doc_id, item_id, found, coverage, consistency, same) of each cell of offsets, and of the whole document."""
+    width = F.col("quarter") * 2
+    cells = F.array(*(F.struct(F.lit(grid).alias("grid"), F.floor((F.col("offset") + shift) / width).alias("cell")) for grid, shift in ((1, F.lit(0)), (2, F.col("quarter")))))
+    cell = ["doc_id", "item_id", "place"]
+    placed = met.withColumn("place", F.explode(cells)).withColumn("many", F.count("*").over(Window.partitionBy(*cell, "offset")))
+    nth = F.row_number().over(Window.partitionBy(*cell, "item_at", "hash").orderBy(F.desc("many"), "offset"))
+    placed = placed.withColumn("nth", nth).where("nth = 1").drop("many", "nth")
+    whole = met.withColumn("place", F.struct(F.lit(0).alias("grid"), F.lit(0).cast("long").alias("cell")))
+    placed = written(placed.unionByName(whole), "placed")
+    share = placed.groupBy(*cell).agg((F.countDistinct("hash") / F.max("n_windows")).alias("coverage"))
+    pairs = placed.select(*cell, "equal", F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))).alias("p")).where("p.d.kind = p.i.kind")
+    pairs = pairs.groupBy(*cell, "equal", "p.i.kind", F.col("p.i.value").alias("ours"), F.col("p.d.value").alias("theirs")).agg(F.count("*").alias("n"))
+    # slots of literally equal windows agree; the others must have one value
+    slots = pairs.groupBy(*cell, "equal", "kind", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max(F.col("ours") != F.col("theirs")).alias("other"))
+    slots = slots.groupBy(*cell).agg((F.sum("most") / F.sum("n")).alias("consistency"), F.max("other").alias("other"))
+    both = F.lit(True)
+    for c in cell:
+        both &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = share.alias("a").join(slots.alias("b"), both, "left").select("a.doc_id", "a.item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce(~F.col("other"), F.lit(True)).alias("same"))
+    return out.withColumn("found", (F.col("coverage") >= coverage) & (F.col("consistency") >= consistent))
+
+
+def _in_a_row(met: DataFrame) -> DataFrame:
+    """The same of stretches of VERBATIM literally equal words or more: windows of one offset, with no word between them left out."""
+    line = Window.partitionBy("doc_id", "item_id", "offset").orderBy("item_at")
+    equal = met.where("equal").select("doc_id", "item_id", "n_windows", "offset", "item_at", "hash").distinct()
+    equal = equal.withColumn("cut", F.coalesce((F.col("item_at") - F.lag("item_at").over(line) > WINDOW).cast("int"), F.lit(0)))
+    runs = equal.withColumn("run", F.sum("cut").over(line)).groupBy("doc_id", "item_id", "offset", "run")
+    runs = runs.agg((F.max("item_at") - F.min("item_at") + WINDOW).alias("words"), F.countDistinct("hash").alias("n"), F.max("n_windows").alias("n_windows"))
+    runs = runs.where((F.col("words") >= VERBATIM) & (F.col("n") >= VERBATIM // WINDOW))
+    return runs.select("doc_id", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"), F.lit(1.0).alias("consistency"), F.lit(True).alias("same"), F.lit(True).alias("found"))

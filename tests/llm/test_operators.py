@@ -357,6 +357,20 @@ def test_templates(spark):
     assert template_decon.contaminated(empty(spark), bench).count() == 0 and template_decon.contaminated(docs(spark), bench.limit(0)).count() == 0
 
 
+def test_occurrences_are_judged_by_themselves(spark):
+    clauses = " and ".join(f"{name} has {n} ripe red apples in the basket" for name, n in (("Tom", 3), ("Sam", 5), ("Ann", 8), ("Eve", 13)))
+    apart = "The train to Oslo leaves at 7 and the bus to Oslo leaves at 9 so that Kim who lives in Oslo waits 2 hours for it"
+    variant = apart.replace("7", "4").replace("9", "6").replace("2 hours", "5 days").replace("Kim", "Lou").replace("Oslo", "Bergen")
+    broken = variant.replace("in Bergen", "in Narvik").replace("bus to Bergen", "bus to Molde")
+    long = " ".join(f"clue{i} and Bob {i}" for i in range(40))
+    bench = spark.createDataFrame([(0, clauses), (1, apart), (2, long)], "item_id long, text string")
+    part = " ".join(long.split()[30:90])
+    texts = [f"Look here. {clauses} today", f"one {apart} two {variant} three", " then ".join([apart, *[variant.replace("Lou", n) for n in ("Max", "Ida", "Jon", "Liv")]]), f"x {broken} y", f"here {part} ends", f"here {' '.join(long.split()[30:70])} ends"]
+    got = {(r.doc_id, r.item_id): r for r in template_decon.contaminated(docs(spark, texts, [*range(len(texts))]), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (4, 2)} and not any(r.reparameterised for r in got.values())
+    assert got[0, 0].coverage == got[0, 0].consistency == got[1, 1].consistency == 1 and got[4, 2].coverage < 0.8
+
+
 def test_contamination_matches_literal_search(spark):
     table, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r.item_id: " ".join(r.text.split()) for r in bench.collect()}
