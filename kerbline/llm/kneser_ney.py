@@ -1,225 +1,97 @@
 """Quality rules: counts that any text has, and the perplexity of its words under a modified Kneser-Ney model of its language.
 
-The model is over runs of three symbols inside a word, its two ends included. A symbol is a class of UTF-8 bytes, of which there
-are SYMBOLS, and languages are filed under LANGUAGES buckets, so a model has at most LANGUAGES * SYMBOLS ** 3 entries whatever the
-corpus: this is the proven size that lets every task hold it. What is counted is the whole corpus: every word of every document,
-first inside each task, then in Spark. Stored are sorted arrays of hashed n-grams and their log probabilities, looked up by
-bisection; the hash is a bijection, so no two n-grams meet.
-
-A document has two figures: the log perplexity of all its words, and that of its better part, the lower quartile over stretches of
-STRETCH words, so that a quotation in another language or a table in good prose does not condemn it. The lower bound holds for the
-first, the upper one for the second. A language's bounds lie LOW below and HIGH above the median, in units of the distance to the
-quartile on that side, read from an exact histogram in Spark over the documents that pass the base rules.
+The model is over words of order two: the probability of a word after the one before it (or after the start of the text), with the
+modified discounts, interpolated with how many different words it follows, and that with the uniform distribution. There is one
+model for each value of the language column, over all words of all documents, and what is gathered grows with them. Texts are dealt
+into two folds by their hash, and each is scored by what the other fold holds, so that neither its own words nor its exact copies
+make it look probable: a text of words that nobody else uses has a high perplexity.
+
+No task holds a model. Words are hashes of 40 bits; the pairs of a language are filed under buckets by the hash of the first word,
+as many as the corpus needs, and a bucket is a set of sorted hash arrays:
+
+1. A pass over the texts gives the counts of each, and finds frequent first words: those with a bucket's share of all pairs or
+   more, at most one a bucket. Their pairs are dealt over all buckets by both words, so no word makes a bucket large.
+2. Each chunk of texts sends a bucket its distinct pairs as sorted arrays; a bucket merges them, which gives counts of counts and
+   how many pairs each second word ends. These numbers are added up by second word and sent back.
+3. Each chunk sends its pairs again, now with the documents that hold them. A bucket merges the arrays, has the probability of each
+   pair by bisection and sends each document's sum back. This runs in ROUNDS parts of the buckets, to keep the disk small.
+
+A text's figure is the mean log perplexity of its words. A language's bounds come from an exact histogram over the documents that
+pass the base rules: HIGH quartile distances above the median, LOW below it, the latter never above LEAST_SHARE of the median, as
+near copies in the other fold make a text probable, and copies are not bad texts.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import REMEMBERED, WordHashes, in_parts, mapped, mix, texts
-from kerbline.session import written
+from kerbline.llm.words import WordHashes, in_parts, mapped, mix, texts
+from kerbline.session import forget, written
 
-SYMBOLS = 64
-LANGUAGES = 32
 SMALLEST = 50
 MOST_REPEATED = 50
-LOW, HIGH = 8.0, 8.0
-#: Words of a stretch.
-STRETCH = 32
+LOW, HIGH, LEAST_SHARE = 3.0, 7.0, 0.2
 #: Steps of a histogram, a unit of log perplexity.
 STEPS = 1000
 MARKS = b"#*$%&|<>"
+#: Bytes of text that a chunk holds, and that a bucket stands for; parts in which documents are scored.
+CHUNK_BYTES, BUCKET_BYTES, ROUNDS = 32 << 20, 16 << 20, 2
+BITS = 40
+_START, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0x9E3779B97F4A7C15)
 
-
-def _classes() -> bytes:
-    """The symbol of each byte; 0 is the end of a word."""
-    out = bytearray(256)
-    for b in range(256):
-        c = chr(b)
-        if "a" <= c <= "z":
-            out[b] = 1 + b - ord("a")
-        elif "A" <= c <= "Z":
-            out[b] = 27 + (b - ord("A")) // 13
-        elif "0" <= c <= "9":
-            out[b] = 29
-        elif c in ".,;:!?'\"-()":
-            out[b] = 30 + ".,;:!?'\"-()".index(c)
-        elif b in MARKS:
-            out[b] = 41
-        elif b < 128:
-            out[b] = 42
-        else:
-            out[b] = 43 + b % 21
-    return bytes(out)
-
-
-CLASSES = _classes()
-
-
-def bucket(lang: str | None) -> int:
-    return zlib.crc32((lang or "").encode()) % LANGUAGES
-
-
-def symbol_runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all runs of three symbols that a model predicts in these words, and the word each belongs to."""
-    line = b"\0\0" + b"\0\0".join(w.translate(CLASSES) for w in words) + b"\0\0"
-    a = np.frombuffer(line, np.uint8).astype(np.int64)
-    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    codes = a[:-2] << 12 | a[1:-1] << 6 | a[2:]
-    keep = (codes & 0xFFF) != 0  # the second end between two words is not predicted
-    return codes[keep], of[: len(codes)][keep]
-
-
-# ---------------------------------------------------------------- counting
+_hashes = WordHashes(11)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, code, n) over the words of each few thousand documents."""
-    for part in in_parts(batches):
-        words: dict[int, Counter] = {}
-        for lang, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-            words.setdefault(bucket(lang), Counter()).update(text.split())
-        for b, found in words.items():
-            if not found:
-                continue
-            codes, of = symbol_runs(list(found))
-            n = np.bincount(codes, weights=np.fromiter(found.values(), np.float64, len(found))[of])
-            at = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(at), pa.array(n[at].astype(np.int64))], ["bucket", "code", "n"])
+# ---------------------------------------------------------------- arrays as bytes
 
 
-def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """How often each run of three symbols occurs in each language bucket, over all documents."""
-    each = mapped(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), _count, "bucket int, code long, n long")
-    return each.groupBy("bucket", "code").agg(F.sum("n").alias("n"))
+def pack(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers as planes of bytes, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-# ---------------------------------------------------------------- the model
+def unpack(data: bytes, size: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, size * width, "zstd", asbytes=True), np.uint8).reshape(width, size)
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8")[:, 0].astype(np.int64)
 
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """What to take from counts 0, 1, 2, 3 and more; where counts of counts are missing, their absolute discount or a half."""
-    n1, n2, n3, n4 = (float((n == i).sum()) for i in (1, 2, 3, 4))
-    if not (n1 and n2):
-        return np.array([0, 0.5, 0.5, 0.5])
-    y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else y]
-    return np.array([0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
+def word_ids(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _interpolated(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the last axis from counts and those of the order below; and the weight of the order below."""
-    take = _discounts(n)[np.minimum(n, 3).astype(np.int64)]
-    total = n.sum(axis=-1, keepdims=True)
-    seen = total > 0
-    weight = np.where(seen, take.sum(axis=-1, keepdims=True) / np.where(seen, total, 1), 1.0)
-    return np.where(seen, (n - take) / np.where(seen, total, 1), 0) + weight * lower, weight[..., 0]
-
-
-@dataclass
-class Model:
-    """Sorted hashes and values for each order: log probabilities of seen n-grams, log weights of seen contexts."""
-
-    tables: dict[str, tuple[np.ndarray, np.ndarray]]
-
-    def look(self, kind: str, b: int, codes: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.tables[kind]
-        wanted = hashed(b, codes)
-        if not len(keys):
-            return np.zeros(len(codes), bool), np.full(len(codes), missing)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        return hit, np.where(hit, values[at], missing)
-
-    def score(self, b: int, codes: np.ndarray) -> np.ndarray:
-        """Log probability of each run; one that was never counted backs off to the shorter orders."""
-        hit, out = self.look("three", b, codes, 0.0)
-        if not hit.all():
-            rest = codes[~hit]
-            two_hit, two = self.look("two", b, rest & 0xFFF, 0.0)
-            _, one = self.look("one", b, rest & 0x3F, -math.log(SYMBOLS))
-            _, weight1 = self.look("weight_one", b, rest >> 6 & 0x3F, 0.0)
-            _, weight2 = self.look("weight_two", b, rest >> 6, 0.0)
-            out[~hit] = weight2 + np.where(two_hit, two, weight1 + one)
-        return out
-
-
-def hashed(b: int, codes: np.ndarray) -> np.ndarray:
-    return mix(np.uint64(b) << np.uint64(32) | codes.astype(np.uint64))
-
-
-def model(rows: list[tuple[int, int, int]]) -> Model:
-    """Modified Kneser-Ney from (bucket, code, n). Orders below the first count distinct continuations."""
-    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in ("three", "two", "one", "weight_two", "weight_one")}
-    table = np.array(rows, np.int64).reshape(-1, 3)
-    for b in np.unique(table[:, 0]):
-        own = table[table[:, 0] == b]
-        n3 = np.zeros(SYMBOLS**3)
-        n3[own[:, 1]] = own[:, 2]
-        n3 = n3.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-        n2 = (n3 > 0).sum(axis=0).astype(float)
-        n1 = (n2 > 0).sum(axis=0).astype(float)
-        p1, _ = _interpolated(n1, np.full(SYMBOLS, 1 / SYMBOLS))
-        p2, w1 = _interpolated(n2, p1[None, :])
-        p3, w2 = _interpolated(n3, p2[None, :, :])
-        for kind, value, seen in (("three", p3, n3 > 0), ("two", p2, n2 > 0), ("one", p1, n1 >= 0), ("weight_two", w2, n3.sum(-1) > 0), ("weight_one", w1, n2.sum(-1) > 0)):
-            codes = np.nonzero(seen.reshape(-1))[0]
-            found[kind].append((hashed(int(b), codes), np.log(value.reshape(-1)[codes])))
-    tables = {}
-    for kind, parts in found.items():
-        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
-        order = np.argsort(keys)
-        tables[kind] = keys[order], np.concatenate([np.zeros(0), *(v for _, v in parts)])[order]
-    return Model(tables)
-
-
-class Scores(dict):
-    """word -> its log probability in one language bucket, remembered."""
-
-    def __init__(self, m: Model, b: int):
-        super().__init__()
-        self.model, self.b = m, b
-
-    def __missing__(self, word: bytes) -> float:
-        self.learn([word])
-        return self[word]
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
-        codes, of = symbol_runs(words)
-        self.update(zip(words, np.bincount(of, weights=self.model.score(self.b, codes), minlength=len(words)).tolist(), strict=True))
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """By ranges of the hash, so that sorted ids have sorted buckets."""
+    return (ids >> 8) * buckets >> BITS - 8
 
 
 # ---------------------------------------------------------------- counts of one text
 
-_hashes = WordHashes(11)
-
 
-def repeated_words(words: list[bytes], k: int = 3) -> int:
-    """Words that lie in a window of k words found twice or more in the text."""
-    n = len(words) - k + 1
+def repeated_words(h: np.ndarray, k: int = 3) -> int:
+    """Words, given as hashes, that lie in a window of k words found twice or more in the text."""
+    n = len(h) - k + 1
     if n < 2:
         return 0
-    h = _hashes.of(words)
     key = h[:n].copy()
     for j in range(1, k):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        key = key * _PAIR + h[j : j + n]
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     if not same.any():
         return 0
     at = np.concatenate([order[1:][same], order[:-1][same]])
-    cover = np.zeros(len(words), bool)
+    cover = np.zeros(len(h), bool)
     for j in range(k):
         cover[at + j] = True
     return int(cover.sum())
@@ -231,77 +103,345 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def log_perplexity(words: list[bytes], known: Scores) -> tuple[float | None, float | None]:
-    """Of all words, and the lower quartile over stretches; a short end belongs to the stretch before."""
-    if not words:
-        return None, None
-    loss = -np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    at = np.arange(0, max(1, len(words) - STRETCH // 2), STRETCH)
-    parts = np.sort(np.add.reduceat(loss, at) / np.add.reduceat(size, at))
-    return float(loss.sum() / size.sum()), float(parts[(len(parts) - 1) // 4])
+_marks = [bytes([x]) for x in MARKS]
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
+def _measure(buckets: int):
+    """(doc_id, lang, key, text) to a row of figures for each text, and rows (lang, first, n) of first words that may be frequent."""
 
-def _measure(m):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = m.value
-        scores: dict[int, Scores] = {}
+        id_type, seen = None, {}
         for part in in_parts(batches):
-            rows = []
-            for lang, text in zip(part.column(1).to_pylist(), texts(part.column(2)), strict=True):
-                b, words = bucket(lang), text.split()
-                if b not in scores:
-                    scores[b] = Scores(held, b)
-                known = scores[b]
-                fresh = [w for w in set(words) if w not in known]
-                if fresh:
-                    known.learn(fresh)
-                letters = sum(map(len, words))
-                whole, better = log_perplexity(words, known)
-                chars = letters if text.isascii() else sum(len(w.decode()) for w in words)
-                rows.append((b, len(words), chars, sum(map(text.count, _marks)), repeated_lines(text), repeated_words(words), whole, better))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.float64())],
-                ["doc_id", "bucket", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "better_part"],
-            )
+            id_type, langs, rows, firsts = part.column(0).type, part.column(1).to_pylist(), [], {}
+            for lang, text in zip(langs, texts(part.column(3)), strict=True):
+                words = text.split()
+                h = _hashes.of(words)
+                chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
+                rows.append((len(words), chars, sum(map(text.count, _marks)), repeated_lines(text), repeated_words(h)))
+                if len(h):
+                    firsts.setdefault(lang, []).append(np.append(_START, h[:-1]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(c, pa.int64()) for c in cols), none, none], ["doc_id", "lang", "key", *FIGURES, "first", "n"])
+            for lang, found in firsts.items():
+                ids, n = np.unique(word_ids(np.concatenate(found)), return_counts=True)
+                often = n * 4 * buckets >= n.sum()
+                held = seen.setdefault(lang, {})
+                for i, x in zip(ids[often].tolist(), n[often].tolist(), strict=True):
+                    held[i] = held.get(i, 0) + x
+        for lang, held in seen.items():
+            size = len(held)
+            blank = [pa.nulls(size, pa.int64())] * (1 + len(FIGURES))
+            arrays = [pa.nulls(size, id_type), pa.array([lang] * size, pa.string()), *blank, pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "key", *FIGURES, "first", "n"])
         _hashes.clear()
 
     return run
 
 
-_marks = [bytes([x]) for x in MARKS]
+# ---------------------------------------------------------------- pairs of words, from chunks to buckets
+
+#: n0, n1: how often the pair occurs in texts of either fold. at: the texts that hold it, of which the first n_zero are of fold 0.
+PAIRS = "bucket int, chunk long, lang string, n_first int, n_pairs int, n_at int, n_zero int, n_keys int, first binary, runs binary, second binary, n0 binary, n1 binary, at binary, keys binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None, int, bytes]]]:
+    held, size = [], 0
+    for part in in_parts(batches):
+        for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2)), strict=True):
+            held.append(row)
+            size += len(row[2])
+            if size >= CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def pairs_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word ids in order, and of each word of these texts the rank of the one before it, its own rank, and its text."""
+    each = [_hashes.of(t.split()) for t in docs]
+    size = np.array([len(x) for x in each], np.int64)
+    ids, rank = np.unique(word_ids(np.concatenate([np.array([_START]), *each])), return_inverse=True)
+    start, cur = rank[0], rank[1:]
+    before = np.append(start, cur[:-1])[: len(cur)]
+    ends = np.cumsum(size)
+    before[(ends - size)[size > 0]] = start
+    return ids, before, cur, np.repeat(np.arange(len(docs)), size)
+
+
+def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
+    """(lang, key, text) to PAIRS: the distinct pairs of each chunk and language, for each bucket of this round; with their texts if scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, chunk = often.value, TaskContext.get().partitionId() << 33
+        for held in _chunks(batches):
+            for lang in sorted({r[0] for r in held}, key=lambda x: (x is not None, x)):
+                own = sorted((r for r in held if r[0] == lang), key=lambda r: r[1] & 1)  # fold 0 first
+                chunk += 1
+                if rows := list(_filed(own, lang, hot.get(lang, (np.zeros(0, np.int64),))[0], chunk)):
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+        _hashes.clear()
+
+    def _filed(own, lang, hot, chunk):
+        ids, before, cur, at = pairs_of([r[2] for r in own])
+        keys = np.array([r[1] for r in own], np.int64)
+        zeros = int((keys & 1 == 0).sum())
+        bucket = bucket_of(ids, buckets)[before]
+        dealt = np.isin(ids, hot)[before]
+        bucket[dealt] = (mix(ids[before[dealt]].astype(np.uint64) * _PAIR + ids[cur[dealt]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        here = bucket % rounds == mine
+        before, cur, at, bucket = before[here], cur[here], at[here], bucket[here]
+        pair = before * len(ids) + cur
+        order = np.argsort(pair, kind="stable")
+        order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int32), kind="stable")]
+        pair, bucket, at = pair[order], bucket[order], at[order]
+        fresh = np.ones(len(pair), bool)
+        fresh[1:] = (pair[1:] != pair[:-1]) | (bucket[1:] != bucket[:-1])
+        begin = np.nonzero(fresh)[0]
+        n1 = np.add.reduceat(at >= zeros, begin, dtype=np.int64) if len(begin) else begin
+        n0 = np.diff(np.append(begin, len(pair))) - n1
+        pair, bucket = pair[begin], bucket[begin]
+        first, second = ids[pair // len(ids)], ids[pair % len(ids)]
+        cuts = np.append(np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0], len(bucket)) if len(bucket) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            run = np.append(np.nonzero(np.append(True, first[i + 1 : j] != first[i : j - 1]))[0], j - i)
+            row = {"bucket": int(bucket[i]), "chunk": chunk, "lang": lang, "n_first": len(run) - 1, "n_pairs": int(j - i), "n_at": 0, "n_zero": zeros, "n_keys": 0}
+            row |= {"first": pack(np.diff(first[i:j][run[:-1]], prepend=0), 5), "runs": pack(np.diff(run), 4), "second": pack(second[i:j], 5), "n0": pack(n0[i:j], 4), "n1": pack(n1[i:j], 4)}
+            if scored:
+                told = at[begin[i] : begin[j] if j < len(begin) else len(at)]
+                row |= {"n_at": len(told), "at": pack(told, 4)}
+                if i == 0:
+                    row |= {"n_keys": len(keys), "keys": keys.tobytes()}
+            yield row
+
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), *((c, pa.int32()) for c in ("n_first", "n_pairs", "n_at", "n_zero", "n_keys")), *((c, pa.binary()) for c in ("first", "runs", "second", "n0", "n1", "at", "keys"))])
+    return run
+
+
+def _rows_by_lang(table: pa.Table) -> dict[str | None, list[dict]]:
+    out: dict[str | None, list[dict]] = {}
+    for r in table.to_pylist():
+        out.setdefault(r["lang"], []).append(r)
+    return out
+
+
+def merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted arrays of a bucket: first words, for each pair which of them and the second word, its counts in both folds; and where each sent pair went."""
+    first = np.concatenate([np.repeat(np.cumsum(unpack(r["first"], r["n_first"], 5)), unpack(r["runs"], r["n_first"], 4)) for r in rows])
+    second, n0, n1 = (np.concatenate([unpack(r[c], r["n_pairs"], width) for r in rows]) for c, width in (("second", 5), ("n0", 4), ("n1", 4)))
+    firsts, of = np.unique(first, return_inverse=True)
+    pairs, went = np.unique(of << BITS | second, return_inverse=True)
+    n = np.stack([np.bincount(went, weights=x, minlength=len(pairs)).astype(np.int64) for x in (n0, n1)])
+    return firsts, pairs >> BITS, pairs & (1 << BITS) - 1, n, went
+
+
+def contexts(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Of each first word the total of its pairs, and how many have the counts one, two, three and more."""
+    return np.stack([np.bincount(of, weights=n, minlength=size), *(np.bincount(of[n == i], minlength=size) for i in (1, 2)), np.bincount(of[n > 2], minlength=size)], axis=1).astype(np.int64)
+
+
+def of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == c).sum()) for c in (1, 2, 3, 4)]
+
+
+ENDS = "bucket int, lang string, dest int, size int, second binary, n0 binary, n1 binary, counts array<long>, hot array<array<long>>"
+
+
+def _counted(buckets: int, often):
+    """The pairs of a bucket to ENDS: how many pairs end in each second word, by the bucket of that; on the first row of a language,
+    counts of counts and the totals of frequent first words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, bucket = [], table.column("bucket")[0].as_py()
+        for lang, rows in _rows_by_lang(table).items():
+            firsts, of, second, n, _ = merged(rows)
+            ends, which = np.unique(second, return_inverse=True)
+            ways = [np.bincount(which[x > 0], minlength=len(ends)) for x in n]
+            dest = bucket_of(ends, buckets)
+            cuts = np.append(np.nonzero(np.append(True, dest[1:] != dest[:-1]))[0], len(dest))
+            hot = np.nonzero(np.isin(firsts, often.value.get(lang, (np.zeros(0, np.int64),))[0]))[0]
+            totals = np.column_stack([firsts[hot], *(contexts(of, x, len(firsts))[hot] for x in n)]).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                row = {"bucket": bucket, "lang": lang, "dest": int(dest[i]), "size": int(j - i), "second": pack(np.diff(ends[i:j], prepend=0), 5)} | {f"n{f}": pack(x[i:j], 4) for f, x in enumerate(ways)}
+                out.append(row | {"counts": of_counts(n[0]) + of_counts(n[1]) if i == 0 else None, "hot": totals if i == 0 else None})
+        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("dest", pa.int32()), ("size", pa.int32()), ("second", pa.binary()), ("n0", pa.binary()), ("n1", pa.binary()), ("counts", pa.list_(pa.int64())), ("hot", pa.list_(pa.list_(pa.int64())))]))
+
+    return run
+
+
+WAYS = "bucket int, lang string, dest int, size int, ways0 binary, ways1 binary, counts array<long>, hot array<array<long>>, types array<long>"
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """ENDS of one destination to WAYS: the sums over all buckets, each sent back in its sender's order; on the first row of a language,
+    for either fold how many words follow one, two, three, four words, how many there are, and how many pairs."""
+    out = []
+    for lang, rows in _rows_by_lang(table).items():
+        _, of = np.unique(np.concatenate([np.cumsum(unpack(r["second"], r["size"], 5)) for r in rows]), return_inverse=True)
+        ways = [np.bincount(of, weights=np.concatenate([unpack(r[c], r["size"], 4) for r in rows])).astype(np.int64) for c in ("n0", "n1")]
+        types = [t for x in ways for t in (*of_counts(x), int((x > 0).sum()), int(x.sum()))]
+        at = np.append(0, np.cumsum([r["size"] for r in rows]))
+        for i, r in enumerate(rows):
+            row = {k: r[k] for k in ("bucket", "lang", "dest", "size", "counts", "hot")}
+            out.append(row | {f"ways{f}": pack(x[of[at[i] : at[i + 1]]], 5) for f, x in enumerate(ways)} | {"types": types if i == 0 else None})
+    return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("dest", pa.int32()), ("size", pa.int32()), ("ways0", pa.binary()), ("ways1", pa.binary()), ("counts", pa.list_(pa.int64())), ("hot", pa.list_(pa.list_(pa.int64()))), ("types", pa.list_(pa.int64()))]))
+
+
+# ---------------------------------------------------------------- the model
+
+
+def discounts(c: list[int]) -> np.ndarray:
+    """What to take from counts 0, 1, 2, 3 and more, by counts of counts; where these are missing, an absolute discount or a half."""
+    n1, n2, n3, n4 = map(float, c)
+    if not (n1 and n2):
+        return np.array([0, 0.5, 0.5, 0.5])
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else y]
+    return np.array([0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
+
+
+def log_probabilities(of: np.ndarray, n: np.ndarray, totals: np.ndarray, ways: np.ndarray, counts: list[int], types: list[int]) -> np.ndarray:
+    """Of pairs with the first word `of`, the count n and a second word that follows so many words: modified Kneser-Ney, interpolated,
+    where any of these may be 0. All words that were never counted share the probability of one."""
+    d, e = discounts(counts), discounts(types[:4])
+    t1, t2, _, _, many, pairs = types
+    rest = (e[1] * t1 + e[2] * t2 + e[3] * (many - t1 - t2)) / pairs if pairs else 1.0
+    lower = (ways - e[np.minimum(ways, 3)]) / max(pairs, 1) + rest / (many + 1)
+    total = np.maximum(totals[:, 0], 1)
+    weight = np.where(totals[:, 0] > 0, (totals[:, 1] * d[1] + totals[:, 2] * d[2] + totals[:, 3] * d[3]) / total, 1.0)
+    return np.log((n - d[np.minimum(n, 3)]) / total[of] + weight[of] * lower)
+
+
+SUMS = "chunk long, size int, at binary, loss binary, n_keys int, keys binary"
+
+
+def _scored(often):
+    """The pairs of a bucket with their texts, and its WAYS with the counts of the language, to SUMS: the losses of each text of a chunk."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        out, by = [], _rows_by_lang(known)
+        for lang, rows in _rows_by_lang(table).items():
+            firsts, of, second, n, went = merged(rows)
+            told = sorted(by[lang], key=lambda r: r["dest"])
+            which = np.unique(second, return_inverse=True)[1]
+            hot, whole = often.value.get(lang, (np.zeros(0, np.int64), np.zeros((0, 8), np.int64)))
+            loss = []
+            for f in (1, 0):  # texts of fold 0 are scored by fold 1
+                ways = np.concatenate([unpack(r[f"ways{f}"], r["size"], 5) for r in told])[which]
+                totals = contexts(of, n[f], len(firsts))
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, firsts), len(hot) - 1)
+                    totals = np.where((hot[at] == firsts)[:, None], whole[at][:, 4 * f : 4 * f + 4], totals)
+                loss.append(-log_probabilities(of, n[f], totals, ways, told[0]["all_counts"][4 * f :][:4], told[0]["all_types"][6 * f :][:6]))
+            done = 0
+            for r in rows:
+                pair = np.repeat(went[done : done + r["n_pairs"]], unpack(r["n0"], r["n_pairs"], 4) + unpack(r["n1"], r["n_pairs"], 4))
+                done += r["n_pairs"]
+                at = unpack(r["at"], r["n_at"], 4)
+                own = np.where(at < r["n_zero"], loss[0][pair], loss[1][pair])
+                docs = np.unique(at)
+                sums = np.bincount(at, weights=own)[docs].astype("<f4").tobytes()
+                out.append({"chunk": r["chunk"], "size": len(docs), "at": pack(np.diff(docs, prepend=0), 4), "loss": sums, "n_keys": r["n_keys"], "keys": r["keys"]})
+        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("size", pa.int32()), ("at", pa.binary()), ("loss", pa.binary()), ("n_keys", pa.int32()), ("keys", pa.binary())]))
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """SUMS of one chunk to (key, loss)."""
+    rows = table.to_pylist()
+    keys = np.frombuffer(next(r["keys"] for r in rows if r["n_keys"]), np.int64)
+    loss = np.zeros(len(keys))
+    for r in rows:
+        loss[np.cumsum(unpack(r["at"], r["size"], 4))] += np.frombuffer(r["loss"], "<f4")
+    return pa.table({"key": keys, "loss": loss})
+
+
+def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
+    """(key, loss) for each key of docs (lang, key, text) with words: the sum of the negative log probabilities of its words."""
+    spark = docs.sparkSession
+    share = (measured.agg(F.sum("n_words")).first()[0] or 0) / buckets
+    often = measured.where("first is not null").groupBy("lang", "first").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * share)
+    hot: dict[str | None, list[int]] = {}
+    for lang, first, _ in often.collect():  # shares of 3/4 of a bucket or more: at most 4/3 a bucket
+        hot.setdefault(lang, []).append(first)
+    seen = spark.sparkContext.broadcast({k: (np.sort(np.array(v, np.int64)),) for k, v in hot.items()})
+    sent = mapped(docs, _pairs(buckets, seen, 1, 0, False), PAIRS)
+    ends = sent.groupBy("bucket").applyInArrow(_counted(buckets, seen), ENDS)
+    ways = written(ends.groupBy("dest").applyInArrow(_added, WAYS), "ways")
+    of = ways.groupBy("lang").agg(*(F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k))).alias(f"all_{c}") for c, k in (("counts", 8), ("types", 12))))
+    of = written(of.withColumnRenamed("lang", "of_lang"), "counts")
+    known = ways.join(of, ways.lang.eqNullSafe(of.of_lang)).drop("of_lang", "counts", "hot", "types")
+    totals: dict[str | None, list[list[int]]] = {}
+    for lang, first, *t in ways.select("lang", F.explode("hot").alias("t")).groupBy("lang", F.col("t")[0].alias("first")).agg(*(F.sum(F.col("t")[i]) for i in range(1, 9))).collect():
+        totals.setdefault(lang, []).append([first, *t])
+    arrays = {k: np.array(sorted(v), np.int64) for k, v in totals.items()}
+    whole = spark.sparkContext.broadcast({k: (np.ascontiguousarray(v[:, 0]), v[:, 1:]) for k, v in arrays.items()})
+    del sent, ends
+    out = []
+    for mine in range(rounds):
+        _shuffles_end(spark)
+        pairs = mapped(docs, _pairs(buckets, whole, rounds, mine, True), PAIRS)
+        sums = pairs.groupBy("bucket").cogroup(known.where(F.col("bucket") % rounds == mine).groupBy("bucket")).applyInArrow(_scored(whole), SUMS)
+        out.append(written(sums.groupBy("chunk").applyInArrow(_summed, "key long, loss double"), "losses"))
+        del pairs, sums
+    every = out[0].withColumn("round", F.lit(0))
+    for i, x in enumerate(out[1:], 1):
+        every = every.unionByName(x.withColumn("round", F.lit(i)))
+    done = written(every.groupBy("key", "round").agg(F.max("loss").alias("loss")).groupBy("key").agg(F.sum("loss").alias("loss")), "losses")  # equal texts have equal losses
+    for x in (ways, of, *out):
+        forget(x)
+    return done
+
+
+def _shuffles_end(spark) -> None:
+    """Lets Spark's cleaner delete the shuffle files of tables that are no longer used, before the next round adds its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bands(measured: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(bucket, least, most): a language's bounds, from histograms of at most some thousand bins."""
-    figures = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.floor(F.col(c) * STEPS).alias("bin")) for c in ("log_perplexity", "better_part"))))
-    good = measured.where("not base_failed and log_perplexity is not null").select("bucket", figures.alias("x")).select("bucket", "x.*")
-    w = Window.partitionBy("bucket", "of")
-    run = good.groupBy("bucket", "of", "bin").agg(F.count("*").alias("n")).select("bucket", "of", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
+    """(of_lang, least, most): a language's bounds, from histograms of at most some thousand bins."""
+    good = measured.where("not base_failed and log_perplexity is not null").select(F.col("lang").alias("of_lang"), F.floor(F.col("log_perplexity") * STEPS).alias("bin"))
+    w = Window.partitionBy("of_lang")
+    run = good.groupBy("of_lang", "bin").agg(F.count("*").alias("n")).select("of_lang", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
 
-    def at(of: str, p: float):
-        return F.min(F.when((F.col("of") == of) & (F.col("upto") >= F.col("total") * p), (F.col("bin") + 0.5) / STEPS))
+    def at(p: float):
+        return F.min(F.when(F.col("upto") >= F.col("total") * p, (F.col("bin") + 0.5) / STEPS))
 
     step = F.lit(2.0 / STEPS)
-    least = at("log_perplexity", 0.5) - low * F.greatest(at("log_perplexity", 0.5) - at("log_perplexity", 0.25), step)
-    most = at("better_part", 0.5) + high * F.greatest(at("better_part", 0.75) - at("better_part", 0.5), step)
-    return run.groupBy("bucket").agg(least.alias("least"), most.alias("most"))
+    least = F.least(at(0.5) - low * F.greatest(at(0.5) - at(0.25), step), LEAST_SHARE * at(0.5))
+    most = at(0.5) + high * F.greatest(at(0.75) - at(0.5), step)
+    return run.groupBy("of_lang").agg(least.alias("least"), most.alias("most"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, better_part,
-    kept), one for each row.
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH, bucket_bytes: int = BUCKET_BYTES, keys: bool = False
+) -> DataFrame:
+    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity, kept), one for each
+    row; with keys also `key`, a hash of language and text, which is what the verdict rests on.
 
     A null text is empty: no words, no perplexity, base_failed. A null language is a language of its own. Repeated rows are judged
-    (and counted for the model) each. A language none of whose documents passes the base rules keeps nothing anyway. Bounds of a
-    band belong to it. Empty in, empty out.
+    (and counted for the model) each, null ids like others. A language none of whose documents passes the base rules keeps nothing
+    anyway. Bounds of a band belong to it. Empty in, empty out.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    held = spark.sparkContext.broadcast(model([tuple(r) for r in counts(docs, text_col, lang_col).collect()]))
-    schema = f"doc_id {kind}, bucket int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, better_part double"
-    each = mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), _measure(held), schema)
-    each = written(each.withColumn("base_failed", F.expr(f"n_words < {SMALLEST} or 100 * n_repeat_words > {MOST_REPEATED} * n_words")), "measured")
-    out = each.join(F.broadcast(bands(each, low, high)), "bucket", "left")
-    inside = F.coalesce((F.col("log_perplexity") >= F.col("least")) & (F.col("better_part") <= F.col("most")), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("bucket", "least", "most")
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_key(F.col(lang_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    buckets = max(2, math.ceil((slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / bucket_bytes))
+    schema = f"doc_id {kind}, lang string, key long, {', '.join(f'{c} long' for c in FIGURES)}, first long, n long"
+    measured = written(mapped(slim, _measure(buckets), schema), "measured")
+    loss = losses(slim.select("lang", "key", "text"), measured, buckets)
+    each = measured.where("key is not null").drop("first", "n").join(loss, "key", "left")
+    each = each.withColumn("base_failed", F.expr(f"n_words < {SMALLEST} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
+    each = written(each.withColumn("log_perplexity", F.when(F.col("n_words") > 0, F.col("loss") / F.col("n_words"))), "perplexities")
+    bounds = written(bands(each, low, high), "bands")
+    inside = F.coalesce((F.col("log_perplexity") >= F.col("least")) & (F.col("log_perplexity") <= F.col("most")), F.lit(False))
+    out = each.join(bounds, each.lang.eqNullSafe(bounds.of_lang), "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return out.select("doc_id", *FIGURES, "base_failed", "log_perplexity", "kept", *(["key"] if keys else []))
+
+
+def text_key(lang, text):
+    """A hash of language and text, nulls apart from empty strings."""
+    return F.xxhash64(lang.cast("string"), lang.isNull(), text, text.isNull())

@@ -325,14 +325,56 @@ def test_quality_counts(spark):
     assert kneser_ney.judge(empty(spark)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(5)
-    text = [bytes(rng.choice(list(b"abc"), rng.integers(1, 6)).astype(np.uint8)) for _ in range(500)]
-    codes, _ = kneser_ney.symbol_runs(text)
-    n = np.bincount(codes)
-    m = kneser_ney.model([(1, int(c), int(n[c])) for c in np.nonzero(n)[0]])
-    for context in (0, 1 << 6 | 2, 63 << 6 | 62):
-        assert abs(np.exp(m.score(1, context << 6 | np.arange(64))).sum() - 1) < 1e-9
+def slow_model(lines):
+    """P(b | a) by interpolated modified Kneser-Ney of order two over these lists of words, None before the first; words never seen share one probability."""
+    pairs = Counter(p for w in lines for p in zip([None, *w], w, strict=False))
+    total, kinds, ways = Counter(), defaultdict(Counter), Counter()
+    for (a, b), n in pairs.items():
+        total[a] += n
+        kinds[a][min(n, 3)] += 1
+        ways[b] += 1
+    d, e = (kneser_ney.discounts([list(c.values()).count(i) for i in (1, 2, 3, 4)]) for c in (pairs, ways))
+    size, many = len(pairs), len(ways)
+    rest = sum(e[min(x, 3)] for x in ways.values()) / size if size else 1
+
+    def p(a, b):
+        lower, n = (ways[b] - e[min(ways[b], 3)]) / max(size, 1) + rest / (many + 1), pairs[a, b]
+        return (n - d[min(n, 3)]) / total[a] + sum(d[i] * x for i, x in kinds[a].items()) / total[a] * lower if total[a] else lower
+
+    known = list(ways)
+    for a in [None, *known[:5], "never"]:  # it is a distribution
+        assert abs(sum(p(a, b) for b in [*known, "never"]) - 1) < 1e-9
+    return p
+
+
+def slow_perplexities(rows):
+    """Mean log perplexity of each (key, text), by a model of the texts whose keys are of the other fold."""
+    p = [slow_model([words(t) for k, t in rows if k & 1 != f]) for f in (0, 1)]
+    return [-sum(np.log(p[k & 1](a, b)) for a, b in zip([None, *words(t)], words(t), strict=False)) / len(words(t)) if words(t) else None for k, t in rows]
+
+
+@pytest.mark.parametrize("bucket_bytes", [3000, 50_000, 1 << 24])
+def test_perplexity_is_modified_kneser_ney(spark, bucket_bytes):
+    """Every language by itself; small buckets make frequent words, whose pairs are dealt over all buckets."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 90")
+    table = table.unionByName(table.where("doc_id < 9")).unionByName(docs(spark).select("doc_id", "text", "lang"))
+    rows, got = table.withColumn("key", kneser_ney.text_key(F.col("lang"), F.col("text"))).collect(), kneser_ney.judge(table, bucket_bytes=bucket_bytes).collect()
+    want = Counter()
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang]
+        want.update((r.doc_id, len(words(r.text)), None if x is None else round(x, 4)) for r, x in zip(own, slow_perplexities([(r.key, r.text) for r in own]), strict=True))
+    assert len(got) == len(rows) and Counter((r.doc_id, r.n_words, None if r.log_perplexity is None else round(r.log_perplexity, 4)) for r in got) == want
+
+
+def test_bands(spark):
+    """By language, null too: the bounds are the stated quartile distances around the median."""
+    rng = np.random.default_rng(8)
+    rows = [(lang, bool(i % 50 == 0), float(x)) for lang, mid in (("a", 5.0), (None, 3.0)) for i, x in enumerate(rng.normal(mid, 0.2, 400))]
+    got = {r.of_lang: (r.least, r.most) for r in kneser_ney.bands(spark.createDataFrame(rows, "lang string, base_failed boolean, log_perplexity double")).collect()}
+    for lang in ("a", None):
+        x = np.array([v for k, failed, v in rows if k == lang and not failed])
+        q1, mid, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        assert np.allclose(got[lang], (min(mid - 3 * (mid - q1), 0.2 * mid), mid + 7 * (q3 - mid)), atol=0.05)
 
 
 def test_quality_rejects_gibberish(spark):
@@ -342,6 +384,14 @@ def test_quality_rejects_gibberish(spark):
     assert not kept[-1] and sum(kept.values()) > len(kept) / 3
 
 
+def test_labelled_documents(spark):
+    """Of documents that pass the base rules, nearly all good ones stay and bad ones go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = kneser_ney.judge(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in judged}
+    assert kept[1] > 0.97 and kept[0] < 0.7
+
+
 # ------------------------------------------------ 9
 
 
