@@ -6,6 +6,7 @@ from kerbline.llm import url_filter
 
 _HELD = f"least(greatest(sum(n * (good / n - prior) * (good / n - prior) - prior * (1 - prior)) / nullif(sum((n - 1) * prior * (1 - prior)), 0), {1 / (url_filter.HEAVIEST + 1)!r}), {1 / (url_filter.LIGHTEST + 1)!r})"
 _WEIGHT = f"1 / coalesce({_HELD}, {1 / (url_filter.HEAVIEST + 1)!r}) - 1"
+_PUBLIC = f"array_to_string(string_split(host, '.')[-2:], '.') in ({', '.join(repr(x) for x in url_filter.SUFFIXES)})"
 _FITS = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
 _CASE = "\n".join(f"    when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{{}}'" for _, h, p in _FITS)
 
@@ -19,7 +20,8 @@ with cut as (
          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path
   from parsed
 ), hosts as (
-  select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix,
+  select host, array_to_string(string_split(host, '.')[(case when {_PUBLIC} then -3 else -2 end):], '.') as domain,
+         case when {_PUBLIC} then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end as suffix,
          count(quality)::double as n, coalesce(sum(quality), 0)::double as good
   from mine left join labels on page_id = doc_id group by all
 ), domains as (select domain, suffix, sum(n) as n, sum(good) as good from hosts group by all),
