@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
@@ -271,12 +271,25 @@ def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, fa
     return mapped(dealt.repartition("key").sortWithinPartitions("key"), _compare(limit, far), "u long, v long")
 
 
+#: Components with this share of all classes or more, of which there are at most as many, are named by a broadcast.
+LARGE = 1 / 256
+
+
+def _rooted(classes: DataFrame, linked: DataFrame, *columns: str) -> DataFrame:
+    """classes (node, ...) with the root of each node's component, written."""
+    root = components(linked)
+    return written(classes.join(root, "node", "left").select("node", *columns, F.coalesce("root", "node").alias("root")), "rooted")
+
+
 def _named(each: DataFrame, classes: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
     """Rows of each with component_id: the smallest id of its class's component."""
-    root = components(linked)
-    rooted = written(classes.join(root, "node", "left").select(*by, "low", F.coalesce("root", "node").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = written(rooted.join(named, "root").select(*by, "component_id"), "components")
+    rooted = _rooted(classes, linked, *[c for c in by if c != "node"], "low")
+    named = written(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "named")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    large = F.broadcast(named.where(F.col("n") >= LARGE * total).select("root", "component_id"))  # at most 1 / LARGE rows
+    hot = rooted.join(large, "root")
+    rest = rooted.join(large, "root", "left_anti").join(named.where(F.col("n") < LARGE * total), "root")
+    of = written(hot.select(*by, "component_id").unionByName(rest.select(*by, "component_id")), "components")
     return each.join(of, by)
 
 
@@ -403,13 +416,8 @@ def _verified(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(mapped(met.repartition("key").sortWithinPartitions("key"), _alike_in_order(least), "u long, v long"), "alike")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = ALIKE) -> DataFrame:
-    """Rows (id, component_id) for each row of docs, linked where the Jaccard similarity of the sets of word shingles is `least` or more.
-
-    Texts with equal sets are one class. Classes that share a band of minima are candidates (see BANDS for the recall), and each is
-    verified by the similarity itself, of hashes of HASH_BYTES bytes. Candidates of the first bands are compared and joined; of the
-    other bands, buckets that hold more than one component. Nulls, ties and empty texts are as in near_duplicates().
-    """
+def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, key, node) for each row of docs, key a hash of the text and node that of its set of shingles; classes (node, low); links."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -421,7 +429,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             sets = [shingle_set(t, shingle) for t in texts(part.column(1))]
             keys = band_keys(np.array([minima(x) for x in sets], np.uint32)).ravel() if sets else np.zeros(0, np.uint64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed(keys)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "key", "node", "size", "keys"])
         _hashes.clear()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +438,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([_packed(x) for x in sets], pa.binary())], ["node", "shingles"])
         _hashes.clear()
 
-    each = written(mapped(docs, keyed, f"id {kind}, node long, size long, keys array<long>"), "bands")
+    each = written(mapped(docs.withColumn("key", text_key(F.col("text"))), keyed, f"id {kind}, key long, node long, size long, keys array<long>"), "bands")
     classes = written(each.groupBy("node").agg(F.min("id").alias("low"), F.min("size").alias("size"), F.first("keys").alias("keys")), "classes")
     rows = classes.select("node", "size", F.posexplode("keys").alias("band", "key")).where("size > 0")
     meeting = rows.join(_buckets(rows.withColumn("root", F.col("node"))), "key", "left_semi").select("node").distinct()
@@ -442,4 +450,32 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     root = components(linked)
     more = written(rows.where(F.col("band") >= FIRST).join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "key"), "rooted")
     linked = linked.unionByName(_verified(more, sets, least))
-    return _named(each.select("id", "node"), classes.select("node", "low"), linked, ["node"]).select("id", "component_id")
+    return each.select("id", "key", "node"), classes.select("node", "low"), linked
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = ALIKE) -> DataFrame:
+    """Rows (id, component_id) for each row of docs, linked where the Jaccard similarity of the sets of word shingles is `least` or more.
+
+    Texts with equal sets are one class. Classes that share a band of minima are candidates (see BANDS for the recall), and each is
+    verified by the similarity itself, of hashes of HASH_BYTES bytes. Candidates of the first bands are compared and joined; of the
+    other bands, buckets that hold more than one component. Nulls, ties and empty texts are as in near_duplicates().
+    """
+    each, classes, linked = _alike(docs, id_col, text_col, shingle, least)
+    return _named(each, classes, linked, ["node"]).select("id", "component_id")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = ALIKE) -> DataFrame:
+    """docs with one row of each group of similar(): that with the smallest id, null ids after all others, then the least hash of the
+    text; of rows equal in both, any one. Texts without words are a group like others. Columns of docs may have any names."""
+    each, classes, linked = _alike(docs, id_col, text_col, shingle, least)
+    rows = each.join(_rooted(classes, linked).withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"))
+    held = rows.groupBy("root", "id", "key").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("best"))
+    best = written(held.select(F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key"), F.col("best.n").alias("best_n")), "survivors")
+    wanted = docs[id_col].eqNullSafe(best.best_id) & (text_key(docs[text_col]) == best.best_key)
+    once = docs.join(best.where("best_n = 1"), wanted, "left_semi")
+    again = docs.join(best.where("best_n > 1"), wanted, "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(again)
