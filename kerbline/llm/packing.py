@@ -7,8 +7,9 @@ shortest rest at hand. So a window ends exactly full, at a power of two, and nee
 for a window of the smallest tier, are cut into powers of two as well.
 
 Packing runs inside each task over the documents that it reads, FILL_FROM at a time, so no token is shuffled, and a lost task is
-repeated alone. Windows are then dealt to step groups of near-equal tokens: within a task, each group takes windows until it
-holds GROUP_TOKENS.
+repeated alone. Windows are then dealt to step groups over all tasks: there are as many groups as GROUP_TOKENS goes into all tokens,
+and the windows of each tier, numbered through all tasks by adding up each task's counts, go to the groups in turn. So groups have
+the same number of windows of each tier, give or take one, and their tokens differ by less than two of the longest windows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.words import in_parts, mapped, texts
+from kerbline.session import written
 
 WINDOW = 4096
 #: Words whose ids a worker remembers: tokenizing is dear, so more than other operators do.
@@ -34,7 +36,7 @@ LEAST = 256
 END_ID = 2
 #: Documents whose rests are at hand at a time.
 FILL_FROM = 2000
-#: Tokens of a step group.
+#: Tokens of a step group, about.
 GROUP_TOKENS = 64 * WINDOW
 
 _plain = re.compile(rb"[a-z]+|[^a-z]+")
@@ -152,7 +154,7 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST, end_id: int = END_ID, keep_ids: bool = True
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST, end_id: int = END_ID, keep_ids: bool = True, group_tokens: int = GROUP_TOKENS
 ) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids), one for each piece.
 
@@ -180,26 +182,23 @@ def pack(
 
         packer = Packer(window, least, place)
         tier_at: dict[int, int] = {}
-        group, held = 0, 0
+        number: dict[int, int] = {}
 
         def give() -> pa.RecordBatch:
-            nonlocal group, held
             for r in rows:
                 tier_at[r[5]] = tier_at.get(r[5], 0) + r[2]
-            groups = {}
+            nth = {}
             for s in sorted(tier_at):
-                groups[s] = base + group
-                held += tier_at[s]
-                if held >= GROUP_TOKENS:
-                    group, held = group + 1, 0
+                nth[s] = number.get(tier_at[s], 0)
+                number[tier_at[s]] = nth[s] + 1
             columns = list(zip(*rows, strict=True))
             rows_out = [
                 pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:7]),
-                pa.array([tier_at[s] for s in columns[5]], pa.int32()), pa.array([groups[s] for s in columns[5]], pa.int64()), pa.array(columns[7], pa.binary()),
+                pa.array([tier_at[s] for s in columns[5]], pa.int32()), pa.array([nth[s] for s in columns[5]], pa.int64()), pa.array(columns[7], pa.binary()),
             ]
             rows.clear()
             tier_at.clear()
-            return pa.RecordBatch.from_arrays(rows_out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"])
+            return pa.RecordBatch.from_arrays(rows_out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "nth", "ids"])
 
         id_type = None
         for part in in_parts(batches, FILL_FROM):
@@ -219,5 +218,20 @@ def pack(
         if rows:
             yield give()
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
-    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long, ids binary"
+    pieces = written(mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema), "pieces")
+    groups = step_groups(pieces, group_tokens)
+    task = F.shiftright("sequence_id", 33).alias("task")
+    return pieces.select("*", task).join(groups, ["task", "tier"]).withColumn("step_group", F.pmod(F.col("nth") + F.col("begin"), F.col("n_groups"))).select(*RETURNED)
+
+
+RETURNED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids")
+
+
+def step_groups(pieces: DataFrame, group_tokens: int) -> DataFrame:
+    """(task, tier, begin, n_groups), a row for each tier of each task: the group of its first window, if groups are given in turn."""
+    made = pieces.where("offset = 0").groupBy(F.shiftright("sequence_id", 33).alias("task"), "tier").agg(F.count("*").alias("n"))
+    made = written(made, "windows")
+    total = made.agg(F.sum(F.col("n") * F.col("tier"))).first()[0] or 0
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    return written(made.select("task", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"), F.lit(max(1, round(total / group_tokens))).cast("long").alias("n_groups")), "groups")
