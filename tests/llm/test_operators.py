@@ -431,11 +431,14 @@ def test_contamination_matches_literal_search(spark):
 # ------------------------------------------------ 10
 
 
-@pytest.mark.parametrize("bits", [3, 16])
-def test_sharding(spark, bits):
+@pytest.mark.parametrize("bits, most_rows", [(3, 40), (2, 1 << 18), (16, 1 << 18)])
+def test_sharding(spark, bits, most_rows, monkeypatch):
+    brought, parts = [], sharding._parts
+    monkeypatch.setattr(sharding, "_parts", lambda *a: brought.append(parts(*a)) or brought[-1])
     texts = [*TEXTS, *[f"t{i % 37}" * (i % 11) for i in range(300)], *["hot text"] * 150]
     table = docs(spark, texts, [*range(len(texts))])
-    got = sharding.shard(table, bits=bits).toPandas()
+    got = sharding.shard(table, bits=bits, most_rows=most_rows).toPandas()
+    assert all(len(x) <= max(most_rows, 2 << bits) for x in brought)
     assert [zlib.crc32((t or "").encode()) for t in texts] == got.sort_values("doc_id").text_crc32.tolist()
     assert [len((t or "").encode()) + 1 for t in texts] == got.sort_values("doc_id")["size"].tolist()
     assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
