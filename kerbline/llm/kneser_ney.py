@@ -14,7 +14,9 @@ as many as the corpus needs, and a bucket is a set of sorted hash arrays:
 2. Each chunk of texts sends a bucket its distinct pairs as sorted arrays; a bucket merges them, which gives counts of counts and
    how many pairs each second word ends. These numbers are added up by second word and sent back.
 3. Each chunk sends its pairs again, now with the documents that hold them. A bucket merges the arrays, has the probability of each
-   pair by bisection and sends each document's sum back. This runs in ROUNDS parts of the buckets, to keep the disk small.
+   pair by bisection and sends each document's sum back.
+
+Both run in ROUNDS parts of the buckets, to keep the disk small.
 
 A text's figure is the mean log perplexity of its words. A language's bounds come from an exact histogram over the documents that
 pass the base rules: HIGH quartile distances above the median, LOW below it, the latter never above LEAST_SHARE of the median, as
@@ -26,6 +28,7 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -368,9 +371,15 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
     for lang, first, _ in often.collect():  # shares of 3/4 of a bucket or more: at most 4/3 a bucket
         hot.setdefault(lang, []).append(first)
     seen = spark.sparkContext.broadcast({k: (np.sort(np.array(v, np.int64)),) for k, v in hot.items()})
-    sent = mapped(docs, _pairs(buckets, seen, 1, 0, False), PAIRS)
-    ends = sent.groupBy("bucket").applyInArrow(_counted(buckets, seen), ENDS)
-    ways = written(ends.groupBy("dest").applyInArrow(_added, WAYS), "ways")
+    ends = []
+    for mine in range(rounds):
+        pairs = mapped(docs, _pairs(buckets, seen, rounds, mine, False), PAIRS)
+        ends.append(written(pairs.groupBy("bucket").applyInArrow(_counted(buckets, seen), ENDS), "ends"))
+        del pairs
+        _shuffles_end(spark)
+    ways = written(reduce(DataFrame.unionByName, ends).groupBy("dest").applyInArrow(_added, WAYS), "ways")
+    for x in ends:
+        forget(x)
     of = ways.groupBy("lang").agg(*(F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k))).alias(f"all_{c}") for c, k in (("counts", 8), ("types", 12))))
     of = written(of.withColumnRenamed("lang", "of_lang"), "counts")
     known = ways.join(of, ways.lang.eqNullSafe(of.of_lang)).drop("of_lang", "counts", "hot", "types")
@@ -379,7 +388,6 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
         totals.setdefault(lang, []).append([first, *t])
     arrays = {k: np.array(sorted(v), np.int64) for k, v in totals.items()}
     whole = spark.sparkContext.broadcast({k: (np.ascontiguousarray(v[:, 0]), v[:, 1:]) for k, v in arrays.items()})
-    del sent, ends
     out = []
     for mine in range(rounds):
         _shuffles_end(spark)
