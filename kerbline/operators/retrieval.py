@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     each = docs.select("id", words(F.col("text")).alias("w")).select("id", "w", F.size("w").alias("len"))
     totals = each.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    post = each.select("id", "len", F.explode("w").alias("word")).join(F.broadcast(asked.select("word").distinct()), "word", "left_semi").groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
+    post = each.select("id", "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
     df = post.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -41,9 +45,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, total(a, b) / norm).otherwise(0.0)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
-    """(query_id, id, score, rank) by cosine between vectors (id, v) and a stated, small set of queries (query_id, q)."""
-    return _best(vectors.join(F.broadcast(queries)).select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
+#: Queries that a pass over the vectors holds, about.
+AT_ONCE = 4096
+
+
+def _compared(vectors: DataFrame, queries: DataFrame, pick, at_once: int) -> DataFrame:
+    """(query_id, id, score) of the rows that pick(scores, ids) keeps of each batch of vectors: the cosines with each query of a block.
+
+    Queries are a stated set, sent a block at a time whatever their number; only what is picked leaves a task.
+    """
+    blocks = max(1, -(-queries.count() // at_once))
+    out = []
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        if not len(block):
+            continue
+        held = vectors.sparkSession.sparkContext.broadcast((block.query_id.to_numpy(), _unit(np.stack(block.q.to_numpy()).astype(float))))
+
+        def run(batches, held=held):
+            ids, q = held.value
+            for x in batches:
+                if not len(x):
+                    continue
+                score = np.round(q @ _unit(np.stack(x.v.to_numpy()).astype(float)).T, 6) + 0.0
+                row, at = pick(score, ids, x.id.to_numpy())
+                yield pd.DataFrame({"query_id": ids[row], "id": x.id.to_numpy()[at], "score": score[row, at]})
+
+        out.append(vectors.mapInPandas(run, "query_id long, id long, score double"))
+    return reduce(DataFrame.unionByName, out) if out else vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 6, at_once: int = AT_ONCE) -> DataFrame:
+    """(query_id, id, score, rank) by cosine between vectors (id, v) and a stated set of queries (query_id, q), with all rows compared."""
+
+    def best(score, _, ids):
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        return np.repeat(np.arange(len(score)), order.shape[1]), order.ravel()
+
+    return _best(_compared(vectors, queries, best, at_once), k)
+
+
+def extremes(vectors: DataFrame, queries: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(query_id, best, worst) cosine with any other vector."""
+
+    def ends(score, mine, ids):
+        low, high = (np.where(mine[:, None] == ids, x, score) for x in (np.inf, -np.inf))
+        row = np.arange(len(score))
+        row, at = np.concatenate([row, row]), np.concatenate([low.argmin(axis=1), high.argmax(axis=1)])
+        real = mine[row] != ids[at]
+        return row[real], at[real]
+
+    return _compared(vectors, queries, ends, at_once).groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
 def fused(*ranked: DataFrame) -> DataFrame:

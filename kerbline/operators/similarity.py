@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,44 +16,78 @@ def packed(bits: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def bands(h: Column, limit: int) -> Column:
-    """Slices of the hash; two hashes at most `limit` bits apart agree on one of them, as there are more slices than errors."""
-    n = max(limit + 1, 6)
-    size = 64 // n
-    return F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, i * size).bitwiseAND((1 << size) - 1).alias("slice")) for i in range(n)))
+def keys(h: Column, limit: int) -> Column:
+    """Keys of a hash: four of limit + 4 slices, in every choice. Two hashes at most `limit` bits apart differ in at most so many slices,
+    so four others agree; a key has some 40 bits, so that unlike hashes seldom meet however many there are."""
+    n = limit + 4
+    cuts = [64 * i // n for i in range(n + 1)]
+    slices = [F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1) for a, b in itertools.pairwise(cuts)]
+    return F.array(*(F.struct(F.lit(i).alias("choice"), *(slices[j].alias(f"s{k}") for k, j in enumerate(some))) for i, some in enumerate(itertools.combinations(range(n), 4))))
 
 
 def _links(hashes: DataFrame, limit: int) -> DataFrame:
     """Pairs (a, b), a < b, of different hashes at most `limit` bits apart."""
-    each = hashes.select("h", F.explode(bands(F.col("h"), limit)).alias("x")).select("h", "x.band", "x.slice")
-    l, r = each.select(F.col("h").alias("a"), "band", "slice"), each.select(F.col("h").alias("b"), "band", "slice")
-    return l.join(r, ["band", "slice"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)).select("a", "b").distinct()
+    each = hashes.select("h", F.explode(keys(F.col("h"), limit)).alias("key"))
+    l, r = each.select(F.col("h").alias("a"), "key"), each.select(F.col("h").alias("b"), "key")
+    return l.join(r, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)).select("a", "b").distinct()
+
+
+def hamming_links(items: DataFrame, limit: int) -> DataFrame:
+    """Each id with its class, the smallest id of equal hash, how many others are at most `limit` bits away, and how many of those are equal.
+
+    Links are found and counted among distinct hashes; items of equal hash are never paired.
+    """
+    classes = written(items.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "hashes")
+    links = class_links(classes, limit).select("a", "b")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    there = both.join(classes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("more"))
+    of = classes.join(there, "class_id", "left").select("h", "class_id", (F.col("n") - 1).alias("copies"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return items.join(of, "h").select("id", "class_id", "links", "copies")
+
+
+def class_links(classes: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b, distance) of representatives of classes (h, class_id), a < b, with hashes at most `limit` bits apart."""
+    found = _links(classes.select("h"), limit)
+    x, y = classes.select(F.col("h").alias("a"), F.col("class_id").alias("p")), classes.select(F.col("h").alias("b"), F.col("class_id").alias("q"))
+    made = found.join(x, "a").join(y, "b")
+    return made.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+
 
+def split_leaks(items: DataFrame, limit: int) -> DataFrame:
+    """From (id, h, split): pairs of splits with the pairs of different hashes and the equal hashes that cross them, and an example of each side.
 
-def hamming_pairs(items: DataFrame, limit: int) -> DataFrame:
-    """All pairs (a, b) of ids, a < b, with hashes at most `limit` bits apart. Candidates are found among distinct hashes."""
-    hashes = written(items.select("h").distinct(), "hashes")
-    links = _links(hashes, limit)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(hashes.select(F.col("h").alias("a"), F.col("h").alias("b")))
-    left, right = items.select(F.col("id").alias("ia"), F.col("h").alias("a")), items.select(F.col("id").alias("ib"), F.col("h").alias("b"))
-    out = both.join(left, "a").join(right, "b").where("ia < ib")
-    return out.select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+    Counted over distinct hashes of a split; a check that is independent of how the splits were made.
+    """
+    held = written(items.groupBy("h", "split").agg(F.min("id").alias("id")), "hashes")
+    links = _links(held.select("h").distinct(), limit)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(held.select(F.col("h").alias("a"), F.col("h").alias("b")).distinct())
+    x, y = held.select(F.col("h").alias("a"), F.col("split").alias("split_a"), F.col("id").alias("id_a")), held.select(F.col("h").alias("b"), F.col("split").alias("split_b"), F.col("id").alias("id_b"))
+    met = both.join(x, "a").join(y, "b").where("split_a < split_b")
+    return met.groupBy("split_a", "split_b").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("equal"), F.min("id_a").alias("first_a"), F.min("id_b").alias("first_b"))
 
 
 def duplicate_groups(items: DataFrame, limit: int) -> DataFrame:
     """Each id with the smallest id reachable over links of at most `limit` bits, and the group's size."""
-    hashes = items.groupBy("h").agg(F.min("id").alias("low"))
-    links = written(_links(hashes.select("h"), limit), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = written(hashes.select(F.col("h").alias("a"), F.col("low").alias("c")), "labels")
+    hashes = written(items.groupBy("h").agg(F.min("id").alias("class_id")), "hashes")
+    links = written(class_links(hashes, limit).select("a", "b"), "links")
+    label = grouped_minima(hashes.select("class_id"), links)
+    of = items.join(hashes, "h").join(label, "class_id").select("id", "group_id")
+    size = of.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    return of.join(size, "group_id").select("id", "group_id", "group_size")
+
+
+def grouped_minima(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class_id, group_id): the smallest node reachable from each over links (a, b). Each round hears of the least label around and then
+    jumps to the label of that label, so that the number of rounds grows with the logarithm of the longest path."""
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    label = written(nodes.select(F.col("class_id").alias("a"), F.col("class_id").alias("c")), "labels")
     while True:
         heard = both.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("c").alias("m"))
-        new = written(label.join(heard, "a", "left").select("a", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("changed")), "labels")
+        low = label.join(heard, "a", "left").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        jumped = low.join(label.select(F.col("a").alias("c"), F.col("c").alias("d")), "c").select("a", F.least("c", "d").alias("c"), (F.least("c", "d") < F.col("old")).alias("changed"))
+        new = written(jumped, "labels")
         changed = new.where("changed").limit(1).count()
         forget(label)
         label = new
         if not changed:
-            break
-    of = items.join(label.withColumnRenamed("a", "h"), "h").select("id", F.col("c").alias("group_id"))
-    size = of.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return of.join(size, "group_id").select("id", "group_id", "group_size")
+            return label.select(F.col("a").alias("class_id"), F.col("c").alias("group_id"))

@@ -53,6 +53,30 @@ def nearest(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
     return best.select("id", "best.target_id", "best.metres")
 
 
+def nearest_other(points: DataFrame, metres: float) -> DataFrame:
+    """Each point (id, lat, lon, kind) with the nearest other point of its kind within reach: (id, target_id, metres); ties to the smaller id.
+
+    Distances are rounded to a micrometre. Joins run over distinct places of a kind, which carry their two smallest ids.
+    """
+    spot = ["lat", "lon", "kind"]
+    at = points.groupBy(*spot).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    second = points.join(at.where("n > 1").select(*spot, "low"), spot).where("id != low").groupBy(*spot).agg(F.min("id").alias("second"))
+    at = written(at.join(second, spot, "left"), "places")
+    got = within(at.select(*spot), at.select(*spot, "low"), metres).where("l.kind = r.kind and (l.lat != r.lat or l.lon != r.lon)")
+    away = got.groupBy(*(F.col(f"l.{c}").alias(c) for c in spot)).agg(F.min(F.struct(F.round("metres", 6).alias("m"), F.col("r.low").alias("id"))).alias("away"))
+    told = points.join(at.join(away, spot, "left"), spot)
+    here = F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("m"), F.when(F.col("id") == F.col("low"), F.col("second")).otherwise(F.col("low")).alias("id")))
+    best = told.withColumn("best", F.least(here, F.col("away"))).where("best is not null")
+    return best.select("id", F.col("best.id").alias("target_id"), F.col("best.m").alias("metres"))
+
+
+def link_counts(points: DataFrame, metres: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """One row: how many ordered pairs of rows lie within reach, and how many rows are in one. Pairs are counted over places, never made."""
+    at = written(places(points, lat, lon), "places")
+    near = within(at, at, metres).groupBy(F.col("l.lat").alias("lat"), F.col("l.lon").alias("lon"), F.col("l.n").alias("n")).agg(F.sum("r.n").alias("there"))
+    return near.agg(F.coalesce(F.sum(F.col("n") * (F.col("there") - 1)), F.lit(0)).alias("links"), F.coalesce(F.sum(F.when(F.col("there") > 1, F.col("n"))), F.lit(0)).alias("linked"))
+
+
 def clusters(points: DataFrame, metres: float, least: int = 1, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """DBSCAN over places: each row with cluster_id (numbered by the first place of the cluster; -1 for noise and for no position).
 

@@ -5,16 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.session import written
 
-def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Pearson correlation of average-tie ranks by group; null where a side does not vary."""
 
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(group).orderBy(c)) + (F.count("*").over(Window.partitionBy(group, c)) - 1) / 2
+#: Values that a range of a distribution holds, about.
+RANGE = 10_000
+
+
+def running(counts: DataFrame, by: list[str], order: Column, n: str = "n") -> DataFrame:
+    """counts with `before`: the sum of n over the rows of its group that come earlier; order has no ties within a group.
+
+    No task holds a group: rows are dealt to ranges of the order, ranges are added up, and each range is summed by itself.
+    """
+    counts = written(counts.withColumn("o_", order), "counts")
+    many = -(-counts.count() // RANGE)
+    cuts = [float(x) for x in counts.approxQuantile("o_", [i / many for i in range(1, many)], 0.25 / many)] if many > 1 else []
+    part = sum(((F.col("o_") >= c).cast("int") for c in sorted(set(cuts))), F.lit(0)) if len(cuts) < 1000 else F.floor(F.col("o_"))
+    counts = counts.withColumn("part_", part)
+    totals = counts.groupBy(*by, "part_").agg(F.sum(n).alias("t_"))
+    head = F.coalesce(F.sum("t_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "part_").orderBy("o_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = counts.withColumn("own_", own).join(totals.withColumn("head_", head).drop("t_"), [*by, "part_"])
+    return out.withColumn("before", F.col("head_") + F.col("own_")).drop("o_", "part_", "own_", "head_")
+
 
-    ranked = rows.select(group, rank(x).alias("rx"), rank(y).alias("ry"))
-    ok = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.when(ok, F.corr("rx", "ry")).alias("rho"))
+def ranks(rows: DataFrame, group: str, x: str) -> DataFrame:
+    """(group, x, average-tie rank) of each distinct value of x, a number, in its group."""
+    counts = running(rows.where(F.col(x).isNotNull()).groupBy(group, x).agg(F.count("*").alias("n")), [group], F.col(x).cast("double"))
+    return counts.select(group, x, (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
+
+
+def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """Pearson correlation of average-tie ranks by group; null where a side does not vary. Ranks come from counts of values."""
+    pairs = written(rows.groupBy(group, x, y).agg(F.count("*").alias("n")), "pairs")
+    of_x, of_y = ranks(rows, group, x).withColumnRenamed("r", "rx"), ranks(rows, group, y).withColumnRenamed("r", "ry")
+    both = pairs.join(of_x, [group, x]).join(of_y, [group, y])
+    n, a, b = F.col("n"), F.col("rx"), F.col("ry")
+    mean = both.groupBy(group).agg((F.sum(n * a) / F.sum(n)).alias("ma"), (F.sum(n * b) / F.sum(n)).alias("mb"))
+    a, b = a - F.col("ma"), b - F.col("mb")
+    sums = both.join(mean, group).groupBy(group).agg(F.sum(n).alias("n"), F.sum(n * a * b).alias("ab"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"))
+    return sums.select(group, "n", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
 def sign_flips(pairs: DataFrame, most_pairs: int = 16) -> DataFrame:
@@ -54,12 +84,17 @@ def permutation_p(rows: DataFrame, permutations: int = 1000) -> DataFrame:
 
 
 def stratified_split(groups: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
-    """(group_id, stratum) to a split, by position in hash order within the stratum; three groups or more keep one for test."""
-    w = Window.partitionBy("stratum")
-    i = F.row_number().over(w.orderBy(F.md5(F.col("group_id").cast("string")), "group_id")) - 1
-    n = F.count("*").over(w)
+    """(group_id, stratum) to a split, by position in hash order within the stratum; three groups or more keep one for test.
+
+    Positions come from running(), by the first 52 bits of the MD5 of the id; rows that share these are ordered in one small window.
+    """
+    digest = F.md5(F.col("group_id").cast("string"))
+    placed = groups.withColumn("d_", digest).withColumn("h_", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
+    counts = running(placed.groupBy("stratum", "h_").agg(F.count("*").alias("n")), ["stratum"], F.col("h_").cast("double")).drop("n")
+    total = placed.groupBy("stratum").agg(F.count("*").alias("n"))
+    tie = F.row_number().over(Window.partitionBy("stratum", "h_").orderBy("d_", "group_id")) - 1
+    placed = placed.withColumn("tie_", tie).join(counts, ["stratum", "h_"]).join(total, "stratum").withColumn("i", F.col("before") + F.col("tie_"))
     n_train = F.round(F.col("n") * train)
     n_val = F.round(F.col("n") * val)
     n_val = F.when((F.col("n") >= 3) & (n_train + n_val >= F.col("n")), F.greatest(F.lit(0), F.col("n") - n_train - 1)).otherwise(n_val)
-    placed = groups.withColumn("i", i).withColumn("n", n)
     return placed.select("group_id", "stratum", F.when(F.col("i") < n_train, "train").when(F.col("i") < n_train + n_val, "val").otherwise("test").alias("split"))

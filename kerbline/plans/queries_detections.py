@@ -73,9 +73,10 @@ def flt_04(spark, sf):
     return V.detections(spark, sf).where("id = 42").select("id", "damage_type", "severity")
 
 
-@query("flt_05_in_list", det("select id, damage_type from v_detections where id in (select detection_id from v_items where work_order_id = 3)").replace("with ", "with " + V.DUCK["v_items"] + ", ", 1))
+@query("flt_05_in_list", det("select id, damage_type from v_detections where id in (select detection_id from v_items join v_work_orders using (work_order_id) where status = 'draft')").replace("with ", "with " + V.DUCK["v_items"] + ", " + V.DUCK["v_work_orders"] + ", ", 1))
 def flt_05(spark, sf):
-    wanted = V.work_order_items(spark, sf).where("work_order_id = 3").select(F.col("detection_id").alias("id"))
+    drafts = V.work_orders(spark, sf).where("status = 'draft'")
+    wanted = V.work_order_items(spark, sf).join(drafts, "work_order_id", "left_semi").select(F.col("detection_id").alias("id"))
     return V.detections(spark, sf).join(wanted, "id", "left_semi").select("id", "damage_type")
 
 
@@ -323,9 +324,9 @@ def sc_dt_02(spark, sf):
     return V.detections(spark, sf).select("id", F.datediff(F.lit(AS_OF), "last_detected").cast("long").alias("days"), (F.col("last_detected") >= F.lit(AS_OF - dt.timedelta(days=30))).alias("recent"))
 
 
-@query("set_06_survey_days", det("select distinct survey_date from v_detections where id % 97 = 5"))
+@query("set_06_survey_days", det("select distinct survey_date from v_detections where is_fixed"))
 def set_06(spark, sf):
-    return V.detections(spark, sf).where("id % 97 = 5").select("survey_date").distinct()
+    return V.detections(spark, sf).where("is_fixed").select("survey_date").distinct()
 
 
 @query("snk_01_csv_rows", det("select id, round(latitude, 6) as latitude, round(longitude, 6) as longitude, damage_type, coalesce(cast(severity as varchar), '') as severity, round(confidence, 4) as confidence from v_detections"))

@@ -32,11 +32,11 @@ def src_26(spark, sf):
     return s.unpivot("s_suppkey", ["balance", "nation"], "metric", "value").where("value is not null")
 
 
-@query("snk_03_features", det("select id, 'Point' as kind, longitude, latitude from v_detections where severity = 5"))
+@query("snk_03_features", det("select id, 'Point' as kind, longitude, latitude from v_detections"))
 def snk_03(spark, sf):
     from kerbline.sources.labels import geojson
 
-    d = V.detections(spark, sf).where("severity = 5").select("id", "latitude", "longitude")
+    d = V.detections(spark, sf).select("id", "latitude", "longitude")
     x = F.from_json("feature", "geometry struct<type: string, coordinates: array<double>>, properties struct<id: long>")
     return geojson(d, "latitude", "longitude").select(x.alias("x")).select("x.properties.id", F.col("x.geometry.type").alias("kind"), F.col("x.geometry.coordinates")[0].alias("longitude"), F.col("x.geometry.coordinates")[1].alias("latitude"))
 
@@ -289,14 +289,14 @@ def sc_dt_04(spark, sf):
     return V.table(spark, sf, "events").select("event_id", ((h >= 22) | (h < 5)).alias("night"))
 
 
-@query("sc_str_02_stems", "select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda w: regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'ies$', 'y'), 'ings?$', ''), 'ed$', ''), 's$', '')))) as stems from documents where lang = 'en'")
+@query("sc_str_02_stems", "select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda w: regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'ies$', 'y'), 'ings?$', ''), 'ed$', ''), 's$', '')))) as stems from documents")
 def sc_str_02(spark, sf):
     def stem(w):
         for pattern, to in (("ies$", "y"), ("ings?$", ""), ("ed$", ""), ("s$", "")):
             w = F.regexp_replace(w, pattern, to)
         return w
 
-    d = V.table(spark, sf, "documents").where("lang = 'en'")
+    d = V.table(spark, sf, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
     return d.select("doc_id", F.array_sort(F.array_distinct(F.transform(words, stem))).alias("stems"))
 

@@ -48,9 +48,7 @@ near as (select q.id as a, p.id as b, q.damage_type = p.damage_type as same, {me
 @query("jn_05_nearest_same_kind", det(_NEAR + "select a as id, b as target_id, round(m, 6) as metres from (select *, row_number() over (partition by a order by round(m, 6), b) as r from near where same and a <> b and m <= 25) where r = 1"))
 def jn_05(spark, sf):
     d = V.detections(spark, sf).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("damage_type").alias("kind"))
-    got = spatial.within(d, d, 25).where("l.kind = r.kind and l.id <> r.id")
-    best = got.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct(F.round("metres", 6).alias("m"), F.col("r.id").alias("target_id"))).alias("b"))
-    return best.select("id", "b.target_id", F.col("b.m").alias("metres"))
+    return spatial.nearest_other(d, 25)
 
 
 @query("jn_07_density", det(_NEAR + "select a as id, count(*) - 1 as surrounding_density from near where m <= 50 group by a"))
@@ -60,8 +58,7 @@ def jn_07(spark, sf):
 
 @query("jn_08_links", det(_NEAR + "select count(*) as links, count(distinct a) as linked from near where m <= 2 and a <> b"))
 def jn_08(spark, sf):
-    d = V.detections(spark, sf).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    return spatial.within(d, d, 2).where("l.id != r.id").agg(F.count("*").alias("links"), F.countDistinct("l.id").alias("linked"))
+    return spatial.link_counts(V.detections(spark, sf), 2)
 
 
 _TRACK = """fixes as (select user_id as track_id, epoch(ts) as t, any_value((46700000 + (event_id * 37) % 90000) / 1e6) as lat, any_value((23500000 + (event_id * 91) % 90000) / 1e6) as lon
@@ -102,9 +99,10 @@ def jn_13(spark, sf):
     return r.where("kind = 'dispute'").join(votes, ["event_id", "device_id"], "left_semi").select("report_id")
 
 
-@query("jn_14_missing", duck("v_detections", "v_items", body="select detection_id from (select distinct detection_id from v_items where work_order_id = 5) where detection_id not in (select id from v_detections where severity >= 3)"))
+@query("jn_14_missing", duck("v_detections", "v_items", body="select work_order_id, detection_id from v_items where detection_id not in (select id from v_detections where severity >= 3)"))
 def jn_14(spark, sf):
-    wanted = V.work_order_items(spark, sf).where("work_order_id = 5").select("detection_id").distinct()
+    """For each work order its items that no defect of severity 3 or more answers to."""
+    wanted = V.work_order_items(spark, sf)
     there = V.detections(spark, sf).where("severity >= 3").select(F.col("id").alias("detection_id"))
     return wanted.join(there, "detection_id", "left_anti")
 
@@ -137,12 +135,15 @@ def sc_math_06(spark, sf):
     return phashes(spark, sf).select("doc_id", "bits")
 
 
-@query("jn_18_hamming", "with " + _PHASH + "select a.doc_id as a, b.doc_id as b, bit_count(xor(cast(a.h as bit), cast(b.h as bit))) as distance from h a join h b on a.doc_id < b.doc_id and bit_count(xor(cast(a.h as bit), cast(b.h as bit))) <= 2 where a.doc_id in (select doc_id from w) and b.doc_id in (select doc_id from w)")
+@query("jn_18_hamming", "with " + _PHASH + "select a.doc_id as id, min(b.doc_id) filter (where a.h = b.h) as class_id, count(*) - 1 as links, count(*) filter (where a.h = b.h) - 1 as copies from h a join h b on bit_count(xor(cast(a.h as bit), cast(b.h as bit))) <= 2 where a.doc_id in (select doc_id from w) and b.doc_id in (select doc_id from w) group by a.doc_id")
 def jn_18(spark, sf):
-    return similarity.hamming_pairs(phashes(spark, sf).select(F.col("doc_id").alias("id"), "h"), 2)
+    return similarity.hamming_links(phashes(spark, sf).select(F.col("doc_id").alias("id"), "h"), 2)
 
 
-@query("cl_03_duplicate_groups")
+@query("cl_03_duplicate_groups", ("with " + _PHASH + """, g as (select h, min(doc_id) as low from h where doc_id in (select doc_id from w) group by h),
+e as (select a.low as a, b.low as b from g a join g b on bit_count(xor(cast(a.h as bit), cast(b.h as bit))) <= 2), reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on e.a = r.b),
+r as (select a, min(b) as group_id from reach group by a), o as (select doc_id as id, group_id from h join g using (h) join r on r.a = g.low)
+select id, group_id, count(*) over (partition by group_id) as group_size from o""").replace("with ", "with recursive ", 1))
 def cl_03(spark, sf):
     return similarity.duplicate_groups(phashes(spark, sf).select(F.col("doc_id").alias("id"), "h"), 2)
 
@@ -154,7 +155,9 @@ def cl_01(spark, sf):
     return c.join(size, "cluster_id").select("id", "cluster_size", "first_member")
 
 
-@query("cl_02_representatives")
+@query("cl_02_representatives", det(_NEAR + """, e as (select distinct a, b from near where m <= 2), reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on e.a = r.b),
+c as (select a as id, min(b) as c from reach group by a), k as (select id, count(*) over (partition by c) as cluster_size, row_number() over (partition by c order by confidence desc, id) > 1 as is_duplicate from c join v_detections using (id))
+select id, cluster_size, is_duplicate from k""").replace("with ", "with recursive ", 1))
 def cl_02(spark, sf):
     c = spatial.clusters(V.detections(spark, sf).select("id", "latitude", "longitude", "confidence"), 2)
     return spatial.representatives(c, F.col("confidence")).select("id", "cluster_size", "is_duplicate")

@@ -104,7 +104,7 @@ def test_haversine(spark):
 
 def test_hamming_threshold(spark):
     items = spark.createDataFrame([(1, 0), (2, 0b11), (3, 0b11111), (4, 0)], "id long, h long")
-    assert {(r.a, r.b, r.distance) for r in similarity.hamming_pairs(items, 2).collect()} == {(1, 2, 2), (1, 4, 0), (2, 4, 2)}
+    assert {r.id: (r.class_id, r.links, r.copies) for r in similarity.hamming_links(items, 2).collect()} == {1: (1, 2, 1), 2: (2, 2, 0), 3: (3, 0, 0), 4: (1, 2, 1)}
     assert {r.id: r.group_id for r in similarity.duplicate_groups(items, 2).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
