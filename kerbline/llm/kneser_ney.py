@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import WordHashes, in_parts, mapped, mix, texts
+from kerbline.llm.words import WordHashes, in_parts, mapped, mix, texts, tidied_groups
 from kerbline.session import forget, written
 
 SMALLEST = 50
@@ -46,7 +46,7 @@ LOW, HIGH, LEAST_SHARE = 3.0, 7.0, 0.2
 STEPS = 1000
 MARKS = b"#*$%&|<>"
 #: Bytes of text that a chunk holds, and that a bucket stands for; parts in which documents are scored.
-CHUNK_BYTES, BUCKET_BYTES, ROUNDS = 32 << 20, 16 << 20, 2
+CHUNK_BYTES, BUCKET_BYTES, ROUNDS = 16 << 20, 16 << 20, 2
 BITS = 40
 _START, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,12 +166,15 @@ def pairs_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """Distinct word ids in order, and of each word of these texts the rank of the one before it, its own rank, and its text."""
     each = [_hashes.of(t.split()) for t in docs]
     size = np.array([len(x) for x in each], np.int64)
-    ids, rank = np.unique(word_ids(np.concatenate([np.array([_START]), *each])), return_inverse=True)
+    words = word_ids(np.concatenate([np.array([_START]), *each]))
+    del each
+    ids, rank = np.unique(words, return_inverse=True)
+    rank = rank.astype(np.int32)
     start, cur = rank[0], rank[1:]
     before = np.append(start, cur[:-1])[: len(cur)]
     ends = np.cumsum(size)
     before[(ends - size)[size > 0]] = start
-    return ids, before, cur, np.repeat(np.arange(len(docs)), size)
+    return ids, before, cur, np.repeat(np.arange(len(docs), dtype=np.int32), size)
 
 
 def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
@@ -196,7 +199,8 @@ def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
         bucket[dealt] = (mix(ids[before[dealt]].astype(np.uint64) * _PAIR + ids[cur[dealt]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         here = bucket % rounds == mine
         before, cur, at, bucket = before[here], cur[here], at[here], bucket[here]
-        pair = before * len(ids) + cur
+        pair = before.astype(np.int64) * len(ids) + cur
+        del before, cur, here, dealt
         order = np.argsort(pair, kind="stable")
         order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int32), kind="stable")]
         pair, bucket, at = pair[order], bucket[order], at[order]
@@ -374,10 +378,10 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
     ends = []
     for mine in range(rounds):
         pairs = mapped(docs, _pairs(buckets, seen, rounds, mine, False), PAIRS)
-        ends.append(written(pairs.groupBy("bucket").applyInArrow(_counted(buckets, seen), ENDS), "ends"))
+        ends.append(written(pairs.groupBy("bucket").applyInArrow(tidied_groups(_counted(buckets, seen)), ENDS), "ends"))
         del pairs
         _shuffles_end(spark)
-    ways = written(reduce(DataFrame.unionByName, ends).groupBy("dest").applyInArrow(_added, WAYS), "ways")
+    ways = written(reduce(DataFrame.unionByName, ends).groupBy("dest").applyInArrow(tidied_groups(_added), WAYS), "ways")
     for x in ends:
         forget(x)
     of = ways.groupBy("lang").agg(*(F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k))).alias(f"all_{c}") for c, k in (("counts", 8), ("types", 12))))
@@ -392,7 +396,7 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
     for mine in range(rounds):
         _shuffles_end(spark)
         pairs = mapped(docs, _pairs(buckets, whole, rounds, mine, True), PAIRS)
-        sums = pairs.groupBy("bucket").cogroup(known.where(F.col("bucket") % rounds == mine).groupBy("bucket")).applyInArrow(_scored(whole), SUMS)
+        sums = pairs.groupBy("bucket").cogroup(known.where(F.col("bucket") % rounds == mine).groupBy("bucket")).applyInArrow(tidied_groups(_scored(whole)), SUMS)
         out.append(written(sums.groupBy("chunk").applyInArrow(_summed, "key long, loss double"), "losses"))
         del pairs, sums
     every = out[0].withColumn("round", F.lit(0))

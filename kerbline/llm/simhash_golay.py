@@ -316,7 +316,7 @@ BANDS, ROWS = 32, 5
 #: Bands compared first; of the others only buckets are compared that these have not linked throughout.
 FIRST = 2
 #: Bytes of a shingle's hash where sets are compared, and bytes of the sets of one block.
-HASH_BYTES, BLOCK_BYTES = 5, 1 << 24
+HASH_BYTES, BLOCK_BYTES = 5, 1 << 23
 _random = np.random.default_rng(SEED)
 _FLIP = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _TIMES = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)

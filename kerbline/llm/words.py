@@ -6,6 +6,7 @@ bytes.split() and bytes.lower() follow ASCII only, so both agree with [^\\x20\\x
 from __future__ import annotations
 
 import ctypes
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,14 +82,36 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return inner
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied_groups(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function of one group, or of two that belong together."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return two if len(inspect.signature(run).parameters) == 2 else one
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(run) in batches of BATCH_BYTES unless the session sets a size: rows are no bound, as texts are of any length."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
