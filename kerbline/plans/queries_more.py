@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kerbline import vocab
 from kerbline.operators import retrieval, statistics, writes
 from kerbline.plans import views as V
-from kerbline.plans.queries_detections import det
+from kerbline.plans.queries_detections import det, metres
 from kerbline.plans.registry import query
 from kerbline.plans.views import duck
 from kerbline.streaming import live
@@ -260,9 +260,12 @@ def _live(spark, sf):
     return V.reports(spark, sf).withColumn("t", seconds).withColumnRenamed("event_id", "place")
 
 
+_SECONDS = "epoch(created_at)"
+
+
 @query("st_01_changelog")
 def st_01(spark, sf):
-    return live.changelog(_live(spark, sf))
+    return live.changelog(live.placed(_live(spark, sf))).drop("place")
 
 
 @query("st_02_changelog_stream")
@@ -285,7 +288,11 @@ def _reports_of(events):
     )
 
 
-@query("st_06_cooldown")
+@query("st_06_cooldown", duck("v_reports", body=f"""h as (select *, epoch(created_at) as t, row_number() over (partition by device_id, damage_type order by created_at, report_id) as i from v_reports),
+w as (select device_id, damage_type, report_id, i, t as lt, latitude as la, longitude as lo, true as sent from h where i = 1
+  union all select h.device_id, h.damage_type, h.report_id, h.i, case when keep then h.t else lt end, case when keep then h.latitude else la end, case when keep then h.longitude else lo end, keep
+  from w join h on h.device_id = w.device_id and h.damage_type = w.damage_type and h.i = w.i + 1, lateral (select not (h.t - lt < 86400 and {metres('la', 'lo', 'h.latitude', 'h.longitude')} < 20) as keep))
+select report_id from w where sent""").replace("with ", "with recursive ", 1))
 def st_06(spark, sf):
     return live.cooled(_live(spark, sf), 3600 * 24, 20)
 
@@ -296,12 +303,75 @@ def st_08(spark, sf):
     return V.table(spark, sf, "events").groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("peak")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "peak")
 
 
-@query("st_09_rate_limit")
+_LIMIT = duck("v_reports", body="""h as (select device_id as key, report_id as hit_id, epoch(created_at) as t, row_number() over (partition by device_id order by created_at, report_id) as i from v_reports),
+w as (select key, hit_id, i, t as start, 1 as n, true as allowed from h where i = 1
+  union all select h.key, h.hit_id, h.i, case when h.t - start > {window} then h.t else start end, {n}, {allowed} from w join h on h.key = w.key and h.i = w.i + 1)
+select key, hit_id, allowed from w""").replace("with ", "with recursive ", 1)
+
+
+@query("st_09_rate_limit", _LIMIT.format(window=86400, n="case when h.t - start > 86400 then 1 else n + 1 end", allowed="h.t - start > 86400 or n < 2"))
 def st_09(spark, sf):
     hits = _live(spark, sf).select(F.col("device_id").alias("key"), F.col("report_id").alias("hit_id"), "t")
     return live.limited(hits, 86_400.0, 2)
 
 
+@query("st_11_budget", _LIMIT.format(window=259200, n="case when h.t - start > 259200 then 1 when n < 3 then n + 1 else n end", allowed="h.t - start > 259200 or n < 3"))
+def st_11(spark, sf):
+    """A budget of three in three days for each device; what is rejected does not count."""
+    hits = _live(spark, sf).select(F.col("device_id").alias("key"), F.col("report_id").alias("hit_id"), "t")
+    return live.limited(hits, 259_200.0, 3, count_rejected=False)
+
+
+@query("st_10_lockout", duck("v_reports", body="""h as (select device_id as key, report_id as hit_id, epoch(created_at) as t, kind <> 'confirm' as failed, row_number() over (partition by device_id order by created_at, report_id) as i from v_reports),
+w as (select key, hit_id, i, t as last_t, case when failed then t end as start, case when failed then 1 else 0 end as n, -1e18::double as locked, false as refused, false as locks from h where i = 1
+  union all select h.key, h.hit_id, h.i, h.t, case when r then start when not failed then null when c >= 3 then null when n = 0 or start is null or h.t - start > 172800 then h.t else start end,
+    case when r then n when not failed then 0 when c >= 3 then 0 else c end, case when not r and failed and c >= 3 then h.t + 86400 else locked end, r, not r and failed and c >= 3
+  from w join h on h.key = w.key and h.i = w.i + 1, lateral (select h.t < locked as r, case when start is null or h.t - start > 172800 then 1 else n + 1 end as c))
+select key, hit_id, refused, locks from w""").replace("with ", "with recursive ", 1))
+def st_10(spark, sf):
+    """Three failures within two days of the first lock a device for a day; a confirmation is the success."""
+    a = _live(spark, sf).select(F.col("device_id").alias("key"), F.col("report_id").alias("hit_id"), "t", (F.col("kind") != "confirm").alias("failed"))
+    return live.locked_out(a, 172_800.0, 3, 86_400.0)
+
+
+@query("st_13_touch", duck("v_reports", body="r as (select 'dev-' || c_custkey as device_id, c_custkey % 3 > 0 as is_active from customer where c_custkey % 2 = 0) select device_id, case when is_active then 'touched' when not is_active then 'rejected' else 'allowed' end as verdict, case when is_active then max(epoch(created_at)) end as last_seen, case when is_active then count(*) filter (where kind = 'sighting') end as reports from v_reports left join r using (device_id) group by device_id, is_active"))
+def st_13(spark, sf):
+    """Every second customer has paired a device, and every third of those gave it up."""
+    c = V.table(spark, sf, "customer").where("c_custkey % 2 = 0")
+    paired = c.select(F.concat(F.lit("dev-"), F.col("c_custkey").cast("string")).alias("device_id"), (F.col("c_custkey") % 3 > 0).alias("is_active"))
+    return live.touched(_live(spark, sf).select("device_id", "t", (F.col("kind") == "sighting").alias("counted")), paired)
+
+
+@query("st_07_jolts", duck("v_reports", body="""m as (select device_id, report_id as motion_id, epoch(created_at) as t, 6 + report_id % 7 as jolt from v_reports where report_id % 2 = 0),
+f as (select device_id, report_id as fix_id, epoch(created_at) as t, case when report_id % 5 > 0 then report_id % 9 end as speed from v_reports where report_id % 2 = 1),
+n as (select m.*, (select max((f.t, f.fix_id)) from f where f.device_id = m.device_id and f.t <= m.t) as fx from m where jolt >= 9),
+j as (select n.device_id, motion_id, n.t, fx[2] as fix_id from n join f on f.fix_id = fx[2] where n.t - f.t <= 10 and (speed is null or speed >= 2.5)),
+h as (select *, row_number() over (partition by device_id order by t, motion_id) as i from j),
+w as (select device_id, motion_id, fix_id, i, t as lt, true as hit from h where i = 1 union all select h.device_id, h.motion_id, h.fix_id, h.i, case when h.t - lt >= 8 then h.t else lt end, h.t - lt >= 8 from w join h on h.device_id = w.device_id and h.i = w.i + 1)
+select device_id, motion_id, fix_id from w where hit""").replace("with ", "with recursive ", 1).replace("fx[2]", "fx.fix_id").replace("max((f.t, f.fix_id))", "max({'t': f.t, 'fix_id': f.fix_id})"))
+def st_07(spark, sf):
+    """Even reports are motions, odd ones fixes."""
+    r = _live(spark, sf)
+    m = r.where("report_id % 2 = 0").select("device_id", F.col("report_id").alias("motion_id"), "t", (6 + F.col("report_id") % 7).cast("double").alias("jolt"))
+    f = r.where("report_id % 2 = 1").select("device_id", F.col("report_id").alias("fix_id"), "t", F.when(F.col("report_id") % 5 > 0, (F.col("report_id") % 9).cast("double")).alias("speed"))
+    return live.jolts(m, f)
+
+
+@query("st_15_alerts")
+def st_15(spark, sf):
+    r = _live(spark, sf)
+    return live.alerts(r.select("device_id", F.col("report_id").alias("row_id"), "t", F.col("place").alias("event_id")), 3600.0)
+
+
+@query("st_04_sweep", duck("v_reports", body="a as (select event_id as place, max({'t': epoch(created_at), 'r': report_id}) as last, (select max(epoch(created_at)) from v_reports) as now from v_reports where kind = 'sighting' group by event_id) select place, last.r as report_id, now - last.t > 259200 as expired from a"))
+def st_04(spark, sf):
+    """Which places have let their events expire when the last report came in: sightings open or extend them."""
+    r = _live(spark, sf)
+    now = r.agg(F.max("t")).first()[0]
+    opened = r.where("kind = 'sighting'").select("report_id", "place", F.lit("merged").alias("action"))
+    return live.sweep(r, opened, now)
+
+
 @query("st_18_windows_of_stream", "select time_bucket(interval '1 day', ts) as start, count(*) as n from events group by 1")
 def st_18(spark, sf):
     """Daily counts from a stream with a watermark; the last update of a window counts."""

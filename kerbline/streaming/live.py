@@ -2,7 +2,8 @@
 
 The state machine of one place is a small fold over its reports in order; batch and stream share it. Reports at most REACH apart
 can meet in one event, so a place is a connected cluster of positions of one class (operators.spatial.clusters finds them in
-batch): folding each place by itself is exact, and a busy class is split over its places.
+batch): folding each place by itself is exact, and a busy class is split over its places. In batch a place is cut further where
+nothing came for so long that all its events have expired.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kerbline.operators import folds, spatial
 from kerbline.session import scratch_dir
 from kerbline.vocab import EARTH_M
 
@@ -62,34 +64,58 @@ def status(supporters: int) -> str:
     return "verified" if supporters >= VERIFIED else "confirmed" if supporters >= CONFIRMED else "unverified"
 
 
+def told(events: list[dict], r) -> tuple:
+    action, e = step(events, r.kind, r.t, r.device_id, r.latitude, r.longitude, r.confidence, r.severity)
+    yes, no = (len(e["yes"]), len(e["no"])) if e else (0, 0)
+    return r.report_id, r.place, action, yes, no, status(yes)
+
+
 def fold(events: list[dict], reports: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    ordered = reports.sort_values(["t", "report_id"])
-    for r in ordered.itertuples():
-        action, e = step(events, r.kind, r.t, r.device_id, r.latitude, r.longitude, r.confidence, r.severity)
-        yes, no = (len(e["yes"]), len(e["no"])) if e else (0, 0)
-        rows.append((r.report_id, r.place, action, yes, no, status(yes)))
+    rows = [told(events, r) for r in reports.sort_values(["t", "report_id"]).itertuples()]
     return pd.DataFrame(rows, columns=["report_id", "place", "action", "supporters", "disputers", "status"])
 
 
 _COLUMNS = ["report_id", "place", "kind", "t", "device_id", "latitude", "longitude", "confidence", "severity"]
 
 
+def placed(reports: DataFrame) -> DataFrame:
+    """reports with `place`: the connected cluster of positions at most REACH apart, of one class (batch)."""
+    at = spatial.clusters(reports.select("report_id", "latitude", "longitude"), REACH).select("report_id", "cluster_id")
+    return reports.drop("place").join(at, "report_id").withColumn("place", F.xxhash64("cluster_id", "damage_type"))
+
+
 def changelog(reports: DataFrame) -> DataFrame:
     """What each report did: created, merged, confirmed, disputed, removed, or rejected for want of an event."""
-    return reports.select(*_COLUMNS).groupBy("place").applyInPandas(lambda pdf: fold([], pdf), CHANGES)
+    cut = folds.sessions(reports.select(*_COLUMNS), ["place"], "t", ["t", "report_id"], TTL_S)
+    return folds.folded(cut, ["place", "session"], ["t", "report_id"], list, lambda events, r: [told(events, r)], CHANGES)
 
 
 def changelog_stream(reports: DataFrame) -> DataFrame:
-    """The same on a stream: the active events of each place are kept as state. Arrival order is the order within a batch."""
+    """The same on a stream: the active events of each place are kept as state, which a place gives up when its last event has expired by
+    the watermark. Arrival order is the order within a batch; reports more than TTL_S late are dropped."""
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         events = json.loads(state.get[0]) if state.exists else []
-        out = fold(events, pd.concat(list(parts)))
-        state.update((json.dumps(events),))
-        yield out
+        for part in parts:
+            yield fold(events, part)
+        if events:
+            state.update((json.dumps(events),))
+            state.setTimeoutTimestamp(max(int(max(e["expires"] for e in events) * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
 
-    return reports.select(*_COLUMNS).groupBy("place").applyInPandasWithState(run, CHANGES, "events string", "append", GroupStateTimeout.NoTimeout)
+    timed = reports.select(*_COLUMNS, F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("at")).withWatermark("at", f"{TTL_S} seconds")
+    return timed.groupBy("place").applyInPandasWithState(run, CHANGES, "events string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sweep(reports: DataFrame, changes: DataFrame, now: float) -> DataFrame:
+    """(place, report_id, expired): the last report that each place's events were kept alive by, and whether that was too long ago at `now`."""
+    alive = changes.where("action in ('created', 'merged', 'confirmed')").select("report_id", "place").join(reports.select("report_id", "t"), "report_id")
+    last = alive.groupBy("place").agg(F.max(F.struct("t", "report_id")).alias("last"))
+    return last.select("place", "last.report_id", (F.lit(now) - F.col("last.t") > TTL_S).alias("expired"))
 
 
 def limited(hits: DataFrame, window_s: float, most: int, count_rejected: bool = True, lockout_s: float = 0.0) -> DataFrame:
@@ -98,37 +124,114 @@ def limited(hits: DataFrame, window_s: float, most: int, count_rejected: bool =
     count_rejected: rejected hits count as well. With a lockout, the first rejection locks the key for that long.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, count, locked, out = None, 0, -math.inf, []
-        for r in pdf.sort_values(["t", "hit_id"]).itertuples():
-            if r.t < locked:
-                out.append((r.key, r.hit_id, False))
-                continue
-            if start is None or r.t - start > window_s:
-                start, count = r.t, 0
-            ok = count + 1 <= most
-            count += ok or count_rejected
-            if not ok and lockout_s:
-                locked, start = r.t + lockout_s, None
-            out.append((r.key, r.hit_id, ok))
-        return pd.DataFrame(out, columns=["key", "hit_id", "allowed"])
+    def step(state: dict, r) -> list[tuple]:
+        if r.t < state["locked"]:
+            return [(r.key, r.hit_id, False)]
+        if state["start"] is None or r.t - state["start"] > window_s:
+            state.update(start=r.t, count=0)
+        ok = state["count"] + 1 <= most
+        state["count"] += ok or count_rejected
+        if not ok and lockout_s:
+            state.update(locked=r.t + lockout_s, start=None)
+        return [(r.key, r.hit_id, ok)]
+
+    cut = folds.sessions(hits.select("key", "hit_id", "t"), ["key"], "t", ["t", "hit_id"], max(window_s, lockout_s))
+    return folds.folded(cut, ["key", "session"], ["t", "hit_id"], lambda: {"start": None, "count": 0, "locked": -math.inf}, step, "key string, hit_id long, allowed boolean")
 
-    return hits.select("key", "hit_id", "t").groupBy("key").applyInPandas(run, "key string, hit_id long, allowed boolean")
+
+def locked_out(attempts: DataFrame, window_s: float, most: int, lockout_s: float) -> DataFrame:
+    """Failed sign-ins by key over (key, hit_id, t, failed): (key, hit_id, refused, locks).
+
+    The `most`-th failure within a window that the first one opened locks the key; while it is locked every attempt is refused and
+    counts for nothing; a success clears the count.
+    """
+
+    def step(state: dict, r) -> list[tuple]:
+        if r.t < state["locked"]:
+            return [(r.key, r.hit_id, True, False)]
+        if not r.failed:
+            state.update(start=None, count=0)
+            return [(r.key, r.hit_id, False, False)]
+        if state["start"] is None or r.t - state["start"] > window_s:
+            state.update(start=r.t, count=0)
+        state["count"] += 1
+        locks = state["count"] >= most
+        if locks:
+            state.update(locked=r.t + lockout_s, start=None, count=0)
+        return [(r.key, r.hit_id, False, locks)]
+
+    cut = folds.sessions(attempts.select("key", "hit_id", "t", "failed"), ["key"], "t", ["t", "hit_id"], max(window_s, lockout_s))
+    return folds.folded(cut, ["key", "session"], ["t", "hit_id"], lambda: {"start": None, "count": 0, "locked": -math.inf}, step, "key string, hit_id long, refused boolean, locks boolean")
 
 
 def cooled(detections: DataFrame, seconds: float = 30.0, reach: float = 20.0) -> DataFrame:
     """Sendings by (device, class): one less than `seconds` and `reach` after the last one sent is suppressed."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for r in pdf.sort_values(["t", "report_id"]).itertuples():
-            if last and r.t - last[0] < seconds and metres(last[1], last[2], r.latitude, r.longitude) < reach:
-                continue
-            last = (r.t, r.latitude, r.longitude)
-            out.append((r.report_id,))
-        return pd.DataFrame(out, columns=["report_id"])
+    def step(last: list, r) -> list[tuple]:
+        if last and r.t - last[0] < seconds and metres(last[1], last[2], r.latitude, r.longitude) < reach:
+            return []
+        last[:] = [r.t, r.latitude, r.longitude]
+        return [(r.report_id,)]
+
+    by = ["device_id", "damage_type"]
+    cut = folds.sessions(detections.select(*by, "report_id", "t", "latitude", "longitude"), by, "t", ["t", "report_id"], seconds)
+    return folds.folded(cut, [*by, "session"], ["t", "report_id"], list, step, "report_id long")
+
+
+#: A jolt in m/s2, the least speed in m/s, the greatest age of a fix and the pause between two hits in seconds.
+JOLT, LEAST_SPEED, FIX_AGE_S, JOLT_PAUSE_S = 9.0, 2.5, 10.0, 8.0
+
+
+def jolts(motions: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Hits (device_id, motion_id, fix_id) of motions (device_id, motion_id, t, jolt) that are hard enough, with the last fix
+    (device_id, fix_id, t, speed) before them: not too old, and moving where it tells the speed; none soon after another."""
+    fix = F.struct("t", "fix_id", "speed")
+    kind = fixes.select(fix.alias("f")).schema["f"].dataType
+    both = fixes.select("device_id", "t", F.lit(0).alias("is_motion"), F.col("fix_id").alias("id"), fix.alias("fix"), F.lit(None).cast("double").alias("jolt")).unionByName(
+        motions.select("device_id", "t", F.lit(1).alias("is_motion"), F.col("motion_id").alias("id"), F.lit(None).cast(kind).alias("fix"), F.col("jolt").cast("double").alias("jolt"))
+    )
+    w = Window.partitionBy("device_id").orderBy("t", "is_motion", "id").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("fix", F.last("fix", ignorenulls=True).over(w)).where((F.col("is_motion") == 1) & (F.col("jolt") >= JOLT))
+    fit = (F.col("t") - F.col("fix.t") <= FIX_AGE_S) & (F.col("fix.speed").isNull() | (F.col("fix.speed") >= LEAST_SPEED))
+    met = met.where(fit).select("device_id", F.col("id").alias("motion_id"), "t", F.col("fix.fix_id").alias("fix_id"))
+    return spaced(met, "device_id", "motion_id", JOLT_PAUSE_S).select("device_id", "motion_id", "fix_id")
+
+
+def spaced(rows: DataFrame, key: str, row_id: str, pause_s: float) -> DataFrame:
+    """Of rows with a time t, by key in order, those that come pause_s or more after the last one kept."""
+
+    def step(last: list, r) -> list[tuple]:
+        if last and r.t - last[0] < pause_s:
+            return []
+        last[:] = [r.t]
+        return [(getattr(r, row_id),)]
+
+    cut = folds.sessions(rows.select(key, row_id, "t"), [key], "t", ["t", row_id], pause_s)
+    kept = folds.folded(cut, [key, "session"], ["t", row_id], list, step, f"{row_id} {rows.schema[row_id].dataType.simpleString()}")
+    return rows.join(kept, row_id, "left_semi")
+
+
+def alerts(near: DataFrame, gap_s: float) -> DataFrame:
+    """Spoken alerts (device_id, row_id) of sightings (device_id, row_id, t, event_id) in order: each event once, none within gap_s of the last."""
+
+    def step(state: dict, r) -> list[tuple]:
+        if r.event_id in state["said"] or r.t - state["last"] < gap_s:
+            return []
+        state["said"].add(r.event_id)
+        state["last"] = r.t
+        return [(r.device_id, r.row_id)]
+
+    rows = near.select("device_id", "row_id", "t", "event_id")
+    return folds.folded(rows, ["device_id"], ["t", "row_id"], lambda: {"said": set(), "last": -math.inf}, step, "device_id string, row_id long")
+
 
-    return detections.select("device_id", "damage_type", "report_id", "t", "latitude", "longitude").groupBy("device_id", "damage_type").applyInPandas(run, "report_id long")
+def touched(signals: DataFrame, registry: DataFrame) -> DataFrame:
+    """Signals (device_id, t, counted) against paired devices (device_id, is_active): (device_id, verdict, last_seen, reports), a row for each
+    device: those whose owner revoked them are rejected, others allowed, and only paired ones are written to."""
+    by = signals.groupBy("device_id").agg(F.max("t").alias("last_seen"), F.count_if("counted").alias("reports"))
+    verdict = F.when(F.col("is_active"), "touched").when(~F.col("is_active"), "rejected").otherwise("allowed")
+    seen = F.coalesce("is_active", F.lit(False))
+    return by.join(registry.select("device_id", "is_active"), "device_id", "left").select("device_id", verdict.alias("verdict"), F.when(seen, F.col("last_seen")).alias("last_seen"), F.when(seen, F.col("reports")).alias("reports"))
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
