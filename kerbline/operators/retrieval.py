@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.session import written
+
 K1, B, RRF = 1.2, 0.75, 60
 
 
@@ -16,18 +18,57 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+#: Weights of a term that begins with the word asked for, and of one a few letters off: a fifth of the word's length.
+PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY = 0.375, 0.45, 0.2
+
+
+def _deletions(word: Column) -> Column:
+    """The word with up to two letters left out, in every way: two words at most two edits apart share one."""
+
+    def less(w: Column) -> Column:
+        return F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+
+    once = F.array_distinct(less(word))
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, less))))
+
+
+def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query_id, word, weight): the words of vocabulary (word) that a query (query_id, word) reaches: itself at 1, longer ones that begin with
+    it, and those at most round(length / 5) edits away, two at most; each at its best weight.
+
+    Joins are equi-joins on prefixes and on deletions; vocabulary rows that no query can reach leave before the shuffle where Spark
+    finds the queries small.
+    """
+    a = written(asked.select("query_id", F.col("word").alias("w")).distinct(), "asked")
+    words = a.select("w").distinct()
+    prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("w")).join(words, "w")
+    longer = F.length("word") - F.length("w")
+    begun = prefixes.select("w", "word", F.when(longer == 0, 1.0).otherwise(PREFIX_WEIGHT * F.length("w") / (F.length("w") + 0.3 * longer)).alias("weight"))
+    keys = words.select("w", F.explode(_deletions(F.col("w"))).alias("key"))
+    met = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("key")).join(keys, "key").select("w", "word").distinct()
+    most = F.least(F.lit(2), F.round(F.length("w") * FUZZY))
+    off = F.levenshtein("w", "word")
+    near = met.where((off > 0) & (off <= most)).select("w", "word", (FUZZY_WEIGHT * F.length("w") / (F.length("w") + off)).alias("weight"))
+    return a.join(begun.unionByName(near), "w").groupBy("query_id", "word").agg(F.max("weight").alias("weight"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 6, fuzzy: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the best k documents (id, text) for each query (query_id, text); ties by id.
 
-    Only postings of words that some query asks for reach the joins.
+    Only postings of words that some query asks for reach the joins. With fuzzy, words that begin with one asked for or are a few
+    letters off count as well, by fuzzy_terms().
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     each = docs.select("id", words(F.col("text")).alias("w")).select("id", "w", F.size("w").alias("len"))
     totals = each.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    if fuzzy:
+        asked = written(fuzzy_terms(asked, written(each.select(F.explode("w").alias("word")).distinct(), "vocabulary")), "terms")
+    else:
+        asked = asked.withColumn("weight", F.lit(1.0))
     post = each.select("id", "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
     df = post.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     score = post.join(asked, "word").join(df, "word").join(F.broadcast(totals)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return _best(score, k)
 

@@ -83,18 +83,24 @@ def permutation_p(rows: DataFrame, permutations: int = 1000) -> DataFrame:
     return rho.join(F.broadcast(seen)).agg(((F.count_if(F.col("rho") >= F.col("seen") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"), F.max("seen").alias("rho"))
 
 
-def stratified_split(groups: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
-    """(group_id, stratum) to a split, by position in hash order within the stratum; three groups or more keep one for test.
+def placed(groups: DataFrame) -> DataFrame:
+    """groups (group_id, stratum, ...) with i, the place from 0 in hash order within the stratum, and n, the stratum's size.
 
-    Positions come from running(), by the first 52 bits of the MD5 of the id; rows that share these are ordered in one small window.
+    Places come from running(), by the first 52 bits of the MD5 of the id; rows that share these are ordered in one small window.
     """
     digest = F.md5(F.col("group_id").cast("string"))
-    placed = groups.withColumn("d_", digest).withColumn("h_", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
-    counts = running(placed.groupBy("stratum", "h_").agg(F.count("*").alias("n")), ["stratum"], F.col("h_").cast("double")).drop("n")
-    total = placed.groupBy("stratum").agg(F.count("*").alias("n"))
+    rows = groups.withColumn("d_", digest).withColumn("h_", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
+    counts = running(rows.groupBy("stratum", "h_").agg(F.count("*").alias("n")), ["stratum"], F.col("h_").cast("double")).drop("n")
+    total = rows.groupBy("stratum").agg(F.count("*").alias("n"))
     tie = F.row_number().over(Window.partitionBy("stratum", "h_").orderBy("d_", "group_id")) - 1
-    placed = placed.withColumn("tie_", tie).join(counts, ["stratum", "h_"]).join(total, "stratum").withColumn("i", F.col("before") + F.col("tie_"))
+    out = rows.withColumn("tie_", tie).join(counts, ["stratum", "h_"]).join(total, "stratum")
+    return out.withColumn("i", F.col("before") + F.col("tie_")).drop("d_", "h_", "tie_", "before")
+
+
+def stratified_split(groups: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
+    """(group_id, stratum) to a split, by position in hash order within the stratum; three groups or more keep one for test."""
+    at = placed(groups)
     n_train = F.round(F.col("n") * train)
     n_val = F.round(F.col("n") * val)
     n_val = F.when((F.col("n") >= 3) & (n_train + n_val >= F.col("n")), F.greatest(F.lit(0), F.col("n") - n_train - 1)).otherwise(n_val)
-    return placed.select("group_id", "stratum", F.when(F.col("i") < n_train, "train").when(F.col("i") < n_train + n_val, "val").otherwise("test").alias("split"))
+    return at.select("group_id", "stratum", F.when(F.col("i") < n_train, "train").when(F.col("i") < n_train + n_val, "val").otherwise("test").alias("split"))

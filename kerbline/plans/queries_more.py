@@ -123,6 +123,26 @@ def ret_01(spark, sf):
     return retrieval.bm25(docs, _queries(spark, sf))
 
 
+_FUZZY = """with q as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from benchmark where item_id % 20 = 0),
+d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z]+') as w, len(regexp_extract_all(lower(text), '[a-z]+')) as len from documents),
+t as (select count(*) as n, avg(len) as avg_len from d),
+tf as (select id, len, word, count(*) as tf from (select id, len, unnest(w) as word from d) group by all),
+v as (select distinct word from tf), u as (select distinct w from q),
+m as (select w, word, greatest(case when word = w then 1.0::double when starts_with(word, w) then 0.375::double * length(w) / (length(w) + 0.3::double * (length(word) - length(w))) else 0 end,
+  case when word <> w and abs(length(word) - length(w)) <= 2 and levenshtein(w, word) <= least(2, round(length(w) * 0.2::double)) then 0.45::double * length(w) / (length(w) + levenshtein(w, word)) else 0 end) as weight from u, v),
+a as (select query_id, word, max(weight) as weight from q join m using (w) where weight > 0 group by all),
+f as (select word, count(*) as df from tf group by word),
+s as (select query_id, id, round(sum(weight * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / avg_len))), 6) as score from tf join a using (word) join f using (word), t group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)
+"""
+
+
+@query("ret_01_fuzzy", _FUZZY + "select query_id, id, score, rank from r where rank <= 6")
+def ret_01_fuzzy(spark, sf):
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.bm25(docs, _queries(spark, sf), fuzzy=True)
+
+
 _COS = "round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6)"
 _DENSE = f"""x as (select vec_id as id, cast(embedding as double[]) as v from embeddings), c as (select a.id as query_id, b.id, {_COS.replace('(q', '(a.v').replace(' q)', ' a.v)').replace('(v', '(b.v').replace(' v)', ' b.v)')} as score from x a, x b where a.id % 20 = 0),
 k as (select *, row_number() over (partition by query_id order by score desc, id) as rank from c)

@@ -14,7 +14,9 @@ from kerbline.plans.views import duck
 
 _TOPIC = "|".join(w for w in assistant.TOPIC_WORDS if len(w) >= 4)
 _SHORT = ", ".join(f"'{w}'" for w in assistant.TOPIC_WORDS)
-_INJECTED = " or ".join(f"regexp_matches(q, '{p}')" for p in assistant.INJECTION)
+# DuckDB's patterns look nowhere ahead: the last one is taken apart by hand
+_INJECTED = " or ".join(f"regexp_matches(q, '{p}')" for p in assistant.INJECTION if "(?!" not in p)
+_INJECTED += r" or regexp_matches(q, 'act\s+as\s+(a|an)\s\s') or len(list_filter(regexp_extract_all(q, 'act\s+as\s+(?:a|an)\s\S{1,4}'), lambda x: not regexp_matches(x, '\s(road|city)$'))) > 0"
 
 
 @query("flt_18_guard", f"with t as (select doc_id, lower(substr(trim(text), 1, 500)) as q from documents) select doc_id, case when length(q) = 0 then 'empty' when {_INJECTED} then 'injection' when len(list_filter(regexp_extract_all(q, '[a-z]+'), lambda w: w in ({_SHORT}) or regexp_matches(w, '^({_TOPIC})'))) > 0 or regexp_matches(q, 'work order|sign in|log in') or regexp_matches(q, '\\bs[1-5]\\b') then 'ok' else 'offTopic' end as verdict from t")
@@ -22,11 +24,34 @@ def flt_18(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", assistant.verdict(F.col("text")).alias("verdict"))
 
 
-@query("ret_06_intents", "select doc_id, case when regexp_matches(lower(text), 'severity|critical') then 'severity' when regexp_matches(lower(text), 'rank|leaderboard|points') then 'rank' when regexp_matches(lower(text), 'live|active|hazard') then 'live' when regexp_matches(lower(text), 'how many|total|count') then 'stats' when regexp_matches(lower(text), 'budget|cost') then 'budget' end as intent from documents")
+def _has(words) -> str:
+    return "(" + " or ".join(f"contains(q, '{w}')" for w in words) + ")"
+
+
+_KINDS = " ".join(f"when {' and '.join(map(_has, groups))} then '{name}'" for name, groups in assistant.INTENTS)
+
+
+@query("ret_06_intents", f"with t as (select doc_id, ' ' || lower(trim(text)) || ' ' as q from documents) select doc_id, case when regexp_matches(q, '\\bs\\s*[1-5]\\b') then 'severity' {_KINDS} end as intent from t")
 def ret_06(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", assistant.intent(F.col("text")).alias("intent"))
 
 
+@query("ret_04_gates", "with s as (select event_id, (event_id % 70) / 2000.0 as score from events) select event_id, case when event_id % 11 > 0 and score / (2.0::double / 61) >= 0.55 then 'answer' when event_id % 11 > 0 and score / (2.0::double / 61) >= 0.28 then 'hedge' else 'refuse' end as gate from s")
+def ret_04(spark, sf):
+    e = V.table(spark, sf, "events")
+    return e.select("event_id", assistant.gate(F.when(F.col("event_id") % 11 > 0, (F.col("event_id") % 70) / 2000.0)).alias("gate"))
+
+
+_SAYS = ", ".join(f"'{k}': '{v}'" for k, v in assistant.SYNONYMS.items())
+
+
+@query("sc_str_05_synonyms", f"with d as (select p_partkey, ['a broken', 'Pay for holes and a hole', 'no match at all', 'TOWN council photo'][p_partkey % 4 + 1] || ' ' || p_type as q from part), m as (select p_partkey, q, list_distinct(list_filter(list_transform(regexp_extract_all(lower(q), '[a-z]+'), lambda w: map {{{_SAYS}}}[w]), lambda x: x is not null)) as more from d) select p_partkey, array_to_string(list_sort(string_split(q || case when len(more) > 0 then ' ' || array_to_string(more, ' ') else '' end, ' ')), ' ') as words from m")
+def sc_str_05(spark, sf):
+    p = V.table(spark, sf, "part")
+    q = F.concat(V.pick(("a broken", "Pay for holes and a hole", "no match at all", "TOWN council photo"), F.col("p_partkey") % 4), F.lit(" "), F.col("p_type"))
+    return p.select("p_partkey", F.array_join(F.array_sort(F.split(assistant.expanded(q), " ")), " ").alias("words"))
+
+
 @query("jn_11_points_in_reach", det(f"h as (select n_nationkey as h, 46.70 + n_nationkey * 0.004 as la, 23.50 + n_nationkey * 0.006 as lo from nation) select id, h from v_detections, h where {metres('latitude', 'longitude', 'la', 'lo')} <= 300"))
 def jn_11(spark, sf):
     """Against a stated list of 25 places."""
