@@ -25,7 +25,6 @@ near copies in the other fold make a text probable, and copies are not bad texts
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -379,8 +378,6 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
     for mine in range(rounds):
         pairs = mapped(docs, _pairs(buckets, seen, rounds, mine, False), PAIRS)
         ends.append(written(pairs.groupBy("bucket").applyInArrow(tidied_groups(_counted(buckets, seen)), ENDS), "ends"))
-        del pairs
-        _shuffles_end(spark)
     ways = written(reduce(DataFrame.unionByName, ends).groupBy("dest").applyInArrow(tidied_groups(_added), WAYS), "ways")
     for x in ends:
         forget(x)
@@ -394,11 +391,9 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
     whole = spark.sparkContext.broadcast({k: (np.ascontiguousarray(v[:, 0]), v[:, 1:]) for k, v in arrays.items()})
     out = []
     for mine in range(rounds):
-        _shuffles_end(spark)
         pairs = mapped(docs, _pairs(buckets, whole, rounds, mine, True), PAIRS)
         sums = pairs.groupBy("bucket").cogroup(known.where(F.col("bucket") % rounds == mine).groupBy("bucket")).applyInArrow(tidied_groups(_scored(whole)), SUMS)
         out.append(written(sums.groupBy("chunk").applyInArrow(_summed, "key long, loss double"), "losses"))
-        del pairs, sums
     every = out[0].withColumn("round", F.lit(0))
     for i, x in enumerate(out[1:], 1):
         every = every.unionByName(x.withColumn("round", F.lit(i)))
@@ -408,12 +403,6 @@ def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROU
     return done
 
 
-def _shuffles_end(spark) -> None:
-    """Lets Spark's cleaner delete the shuffle files of tables that are no longer used, before the next round adds its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bands(measured: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(of_lang, least, most): a language's bounds, from histograms of at most some thousand bins."""
     good = measured.where("not base_failed and log_perplexity is not null").select(F.col("lang").alias("of_lang"), F.floor(F.col("log_perplexity") * STEPS).alias("bin"))
