@@ -9,11 +9,6 @@ from kerbline.operators import folds, statistics
 from kerbline.session import written
 
 
-def draw(*columns: Column | str, size: Column) -> Column:
-    """A number from 0 to size - 1 by the MD5 of these columns, so that any engine draws the same."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 8), 16, 10).cast("long") % size
-
-
 def oversampled(images: DataFrame, ratio: float = 0.30) -> DataFrame:
     """(class_id, copy, image_id): repeats of training images (image_id, class_id), drawn with replacement, that bring each class to
     `ratio` of the images of the commonest one. The n-th image of a class is found by its number, so no class is gathered."""
@@ -22,7 +17,7 @@ def oversampled(images: DataFrame, ratio: float = 0.30) -> DataFrame:
     most = have.agg(F.max("have")).first()[0] or 0
     needed = have.where(F.col("have") < int(most * ratio)).select("class_id", "have", F.explode(F.sequence(F.lit(1), F.lit(int(most * ratio)) - F.col("have"))).alias("copy"))
     numbered = statistics.running(held.withColumn("n", F.lit(1)), ["class_id"], F.col("image_id").cast("double")).select("class_id", "image_id", F.col("before").alias("nth"))
-    return needed.withColumn("nth", draw("class_id", "copy", size=F.col("have"))).join(numbered, ["class_id", "nth"]).select("class_id", "copy", "image_id")
+    return needed.withColumn("nth", statistics.draw("class_id", "copy", size=F.col("have"))).join(numbered, ["class_id", "nth"]).select("class_id", "copy", "image_id")
 
 
 def country_split(groups: DataFrame, holdout: str, val: float = 0.15) -> DataFrame:

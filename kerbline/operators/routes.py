@@ -7,11 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.functions import scoring
+from kerbline.operators import folds
 from kerbline.streaming.live import metres
 
+#: Stops of a tour at most: its distances are held at once, 8 bytes for each pair of stops.
+MOST_STOPS = 4000
 
-def _tour(lat: np.ndarray, lon: np.ndarray, passes: int) -> list[int]:
-    """Open tour from the first stop: nearest unvisited each time (the first on ties), then reversals that shorten it."""
+
+def _tour(lat: np.ndarray, lon: np.ndarray, passes: int | None) -> list[int]:
+    """Open tour from the first stop: nearest unvisited each time (the first on ties), then reversals that shorten it, pass after pass."""
     n = len(lat)
     y, x = np.radians(lat), np.radians(lon)
     a = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y[:, None]) * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
@@ -21,24 +26,33 @@ def _tour(lat: np.ndarray, lon: np.ndarray, passes: int) -> list[int]:
     while left.any():
         order.append(int(np.argmin(np.where(left, d[order[-1]], np.inf))))
         left[order[-1]] = False
-    for _ in range(passes):
-        better = False
+    order, better = np.array(order), n >= 4
+    while better and passes != 0:
+        better, passes = False, None if passes is None else passes - 1
         for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                now = d[order[i - 1], order[i]] + (d[order[j], order[j + 1]] if j + 1 < n else 0)
-                new = d[order[i - 1], order[j]] + (d[order[i], order[j + 1]] if j + 1 < n else 0)
-                if new < now - 1e-9:
-                    order[i : j + 1] = reversed(order[i : j + 1])
-                    better = True
-        if not better:
-            break
-    return order
+            j = i + 1
+            while j < n:  # the first end of a segment from i whose reversal shortens the tour, then on from there
+                before, first, ends = order[i - 1], order[i], order[j:]
+                gain = d[before, first] - d[before, ends]
+                gain[:-1] += d[ends[:-1], ends[1:]] - d[first, ends[1:]]
+                at = int(np.argmax(gain > 1e-9))
+                if gain[at] <= 1e-9:
+                    break
+                j += at
+                order[i : j + 1] = order[i : j + 1][::-1].copy()
+                better, j = True, j + 1
+    return order.tolist()
+
 
+def planned(stops: DataFrame, passes: int | None = None, speed_kmh: float = 25.0, stop_minutes: float = 20.0) -> DataFrame:
+    """(order_id, stop_id, lat, lon) with stop_seq, leg_km and minutes so far: a tour of each work order's stops that have a position.
 
-def planned(stops: DataFrame, passes: int = 0, speed_kmh: float = 25.0, stop_minutes: float = 20.0) -> DataFrame:
-    """(order_id, stop_id, lat, lon) with stop_seq, leg_km and minutes so far; a work order has a few hundred stops at most."""
+    Reversals go on until none shortens the tour, or for so many passes. A work order of more than MOST_STOPS stops is refused.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_STOPS:
+            raise ValueError(f"work order {pdf.order_id.iloc[0]} has {len(pdf)} stops; a tour holds {MOST_STOPS}")
         pdf = pdf.sort_values("stop_id").reset_index(drop=True)
         out = pdf.iloc[_tour(pdf.lat.to_numpy(), pdf.lon.to_numpy(), passes)].reset_index(drop=True)
         y, x = out.lat.tolist(), out.lon.tolist()
@@ -49,34 +63,45 @@ def planned(stops: DataFrame, passes: int = 0, speed_kmh: float = 25.0, stop_min
 
     # the rows are few bytes but much work: a fixed number of partitions, which adaptive execution does not merge
     parts = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stops.select("order_id", "stop_id", "lat", "lon").repartition(parts, "order_id")
+    dealt = stops.where("lat is not null and lon is not null").select("order_id", "stop_id", "lat", "lon").repartition(parts, "order_id")
     return dealt.groupBy("order_id").applyInPandas(run, "order_id long, stop_id long, stop_seq long, leg_km double, minutes double")
 
 
-def upserted(sightings: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Ordered upsert of (place, damage_type, seq, id, lat, lon, severity, day): a sighting meets the nearest defect within reach or makes one.
+def summaries(tours: DataFrame) -> DataFrame:
+    """(order_id, stops, total_km, minutes) of planned(): minutes are whole."""
+    return tours.groupBy("order_id").agg(F.count("*").alias("stops"), F.sum("leg_km").alias("total_km"), F.round(F.max("minutes")).cast("long").alias("minutes"))
+
+
+CHANGES = "seq long, action string, id long, damage_type string, lat double, lon double, severity int, confidence double, crop string, first_day date, last_day date, detection_count int, rate double"
+
 
-    place is a connected cluster of positions of one class, so that each fold is exact and small. A defect keeps its first position
-    and first day; count, last day and severity follow its last sighting; deterioration is the change of severity a day.
+def upserts(sightings: DataFrame, reach: float = 2.0) -> DataFrame:
+    """What each of (place, damage_type, seq, id, lat, lon, severity, confidence, crop, day), in the order of seq, did, and its defect then.
+
+    A sighting meets the nearest defect of its class within reach, or makes one. place is a connected cluster of positions, so that
+    each fold is exact; a task holds the defects of one place. A defect keeps its place and first day; the rest follows the sighting,
+    the crop where it has one; the rate is the change of severity, in fifths a day since the first.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        held: dict[tuple, list[dict]] = {}
-        for r in pdf.sort_values("seq").itertuples():
-            found = held.setdefault((r.damage_type, r.place), [])
-            at = min(((metres(f["lat"], f["lon"], r.lat, r.lon), i) for i, f in enumerate(found)), default=(np.inf, -1))
-            if at[0] <= reach:
-                f = found[at[1]]
-                days = max((r.day - f["first_day"]).days, 1)
-                f.update(rate=round((r.severity - f["severity"]) / 5 / days, 6), severity=r.severity, last_day=r.day, detection_count=f["detection_count"] + 1)
-            else:
-                found.append({"id": r.id, "damage_type": r.damage_type, "lat": r.lat, "lon": r.lon, "severity": r.severity, "first_day": r.day, "last_day": r.day, "detection_count": 1, "rate": None})
-                out.append(found[-1])
-        return pd.DataFrame(out, columns=["id", "damage_type", "lat", "lon", "severity", "first_day", "last_day", "detection_count", "rate"])
-
-    schema = "id long, damage_type string, lat double, lon double, severity int, first_day date, last_day date, detection_count int, rate double"
-    # places are small; a few hundred share a group, as each group has a cost of its own
-    buckets = 16 * int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("damage_type", "place"), F.lit(buckets))
-    return sightings.groupBy(bucket.alias("bucket")).applyInPandas(run, schema)
+    def step(held: list[dict], r) -> list[tuple]:
+        at = min(((metres(f["lat"], f["lon"], r.lat, r.lon), i) for i, f in enumerate(held)), default=(np.inf, -1))
+        if at[0] <= reach:
+            action, f = "update", held[at[1]]
+            days = max((r.day - f["first_day"]).days, 1)
+            f["rate"] = round((r.severity / 5.0 - f["severity"] / 5.0) / days, 6)
+            f["detection_count"] += 1
+        else:
+            action, f = "insert", {"id": r.id, "lat": r.lat, "lon": r.lon, "first_day": r.day, "detection_count": 1, "rate": None, "crop": None}
+            held.append(f)
+        f.update(severity=r.severity, confidence=r.confidence, last_day=r.day, crop=r.crop if r.crop is not None else f["crop"])
+        return [(r.seq, action, f["id"], r.damage_type, f["lat"], f["lon"], f["severity"], f["confidence"], f["crop"], f["first_day"], f["last_day"], f["detection_count"], f["rate"])]
+
+    rows = sightings.select("place", "damage_type", "seq", "id", "lat", "lon", "severity", "confidence", "crop", "day")
+    return folds.folded(rows, ["damage_type", "place"], ["seq"], list, step, CHANGES)
+
+
+def upserted(sightings: DataFrame, reach: float = 2.0) -> DataFrame:
+    """The defects that upserts() leaves, with their priority."""
+    names = [c.split()[0] for c in CHANGES.split(", ")[3:]]
+    last = upserts(sightings, reach).groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("x")).select("id", "x.*")
+    return last.withColumn("priority_score", scoring.priority_v1(F.col("severity"), F.col("detection_count")))

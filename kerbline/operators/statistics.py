@@ -66,10 +66,20 @@ def sign_flips(pairs: DataFrame, most_pairs: int = 16) -> DataFrame:
     return out.select(F.lit(n).cast("long").alias("n_pairs"), "mean_difference", (F.col("hits") / F.col("all")).alias("p_value"), F.lit(least).alias("min_achievable_p"), F.lit(least > 0.05).alias("underpowered"))
 
 
+def draw(*columns: Column | str, size: Column) -> Column:
+    """A number from 0 to size - 1 by the MD5 of these columns, so that any engine draws the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 8), 16, 10).cast("long") % size
+
+
+def placed_by(rows: DataFrame, key: str) -> DataFrame:
+    """rows with i, their place from 0 in the order of the key, for a sample that is small enough to be resampled: means of groups, seeds, classes."""
+    return rows.withColumn("i", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+
+
 def bootstrap_mean(values: DataFrame, resamples: int = 1000) -> DataFrame:
     """Percentile interval of the mean over (i, v), i from 0 to n - 1; draws are hashes of resample and position, so runs agree."""
     n = values.count()
-    draws = values.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("b", F.pmod(F.xxhash64("b", "j"), F.lit(n)).alias("i"))
+    draws = values.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("b", draw("b", "j", size=F.lit(n)).alias("i"))
     means = draws.join(values, "i").groupBy("b").agg(F.avg("v").alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
@@ -77,7 +87,7 @@ def bootstrap_mean(values: DataFrame, resamples: int = 1000) -> DataFrame:
 def permutation_p(rows: DataFrame, permutations: int = 1000) -> DataFrame:
     """Add-one p value of the absolute rank correlation over (i, rx, ry), i from 0: ry is dealt anew in the order of a hash."""
     perms = rows.sparkSession.range(permutations).withColumnRenamed("id", "perm")
-    dealt = perms.join(F.broadcast(rows.select("i", "ry"))).withColumn("to", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("perm", "i"), "i")) - 1)
+    dealt = perms.join(F.broadcast(rows.select("i", "ry"))).withColumn("to", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", "perm", "i")), "i")) - 1)
     rho = dealt.join(rows.select(F.col("i").alias("to"), "rx"), "to").groupBy("perm").agg(F.abs(F.corr("rx", "ry")).alias("rho"))
     seen = rows.agg(F.abs(F.corr("rx", "ry")).alias("seen"))
     return rho.join(F.broadcast(seen)).agg(((F.count_if(F.col("rho") >= F.col("seen") - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"), F.max("seen").alias("rho"))

@@ -213,10 +213,10 @@ def set_04(spark, sf):
 
 @query("wr_01_upsert")
 def wr_01(spark, sf):
-    d = V.detections(spark, sf).where("severity is not null").select("id", "latitude", "longitude", "damage_type", "severity", F.col("first_detected").alias("day"))
+    d = V.detections(spark, sf).where("severity is not null").select("id", "latitude", "longitude", "damage_type", "severity", "confidence", F.col("first_detected").alias("day"))
     placed = spatial.clusters(d, 2)
     seq = (F.datediff("day", F.lit("1990-01-01")).cast("long") * 10_000_000_000 + F.col("id")).alias("seq")
-    return routes.upserted(placed.select(F.col("cluster_id").alias("place"), "damage_type", seq, "id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "severity", "day"))
+    return routes.upserted(placed.select(F.col("cluster_id").alias("place"), "damage_type", seq, "id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "severity", "confidence", F.when(F.col("id") % 3 > 0, F.concat(F.lit("crop-"), F.col("id").cast("string"))).alias("crop"), "day"))
 
 
 @query("wr_03_counters", "select c_custkey, coalesce(n, 0) + c_nationkey as frames from customer left join (select o_custkey, count(*) as n from orders group by 1) on c_custkey = o_custkey")
@@ -318,12 +318,19 @@ def sc_cond_05(spark, sf):
     return r.select("event_id", "device_id", (confirmed + verified).alias("points"))
 
 
-@query("stat_02_permutation")
+@query("stat_02_permutation", """with s as (select p_brand, avg(p_size) as x, avg(p_retailprice) as y from part group by 1),
+r as (select row_number() over (order by p_brand) - 1 as i, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 as ry from s),
+d as (select p, ry, row_number() over (partition by p order by md5(p || ':' || i), i) - 1 as j from r, range(1000) t(p)),
+h as (select p, abs(corr(rx, d.ry)) as rho from d join r on r.i = d.j group by p), o as (select abs(corr(rx, ry)) as seen from r)
+select (count(*) filter (where rho >= seen - 1e-12) + 1) / (count(*) + 1) as p_value, round(max(seen), 9) as rho from h, o""")
 def stat_02(spark, sf):
+    """Mean size against mean price of the brands of parts, by rank."""
     from kerbline.operators import statistics
 
-    rows = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_nationkey") * 7 % 25).cast("double").alias("rx"), (F.col("n_nationkey") * 3 % 25).cast("double").alias("ry"))
-    return statistics.permutation_p(rows)
+    means = V.table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_size").alias("x"), F.avg("p_retailprice").alias("y")).withColumn("g", F.lit(1))
+    at = statistics.placed_by(means, "p_brand")
+    ranked = at.join(statistics.ranks(means, "g", "x").select("x", F.col("r").alias("rx")), "x").join(statistics.ranks(means, "g", "y").select("y", F.col("r").alias("ry")), "y")
+    return statistics.permutation_p(ranked.select("i", "rx", "ry")).withColumn("rho", F.round("rho", 9))
 
 
 @query("stat_07_medians", "select round(median(l_extendedprice) filter (where l_returnflag = 'A'), 6) as a, round(median(l_extendedprice) filter (where l_returnflag = 'R'), 6) as r from lineitem")
@@ -343,11 +350,10 @@ def stat_11(spark, sf):
 
 @query("opt_01_tours")
 def opt_01(spark, sf):
-    """A tour for each work order and survey month."""
+    """A tour for each work order."""
     items = V.work_order_items(spark, sf)
-    tour = (F.col("work_order_id") * 100_000 + F.year("survey_date") * 12 + F.month("survey_date")).alias("order_id")
-    stops = items.join(V.detections(spark, sf), F.col("detection_id") == F.col("id")).select(tour, F.col("id").alias("stop_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    return routes.planned(stops, passes=5)
+    stops = items.join(V.detections(spark, sf), F.col("detection_id") == F.col("id")).select(F.col("work_order_id").alias("order_id"), F.col("id").alias("stop_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return routes.planned(stops)
 
 
 @query("opt_05_averaged_weights", "select i, round(avg(v), 6) as mean from (select unnest(embedding) as v, unnest(range(64)) as i from embeddings) group by i")

@@ -85,10 +85,14 @@ def stat_03(spark, sf):
     return statistics.sign_flips(pairs).withColumn("mean_difference", F.round("mean_difference", 6))
 
 
-@query("stat_04_bootstrap")
+@query("stat_04_bootstrap", """with v as (select row_number() over (order by p_brand) - 1 as i, avg(p_retailprice) as v, count(*) over () as n from part group by p_brand),
+d as (select b, cast('0x' || substr(md5(b || ':' || j), 1, 8) as bigint) % (select count(*) from v) as i from range(1000) t(b), (select i as j from v)),
+m as (select b, avg(v) as m from d join v using (i) group by b) select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
 def stat_04(spark, sf):
-    s = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_nationkey") * 37 % 25).cast("double").alias("v"))
-    return statistics.bootstrap_mean(s)
+    """The mean price of the brands of parts."""
+    means = V.table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("v"))
+    got = statistics.bootstrap_mean(statistics.placed_by(means, "p_brand").select("i", "v"))
+    return got.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("stat_05_effect_size", "select l_returnflag, round(avg(l_discount - l_tax) / stddev_samp(l_discount - l_tax), 8) as d from lineitem group by l_returnflag")

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete shuffle files at the end of an execution.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: str | None = None
 
 
@@ -29,8 +32,10 @@ def get_spark(app: str = "kerbline", cpus: int | str = "*", partitions: int = 8,
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set (local runs only)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set, which a local master alone can use."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not shared:
         global _own
         _own = _own or tempfile.mkdtemp(prefix="kerbline-")
@@ -39,10 +44,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives the loss of an executor, and runs the plan once."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives the loss of an executor, and runs the plan once.
+
+    What the plan shuffled is deleted as soon as it is written, so that the disk holds one step at a time.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
