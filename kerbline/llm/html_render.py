@@ -3,14 +3,16 @@
 The standard library's tokenizer feeds a builder that keeps the stack of open elements: it supplies the end tags that HTML leaves
 out (a paragraph ends before a block, an item before the next item, cells and rows before the next ones), ignores end tags that
 match nothing, and drops what is not shown: scripts, styles, the head, hidden elements, and elements that an inline style or a
-simple rule of the page's style sheet takes away. What is left is laid out as it is met: blocks on lines of their own with one
+rule of the page's style sheet takes away, by tag, classes and id together; what is only made invisible may hold what is made visible
+again. What is left is laid out as it is met: blocks on lines of their own with one
 empty line between paragraphs, items behind bullets or numbers, indented by depth, preformatted text as it stands, and tables
-with their cells padded to columns. Nothing recurses, so depth of nesting is no danger.
+with their cells padded to columns. Nothing recurses, and where each open element stands is known, so depth of nesting is no danger.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,12 +44,16 @@ IMPLIED = {
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-#: Cells wider than this are not padded for, so that one long cell does not blow up its column.
+#: Lines of cells longer than this are not padded for, so that one long cell does not multiply the size of its table.
 WIDEST = 40
+#: Fixed value: columns that a cell can span, by the HTML standard.
+MOST_COLUMNS = 1000
 
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VEIL = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
+_MARK = re.compile(r"([.#])([\w-]+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -105,14 +111,14 @@ class Flow:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table: cells side by side, padded to the width of their column."""
+def aligned(rows: list[list[list[str]]], widest: int = WIDEST) -> list[str]:
+    """Lines of a table: cells side by side, padded to the width of their column; lines longer than `widest` stick out."""
     widths: list[int] = []
     for row in rows:
         for i, cell in enumerate(row):
             if i == len(widths):
                 widths.append(0)
-            widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= WIDEST)])
+            widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= widest)])
     out = []
     for row in rows:
         for n in range(max((len(c) for c in row), default=0)):
@@ -121,17 +127,19 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
 
 
 class Renderer(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, widest: int = WIDEST) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, object]] = []  # name, and what its end undoes
-        self.count: dict[str, int] = {}
+        self.widest = widest
+        self.open: list[tuple[str, object, bool]] = []  # name, what its end undoes, and whether text was veiled outside
+        self.at: dict[str, list[int]] = {}  # where in `open` the elements of a name stand
+        self.veiled = False
         self.flows = [Flow()]
         self.tables: list[list[list[list[str]]]] = []
         self.lists: list[list] = []
         self.hidden = 0
         self.pre = 0
         self.sheet: list[str] = []
-        self.rules: set[tuple[str, str, str]] = set()
+        self.rules: list[tuple[str, frozenset[str], str, str]] = []
         self.n = {"li": 0, "table": 0, "p": 0}
 
     # ------------------------------------------------ the builder
@@ -140,22 +148,22 @@ class Renderer(HTMLParser):
         if tag in VOID:
             self.void(tag, dict(attrs))
             return
-        if tag in BLOCKS and self.count.get("p"):
+        if tag in BLOCKS and self.at.get("p"):
             self.close_to({"p"}, {"td", "th", "table", "caption", "button"})
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
         if tag in ("td", "th") and self.tables and not self.has("tr", {"table"}):
             self.enter("tr", {})
-        if tag not in UNSEEN and tag not in ("html", "meta", "link") and self.count.get("head"):
+        if tag not in UNSEEN and tag not in ("html", "meta", "link") and self.at.get("head"):
             self.close_to({"head"}, {"html"})
         self.enter(tag, dict(attrs))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not self.count.get("p") and not self.hidden:
+        if tag == "p" and not self.at.get("p") and not self.hidden:
             self.flows[-1].block(2)
         elif tag == "br":
             self.void("br", {})
-        elif self.count.get(tag) and self.has(tag, {"td", "th"} if tag not in PARTS | {"table", "html", "body"} else {"table"} if tag in PARTS else set()):
+        elif self.at.get(tag) and self.has(tag, {"td", "th"} if tag not in PARTS | {"table", "html", "body"} else {"table"} if tag in PARTS else set()):
             while self.open:
                 if self.leave() == tag:
                     break
@@ -164,41 +172,46 @@ class Renderer(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def has(self, tag: str, until) -> bool:
-        for name, _ in reversed(self.open):
-            if name == tag:
-                return True
-            if name in until:
-                return False
-        return False
+        own = self.at.get(tag)
+        return bool(own) and own[-1] >= self.floor(until)
+
+    def floor(self, names) -> int:
+        """Where the innermost of these stands; -1 for none."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
 
     def close_to(self, ends, until) -> None:
         """Ends the outermost of these elements above the nearest of `until`, with all inside."""
-        cut = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in until:
-                break
-            if self.open[i][0] in ends:
-                cut = i
+        floor = self.floor(until)
+        cut = min((own[i] for x in ends if (own := self.at.get(x)) and (i := bisect_right(own, floor)) < len(own)), default=None)
         while cut is not None and len(self.open) > cut:
             self.leave()
 
     # ------------------------------------------------ what is shown
 
     def gone(self, tag: str, attrs: dict) -> bool:
-        if tag in UNSEEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs or _GONE.search(attrs.get("style") or ""):
-            return True
-        if not self.rules:
-            return False
-        names = [("", ""), *((".", c) for c in (attrs.get("class") or "").split()), ("#", attrs.get("id") or "\0")]
-        return any((t, k, v) in self.rules for t in (tag, "") for k, v in names if t or k)
+        style = attrs.get("style") or ""
+        told = self.told(tag, attrs) if self.rules else set()
+        if m := _VEIL.search(style):
+            self.veiled = m[1].lower() != "visible"
+        elif told & {"hidden", "collapse", "visible"}:
+            self.veiled = "visible" not in told
+        return tag in UNSEEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs or bool(_GONE.search(style)) or "none" in told
+
+    def told(self, tag: str, attrs: dict) -> set[str]:
+        """What the style sheet says of an element."""
+        classes, own = set((attrs.get("class") or "").split()), attrs.get("id") or ""
+        return {says for t, cs, i, says in self.rules if t in ("", tag) and cs <= classes and i in ("", own)}
 
     def learn(self, sheet: str) -> None:
         for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _GONE.search(body):
-                for s in selectors.split(","):
-                    m = _SIMPLE.fullmatch(s.strip())
-                    if m and m[0]:
-                        self.rules.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
+            veil = _VEIL.search(body)
+            says = "none" if _GONE.search(body) else veil[1].lower() if veil else ""
+            for s in selectors.split(",") if says else ():
+                m = _SIMPLE.fullmatch(s.strip())
+                if m and m[0]:
+                    marks = _MARK.findall(m[2])
+                    tag = "" if m[1] in (None, "*") else m[1].lower()
+                    self.rules.append((tag, frozenset(v for k, v in marks if k == "."), next((v for k, v in marks if k == "#"), ""), says))
 
     # ------------------------------------------------ layout
 
@@ -212,6 +225,7 @@ class Renderer(HTMLParser):
 
     def enter(self, tag: str, attrs: dict) -> None:
         undo: object = None
+        veiled = self.veiled
         if self.hidden or self.gone(tag, attrs):
             self.hidden += 1
             undo = "hidden"
@@ -226,7 +240,7 @@ class Renderer(HTMLParser):
             elif tag in ("td", "th") and self.tables:
                 self.flows.append(Flow())
                 span = attrs.get("colspan") or ""
-                undo = min(int(span), 100) if span.isascii() and span.isdigit() else 1
+                undo = min(int(span[:9]), MOST_COLUMNS) if span.isascii() and span.isdigit() else 1
             elif tag in LISTS:
                 flow.block(1 if self.lists else 2)
                 start = attrs.get("start") or ""
@@ -247,12 +261,12 @@ class Renderer(HTMLParser):
                     undo, flow.indent = flow.indent, flow.indent + "  "
             if tag == "pre":
                 self.pre += 1
-        self.open.append((tag, undo))
-        self.count[tag] = self.count.get(tag, 0) + 1
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, undo, veiled))
 
     def leave(self) -> str:
-        tag, undo = self.open.pop()
-        self.count[tag] -= 1
+        tag, undo, self.veiled = self.open.pop()
+        self.at[tag].pop()
         if tag == "style" and self.sheet:
             self.learn("".join(self.sheet))
             self.sheet = []
@@ -266,7 +280,7 @@ class Renderer(HTMLParser):
                 self.tables[-1].append([])
             self.tables[-1][-1].extend([cell, *[[] for _ in range(undo - 1)]])
         elif tag == "table" and self.tables:
-            lines = aligned([r for r in self.tables.pop() if any(r)])
+            lines = aligned([r for r in self.tables.pop() if any(r)], self.widest)
             flow.block(2)
             for x in lines:
                 if x.strip():
@@ -293,6 +307,8 @@ class Renderer(HTMLParser):
             if self.open and self.open[-1][0] == "style":
                 self.sheet.append(data)
             return
+        if self.veiled:
+            return
         flow = self.flows[-1]
         if self.open and self.open[-1][0] in ("table", "tr", "thead", "tbody", "tfoot", "ul", "ol", "dl") and not data.strip(" \t\n\r\f"):
             return
@@ -306,9 +322,9 @@ class Renderer(HTMLParser):
             flow.text(data)
 
 
-def render(html: str) -> tuple[str, int, int, int]:
+def render(html: str, widest: int = WIDEST) -> tuple[str, int, int, int]:
     """Text, and how many items, tables and paragraphs it shows."""
-    r = Renderer()
+    r = Renderer(widest)
     r.feed(html)
     r.close()
     while r.open:
@@ -316,17 +332,22 @@ def render(html: str) -> tuple[str, int, int, int]:
     return "\n".join(r.flows[0].done()), r.n["li"], r.n["table"], r.n["p"]
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in in_parts(batches, 200):
-        cols = list(zip(*(render(x or "") for x in part.column(1).to_pylist()), strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["page_id", "text", "n_items", "n_tables", "n_paragraphs"])
+def _run(widest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches, 200):
+            cols = list(zip(*(render(x or "", widest) for x in part.column(1).to_pylist()), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["page_id", "text", "n_items", "n_tables", "n_paragraphs"])
+
+    return run
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", widest: int = WIDEST) -> DataFrame:
     """Rows (page_id, text, n_items, n_tables, n_paragraphs), one for each row of pages.
 
     Null or empty HTML gives an empty text; broken HTML gives what can be shown of it. Repeated rows and null ids are rendered like
-    others. Empty in, empty out.
+    others; other columns may have any names. All visible text is given, however long or deep. Columns of a table are as wide as their
+    widest line of at most `widest` characters; longer lines are given whole and stick out. A cell spans at most 1,000 columns, as the
+    standard has it. Style rules with several simple selectors in a row (descendants and the like) are not applied. Empty in, empty out.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    return mapped(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), _run, f"page_id {kind}, text string, n_items long, n_tables long, n_paragraphs long")
+    return mapped(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), _run(widest), f"page_id {kind}, text string, n_items long, n_tables long, n_paragraphs long")

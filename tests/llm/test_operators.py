@@ -172,6 +172,90 @@ def test_html(html, text):
     assert html_render.render(html or "")[0] == text
 
 
+class Page:
+    """Random pages as trees, written as HTML with end tags left out at random, and laid out by a slow recursion of its own."""
+
+    def __init__(self, seed):
+        self.rng, self.n = np.random.default_rng(seed), 0
+
+    def words(self):
+        self.n += 1
+        return " ".join(f"w{self.n}x{i}" for i in range(self.rng.integers(1, 5)))
+
+    def end(self, tag):
+        return f"</{tag}>" if self.rng.random() < 0.5 else ""
+
+    def hidden(self):
+        return self.rng.choice(["<script>var a = '<p>no</p>';</script>", "<div hidden><p>no<ul><li>no</ul></div>", "<div style='visibility:hidden'>no <span>no</span></div>", "<i class='ad big'>no</i>", "<!-- no -->"])
+
+    def list_of(self, depth):
+        """HTML, and lines of a list."""
+        ordered, html, lines = bool(self.rng.integers(0, 2)), "", []
+        for i in range(1, self.rng.integers(2, 5)):
+            text, mark = self.words(), f"{i}. " if ordered else "- "
+            html += f"<li>{text}"
+            lines.append(mark + text)
+            if depth and self.rng.random() < 0.4:
+                inner, more = self.list_of(depth - 1)
+                html += inner
+                lines += [" " * len(mark) + x for x in more]
+            html += self.end("li")
+        tag = "ol" if ordered else "ul"
+        return f"<{tag}>{html}</{tag}>", lines
+
+    def table(self):
+        rows = [[self.words() for _ in range(3)] for _ in range(self.rng.integers(1, 4))]
+        html = "".join("<tr>" + "".join(f"<td>{c}{self.end('td')}" for c in r) + self.end("tr") for r in rows)
+        width = [max(len(r[i]) for r in rows) for i in range(3)]
+        return f"<table>{html}</table>", ["  ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in rows]
+
+    def make(self):
+        html, blocks = "<style>.ad.big {display: none} .big {color: red}</style>", []
+        for _ in range(self.rng.integers(2, 9)):
+            kind = self.rng.integers(0, 6)
+            if kind == 0:
+                text = self.words()
+                html += f"<p>{text}{self.end('p')}"
+                blocks.append((2, [text]))
+            elif kind == 1:
+                text = self.words()
+                html += f"<div>{text}</div>"
+                blocks.append((1, [text]))
+            elif kind == 2:
+                inner, lines = self.list_of(2)
+                html += inner
+                blocks.append((2, lines))
+            elif kind == 3:
+                inner, lines = self.table()
+                html += inner
+                blocks.append((2, lines))
+            elif kind == 4:
+                a, b = self.words(), self.words()
+                html += f"<section style='visibility: hidden'>no<div style='visibility:visible'>{a} &amp; <b>{b}</b></div>no</section>"
+                blocks.append((1, [f"{a} & {b}"]))
+            else:
+                html += f"<div>{self.hidden()}</div>"
+        text, last = "", 0
+        for gap, lines in blocks:
+            text += ("\n" * max(gap, last) if text else "") + "\n".join(lines)
+            last = gap
+        return html, text
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_html_pages(seed):
+    html, text = Page(seed).make()
+    assert html_render.render(html)[0] == text, html
+
+
+def test_html_deep_and_wide():
+    assert html_render.render("<i><table><td>" + "<div>" * 50_000 + "x" + "</i>" * 50_000)[0] == "x"
+    wide = "y" * 300
+    assert html_render.render(f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>")[0] == f"{wide}  b\na  c"
+    assert html_render.render(f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>", widest=400)[0].split("\n")[1] == "a" + " " * 301 + "c"
+    assert html_render.render("<table><tr><td colspan=99999999999>a<td>b</table>")[0].split() == ["a", "b"]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "t"), (1, "<p>a", "t"), (None, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_render.extract(pages).collect()) == [(0, "a"), (1, ""), (1, "a")]
