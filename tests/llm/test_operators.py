@@ -80,11 +80,34 @@ def test_secret_base_spans(spark):
     assert secret_scan.digest(empty(spark)).count() == 0
 
 
-def test_secret_owners_decide(spark):
-    copied, own = "Qw9_" * 9, "Zx8_" * 9
-    rows = [(i, f"key is {copied}", f"s{i}") for i in range(4)] + [(9, f"key is {own}", "s9")]
-    got = {r.doc_id: r.spans for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[9] == "token:7:43" and got[0] == ""
+def all_spans(rows):
+    """Base spans of each (repository, text, owner), and mixed tokens that at most two owners hold in at most twenty repositories."""
+    tokens = [[(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_\-]{32,}", t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])] for _, t, _ in rows]
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for (i, _, o), found in zip(rows, tokens, strict=True):
+        for *_, v in found:
+            owners[v].add(o)
+            repositories[v].add(i)
+    # a value is one secret whatever its kind, so base spans count towards it
+    for i, t, o in rows:
+        for start, kind, end in base_spans(t or ""):
+            v = ASSIGN.match(t, start)[2] if kind == 0 else t[start:end]
+            owners[v].add(o)
+            repositories[v].add(i)
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repositories[v]) <= 20}
+    names = ("assign", "access", "hex", "token")
+    return [(i, ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted([*base_spans(t or ""), *((a, k, b) for a, k, b, v in found if v in live)]))) for (i, t, _), found in zip(rows, tokens, strict=True)]
+
+
+def test_secret_spans_by_owners_and_repositories(spark):
+    rng = np.random.default_rng(12)
+    many = [f"{'Qw9_' * 8}{i:04d}" for i in range(8)]
+    rows = [(i, f"x {many[0]} é y", f"s{i}") for i in range(4)] + [(50, f"k {many[1]} {many[1]}", "s9"), (50, many[1], None), (None, many[2], None), (None, many[2], "s1"), (51, many[2], "s2")]
+    rows += [(100 + i, f"footer {many[3]}", "s9") for i in range(21)] + [(200 + i, f"footer {many[4]}", "s9") for i in range(20)] + [(300, None, "s1"), (301, "", None)]
+    rows += [(400 + i, " ".join(rng.choice(many, 3)) + " token=" + rng.choice(many), f"s{i % 3}") for i in range(12)]
+    rows += [(500, "password: " + " ".join(f"token=abcdef{i}" for i in range(700)), "s0")]
+    got = secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert Counter((r.doc_id, r.spans) for r in got.collect()) == Counter(all_spans(rows))
 
 
 def test_redaction_keeps_columns_and_rows(spark):
@@ -390,6 +413,18 @@ def test_packing(spark):
     assert packing.pack(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_step_groups_are_balanced(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 50, n)) for n in rng.integers(1, 3000, 300)]
+    table = docs(spark, texts, [*range(300)]).repartition(7)
+    got = packing.pack(table, tokenizer_path(), keep_ids=False, group_tokens=50_000).toPandas()
+    size = got.groupby("step_group").length.sum()
+    windows = got.drop_duplicates("sequence_id")
+    by_tier = windows.groupby(["tier", "step_group"]).size().unstack(fill_value=0)
+    assert len(size) == round(got.length.sum() / 50_000) > 5 and size.max() - size.min() < 2 * 4096
+    assert (by_tier.max(axis=1) - by_tier.min(axis=1) <= 7).all() and got.groupby("sequence_id").step_group.nunique().max() == 1
+
+
 # ------------------------------------------------ 8
 
 
@@ -505,11 +540,101 @@ def test_occurrences_are_judged_by_themselves(spark):
     assert got[0, 0].coverage == got[0, 0].consistency == got[1, 1].consistency == 1 and got[4, 2].coverage < 0.8
 
 
-def test_contamination_matches_literal_search(spark):
+def template(text):
+    """(core, kind at a start, kind inside, ends a sentence) of each word that is one."""
+    out = []
+    for w in (text or "").encode().split():
+        core = w.strip(template_decon._EDGE).decode()
+        if not core:
+            continue
+        if re.fullmatch(r"\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?", core, re.A) or template_decon._ONES.fullmatch(core.encode().lower()):
+            kinds = (1, 1)
+        elif core.encode().lower().decode() in template_decon.UNITS:
+            kinds = (3, 3)
+        else:
+            kinds = (0, 2 if core.istitle() else 0)
+        out.append((core.lower(), *kinds, bool(re.search(r"[.!?:]$", w.decode().rstrip("".join(c for c in map(chr, template_decon._EDGE) if c not in ".!?:"))))))
+    kinds = [k[1] if not i or out[i - 1][3] else k[2] for i, k in enumerate(out)]
+    return [(c, k) for (c, *_), k in zip(out, kinds, strict=True)]
+
+
+def found_slowly(text, item, coverage=0.8, consistent=0.8):
+    """Whether a text contains an item, read from the rules: any occurrence, the whole document, or 50 words in a row."""
+    t, i = template(text), template(item)
+
+    def cut(w):
+        out = []
+        for at in range(len(w) - 4):
+            five = w[at : at + 5]
+            if sum(k == 0 for _, k in five) >= 2:
+                out.append((at, tuple(c if k == 0 else k for c, k in five), [(k, c) for c, k in five if k]))
+        return out
+
+    ours, theirs = cut(i), cut(t)
+    if not ours:
+        return bool(i) and [c for c, _ in i] == [c for c, _ in t]
+    n, quarter = len({k for _, k, _ in ours}), -(-(max(a for a, *_ in ours) + 5) // 4)
+    met = [(b - a, a, k, y, x) for a, k, x in ours for b, key, y in theirs if k == key]
+    places = [met]
+    for shift in (0, quarter):
+        cells = defaultdict(list)
+        for m in met:
+            cells[(m[0] + shift) // (2 * quarter)].append(m)
+        for own in cells.values():
+            many = Counter(m[0] for m in own)
+            best = {}
+            for m in sorted(own, key=lambda m: (-many[m[0]], m[0])):
+                best.setdefault((m[1], m[2]), m)
+            places.append(list(best.values()))
+    for own in places:
+        if len({m[2] for m in own}) / n < coverage:
+            continue
+        pairs = defaultdict(Counter)
+        for _, _, _, y, x in own:
+            for (k, a), (_, b) in zip(x, y, strict=True):
+                pairs[x == y, k, a][b] += 1
+        total = sum(sum(c.values()) for c in pairs.values())
+        if not total or sum(max(c.values()) for c in pairs.values()) / total >= consistent:
+            return True
+    lines = defaultdict(set)
+    for o, a, k, y, x in met:
+        if x == y:
+            lines[o].add((a, k))
+    for own in lines.values():
+        run = []
+        for a, k in sorted(own):
+            if run and a - run[-1][0] > 5:
+                run = []
+            run.append((a, k))
+            if run[-1][0] - run[0][0] + 5 >= 50 and len({k for _, k in run}) >= 10:
+                return True
+    return False
+
+
+def test_contamination_matches_slow_search(spark):
+    """On documents of the test tables, and on texts made of items: whole, cut, with other figures and names, doubled, mixed; with null and
+    repeated ids on both sides, and items too short for a window."""
+    rng = np.random.default_rng(6)
     table, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    items = {r.item_id: " ".join(r.text.split()) for r in bench.collect()}
-    want = {(r.doc_id, i) for r in table.collect() for i, t in items.items() if t in " ".join(r.text.split())}
-    assert want <= {(r.doc_id, r.item_id) for r in template_decon.contaminated(table, bench).collect()}
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    made = ["Tom has 3 red apples and Sam has 5 red apples in the same old basket near the river", "What is 12 plus 7?", "Seven 12 Paris Rome", None, "", "!!", *(x for _, x in items[:12])]
+    texts = [*[x for x in made if x], "what is 12 PLUS 7", "so what is 12 plus 7?"]
+    for x in made:
+        w = (x or "").split()
+        if len(w) > 8:
+            swap = {v: str(rng.integers(50, 99)) for v in set(w) if v.isdigit()}
+            texts += [" ".join(w[: int(len(w) * f)]) for f in (0.6, 0.75, 0.9)] + ["intro here. " + " ".join(swap.get(v, v) for v in w) + " done"]
+            texts += [" ".join(str(rng.integers(1, 99)) if v.isdigit() else v for v in w), " ".join([*w[: len(w) // 2], "and", "then", *w[len(w) // 2 :]]), " ".join(w * 2)]
+    pool = list(enumerate(made)) + [(None, made[0]), (None, "Another short one"), (3, made[0]), (3, made[0])]
+    pool_table = spark.createDataFrame(pool, "item_id long, text string")
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, None), (None, "another SHORT one!")]
+    got = template_decon.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), pool_table)
+    want = Counter((d, i) for d, t in rows for i, x in set(pool) if x and t and found_slowly(t, x))
+    assert Counter((r.doc_id, r.item_id) for r in got.collect()) == want and any(d is None for d, _ in want) and any(i is None for _, i in want)
+    some = table.where("doc_id < 60")
+    got = template_decon.contaminated(some, bench)
+    want = Counter((r.doc_id, i) for r in some.collect() for i, x in items if x and found_slowly(r.text, x))
+    assert Counter((r.doc_id, r.item_id) for r in got.collect()) == want
 
 
 # ------------------------------------------------ 10
