@@ -12,10 +12,13 @@ and consecutive windows mostly share one, so a document becomes a short path of
    which meet by a second shuffle on the window itself.
 4. Back at the texts, settled regions and edges are laid over the coordinates of each document; runs of removed windows with one
    source join to long spans, and the words they cover go.
+5. Each different span is sent to its source document, where its words are looked for, literally. Should any not be there, two
+   unlike windows had equal hashes, and all is done again with other ones.
 
 Documents are dealt into chunks of a few megabytes by a hash of the row. A chunk sends each minimizer or window once, with its
 smallest and largest document id, so a passage in every document costs one row a chunk and no key gets an unbounded group.
-Decisions rest on 128 bits of hash (minimizer and region, or two hashes of the window).
+A row of a minimizer or window is some 40 bytes, and a key has one for each chunk that holds it. A step's shuffles go when it is
+written, so the disk holds one step at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import WordHashes, mix, rolling, signed, texts
+from kerbline.llm.words import WordHashes, mix, rolling, signed, texts, tidied_groups
+from kerbline.session import forget, written
 
 #: Words of a minimizer.
 M = 5
@@ -39,7 +43,8 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bits of a window's second hash that come back to its chunk, where it is told from the chunk's own windows only.
 TWO_KEPT = 0xFFFF
 
-_hashes = WordHashes(7)
+#: Seeds of the hashes that are tried in turn.
+SEEDS = (7, 107, 207, 307)
 
 
 @dataclass
@@ -57,11 +62,17 @@ class Paths:
     two: np.ndarray
 
 
-def paths(column: pa.ChunkedArray, k: int) -> Paths:
+_known: dict[int, WordHashes] = {}
+
+
+def paths(column: pa.ChunkedArray, k: int, seed: int) -> Paths:
+    if seed not in _known:
+        _known.clear()
+        _known[seed] = WordHashes(seed)
     words = [t.split() for t in texts(column)]
     first = np.zeros(len(words) + 1, np.int64)
     first[1:] = np.cumsum([len(w) for w in words])
-    h = np.concatenate([np.zeros(0, np.uint64), *(_hashes.of(w) for w in words)])
+    h = np.concatenate([np.zeros(0, np.uint64), *(_known[seed].of(w) for w in words)])
     m, n = min(M, k), len(h) - k + 1
     empty = np.zeros(0, np.uint64)
     doc_of = np.repeat(np.arange(len(words)), np.diff(first))
@@ -101,9 +112,9 @@ REGIONS = "chunk int, minimizer long, lo long, region long, several boolean, for
 WINDOWS = "chunk int, one long, two long, lo long, several boolean"
 
 
-def _regions(k: int):
+def _regions(k: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        p, (ids, real) = paths(table.column("text"), k), _ids(table)
+        p, (ids, real) = paths(table.column("text"), k, seed), _ids(table)
         use = real[p.doc]
         key, region, doc = p.minimizer[use], p.region[use], ids[p.doc[use]]
         order = np.argsort(key, kind="stable")
@@ -135,7 +146,7 @@ def _column(table: pa.Table, name: str, kind=None) -> np.ndarray:
     return out.view(kind) if kind else out
 
 
-def _expand(k: int):
+def _expand(k: int, seed: int):
     def run(docs: pa.Table, forked: pa.Table) -> pa.Table:
         """The windows of forked regions, each once."""
         keys = np.sort(_column(forked, "minimizer", np.uint64))
@@ -143,7 +154,7 @@ def _expand(k: int):
         lo = hi = np.zeros(0, np.int64)
         if len(keys) and len(docs):
             chunk = forked.column("chunk")[0].as_py()
-            p, (ids, real) = paths(docs.column("text"), k), _ids(docs)
+            p, (ids, real) = paths(docs.column("text"), k, seed), _ids(docs)
             hit, _ = _found(p.minimizer, keys)
             size = np.diff(p.run)
             each = np.repeat(hit & real[p.doc], size)
@@ -159,9 +170,9 @@ def _expand(k: int):
     return run
 
 
-def _cut(k: int, id_type: pa.DataType):
+def _cut(k: int, seed: int):
     def run(docs: pa.Table, settled: pa.Table) -> pa.Table:
-        p, (ids, real) = paths(docs.column("text"), k), _ids(docs)
+        p, (ids, real) = paths(docs.column("text"), k, seed), _ids(docs)
         source = np.full(len(p.window), np.iinfo(np.int64).max)
         for kind in (0, 1):
             mine = _column(settled, "kind") == kind
@@ -189,7 +200,9 @@ def _cut(k: int, id_type: pa.DataType):
         fresh[1:] = (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (of[1:] != of[:-1])
         at = np.nonzero(fresh)[0]
         length = np.diff(np.append(at, len(start))) + k - 1
-        spans = pa.StructArray.from_arrays([pa.array(start[at] - p.first[of[at]]), pa.array(length), pa.array(source[at])], ["start", "length", "source"])
+        begin = start[at] - p.first[of[at]]
+        said = [b" ".join(p.words[d][i : i + n]) for d, i, n in zip(of[at].tolist(), begin.tolist(), length.tolist(), strict=True)]
+        spans = pa.StructArray.from_arrays([pa.array(begin), pa.array(length), pa.array(source[at]), pa.array(said, pa.binary()).cast(pa.string())], ["start", "length", "source", "words"])
         bounds = np.searchsorted(of[at], np.arange(len(p.words) + 1))
         removed = np.add.reduceat(np.append(cover, False), p.first[:-1], dtype=np.int64) if len(p.words) else np.zeros(0, np.int64)
         removed[np.diff(p.first) == 0] = 0
@@ -212,33 +225,78 @@ def _cut(k: int, id_type: pa.DataType):
     return run
 
 
+def _absent(k: int):
+    def run(docs: pa.Table, claims: pa.Table) -> pa.Table:
+        """The claims (source, words) whose words, window by window, stand in no text of the source."""
+        asked: dict[int, list[bytes]] = {}
+        for source, words in zip(claims.column("source").to_pylist(), texts(claims.column("words")), strict=True):
+            asked.setdefault(source, []).append(words)
+        there: dict[int, list[bytes]] = {}
+        for i, source in enumerate(docs.column("doc_id").to_pylist() if asked else []):
+            if source in asked:
+                there.setdefault(source, []).append(b" " + b" ".join(texts(docs.column("text").slice(i, 1))[0].split()) + b" ")
+        out = []
+        for source, spans in asked.items():
+            own = there.get(source, [])
+            for span in spans:
+                if any(b" " + span + b" " in t for t in own):
+                    continue
+                w = span.split()  # a span may follow several passages of its source
+                if len(w) < k or not all(any(b" " + b" ".join(w[i : i + k]) + b" " in t for t in own) for i in range(len(w) - k + 1)):
+                    out.append((source, span.decode()))
+        return pa.table({"source": pa.array([x for x, _ in out], pa.int64()), "words": pa.array([x for _, x in out], pa.string())})
+
+    return run
+
+
+def absent(cut: DataFrame, docs: DataFrame, chunks: int, k: int) -> DataFrame:
+    """Spans of cut (spans) that are not in their source among docs (doc_id, text): (source, words). Each different span is sent once, and
+    of the texts those that are a source."""
+    claims = written(cut.select(F.explode("spans").alias("s")).select("s.source", "s.words").distinct(), "claims")
+    sources = claims.select("source").distinct()
+    held = docs.join(sources, docs.doc_id == sources.source, "left_semi")
+    by = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int").alias("chunk")
+    sent = claims.withColumn("chunk", F.pmod(F.xxhash64("source"), F.lit(chunks)).cast("int"))
+    return held.select("doc_id", "text", by).groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(tidied_groups(_absent(k)), "source long, words string")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept, spans): kept is the text without the words covered by a window of k words that
-    also starts in a document with a smaller id; spans are (start, length, source id) in words of the document.
+    also starts in a document with a smaller id; spans are (start, length, source id, words), in words of the document.
 
     One row for each row of docs, repeated rows included. A null text has no words. A null id is neither smaller nor larger than
     any other, so such a row keeps all its words and takes none from others. Rows of one id never shorten each other. Windows
-    are judged on the input. Empty in, empty out.
+    are judged on the input. Ids are whole numbers; others are refused. Empty in, empty out.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} holds no whole numbers, which documents are ordered by")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(CHUNKS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    regions = dealt.groupBy("chunk").applyInArrow(_regions(k), REGIONS)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    for seed in SEEDS:
+        cut = written(_repeats_cut(dealt, k, seed), "cut")
+        if not absent(cut, slim, chunks, k).limit(1).count():
+            return cut
+        forget(cut)
+    raise RuntimeError("equal hashes of unlike windows under every seed")
+
+
+def _repeats_cut(dealt: DataFrame, k: int, seed: int) -> DataFrame:
+    regions = dealt.groupBy("chunk").applyInArrow(tidied_groups(_regions(k, seed)), REGIONS)
     held = Window.partitionBy("minimizer")
     shared = regions.select(
         "chunk", "minimizer", F.min("lo").over(held).alias("lo"), F.max("lo").over(held).alias("last"), F.max("several").over(held).alias("several"),
         (F.max("forked").over(held) | (F.min("region").over(held) != F.max("region").over(held))).alias("forked"),
     ).where("lo < last or several")
+    shared = written(shared.select("chunk", "minimizer", "lo", "forked"), "shared")
     forked = shared.where("forked").select("chunk", "minimizer")
-    windows = dealt.groupBy("chunk").cogroup(forked.groupBy("chunk")).applyInArrow(_expand(k), WINDOWS)
+    windows = dealt.groupBy("chunk").cogroup(forked.groupBy("chunk")).applyInArrow(tidied_groups(_expand(k, seed)), WINDOWS)
     held = Window.partitionBy("one", "two")
     repeated = windows.select("chunk", "one", "two", F.min("lo").over(held).alias("lo"), F.max("lo").over(held).alias("last"), F.max("several").over(held).alias("several")).where("lo < last or several")
+    repeated = written(repeated.select("chunk", F.lit(1).alias("kind"), "one", F.col("two").bitwiseAND(TWO_KEPT).alias("two"), "lo"), "repeated")
     whole = shared.where("not forked").select("chunk", F.lit(0).alias("kind"), F.col("minimizer").alias("one"), F.lit(0).cast("long").alias("two"), "lo")
-    settled = whole.unionByName(repeated.select("chunk", F.lit(1).alias("kind"), "one", F.col("two").bitwiseAND(TWO_KEPT).alias("two"), "lo"))
-    return (
-        dealt.groupBy("chunk")
-        .cogroup(settled.groupBy("chunk"))
-        .applyInArrow(_cut(k, pa.int64()), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, length: long, source: long>>")
-    )
+    settled = whole.unionByName(repeated)
+    spans = "spans array<struct<start: long, length: long, source: long, words: string>>"
+    return dealt.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(tidied_groups(_cut(k, seed)), f"doc_id long, n_words long, n_removed long, kept string, {spans}")

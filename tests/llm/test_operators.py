@@ -173,6 +173,28 @@ def test_debruijn_small(spark):
     assert debruijn.remove_repeats(empty(spark)).count() == 0
 
 
+def test_debruijn_looks_up_the_words(spark, monkeypatch):
+    """With hashes of few values unlike windows meet; the look-up in the source finds them out, and other hashes are taken."""
+    texts = [" ".join(f"d{i}w{x}" for x in range(40)) for i in range(30)] + [" ".join(f"d3w{x}" for x in range(5, 30))]
+    table, rows = docs(spark, texts, [*range(31)]), list(enumerate(texts))
+    slim = table.select("doc_id", "text")
+    wrong = slim.selectExpr("doc_id", "array(named_struct('start', 0L, 'length', 13L, 'source', 0L, 'words', text)) as spans").where("doc_id < 2")
+    assert [r.source for r in debruijn.absent(wrong, slim, 4, 13).collect()] == [0]
+    tried, cut_once = [], debruijn._repeats_cut
+
+    def weak(dealt, k, seed):
+        tried.append(seed)
+        out = cut_once(dealt, k, seed)
+        false = F.expr("array(named_struct('start', 0L, 'length', 13L, 'source', 0L, 'words', 'not there'))")
+        return out.withColumn("spans", F.when(F.col("doc_id") == 5, false).otherwise(F.col("spans"))) if len(tried) == 1 else out
+
+    monkeypatch.setattr(debruijn, "_repeats_cut", weak)
+    got = debruijn.remove_repeats(table)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == cut(rows) and tried == [7, 107]
+    with pytest.raises(ValueError, match="whole numbers"):
+        debruijn.remove_repeats(table.withColumn("doc_id", F.lit("x")))
+
+
 def test_debruijn_on_documents(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = debruijn.remove_repeats(table)
