@@ -10,13 +10,11 @@ No task holds a model. Words are hashes of 40 bits; the pairs of a language are
 as many as the corpus needs, and a bucket is a set of sorted hash arrays:
 
 1. A pass over the texts gives the counts of each, and finds frequent first words: those with a bucket's share of all pairs or
-   more, at most one a bucket. Their pairs are dealt over all buckets by both words, so no word makes a bucket large.
+   more, at most some four in three buckets, by one text in SAMPLED (what is found decides where pairs go, and nothing else). Their pairs are dealt over all buckets by both words, so no word makes a bucket large.
 2. Each chunk of texts sends a bucket its distinct pairs as sorted arrays; a bucket merges them, which gives counts of counts and
    how many pairs each second word ends. These numbers are added up by second word and sent back.
 3. Each chunk sends its pairs again, now with the documents that hold them. A bucket merges the arrays, has the probability of each
-   pair by bisection and sends each document's sum back.
-
-Both run in ROUNDS parts of the buckets, to keep the disk small.
+   pair by bisection and sends each document's sum back. This runs in ROUNDS parts of the buckets, to keep the disk small.
 
 A text's figure is the mean log perplexity of its words. A language's bounds come from an exact histogram over the documents that
 pass the base rules: HIGH quartile distances above the median, LOW below it, the latter never above LEAST_SHARE of the median, as
@@ -27,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +44,8 @@ MARKS = b"#*$%&|<>"
 #: Bytes of text that a chunk holds, and that a bucket stands for; parts in which documents are scored.
 CHUNK_BYTES, BUCKET_BYTES, ROUNDS = 16 << 20, 16 << 20, 2
 BITS = 40
+#: Of so many texts one, chosen by its hash, is asked for frequent words.
+SAMPLED = 16
 _START, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = WordHashes(11)
@@ -116,12 +115,12 @@ def _measure(buckets: int):
         id_type, seen = None, {}
         for part in in_parts(batches):
             id_type, langs, rows, firsts = part.column(0).type, part.column(1).to_pylist(), [], {}
-            for lang, text in zip(langs, texts(part.column(3)), strict=True):
+            for lang, key, text in zip(langs, part.column(2).to_pylist(), texts(part.column(3)), strict=True):
                 words = text.split()
                 h = _hashes.of(words)
                 chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
                 rows.append((len(words), chars, sum(map(text.count, _marks)), repeated_lines(text), repeated_words(h)))
-                if len(h):
+                if len(h) and key % SAMPLED == 0:
                     firsts.setdefault(lang, []).append(np.append(_START, h[:-1]))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             none = pa.nulls(part.num_rows, pa.int64())
@@ -368,19 +367,15 @@ def _summed(table: pa.Table) -> pa.Table:
 def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
     """(key, loss) for each key of docs (lang, key, text) with words: the sum of the negative log probabilities of its words."""
     spark = docs.sparkSession
-    share = (measured.agg(F.sum("n_words")).first()[0] or 0) / buckets
+    share = (measured.where(F.col("key") % SAMPLED == 0).agg(F.sum("n_words")).first()[0] or 0) / buckets
     often = measured.where("first is not null").groupBy("lang", "first").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * share)
     hot: dict[str | None, list[int]] = {}
     for lang, first, _ in often.collect():  # shares of 3/4 of a bucket or more: at most 4/3 a bucket
         hot.setdefault(lang, []).append(first)
     seen = spark.sparkContext.broadcast({k: (np.sort(np.array(v, np.int64)),) for k, v in hot.items()})
-    ends = []
-    for mine in range(rounds):
-        pairs = mapped(docs, _pairs(buckets, seen, rounds, mine, False), PAIRS)
-        ends.append(written(pairs.groupBy("bucket").applyInArrow(tidied_groups(_counted(buckets, seen)), ENDS), "ends"))
-    ways = written(reduce(DataFrame.unionByName, ends).groupBy("dest").applyInArrow(tidied_groups(_added), WAYS), "ways")
-    for x in ends:
-        forget(x)
+    pairs = mapped(docs, _pairs(buckets, seen, 1, 0, False), PAIRS)
+    ends = pairs.groupBy("bucket").applyInArrow(tidied_groups(_counted(buckets, seen)), ENDS)
+    ways = written(ends.groupBy("dest").applyInArrow(tidied_groups(_added), WAYS), "ways")
     of = ways.groupBy("lang").agg(*(F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k))).alias(f"all_{c}") for c, k in (("counts", 8), ("types", 12))))
     of = written(of.withColumnRenamed("lang", "of_lang"), "counts")
     known = ways.join(of, ways.lang.eqNullSafe(of.of_lang)).drop("of_lang", "counts", "hot", "types")
