@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import valid
+from kerbline.session import written
 
 def number(text: Column) -> Column:
     """A decimal with point or comma; null for anything else."""
@@ -110,3 +111,83 @@ def first_success(strategies: list[tuple[str, DataFrame]]) -> DataFrame:
     tagged = [df.select("file", "time", "lat", "lon", F.lit(i).alias("priority"), F.lit(name).alias("strategy")) for i, (name, df) in enumerate(strategies)]
     both = reduce(DataFrame.unionByName, tagged)
     return both.withColumn("best", F.min("priority").over(Window.partitionBy("file"))).where("priority = best").drop("best", "priority")
+
+
+def track_format(name: Column) -> Column:
+    """gpx or json, by the suffix of a file's name; any other is an error."""
+    suffix = F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
+    return F.when(suffix.isin("gpx", "json"), suffix).otherwise(F.raise_error(F.concat(F.lit("no track format of "), name)))
+
+
+def subtitle_position(line: Column) -> Column:
+    """Position in a line of subtitles as struct (lat, lon): labelled numbers, else GPS(longitude, latitude) with the two told apart by their
+    range where only one can be a latitude, else any that text_position() finds."""
+    n = r"([-+]?\d+(?:\.\d+)?)"
+
+    def got(pattern: str, i: int = 1) -> Column:
+        return F.regexp_extract(line, pattern, i).try_cast("double")
+
+    lat, lon = got(rf"(?i)latitude\s*:\s*{n}"), got(rf"(?i)longt?itude\s*:\s*{n}")
+    pair = rf"(?i)gps\s*\(\s*{n}\s*,\s*{n}"
+    a, b = got(pair, 1), got(pair, 2)
+    turned = (F.abs(a) <= 90) & (F.abs(b) > 90)
+    gps = F.when(a.isNotNull(), F.struct(F.when(turned, a).otherwise(b).alias("lat"), F.when(turned, b).otherwise(a).alias("lon")))
+    found = F.coalesce(F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))), gps, text_position(line))
+    return F.when(valid(found["lat"], found["lon"]), found)
+
+
+def parse_subtitles(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(time, lat, lon) of the lines of a subtitle file: NMEA sentences as such, others by subtitle_position()."""
+    trimmed = F.trim(F.col(column))
+    nmea = trimmed.rlike(r"^\$.{0,4}(RMC|GGA)")
+    others = lines.where(~nmea).select(subtitle_position(trimmed).alias("p")).where("p is not null")
+    return parse_nmea(lines.where(nmea), column).select("time", "lat", "lon").unionByName(others.select(F.lit(None).cast("timestamp").alias("time"), "p.lat", "p.lon"))
+
+
+#: Names of the fields of a point in JSON, the first that is there counts.
+_JSON_NAMES = {
+    "lat": ("lat", "latitude", "Lat", "Latitude"), "lon": ("lon", "lng", "long", "longitude", "Lon", "Longitude"),
+    "elevation": ("ele", "alt", "altitude", "elevation"), "time": ("time", "timestamp", "datetime", "utc", "date"),
+}
+
+
+def walk_json(texts: DataFrame) -> DataFrame:
+    """(file, time, lat, lon, elevation) of every object, however deep, of the JSON texts (file, value) that holds a numeric latitude and longitude.
+
+    Level by level: each pass explodes the objects and lists of the one before, all files together. Texts that are no JSON give nothing.
+    """
+    spark = texts.sparkSession
+    level = texts.select("file", F.try_parse_json("value").alias("v")).where("v is not null")
+    found = []
+
+    def field(name: str) -> Column:
+        return F.coalesce(*(F.try_variant_get("v", f"$.{k}", "variant") for k in _JSON_NAMES[name]))
+
+    def figure(x: Column) -> Column:
+        return F.when(F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(x, "$", "double"))
+
+    while True:
+        level = written(level, "level")
+        at = level.select("file", when(F.try_variant_get(field("time"), "$", "string")).alias("time"), figure(field("lat")).alias("lat"), figure(field("lon")).alias("lon"), figure(field("elevation")).alias("elevation"))
+        found.append(at.where(valid(F.col("lat"), F.col("lon"))))
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("file", F.col("value").alias("v"))
+        inner = inner.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = inner
+
+
+def gpx_documents(points: DataFrame, name: str = "kerbline") -> DataFrame:
+    """(file, value): a GPX 1.1 document of each file's points (file, time, lat, lon, elevation, speed_mps), in order of time; height, time
+    and speed are left out where they are null. A document holds one file's points."""
+    def part(c: Column, text: Column) -> Column:
+        return F.when(c.isNotNull(), text).otherwise("")
+
+    head = F.format_string('<trkpt lat="%.7f" lon="%.7f">', "lat", "lon")
+    ele = part(F.col("elevation"), F.format_string("<ele>%.2f</ele>", "elevation"))
+    at = part(F.col("time"), F.concat(F.lit("<time>"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("</time>")))
+    speed = part(F.col("speed_mps"), F.format_string("<extensions><speed>%.3f</speed></extensions>", "speed_mps"))
+    rows = points.select("file", F.struct("time", "lat", "lon", F.concat(head, ele, at, speed, F.lit("</trkpt>")).alias("x")).alias("p"))
+    lines = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"]), "\n").alias("points"))
+    top = f'<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="{name}" xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>\n'
+    return lines.select("file", F.concat(F.lit(top), "points", F.lit("\n</trkseg></trk></gpx>\n")).alias("value"))
