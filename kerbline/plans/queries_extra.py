@@ -13,6 +13,7 @@ from kerbline.plans import views as V
 from kerbline.plans.queries_detections import _GRID, bands, det, metres, scored
 from kerbline.plans.registry import query
 from kerbline.plans.views import duck
+from kerbline.sources import labels, tracks
 
 
 @query("src_02_chunks", "select o_orderkey % 15 as chunk, count(*) as n, min(o_orderkey) as first_key from orders group by 1")
@@ -20,10 +21,12 @@ def src_02(spark, sf):
     return V.table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 15).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("src_16_first_success", "select l_orderkey as file, min(l_linenumber) as priority, count(*) filter (where l_linenumber = m) as n from (select *, min(l_linenumber) over (partition by l_orderkey) as m from lineitem) group by l_orderkey")
+@query("src_16_first_success", "with r as (select l_orderkey as file, l_linenumber, l_linenumber % 3 as priority from lineitem), m as (select *, min(priority) over (partition by file) as best from r) select cast(file as varchar) as file, ['exif', 'text', 'sensor'][priority + 1] as strategy, count(*) as n from m where priority = best group by all")
 def src_16(spark, sf):
-    li = V.table(spark, sf, "lineitem").withColumn("m", F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))).where("l_linenumber = m")
-    return li.groupBy(F.col("l_orderkey").alias("file")).agg(F.min("l_linenumber").alias("priority"), F.count("*").alias("n"))
+    """Three readings of the same files, each giving rows of some."""
+    li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_shipdate").alias("time"), F.col("l_tax").alias("lat"), F.col("l_discount").alias("lon"), (F.col("l_linenumber") % 3).alias("k"))
+    got = tracks.first_success([(name, li.where(F.col("k") == i)) for i, name in enumerate(("exif", "text", "sensor"))])
+    return got.groupBy("file", "strategy").agg(F.count("*").alias("n"))
 
 
 @query("src_26_long_metrics", "select s_suppkey, 'balance' as metric, s_acctbal as value from supplier where s_acctbal > 0 union all select s_suppkey, 'nation', s_nationkey from supplier")
@@ -34,18 +37,38 @@ def src_26(spark, sf):
 
 @query("snk_03_features", det("select id, 'Point' as kind, longitude, latitude from v_detections"))
 def snk_03(spark, sf):
-    from kerbline.sources.labels import geojson
-
     d = V.detections(spark, sf).select("id", "latitude", "longitude")
     x = F.from_json("feature", "geometry struct<type: string, coordinates: array<double>>, properties struct<id: long>")
-    return geojson(d, "latitude", "longitude").select(x.alias("x")).select("x.properties.id", F.col("x.geometry.type").alias("kind"), F.col("x.geometry.coordinates")[0].alias("longitude"), F.col("x.geometry.coordinates")[1].alias("latitude"))
+    return labels.geojson(d, "latitude", "longitude").select(x.alias("x")).select("x.properties.id", F.col("x.geometry.type").alias("kind"), F.col("x.geometry.coordinates")[0].alias("longitude"), F.col("x.geometry.coordinates")[1].alias("latitude"))
 
 
-@query("snk_10_repeat_names", "select l_orderkey, case when r > 1 then l_partkey || '__dup' || (r - 1) else cast(l_partkey as varchar) end as name from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice) as r from lineitem)")
+@query("snk_10_repeat_names", "select 'train' as split, cast(l_partkey as varchar) as image, case when r > 1 then l_partkey || '__dup' || (r - 1) else cast(l_partkey as varchar) end as name from (select *, row_number() over (partition by l_partkey) as r from lineitem)")
 def snk_10(spark, sf):
-    again = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")) - 1
-    key = F.col("l_partkey").cast("string")
-    return V.table(spark, sf, "lineitem").select("l_orderkey", F.when(again > 0, F.concat(key, F.lit("__dup"), again.cast("string"))).otherwise(key).alias("name"))
+    return labels.materialised(V.table(spark, sf, "lineitem").select(F.lit("train").alias("split"), F.col("l_partkey").cast("string").alias("image")))
+
+
+@query("snk_05_stage_documents", "select s_nationkey as run, count(*) as n, round(max(s_acctbal), 2) as top, list(s_suppkey order by s_suppkey) as frames from supplier group by 1")
+def snk_05(spark, sf):
+    """Stage artefacts as JSON and read again: a header of statistics and the list of frames."""
+    s = V.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("run"), F.col("s_suppkey").alias("frame_id"), F.col("s_acctbal").cast("double").alias("score"))
+    made = labels.stage_documents(s, "run", {"n": F.count("*"), "top": F.max("score")})
+    x = F.from_json("document", "stats struct<n: long, top: double>, frames array<struct<frame_id: long, score: double>>")
+    return made.select("run", x.alias("x")).select("run", "x.stats.n", F.round("x.stats.top", 2).alias("top"), F.col("x.frames.frame_id").alias("frames"))
+
+
+@query("snk_11_last_epochs", "select l_orderkey as run, max(l_linenumber) as epoch, max({'e': l_linenumber, 'v': l_quantity}).v as value from lineitem group by 1")
+def snk_11(spark, sf):
+    """The last row of each run's sheet."""
+    m = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("epoch"), F.col("l_quantity").alias("value"))
+    return labels.last_rows(m, "run", "epoch")
+
+
+@query("agg_27_class_histogram", "with f as (select distinct o_custkey % 5 as folder, o_orderkey as file from orders where o_orderkey in (select l_orderkey from lineitem)), k as (select * from (select *, row_number() over (partition by folder order by file) as r from f) where r <= 100) select folder, l_linenumber as class_id, count(*) as n from k join lineitem on l_orderkey = file group by all")
+def agg_27(spark, sf):
+    """Classes in the first hundred label files of each folder, by name."""
+    o = V.table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("folder"), F.col("o_orderkey").alias("file"))
+    boxes = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("class_id")).join(o, "file")
+    return labels.class_histogram(boxes, 100)
 
 
 @query("flt_12_valid_fixes", duck("v_reports", body="select count(*) as n, count(*) filter (where longitude between -180 and 180 and latitude between -90 and 90 and not (latitude = 0 and longitude = 0)) as valid from v_reports"))

@@ -12,6 +12,7 @@ from kerbline.plans import views as V
 from kerbline.plans.queries_joins import _PHASH, phashes
 from kerbline.plans.registry import query
 from kerbline.plans.views import duck
+from kerbline.sources import labels
 
 _KIND = "(l_partkey + l_linenumber) % 6"
 
@@ -228,6 +229,14 @@ def stat_10(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", experiments.class_check(declared, ["crack", "pothole", "rutting"]).alias("outcome"))
 
 
+@query("prj_05_canonical_names", "select p_partkey, case p_partkey % 3 when 0 then ['pothole', 'crack'] when 1 then ['pothole', 'pothole'] else ['D00', 'kerb'] end as names from part")
+def prj_05(spark, sf):
+    """Two lists that are known throughout, and one with a foreign name, which stays as it is."""
+    lists = (("D40", "Crack"), ("pothole", "d40"), ("D00", "kerb"))
+    declared = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in lists)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return V.table(spark, sf, "part").select("p_partkey", labels.canonical(declared, {"D00": "crack", "D40": "pothole"}).alias("names"))
+
+
 _FOLDERS = "im as (select 'set/' || l_suppkey % 60 as folder, l_orderkey as stem from lineitem), lb as (select 'set/' || l_suppkey % 60 as folder, l_orderkey as stem from lineitem where l_linenumber < 1 + l_suppkey % 4)"
 
 

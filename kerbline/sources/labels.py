@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +95,42 @@ def materialised(splits: DataFrame) -> DataFrame:
     """(split, image) with a file name for each repeat: name, name__dup1, name__dup2."""
     again = F.row_number().over(Window.partitionBy("split", "image").orderBy("image")) - 1
     return splits.select("split", "image", F.when(again > 0, F.concat("image", F.lit("__dup"), again.cast("string"))).otherwise(F.col("image")).alias("name"))
+
+
+def stage_documents(frames: DataFrame, run: str, stats: dict[str, Column]) -> DataFrame:
+    """(run, document): for each run a JSON text of its statistics and of all its frames, in their order; written one to a line."""
+    rest = [c for c in frames.columns if c != run]
+    by = frames.groupBy(run).agg(F.struct(*(x.alias(n) for n, x in stats.items())).alias("stats"), F.array_sort(F.collect_list(F.struct(*rest))).alias("frames"))
+    return by.select(run, F.to_json(F.struct("stats", "frames")).alias("document"))
+
+
+def last_rows(metrics: DataFrame, run: str, epoch: str) -> DataFrame:
+    """The row of each run's last epoch."""
+    rest = [c for c in metrics.columns if c not in (run, epoch)]
+    return metrics.groupBy(run).agg(F.max(F.struct(epoch, *rest)).alias("last")).select(run, "last.*")
+
+
+def class_histogram(boxes: DataFrame, most: int = 3000) -> DataFrame:
+    """(folder, class_id, n) over the boxes (folder, file, class_id) of the first `most` files of each folder by name: a look at a dataset."""
+    files = boxes.select("folder", "file").distinct()
+    first = files.withColumn("r", F.row_number().over(Window.partitionBy("folder").orderBy("file"))).where(F.col("r") <= most).drop("r")
+    return boxes.join(first, ["folder", "file"]).groupBy("folder", "class_id").agg(F.count("*").alias("n"))
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Adds rows to a metric log; the first call fixes the columns and their order, later ones are brought to it, and new columns are refused."""
+    spark = rows.sparkSession
+    try:
+        columns = spark.read.option("header", True).csv(path).columns
+    except AnalysisException:
+        columns = rows.columns
+    if more := set(rows.columns) - set(columns):
+        raise ValueError(f"the log has no columns {sorted(more)}")
+    rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode("append").option("header", True).csv(path)
+
+
+def canonical(names: Column, codes: dict[str, str]) -> Column:
+    """A list of class names with their codes translated, if every one is a code or a name that is known; else as it is."""
+    known = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))
+    told = F.transform(names, lambda n: F.coalesce(F.try_element_at(known, F.upper(n)), F.when(F.lower(n).isin(*codes.values()), F.lower(n))))
+    return F.when(F.forall(told, lambda n: n.isNotNull()), told).otherwise(names)

@@ -136,3 +136,15 @@ def test_track_format(spark):
     assert [r.f for r in names.select(tracks.track_format(F.col("name")).alias("f")).collect()] == ["gpx", "json"]
     with pytest.raises(Exception, match="no track format"):
         spark.createDataFrame([("a.fit",)], "name string").select(tracks.track_format(F.col("name"))).collect()
+
+
+def test_metric_log_keeps_its_columns(spark, tmp_path):
+    from kerbline.sources import labels
+
+    at = str(tmp_path / "log")
+    labels.append_metrics(spark.createDataFrame([(1, 0.5)], "epoch int, loss double"), at)
+    labels.append_metrics(spark.createDataFrame([(0.25, 2)], "loss double, epoch int"), at)
+    labels.append_metrics(spark.createDataFrame([(3,)], "epoch int"), at)
+    assert {(r.epoch, r.loss) for r in spark.read.option("header", True).csv(at).collect()} == {("1", "0.5"), ("2", "0.25"), ("3", None)}
+    with pytest.raises(ValueError, match="no columns"):
+        labels.append_metrics(spark.createDataFrame([(1,)], "other int"), at)
