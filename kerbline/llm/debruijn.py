@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import WordHashes, mix, rolling, signed, texts, tidied_groups
+from kerbline.llm.words import WordHashes, mix, rolling, signed, texts
 from kerbline.session import forget, written
 
 #: Words of a minimizer.
@@ -257,7 +257,7 @@ def absent(cut: DataFrame, docs: DataFrame, chunks: int, k: int) -> DataFrame:
     held = docs.join(sources, docs.doc_id == sources.source, "left_semi")
     by = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int").alias("chunk")
     sent = claims.withColumn("chunk", F.pmod(F.xxhash64("source"), F.lit(chunks)).cast("int"))
-    return held.select("doc_id", "text", by).groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(tidied_groups(_absent(k)), "source long, words string")
+    return held.select("doc_id", "text", by).groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_absent(k), "source long, words string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _repeats_cut(dealt: DataFrame, k: int, seed: int) -> DataFrame:
-    regions = dealt.groupBy("chunk").applyInArrow(tidied_groups(_regions(k, seed)), REGIONS)
+    regions = dealt.groupBy("chunk").applyInArrow(_regions(k, seed), REGIONS)
     held = Window.partitionBy("minimizer")
     shared = regions.select(
         "chunk", "minimizer", F.min("lo").over(held).alias("lo"), F.max("lo").over(held).alias("last"), F.max("several").over(held).alias("several"),
@@ -292,11 +292,11 @@ def _repeats_cut(dealt: DataFrame, k: int, seed: int) -> DataFrame:
     ).where("lo < last or several")
     shared = written(shared.select("chunk", "minimizer", "lo", "forked"), "shared")
     forked = shared.where("forked").select("chunk", "minimizer")
-    windows = dealt.groupBy("chunk").cogroup(forked.groupBy("chunk")).applyInArrow(tidied_groups(_expand(k, seed)), WINDOWS)
+    windows = dealt.groupBy("chunk").cogroup(forked.groupBy("chunk")).applyInArrow(_expand(k, seed), WINDOWS)
     held = Window.partitionBy("one", "two")
     repeated = windows.select("chunk", "one", "two", F.min("lo").over(held).alias("lo"), F.max("lo").over(held).alias("last"), F.max("several").over(held).alias("several")).where("lo < last or several")
     repeated = written(repeated.select("chunk", F.lit(1).alias("kind"), "one", F.col("two").bitwiseAND(TWO_KEPT).alias("two"), "lo"), "repeated")
     whole = shared.where("not forked").select("chunk", F.lit(0).alias("kind"), F.col("minimizer").alias("one"), F.lit(0).cast("long").alias("two"), "lo")
     settled = whole.unionByName(repeated)
     spans = "spans array<struct<start: long, length: long, source: long, words: string>>"
-    return dealt.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(tidied_groups(_cut(k, seed)), f"doc_id long, n_words long, n_removed long, kept string, {spans}")
+    return dealt.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(_cut(k, seed), f"doc_id long, n_words long, n_removed long, kept string, {spans}")
