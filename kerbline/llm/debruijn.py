@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import WordHashes, mix, rolling, signed, texts
+from kerbline.llm.words import TextHashes, mix, rolling, signed, texts
 from kerbline.session import forget, written
 
 #: Words of a minimizer.
@@ -62,17 +62,17 @@ class Paths:
     two: np.ndarray
 
 
-_known: dict[int, WordHashes] = {}
+_known: dict[int, TextHashes] = {}
 
 
 def paths(column: pa.ChunkedArray, k: int, seed: int) -> Paths:
     if seed not in _known:
         _known.clear()
-        _known[seed] = WordHashes(seed)
-    words = [t.split() for t in texts(column)]
-    first = np.zeros(len(words) + 1, np.int64)
-    first[1:] = np.cumsum([len(w) for w in words])
-    h = np.concatenate([np.zeros(0, np.uint64), *(_known[seed].of(w) for w in words)])
+        _known[seed] = TextHashes(seed)
+    docs = texts(column)
+    words = [t.split() for t in docs]
+    h, size, _ = _known[seed](docs)
+    first = np.append(0, np.cumsum(size))
     m, n = min(M, k), len(h) - k + 1
     empty = np.zeros(0, np.uint64)
     doc_of = np.repeat(np.arange(len(words)), np.diff(first))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.words import WordHashes, in_parts, mapped, mix, texts, tidied_groups
+from kerbline.llm.words import TextHashes, in_parts, mapped, mix, texts, tidied_groups
 from kerbline.session import forget, written
 
 SMALLEST = 50
@@ -48,7 +48,7 @@ BITS = 40
 SAMPLED = 16
 _START, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0x9E3779B97F4A7C15)
 
-_hashes = WordHashes(11)
+_hashes = TextHashes(11)
 
 
 # ---------------------------------------------------------------- arrays as bytes
@@ -115,11 +115,12 @@ def _measure(buckets: int):
         id_type, seen = None, {}
         for part in in_parts(batches):
             id_type, langs, rows, firsts = part.column(0).type, part.column(1).to_pylist(), [], {}
-            for lang, key, text in zip(langs, part.column(2).to_pylist(), texts(part.column(3)), strict=True):
-                words = text.split()
-                h = _hashes.of(words)
-                chars = sum(map(len, words)) if text.isascii() else sum(len(w.decode()) for w in words)
-                rows.append((len(words), chars, sum(map(text.count, _marks)), repeated_lines(text), repeated_words(h)))
+            docs = texts(part.column(3))
+            words, n_words, n_chars = _hashes(docs)
+            ends = np.cumsum(n_words).tolist()
+            for lang, key, text, n, chars, end in zip(langs, part.column(2).to_pylist(), docs, n_words.tolist(), n_chars.tolist(), ends, strict=True):
+                h = words[end - n : end]
+                rows.append((n, chars, sum(map(text.count, _marks)), repeated_lines(text), repeated_words(h)))
                 if len(h) and key % SAMPLED == 0:
                     firsts.setdefault(lang, []).append(np.append(_START, h[:-1]))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -136,7 +137,6 @@ def _measure(buckets: int):
             blank = [pa.nulls(size, pa.int64())] * (1 + len(FIGURES))
             arrays = [pa.nulls(size, id_type), pa.array([lang] * size, pa.string()), *blank, pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "key", *FIGURES, "first", "n"])
-        _hashes.clear()
 
     return run
 
@@ -162,10 +162,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None
 
 def pairs_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word ids in order, and of each word of these texts the rank of the one before it, its own rank, and its text."""
-    each = [_hashes.of(t.split()) for t in docs]
-    size = np.array([len(x) for x in each], np.int64)
-    words = word_ids(np.concatenate([np.array([_START]), *each]))
-    del each
+    h, size, _ = _hashes(docs)
+    words = word_ids(np.append(_START, h))
     ids, rank = np.unique(words, return_inverse=True)
     rank = rank.astype(np.int32)
     start, cur = rank[0], rank[1:]
@@ -186,7 +184,6 @@ def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
                 chunk += 1
                 if rows := list(_filed(own, lang, hot.get(lang, (np.zeros(0, np.int64),))[0], chunk)):
                     yield pa.RecordBatch.from_pylist(rows, schema)
-        _hashes.clear()
 
     def _filed(own, lang, hot, chunk):
         ids, before, cur, at = pairs_of([r[2] for r in own])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
-from kerbline.llm.words import WordHashes, in_parts, mapped, mix, rolling, signed, texts
+from kerbline.llm.words import TextHashes, in_parts, mapped, mix, rolling, signed, texts
 from kerbline.session import written
 
 MAX_DISTANCE = 4
@@ -321,13 +321,14 @@ _random = np.random.default_rng(SEED)
 _FLIP = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _TIMES = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _FOLD = _random.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
-_hashes = WordHashes(13)
+_hashes = TextHashes(13)
 
 
-def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Distinct hashes of the word shingles, in order; a shorter text is one shingle, and one without words none."""
-    words = text.lower().split()
-    return np.unique(rolling(_hashes.of(words), min(shingle, len(words)), 0x9E3779B97F4A7C15)) if words else np.zeros(0, np.uint64)
+def shingle_sets(docs: list[bytes], shingle: int = 5) -> list[np.ndarray]:
+    """Of each text the distinct hashes of its word shingles, in order; a shorter text is one shingle, and one without words none."""
+    h, size, _ = _hashes([t.lower() for t in docs])
+    ends = np.cumsum(size).tolist()
+    return [np.unique(rolling(h[end - n : end], min(shingle, n), 0x9E3779B97F4A7C15)) if n else np.zeros(0, np.uint64) for n, end in zip(size.tolist(), ends, strict=True)]
 
 
 def minima(held: np.ndarray) -> np.ndarray:
@@ -426,17 +427,15 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: flo
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches):
-            sets = [shingle_set(t, shingle) for t in texts(part.column(1))]
+            sets = shingle_sets(texts(part.column(1)), shingle)
             keys = band_keys(np.array([minima(x) for x in sets], np.uint32)).ravel() if sets else np.zeros(0, np.uint64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed(keys)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "key", "node", "size", "keys"])
-        _hashes.clear()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches):
-            sets = [shingle_set(t, shingle) for t in texts(part.column(1))]
+            sets = shingle_sets(texts(part.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([_packed(x) for x in sets], pa.binary())], ["node", "shingles"])
-        _hashes.clear()
 
     each = written(mapped(docs.withColumn("key", text_key(F.col("text"))), keyed, f"id {kind}, key long, node long, size long, keys array<long>"), "bands")
     classes = written(each.groupBy("node").agg(F.min("id").alias("low"), F.min("size").alias("size"), F.first("keys").alias("keys")), "classes")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import inspect
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,74 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class TextHashes:
+    """64-bit hashes of all words of texts, by array operations on their bytes: a word's is the sum over its bytes of a random number for the
+    byte times a power of an odd number for its place, mixed; sums over a whole buffer give each word's as a difference."""
+
+    #: Bytes handled at a time, about; a longer text is cut between words.
+    PIECE = 1 << 20
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.base = int(rng.integers(0, 1 << 64, dtype=np.uint64)) | 1
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 2 * self.PIECE:  # one very long word: not kept
+            return tuple(self._run(b, n) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        if n > len(self.up):
+            self.up, self.down = (self._run(b, 2 * self.PIECE) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+    @staticmethod
+    def _run(base: int, n: int) -> np.ndarray:
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        return np.multiply.accumulate(x, out=x)
+
+    def __call__(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of the words of all texts in a row; of each text how many words it has, and how many code points these have."""
+        words, chars = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        out, held, of, size = [np.zeros(0, np.uint64)], [], [], 0
+        for i, text in enumerate(docs):
+            for piece in _between_words(text, self.PIECE):
+                held.append(piece)
+                of.append(i)
+                size += len(piece) + 1
+                if size >= self.PIECE:
+                    self._add(held, of, out, words, chars)
+                    held, of, size = [], [], 0
+        if held:
+            self._add(held, of, out, words, chars)
+        return np.concatenate(out), words, chars
+
+    def _add(self, pieces: list[bytes], of: list[int], out: list[np.ndarray], words: np.ndarray, chars: np.ndarray) -> None:
+        a = np.frombuffer(b"\n".join([b"", *pieces, b""]), np.uint8)
+        blank = (a == 32) | ((a >= 9) & (a <= 13))
+        turn = np.nonzero(blank[1:] != blank[:-1])[0] + 1  # it begins and ends with a blank
+        start, stop = turn[::2], turn[1::2]
+        up, down = self._powers(len(a))
+        total = np.cumsum(np.where(blank, np.uint64(0), self.table[a]) * up)  # wraps, as meant
+        out.append(mix((total[stop - 1] - total[start - 1]) * down[start]))
+        ends = np.cumsum([len(p) + 1 for p in pieces])
+        np.add.at(words, of, np.diff(np.searchsorted(start, ends), prepend=0))
+        seen = np.cumsum(~blank & ((a & 0xC0) != 0x80))
+        np.add.at(chars, of, np.diff(seen[ends], prepend=0))
+
+
+_blank = re.compile(rb"[ \t-\r]")
+
+
+def _between_words(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in pieces of about this size that end between words."""
+    at = 0
+    while len(text) - at > 2 * size and (m := _blank.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow column as bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
