@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, debruijn, html_render, kneser_ney, oracles, packing, secret_scan, sharding, simhash_golay, template_decon, url_filter
+from kerbline.llm import chat_format, debruijn, html_render, importance_sampling, kneser_ney, oracles, packing, product_quantizer, secret_scan, sharding, simhash_golay, suffix_tree, template_decon, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +70,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Query] = [op1_url_filter, op2_secret_scan, op3_chat_format, op4_debruijn, op5_html_render, op6_simhash_golay, op7_packing, op8_kneser_ney, op9_template_decon, op10_sharding]
+def op11_screened_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_quantizer.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_tree.score(docs, held_out=F.crc32(docs.doc_id.cast("string").cast("binary")) % 7 == 2)
+
+
+QUERIES: list[Query] = [
+    op1_url_filter, op2_secret_scan, op3_chat_format, op4_debruijn, op5_html_render, op6_simhash_golay, op7_packing, op8_kneser_ney, op9_template_decon, op10_sharding, op11_screened_codes,
+    op12_importance_resampling, op13_suffix_tree,
+]
 
 
 def queries() -> dict[str, Query]:
@@ -78,4 +94,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": oracles.OP1, "op3_chat_format": oracles.OP3, "op4_debruijn": oracles.OP4}
+    return {"op1_url_filter": oracles.OP1, "op3_chat_format": oracles.OP3, "op4_debruijn": oracles.OP4, "op11_screened_codes": oracles.OP11, "op12_importance_resampling": oracles.OP12, "op13_suffix_tree": oracles.OP13}
