@@ -35,7 +35,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from kerbline.plans import queries_detections, queries_extra, queries_joins, queries_more, queries_rules, queries_small  # noqa: F401
+    from kerbline.plans import queries_detections, queries_extra, queries_joins, queries_media, queries_more, queries_rules, queries_small  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
