@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kerbline import vocab
 from kerbline.operators import pixels
 from kerbline.plans import views as V
 from kerbline.plans.registry import query
+from kerbline.session import scratch_dir
+from kerbline.sources import camera
 
 #: A vector of 64 numbers is an image of 8 x 8 spots, each SPOT pixels wide; the mask is that of the numbers from the end.
 SPOT, SPOTS = 4, 8
@@ -70,3 +78,91 @@ def _boxes_of(spark, sf, digits):
 def sc_sev_12_severity(spark, sf):
     """All figures of the boxes with compactness, the depth that stands in, and the severity that follows."""
     return _boxes_of(spark, sf, 4)
+
+
+# ---------------------------------------------------------------- camera files, written byte by byte
+
+
+def _number(x: Column, width: int = 4) -> Column:
+    """A whole number of so many bytes, in hexadecimal digits."""
+    return F.substring(F.lpad(F.hex(x.cast("long")), 16, "0"), 17 - 2 * width, 2 * width)
+
+
+def _text(x: Column) -> Column:
+    return F.hex(F.encode(x, "UTF-8"))
+
+
+def _record(name: str, kind: str, size: int, repeats: Column, payload: Column) -> Column:
+    head = F.concat(F.lit((name.encode() + (kind.encode() or b"\0") + bytes([size])).hex()), _number(repeats, 2))
+    return F.concat(head, payload, F.repeat(F.lit("0"), ((8 - F.length(payload) % 8) % 8).cast("int")))
+
+
+def _nested(name: str, *inner: Column) -> Column:
+    body = F.concat(*inner)
+    return _record(name, "", 4, F.length(body) / 8, body)
+
+
+_DAY = "strftime(ts, '%Y-%m-%d')"
+
+
+@query("src_12_telemetry", f"""select user_id || '/' || {_DAY} as file, row_number() over (partition by user_id, {_DAY} order by event_id) - 1 as seq, (467000000 + (event_id % 1000) * 1234) / 1e7 as lat,
+  -(235000000 + (event_id % 777) * 4321) / 1e7 as lon, (event_id % 500) * 10 / 1000 as elevation, date_trunc('second', min(ts) over (partition by user_id, {_DAY})) as time, (event_id % 90) * 100 / 1000 as speed_mps from events""")
+def src_12(spark, sf):
+    """A recording for each user and day, read back from its nested records."""
+    e = V.table(spark, sf, "events")
+    i = F.col("event_id")
+    sample = F.concat(_number(467_000_000 + i % 1000 * 1234), _number(-(235_000_000 + i % 777 * 4321)), _number(i % 500 * 10), _number(i % 90 * 100), _number(i % 7))
+    by = e.groupBy(F.concat("user_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("file")).agg(F.min("ts").alias("began"), F.sort_array(F.collect_list(F.struct(i.alias("i"), sample.alias("s")))).alias("rows"))
+    scale = _record("SCAL", "l", 4, F.lit(5), F.concat(*(_number(F.lit(x)) for x in (10**7, 10**7, 1000, 1000, 100))))
+    fixes = _record("GPS5", "l", 20, F.size("rows"), F.array_join(F.transform("rows", lambda r: r.s), ""))
+    time = _record("GPSU", "U", 16, F.lit(1), _text(F.concat(F.date_format("began", "yyMMddHHmmss"), F.lit(".000"))))
+    camera_name = _record("DVNM", "c", 1, F.lit(5), F.lit(b"Hero5".hex()))
+    files = by.select("file", F.unhex(_nested("DEVC", camera_name, _nested("STRM", scale, time, fixes))).alias("content"))
+    return camera.telemetry_points(files).select("file", "seq", "lat", "lon", "elevation", F.col("time").cast("timestamp_ntz").alias("time"), "speed_mps")
+
+
+def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        out = []
+        for r in part.itertuples():
+            i = r.event_id
+            time = struct.pack("<6I", r.hour, r.minute, r.second, r.year, r.month, r.day)
+            fix = b"ANE"[:2] + (b"W" if i % 3 == 0 else b"E") + struct.pack("<3f", 4630 + i % 100 / 4, 2310 + i % 64 / 8, i % 250)
+            out.append((b"ANE\0freeGPS"[: i % 12] + bytes([65 + i % 50]) * (i % 400) + camera.MARK + b"\0" * (i % 20) + time + (fix if i % 11 else b"VNE")).ljust(300 + i % 400, b"\1"))
+        yield pd.DataFrame({"bytes": out})
+
+
+def _degrees(x: str) -> str:
+    return f"(floor({x} / 100) + ({x} - floor({x} / 100) * 100) / 60)"
+
+
+@query("src_13_marked_blocks", f"""select {_degrees('(4630 + event_id % 100 / 4)::float::double')} as lat, {_degrees('(2310 + event_id % 64 / 8)::float::double')} * case when event_id % 3 = 0 then -1 else 1 end as lon,
+  date_trunc('second', ts) as time, case when event_id % 250 < 200 then event_id % 250 * 0.514444::double end as speed_mps from events where event_id % 11 <> 0""")
+def src_13(spark, sf):
+    """Recordings with a block for each event, written, and read back by their markers."""
+    e = V.table(spark, sf, "events")
+    clock = [getattr(F, f)("ts").alias(f) for f in ("hour", "minute", "second", "year", "month")]
+    path = f"{scratch_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    e.select("event_id", *clock, F.dayofmonth("ts").alias("day")).mapInPandas(_blocks, "bytes binary").select(F.col("bytes").cast("string")).write.option("lineSep", "\0").text(path)
+    return camera.read_marked_blocks(spark, path).select("lat", "lon", F.col("time").cast("timestamp_ntz").alias("time"), "speed_mps")
+
+
+def _box(name: bytes, *inner: Column) -> Column:
+    body = F.concat(*inner)
+    return F.concat(_number(8 + F.length(body) / 2), F.lit(name.hex()), body)
+
+
+@query("src_14_location_box", """select c_custkey as file, case when c_custkey % 5 > 0 then 46 + (c_custkey % 100) / 64 end as lat, case when c_custkey % 5 > 0 then -(23 + (c_custkey % 1000) / 128) end as lon,
+  case when c_custkey % 5 > 1 then (c_custkey % 50) / 2 end as elevation, case when c_custkey % 5 = 0 then 'no position' end as problem from customer""")
+def src_14(spark, sf):
+    """A recording for each customer with its place in a box of its own, or loose in the user data, or nowhere."""
+    k = F.col("c_custkey")
+    lat, lon = 46 + k % 100 / 64, -(23 + k % 1000 / 128)
+    place = F.format_string("%+.7f%+.7f", lat, lon)
+    text = F.when(k % 5 > 1, F.concat(place, F.format_string("%+.1f/", k % 50 / 2))).otherwise(place)
+    own = _box(camera.LOCATION, _number(F.length(text), 2), F.lit("15c7"), _text(text))
+    user = F.when(k % 5 == 0, _box(b"meta", _text(F.lit("nothing here")))).when(k % 5 == 1, _box(b"meta", _text(F.concat(F.lit("at "), place)))).otherwise(own)
+    media = _box(b"mdat", F.repeat(_text(F.lit("+11.11+22.22 ")), (k % 40).cast("int")))
+    movie = _box(b"moov", _box(b"trak", _box(b"mdia", F.lit(""))), _box(b"udta", user))
+    files = V.table(spark, sf, "customer").select(k.cast("string").alias("file"), F.unhex(F.concat(_box(b"ftyp", _text(F.lit("isom"))), media, movie)).alias("content"))
+    return camera.locations(files).withColumn("file", F.col("file").cast("long"))
