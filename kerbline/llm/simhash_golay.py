@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
 from kerbline.llm.words import TextHashes, in_parts, mapped, mix, rolling, signed, texts
-from kerbline.session import written
+from kerbline.session import forget, written
 
 MAX_DISTANCE = 4
 SEED = 42
@@ -227,8 +227,10 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(limit: int, far: int):
+    """(key, node, check, sketch) in the order of key, or (key, sketch) where a sketch is its own node, to links within equal keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.uint64)] * 4
+        kept = None
         us, vs, many = [], [], 0
 
         def flush():
@@ -238,11 +240,18 @@ def _compare(limit: int, far: int):
             return pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(signed(v))], ["u", "v"])
 
         for batch in itertools.chain(batches, [None]):
-            now = kept if batch is None else [np.concatenate([old, _column(batch, i)]) for i, old in enumerate(kept)]
+            if batch is not None:
+                own = [_column(batch, i) for i in range(batch.num_columns)]
+                now = [np.concatenate(x) for x in zip(kept, own, strict=True)] if kept else own
+            elif kept:
+                now = kept
+            else:
+                break
             cut = len(now[0]) if batch is None or not len(now[0]) else int(runs_of(now[0])[-2])
             kept = [x[cut:] for x in now]
             if cut:
-                u, v = links_in_order(now[0][:cut], Held(*(x[:cut] for x in now[1:])), limit, far)
+                rows = [x[:cut] for x in now[1:]]
+                u, v = links_in_order(now[0][:cut], Held(*(rows if len(rows) == 3 else rows * 3)), limit, far)
                 if len(u):
                     us.append(u)
                     vs.append(v)
@@ -254,6 +263,17 @@ def _compare(limit: int, far: int):
     return run
 
 
+def _dealt(keys: DataFrame, node: str, block: int) -> DataFrame:
+    """The same rows, but those of a key with more than `block` rows dealt out by pairs of blocks, each pair under a key of its own."""
+    rest = [c for c in keys.columns if c != "key"]
+    hot = keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(node), F.col("blocks").cast("long")).cast("int")
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = keys.join(hot, "key", "left").select("key", *rest, F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
+    pair = F.shiftleft(F.least("mine", "other").cast("long"), 28) + F.shiftleft(F.greatest("mine", "other").cast("long"), 46)
+    return dealt.select((F.col("key") + pair).alias("key"), *rest)
+
+
 def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, far: int = 64) -> DataFrame:
     """Links (u, v) of nodes that join all that are connected: some sketch at most `limit` bits apart and the checks at most `far`.
 
@@ -262,13 +282,7 @@ def links(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = BLOCK, fa
     if limit > MAX_DISTANCE:
         raise ValueError("these keys are proven for distances of at most 4")
     keys = mapped(distinct, _key_rows, "key long, node long, check long, sketch long")
-    hot = keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = keys.join(hot, "key", "left").select("key", "node", "check", "sketch", F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
-    pair = F.shiftleft(F.least("mine", "other").cast("long"), 28) + F.shiftleft(F.greatest("mine", "other").cast("long"), 46)
-    dealt = dealt.select((F.col("key") + pair).alias("key"), "node", "check", "sketch")
-    return mapped(dealt.repartition("key").sortWithinPartitions("key"), _compare(limit, far), "u long, v long")
+    return mapped(_dealt(keys, "node", block).repartition("key").sortWithinPartitions("key"), _compare(limit, far), "u long, v long")
 
 
 #: Components with this share of all classes or more, of which there are at most as many, are named by a broadcast.
@@ -310,17 +324,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Jaccard similarity of the sets of five-word shingles from which texts are linked.
 ALIKE = 0.8
-#: Minima of BANDS * ROWS hash orders of the set of shingles; a pair of similarity s shares no band with probability
-#: (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 5e-13 at 0.9.
-BANDS, ROWS = 32, 5
-#: Bands compared first; of the others only buckets are compared that these have not linked throughout.
+#: Sketches of a text, and shingles that each is made of: those that come first in a hash order of its own. Texts of similarity s have the
+#: same shingles in none of them with probability (1 - s**SAMPLE)**SKETCHES: 0.9 % at 0.8, 0.1 % at 0.85, 4e-5 at 0.9.
+SKETCHES, SAMPLE = 12, 5
+#: A sketch is a SimHash of two words of the Golay code; it meets sketches at most so many bits away.
+SKETCH_BITS, SKETCH_DISTANCE = 46, 2
+#: Sketches compared first; of the others only buckets are compared that these have not linked throughout.
 FIRST = 2
 #: Bytes of a shingle's hash where sets are compared, and bytes of the sets of one block.
-HASH_BYTES, BLOCK_BYTES = 5, 1 << 23
+HASH_BYTES, BLOCK_BYTES = 5, 1 << 22
 _random = np.random.default_rng(SEED)
-_FLIP = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
-_TIMES = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
-_FOLD = _random.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
+_FLIP = _random.integers(0, 1 << 32, SKETCHES, np.uint32)
+_TIMES = _random.integers(0, 1 << 32, SKETCHES, np.uint32) | np.uint32(1)
 _hashes = TextHashes(13)
 
 
@@ -331,17 +346,48 @@ def shingle_sets(docs: list[bytes], shingle: int = 5) -> list[np.ndarray]:
     return [np.unique(rolling(h[end - n : end], min(shingle, n), 0x9E3779B97F4A7C15)) if n else np.zeros(0, np.uint64) for n, end in zip(size.tolist(), ends, strict=True)]
 
 
-def minima(held: np.ndarray) -> np.ndarray:
-    """The least value of the set under each hash order."""
-    out, low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32), held.astype(np.uint32)
-    for i in range(0, len(low), 2048):
-        out = np.minimum(out, ((low[i : i + 2048] ^ _FLIP) * _TIMES).min(axis=1))
-    return out
+def sketches(held: np.ndarray) -> np.ndarray:
+    """SKETCHES fingerprints of a set of shingles, each the SimHash of the SAMPLE shingles that come first in its order (or of all, if fewer),
+    with the number of the order above its bits. No shingles: zeros."""
+    band = np.arange(SKETCHES, dtype=np.uint64) << np.uint64(SKETCH_BITS)
+    if not len(held):
+        return band
+    low = held.astype(np.uint32)
+    if len(held) > SAMPLE:
+        first = np.stack([held[np.argpartition((low ^ flip) * times, SAMPLE - 1)[:SAMPLE]] for flip, times in zip(_FLIP, _TIMES, strict=True)])
+    else:
+        first = np.broadcast_to(held, (SKETCHES, len(held)))
+    # another seed in each order, so that texts of few shingles have sketches of their own in each
+    votes = np.unpackbits(mix(first ^ (band << np.uint64(10))[:, None])[..., None].view(np.uint8), axis=-1, bitorder="little").sum(axis=1, dtype=np.int64)
+    bits = np.packbits(2 * votes > first.shape[1], axis=-1, bitorder="little").reshape(-1).view(np.uint64)
+    return band | bits & np.uint64((1 << SKETCH_BITS) - 1)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys of the bands of n rows of minima."""
-    return mix((least.reshape(-1, BANDS, ROWS) * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def sketch_keys(held: np.ndarray) -> np.ndarray:
+    """An array of (n, 12) keys of each sketch, with repeats: two of one order that differ in at most 2 bits share a key.
+
+    Of 2 errors in two words, one each: c of either lies in K of the other; both in one: that word's K sets meet, the other's c is equal.
+    """
+    global _golay
+    _golay = _golay or Golay()
+    a, b = (_golay.keys((held >> np.uint64(at) & np.uint64((1 << 23) - 1)).astype(np.uint32)).astype(np.int64) for at in (0, 23))
+    band = (held >> np.uint64(SKETCH_BITS)).astype(np.int64)[:, None] << 24
+    return np.concatenate([band | a[:, :1] << 12 | b, band | a << 12 | b[:, :1]], axis=1)
+
+
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sketch) to (key, sketch), a row for each key."""
+    for part in in_parts(batches, 20_000):
+        sketch = _column(part, 0)
+        keys, of = _fresh(sketch_keys(sketch))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(signed(sketch[of]))], ["key", "sketch"])
+
+
+def _near_sketches(rows: DataFrame) -> DataFrame:
+    """Rows (node, key) of sketches to the same with each sketch named by the least one that it reaches over SKETCH_DISTANCE bits or fewer."""
+    keys = mapped(rows.select("key").distinct(), _sketch_rows, "key long, sketch long")
+    root = components(written(mapped(_dealt(keys, "sketch", BLOCK).repartition("key").sortWithinPartitions("key"), _compare(SKETCH_DISTANCE, 64), "u long, v long"), "near"))
+    return rows.join(root, rows.key == root.node, "left").select(rows.node, "size", "band", F.coalesce("root", "key").alias("key"))
 
 
 def _packed(held: np.ndarray) -> bytes:
@@ -354,45 +400,50 @@ def _unpacked(packed: list[bytes]) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def alike(nodes: list[int], packed: list[bytes], least: float) -> list[tuple[int, int]]:
-    """Links that join what is connected by sets of this Jaccard similarity: each node is met once by the one that reached it."""
+def alike(nodes: list[int], packed: list[bytes], least: float, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what is connected by sets of this Jaccard similarity: each node is met once by the one that reached it. Nodes of one
+    root are connected already, so the first that is reached brings the others."""
     size = np.array([len(x) // HASH_BYTES for x in packed])
     start = np.concatenate([[0], np.cumsum(size)])
     number = np.unique(_unpacked(packed), return_inverse=True)[1]
     mark = np.zeros(len(number), bool)
+    root = np.arange(len(nodes)) if roots is None else np.unique(roots, return_inverse=True)[1]
     rest, queue, links = np.arange(len(nodes)), [], []
     while len(rest):
         if not queue:
-            queue, rest = [rest[0]], rest[1:]
+            own = root[rest] == root[rest[0]]
+            queue, rest = rest[own].tolist(), rest[~own]
             continue
         x = queue.pop()
-        may = rest[np.minimum(size[rest], size[x]) / np.maximum(size[rest], size[x]) >= least]
+        may = rest[np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x])]
         if not len(may):
             continue
         own = number[start[x] : start[x + 1]]
         mark[own] = True
         shared = np.array([np.count_nonzero(mark[number[start[i] : start[i + 1]]]) for i in may])
         mark[own] = False
-        got = may[shared / (size[may] + size[x] - shared) >= least]
-        links += [(nodes[x], nodes[i]) for i in got]
-        queue.extend(got)
-        rest = np.setdiff1d(rest, got, assume_unique=True)
+        got = may[shared >= least * (size[may] + size[x] - shared)]
+        if len(got):
+            links += [(nodes[x], nodes[i]) for i in got]
+            met = np.isin(root[rest], root[got])
+            queue.extend(rest[met].tolist())
+            rest = rest[~met]
     return links
 
 
 def _alike_in_order(least: float):
-    """(key, node, shingles) in the order of key to links within equal keys."""
+    """(key, node, root, shingles) in the order of key to links within equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, {}, []
         for batch in itertools.chain(batches, [None]):
-            rows = [(None, 0, b"")] if batch is None else zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for k, node, shingles in rows:
+            rows = [(None, 0, 0, b"")] if batch is None else zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for k, node, root, shingles in rows:
                 if k != key:
                     if len(held) > 1:
-                        out += alike(list(held), list(held.values()), least)
+                        out += alike(list(held), [x for _, x in held.values()], least, [r for r, _ in held.values()])
                     key, held = k, {}
-                held[node] = shingles
+                held[node] = (root, shingles)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
                 out = []
@@ -400,20 +451,37 @@ def _alike_in_order(least: float):
     return run
 
 
+def _blocks(n: Column, size: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, size * HASH_BYTES / BLOCK_BYTES)).cast("int")
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """(key, blocks) of the keys to compare, of rows (node, size, root, key): not those within one root, and of keys with the same nodes one."""
-    each = rows.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.min("node").alias("least"), F.sum("size").alias("size"), F.min("root").alias("one"), F.max("root").alias("other")
-    )
-    each = each.where("one != other").groupBy("n", "nodes", "least", "size").agg(F.min("key").alias("key"))
-    return each.select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") * HASH_BYTES / BLOCK_BYTES)).cast("int").alias("blocks"))
-
-
-def _verified(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) that join what is connected at this similarity within a key; long keys are dealt out by pairs of blocks."""
-    met = rows.join(_buckets(rows), "key").select("node", "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("mine"))
-    met = met.select("node", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")).join(sets, "node").select("key", "node", "shingles")
+    """(key, main, mains, others) of the keys to compare, of rows (node, size, root, key): not those within one root, and of keys with the
+    same nodes one. main is the root with most nodes, mains and others are the blocks that its nodes and the others make."""
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.min("node").alias("least"), F.sum("size").alias("size"))
+    each = each.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.bit_xor("nodes").alias("nodes"), F.min("least").alias("least"), F.sum("size").alias("size"), F.count("*").alias("roots"))
+    each = each.where("roots > 1").groupBy("n", "nodes", "least", "size").agg(F.min(F.struct("key", "main")).alias("one"))
+    main = F.col("one.main")
+    mains, others = _blocks(main.n, main["size"]), _blocks(F.col("n") - main.n, F.col("size") - main["size"])
+    return each.select(F.col("one.key").alias("key"), main.root.alias("main"), _blocks(F.col("n"), F.col("size")).alias("blocks"), mains.alias("mains"), others.alias("others"))
+
+
+def _verified(rows: DataFrame, sets: DataFrame, least: float, whole: bool) -> DataFrame:
+    """Links (u, v) that join what is connected at this similarity within a key. Keys of more than a block are dealt out: at first by blocks
+    alone; then (whole) by pairs of blocks, but for pairs within the main root, which is connected already."""
+    met = rows.join(_buckets(rows), "key")
+
+    def one_of(n: Column) -> Column:
+        return F.pmod(F.xxhash64("node", "key"), n.cast("long")).cast("int")
+
+    if whole:
+        is_main = F.col("root") == F.col("main")
+        met = met.select("node", "root", "key", "mains", F.when(is_main, one_of(F.col("mains"))).otherwise(F.col("mains") + one_of(F.col("others"))).alias("mine"), is_main.alias("is_main"), "others")
+        other = F.explode(F.sequence(F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1))
+        met = met.select("node", "root", "key", "mine", other.alias("other")).select("node", "root", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+    else:
+        met = met.select("node", "root", F.xxhash64("key", one_of(F.col("blocks"))).alias("key"))
+    met = met.join(sets, "node").select("key", "node", "root", "shingles")
     return written(mapped(met.repartition("key").sortWithinPartitions("key"), _alike_in_order(least), "u long, v long"), "alike")
 
 
@@ -428,8 +496,8 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: flo
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches):
             sets = shingle_sets(texts(part.column(1)), shingle)
-            keys = band_keys(np.array([minima(x) for x in sets], np.uint32)).ravel() if sets else np.zeros(0, np.uint64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed(keys)))
+            keys = np.concatenate([sketches(x) for x in sets]) if sets else np.zeros(0, np.uint64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCHES), pa.array(signed(keys)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "key", "node", "size", "keys"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,27 +505,30 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: flo
             sets = shingle_sets(texts(part.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([_packed(x) for x in sets], pa.binary())], ["node", "shingles"])
 
-    each = written(mapped(docs.withColumn("key", text_key(F.col("text"))), keyed, f"id {kind}, key long, node long, size long, keys array<long>"), "bands")
+    each = written(mapped(docs.withColumn("key", text_key(F.col("text"))), keyed, f"id {kind}, key long, node long, size long, keys array<long>"), "sketches")
     classes = written(each.groupBy("node").agg(F.min("id").alias("low"), F.min("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    rows = classes.select("node", "size", F.posexplode("keys").alias("band", "key")).where("size > 0")
+    rows = written(_near_sketches(classes.where("size > 0").select("node", "size", F.posexplode("keys").alias("band", "key"))), "rows")
     meeting = rows.join(_buckets(rows.withColumn("root", F.col("node"))), "key", "left_semi").select("node").distinct()
     meeting = written(classes.join(meeting, "node", "left_semi").select("node", "low"), "meeting")
     lows = meeting.select("low").distinct()
     sets = mapped(docs.join(lows, docs.id.eqNullSafe(lows.low), "left_semi"), packed, "node long, shingles binary")
     sets = written(sets.join(meeting, "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    linked = _verified(rows.where(F.col("band") < FIRST).withColumn("root", F.col("node")), sets, least)
+    linked = _verified(rows.where(F.col("band") < FIRST).withColumn("root", F.col("node")), sets, least, False)
     root = components(linked)
-    more = written(rows.where(F.col("band") >= FIRST).join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "key"), "rooted")
-    linked = linked.unionByName(_verified(more, sets, least))
+    more = written(rows.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "key"), "rooted")
+    linked = linked.unionByName(_verified(more, sets, least, True))
+    for x in (rows, meeting, sets, more):
+        forget(x)
     return each.select("id", "key", "node"), classes.select("node", "low"), linked
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = ALIKE) -> DataFrame:
     """Rows (id, component_id) for each row of docs, linked where the Jaccard similarity of the sets of word shingles is `least` or more.
 
-    Texts with equal sets are one class. Classes that share a band of minima are candidates (see BANDS for the recall), and each is
-    verified by the similarity itself, of hashes of HASH_BYTES bytes. Candidates of the first bands are compared and joined; of the
-    other bands, buckets that hold more than one component. Nulls, ties and empty texts are as in near_duplicates().
+    Texts with equal sets are one class. Classes whose SimHash sketches meet by a Golay key, at most SKETCH_DISTANCE bits apart, are candidates
+    (see SKETCHES for the recall), and each is verified by the similarity itself, of hashes of HASH_BYTES bytes. Candidates of the first
+    sketches are compared and joined; of all sketches, then, buckets that hold more than one component, where nodes of unlike components
+    are compared with each other. Nulls, ties and empty texts are as in near_duplicates().
     """
     each, classes, linked = _alike(docs, id_col, text_col, shingle, least)
     return _named(each, classes, linked, ["node"]).select("id", "component_id")
