@@ -1,13 +1,19 @@
-"""Ordered folds: what depends on the rows before, run over rows in order with a small state, never over a whole group at once."""
+"""Ordered folds: what depends on the rows before, run over rows in order with a small state, never over a whole group at once.
+
+A fold is written once, as step(state, row), and runs over a table (folded) or a stream (streamed).
+"""
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sessions(rows: DataFrame, by: list[str], t: str, order: list[str], gap_s: float) -> DataFrame:
@@ -18,8 +24,11 @@ def sessions(rows: DataFrame, by: list[str], t: str, order: list[str], gap_s: fl
     return rows.withColumn("fresh_", fresh).withColumn("session", F.sum("fresh_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh_")
 
 
-def folded(rows: DataFrame, by: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], Iterable[tuple]], schema: str) -> DataFrame:
-    """step(state, row) for each row of a key in order, from start(); what it returns are the rows of the result.
+def folded(
+    rows: DataFrame, by: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], Iterable[tuple]], schema: str, end: Callable[[Any], Iterable[tuple]] | None = None
+) -> DataFrame:
+    """step(state, row) for each row of a key in order, from start(); what it returns are the rows of the result, and after a key's last row
+    what end(state) returns.
 
     Rows are sorted by Spark within partitions by key and stream through a task in batches; the state of one key is all that is held.
     """
@@ -28,13 +37,62 @@ def folded(rows: DataFrame, by: list[str], order: list[str], start: Callable[[],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for r in batch.itertuples(index=False):
                 own = tuple(getattr(r, c) for c in by)
                 if own != key:
+                    out.extend(end(state) if end and key is not None else ())
                     key, state = own, start()
                 out.extend(step(state, r))
             if out:
                 yield pd.DataFrame(out, columns=names)
+        if end and key is not None and (out := list(end(state))):
+            yield pd.DataFrame(out, columns=names)
 
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+#: How far behind the newest row the time of a stream stands, in seconds; rows behind that are late.
+LATENESS_S = 1.0
+
+
+def streamed(
+    rows: DataFrame, by: list[str], t: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], Iterable[tuple]], schema: str, deadline: Callable[[Any], float | None],
+    due: Callable[[Any, float], Iterable[tuple]] | None = None, lateness_s: float = LATENESS_S,
+) -> DataFrame:
+    """folded() on a stream: the same rows whatever batches the stream is cut into, as long as none is late.
+
+    The state of a key (it must be JSON) outlives the batch. deadline(state) is the time, in seconds like the column t, after which it must
+    be looked at: then due(state, now) may change it and returns rows of its own, such as those of what has expired. A state without
+    a deadline, or with nothing due at it, is given up. Rows of a key are taken in order within a batch. Rows more than lateness_s behind
+    the newest of the batches before are dropped by Spark (streaming.written.Windows keeps such rows aside); so is a row at the epoch itself.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def keep(state: GroupState, held: Any, now_ms: int) -> None:
+        until = deadline(held)
+        if until is None:
+            if state.exists:
+                state.remove()
+            return
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(math.floor(until * 1000), now_ms + 1))
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, now_ms = json.loads(state.get[0]) if state.exists else start(), state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            out = list(due(held, now_ms / 1000)) if due else []
+            if due:
+                keep(state, held, now_ms)
+            else:
+                state.remove()
+        else:
+            every = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
+            out = [x for r in every.itertuples(index=False) for x in step(held, r)]
+            keep(state, held, now_ms)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    at = F.timestamp_micros((F.col(t) * 1_000_000).cast("long"))
+    timed = rows.withColumn("at_", at).withWatermark("at_", f"{round(lateness_s * 1000)} milliseconds")
+    return timed.groupBy(*by).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)

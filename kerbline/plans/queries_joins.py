@@ -217,9 +217,11 @@ def win_03(spark, sf):
     return top.select("user_id", "points_total", F.row_number().over(Window.orderBy(F.desc("points_total"), "user_id")).cast("long").alias("position"))
 
 
-@query("win_04_streaks", duck("v_reports", body="d as (select distinct user_id, cast(created_at as date) as day from v_reports), i as (select *, day - cast(row_number() over (partition by user_id order by day) as integer) as island from d), n as (select user_id, island, count(*) as streak, max(day) as last_day from i group by all) select user_id, max(streak) as best_streak, max_by(streak, last_day) as current_streak from n group by user_id"))
+@query("win_04_streaks", duck("v_reports", body="d as (select distinct user_id, cast((created_at at time zone 'UTC') at time zone 'Europe/Bucharest' as date) as day from v_reports), i as (select *, day - cast(row_number() over (partition by user_id order by day) as integer) as island from d), n as (select user_id, island, count(*) as streak, max(day) as last_day from i group by all) select user_id, max(streak) as best_streak, max_by(streak, last_day) as current_streak from n group by user_id"))
 def win_04(spark, sf):
-    d = V.reports(spark, sf).select("user_id", F.col("created_at").cast("date").alias("day")).distinct()
+    """Runs of local days."""
+    local = F.from_utc_timestamp(F.col("created_at").cast("timestamp"), "Europe/Bucharest")
+    d = V.reports(spark, sf).select("user_id", local.cast("date").alias("day")).distinct()
     island = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
     n = d.withColumn("island", island).groupBy("user_id", "island").agg(F.count("*").alias("streak"), F.max("day").alias("last_day"))
     return n.groupBy("user_id").agg(F.max("streak").alias("best_streak"), F.max_by("streak", "last_day").alias("current_streak"))

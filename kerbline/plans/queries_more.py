@@ -412,9 +412,3 @@ def st_12(spark, sf):
     by = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day").groupBy(F.window("at", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))
     kept = live.run_available(by, "sliding", "update")
     return kept.groupBy("w").agg(F.max_by("n", "batch").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
-
-
-@query("st_19_view_of_changes", "select event_id % 500 as id, max_by(value, event_id) as value from events group by 1 having max_by(event_type, event_id) <> 'error'")
-def st_19(spark, sf):
-    e = V.table(spark, sf, "events").groupBy((F.col("event_id") % 500).alias("id")).agg(F.max_by(F.struct("value", "event_type"), "event_id").alias("last"))
-    return e.where("last.event_type != 'error'").select("id", "last.value")

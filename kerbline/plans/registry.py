@@ -34,8 +34,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query, for another that must give the same rows."""
+    return _oracles[name]
+
+
 def _load() -> None:
-    from kerbline.plans import queries_detections, queries_extra, queries_joins, queries_media, queries_more, queries_rules, queries_small  # noqa: F401
+    from kerbline.plans import queries_detections, queries_extra, queries_joins, queries_media, queries_more, queries_rules, queries_small, queries_streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -135,8 +135,7 @@ def limited(hits: DataFrame, window_s: float, most: int, count_rejected: bool =
             state.update(locked=r.t + lockout_s, start=None)
         return [(r.key, r.hit_id, ok)]
 
-    cut = folds.sessions(hits.select("key", "hit_id", "t"), ["key"], "t", ["t", "hit_id"], max(window_s, lockout_s))
-    return folds.folded(cut, ["key", "session"], ["t", "hit_id"], lambda: {"start": None, "count": 0, "locked": -math.inf}, step, "key string, hit_id long, allowed boolean")
+    return _by_key(hits.select("key", "hit_id", "t"), step, "key string, hit_id long, allowed boolean", window_s, lockout_s)
 
 
 def locked_out(attempts: DataFrame, window_s: float, most: int, lockout_s: float) -> DataFrame:
@@ -160,8 +159,23 @@ def locked_out(attempts: DataFrame, window_s: float, most: int, lockout_s: float
             state.update(locked=r.t + lockout_s, start=None, count=0)
         return [(r.key, r.hit_id, False, locks)]
 
-    cut = folds.sessions(attempts.select("key", "hit_id", "t", "failed"), ["key"], "t", ["t", "hit_id"], max(window_s, lockout_s))
-    return folds.folded(cut, ["key", "session"], ["t", "hit_id"], lambda: {"start": None, "count": 0, "locked": -math.inf}, step, "key string, hit_id long, refused boolean, locks boolean")
+    return _by_key(attempts.select("key", "hit_id", "t", "failed"), step, "key string, hit_id long, refused boolean, locks boolean", window_s, lockout_s)
+
+
+def _by_key(rows: DataFrame, step, schema: str, window_s: float, lockout_s: float) -> DataFrame:
+    """A fold of counters by key, over a table or a stream: no state matters once its window and its lock are over."""
+
+    def start() -> dict:
+        return {"start": None, "count": 0, "locked": -math.inf}
+
+    def deadline(state: dict) -> float | None:
+        ends = [state["locked"], *([] if state["start"] is None else [state["start"] + window_s])]
+        return max(ends) if max(ends) > -math.inf else None
+
+    if rows.isStreaming:
+        return folds.streamed(rows, ["key"], "t", ["t", "hit_id"], start, step, schema, deadline)
+    cut = folds.sessions(rows, ["key"], "t", ["t", "hit_id"], max(window_s, lockout_s))
+    return folds.folded(cut, ["key", "session"], ["t", "hit_id"], start, step, schema)
 
 
 def cooled(detections: DataFrame, seconds: float = 30.0, reach: float = 20.0) -> DataFrame:
@@ -174,7 +188,10 @@ def cooled(detections: DataFrame, seconds: float = 30.0, reach: float = 20.0) ->
         return [(r.report_id,)]
 
     by = ["device_id", "damage_type"]
-    cut = folds.sessions(detections.select(*by, "report_id", "t", "latitude", "longitude"), by, "t", ["t", "report_id"], seconds)
+    rows = detections.select(*by, "report_id", "t", "latitude", "longitude")
+    if rows.isStreaming:
+        return folds.streamed(rows, by, "t", ["t", "report_id"], list, step, "report_id long", lambda last: last[0] + seconds if last else None)
+    cut = folds.sessions(rows, by, "t", ["t", "report_id"], seconds)
     return folds.folded(cut, [*by, "session"], ["t", "report_id"], list, step, "report_id long")
 
 
@@ -185,6 +202,8 @@ JOLT, LEAST_SPEED, FIX_AGE_S, JOLT_PAUSE_S = 9.0, 2.5, 10.0, 8.0
 def jolts(motions: DataFrame, fixes: DataFrame) -> DataFrame:
     """Hits (device_id, motion_id, fix_id) of motions (device_id, motion_id, t, jolt) that are hard enough, with the last fix
     (device_id, fix_id, t, speed) before them: not too old, and moving where it tells the speed; none soon after another."""
+    if motions.isStreaming:
+        return _jolts_of(motions, fixes)
     fix = F.struct("t", "fix_id", "speed")
     kind = fixes.select(fix.alias("f")).schema["f"].dataType
     both = fixes.select("device_id", "t", F.lit(0).alias("is_motion"), F.col("fix_id").alias("id"), fix.alias("fix"), F.lit(None).cast("double").alias("jolt")).unionByName(
@@ -197,6 +216,31 @@ def jolts(motions: DataFrame, fixes: DataFrame) -> DataFrame:
     return spaced(met, "device_id", "motion_id", JOLT_PAUSE_S).select("device_id", "motion_id", "fix_id")
 
 
+def _jolts_of(motions: DataFrame, fixes: DataFrame) -> DataFrame:
+    """jolts() on a stream: a device's state is its last fix and its last hit."""
+    none = F.lit(None).cast("double")
+    both = fixes.select("device_id", "t", F.lit(0).alias("is_motion"), F.col("fix_id").alias("id"), none.alias("jolt"), F.col("speed").cast("double").alias("speed")).unionByName(
+        motions.select("device_id", "t", F.lit(1).alias("is_motion"), F.col("motion_id").alias("id"), F.col("jolt").cast("double").alias("jolt"), none.alias("speed"))
+    )
+
+    def step(state: dict, r) -> list[tuple]:
+        if not r.is_motion:
+            state["fix"] = [r.t, int(r.id), None if r.speed != r.speed or r.speed is None else r.speed]
+            return []
+        fix = state["fix"]
+        fit = fix and r.jolt >= JOLT and r.t - fix[0] <= FIX_AGE_S and (fix[2] is None or fix[2] >= LEAST_SPEED)
+        if not fit or state["hit"] is not None and r.t - state["hit"] < JOLT_PAUSE_S:
+            return []
+        state["hit"] = r.t
+        return [(r.device_id, int(r.id), fix[1])]
+
+    def deadline(state: dict) -> float | None:
+        ends = [state["fix"][0] + FIX_AGE_S] * bool(state["fix"]) + [state["hit"] + JOLT_PAUSE_S] * (state["hit"] is not None)
+        return max(ends, default=None)
+
+    return folds.streamed(both, ["device_id"], "t", ["t", "is_motion", "id"], lambda: {"fix": None, "hit": None}, step, "device_id string, motion_id long, fix_id long", deadline)
+
+
 def spaced(rows: DataFrame, key: str, row_id: str, pause_s: float) -> DataFrame:
     """Of rows with a time t, by key in order, those that come pause_s or more after the last one kept."""
 
@@ -211,18 +255,28 @@ def spaced(rows: DataFrame, key: str, row_id: str, pause_s: float) -> DataFrame:
     return rows.join(kept, row_id, "left_semi")
 
 
-def alerts(near: DataFrame, gap_s: float) -> DataFrame:
-    """Spoken alerts (device_id, row_id) of sightings (device_id, row_id, t, event_id) in order: each event once, none within gap_s of the last."""
+def alerts(near: DataFrame, gap_s: float, session_s: float = 6 * 3600.0) -> DataFrame:
+    """Spoken alerts (device_id, row_id) of sightings (device_id, row_id, t, event_id) in order: each event once in a session, none within gap_s
+    of the last. A device's session ends when nothing came for session_s, so what it has said is bounded by a session."""
 
     def step(state: dict, r) -> list[tuple]:
-        if r.event_id in state["said"] or r.t - state["last"] < gap_s:
+        if state["seen"] is not None and r.t - state["seen"] > session_s:
+            state.update(said={}, last=-math.inf)
+        state["seen"] = r.t
+        if str(r.event_id) in state["said"] or r.t - state["last"] < gap_s:
             return []
-        state["said"].add(r.event_id)
+        state["said"][str(r.event_id)] = 1
         state["last"] = r.t
-        return [(r.device_id, r.row_id)]
+        return [(r.device_id, int(r.row_id))]
+
+    def start() -> dict:
+        return {"said": {}, "last": -math.inf, "seen": None}
 
-    rows = near.select("device_id", "row_id", "t", "event_id")
-    return folds.folded(rows, ["device_id"], ["t", "row_id"], lambda: {"said": set(), "last": -math.inf}, step, "device_id string, row_id long")
+    rows, schema = near.select("device_id", "row_id", "t", "event_id"), "device_id string, row_id long"
+    if rows.isStreaming:
+        return folds.streamed(rows, ["device_id"], "t", ["t", "row_id"], start, step, schema, lambda state: None if state["seen"] is None else state["seen"] + session_s)
+    cut = folds.sessions(rows, ["device_id"], "t", ["t", "row_id"], session_s)
+    return folds.folded(cut, ["device_id", "session"], ["t", "row_id"], start, step, schema)
 
 
 def touched(signals: DataFrame, registry: DataFrame) -> DataFrame:
