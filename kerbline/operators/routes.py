@@ -11,16 +11,90 @@ from kerbline.functions import scoring
 from kerbline.operators import folds
 from kerbline.streaming.live import metres
 
-#: Stops of a tour at most: its distances are held at once, 8 bytes for each pair of stops.
-MOST_STOPS = 4000
+#: Stops of a tour whose reversals look at all others, by a table of all distances (8 MB at most).
+FEW = 1000
+#: Nearest stops of each stop that a reversal looks at in longer tours. Memory is so many numbers a stop.
+NEIGHBOURS = 24
+#: Stops whose distances are computed at a time.
+BLOCK = 256
+
+
+class Stops:
+    """Positions, and for each its nearest others with their distances in km."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, k: int = NEIGHBOURS):
+        self.y, self.x, self.cos = np.radians(lat), np.radians(lon), np.cos(np.radians(lat))
+        self.n = len(lat)
+        self.k = min(k, self.n - 1)
+        self.near, self.far = np.empty((self.n, self.k), np.int64), np.empty((self.n, self.k))
+        if self.k > 0:
+            self._find()
+
+    def km(self, i, j) -> np.ndarray:
+        a = np.sin((self.y[i] - self.y[j]) / 2) ** 2 + self.cos[i] * self.cos[j] * np.sin((self.x[i] - self.x[j]) / 2) ** 2
+        return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, a)))
+
+    def _find(self) -> None:
+        """Block by block of stops in the order of latitude: others are sought in a band that is widened until all that lie outside are farther."""
+        by = np.argsort(self.y, kind="stable")
+        y = self.y[by]
+        band = max((y[-1] - y[0]) * self.k / self.n, 1e-9)
+        for at in range(0, self.n, BLOCK):
+            own = by[at : at + BLOCK]
+            low, high = y[at], y[min(at + BLOCK, self.n) - 1]
+            while True:
+                i, j = np.searchsorted(y, low - band), np.searchsorted(y, high + band, "right")
+                others = np.sort(by[i:j])  # so that a stable sort puts the first stop first among equally far ones
+                d = self.km(own[:, None], others)
+                d[own[:, None] == others] = np.inf
+                if j - i > self.k:
+                    order = np.argsort(d, axis=1, kind="stable")[:, : self.k] if j - i <= 4 * self.k else self._least(d)
+                    far = np.take_along_axis(d, order, 1)
+                    if j - i == self.n or far[:, -1].max() <= 6371.0 * band:
+                        break
+                band *= 2
+            self.near[own], self.far[own] = others[order], far
+            band /= 2
+
+    def _least(self, d: np.ndarray) -> np.ndarray:
+        """The columns of the k least of each row, in order, equal ones by column."""
+        some = np.sort(np.argpartition(d, self.k - 1, axis=1)[:, : self.k], axis=1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+
+
+def _nearest_first(s: Stops) -> np.ndarray:
+    """Open tour from the first stop: the nearest unvisited each time, the first on ties."""
+    order, left = np.zeros(s.n, np.int64), np.ones(s.n, bool)
+    left[0] = False
+    rest, gone = np.arange(1, s.n), 0
+    for i in range(1, s.n):
+        at = order[i - 1]
+        free = left[s.near[at]]
+        k = int(free.argmax()) if s.k else 0
+        # a list holds all that is nearer than its last; of those as far as it, some may be missing
+        if s.k and free[k] and (s.k == s.n - 1 or s.far[at, k] < s.far[at, -1]):
+            to = s.near[at, k]
+        else:
+            if gone > len(rest) // 2:
+                rest, gone = rest[left[rest]], 0
+            d = s.km(at, rest)
+            d[~left[rest]] = np.inf
+            to = rest[int(np.argmin(d))]
+        order[i] = to
+        left[to] = False
+        gone += 1
+    return order
 
 
 def _tour(lat: np.ndarray, lon: np.ndarray, passes: int | None) -> list[int]:
     """Open tour from the first stop: nearest unvisited each time (the first on ties), then reversals that shorten it, pass after pass."""
-    n = len(lat)
-    y, x = np.radians(lat), np.radians(lon)
-    a = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y[:, None]) * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
-    d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, a)))
+    return _tour_of_few(lat, lon, passes) if len(lat) <= FEW else _tour_by_lists(lat, lon, passes)
+
+
+def _tour_of_few(lat: np.ndarray, lon: np.ndarray, passes: int | None) -> list[int]:
+    n, s = len(lat), Stops(lat, lon, 0)
+    every = np.arange(n)
+    d = s.km(every[:, None], every)
     order, left = [0], np.ones(n, bool)
     left[0] = False
     while left.any():
@@ -44,15 +118,54 @@ def _tour(lat: np.ndarray, lon: np.ndarray, passes: int | None) -> list[int]:
     return order.tolist()
 
 
+def _tour_by_lists(lat: np.ndarray, lon: np.ndarray, passes: int | None, k: int = NEIGHBOURS) -> list[int]:
+    """The same, but for what a reversal looks at; the same in all if lists hold all other stops.
+
+    A segment that follows stop a and begins with b may be reversed if it ends with one of the nearest of a, or before one of the nearest
+    of b. From the second pass on, only stops near an end of a segment reversed in the pass before are looked at, unless lists hold all stops.
+    """
+    n, s = len(lat), Stops(lat, lon, k)
+    order = _nearest_first(s)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    look, better = np.ones(n, bool), n >= 4
+    while better and passes != 0:
+        better, passes = False, None if passes is None else passes - 1
+        touched = np.zeros(n, bool)
+        for i in range(1, n - 1):
+            if not (look[order[i - 1]] or look[order[i]]):
+                continue
+            j = i + 1
+            while j < n:  # the first end of a segment from i whose reversal shortens the tour, then on from there
+                a, b = order[i - 1], order[i]
+                ends = np.concatenate([place[s.near[a]], place[s.near[b]] - 1])
+                ends = np.unique(ends[ends >= j])
+                if not len(ends):
+                    break
+                last, after = order[ends], order[np.minimum(ends + 1, n - 1)]
+                gain = s.km(a, b) - s.km(a, last) + np.where(ends < n - 1, s.km(last, after) - s.km(b, after), 0.0)
+                at = int(np.argmax(gain > 1e-9))
+                if gain[at] <= 1e-9:
+                    break
+                j = int(ends[at])
+                touched[[a, b, order[j], order[min(j + 1, n - 1)]]] = True
+                order[i : j + 1] = order[i : j + 1][::-1].copy()
+                place[order[i : j + 1]] = np.arange(i, j + 1)
+                better, j = True, j + 1
+        if s.k < n - 1:
+            look = touched.copy()
+            look[s.near[touched]] = True
+    return order.tolist()
+
+
 def planned(stops: DataFrame, passes: int | None = None, speed_kmh: float = 25.0, stop_minutes: float = 20.0) -> DataFrame:
     """(order_id, stop_id, lat, lon) with stop_seq, leg_km and minutes so far: a tour of each work order's stops that have a position.
 
-    Reversals go on until none shortens the tour, or for so many passes. A work order of more than MOST_STOPS stops is refused.
+    Reversals go on until none of those looked at shortens the tour, or for so many passes. A work order is one task, and may have any number
+    of stops: memory grows with them, not with their pairs.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_STOPS:
-            raise ValueError(f"work order {pdf.order_id.iloc[0]} has {len(pdf)} stops; a tour holds {MOST_STOPS}")
         pdf = pdf.sort_values("stop_id").reset_index(drop=True)
         out = pdf.iloc[_tour(pdf.lat.to_numpy(), pdf.lon.to_numpy(), passes)].reset_index(drop=True)
         y, x = out.lat.tolist(), out.lon.tolist()

@@ -1,4 +1,4 @@
-"""Named queries over rasters and camera files, which are made from the driver's tables."""
+"""Named queries over rasters, camera files, class lists and a lookup, which are made from the driver's tables."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from kerbline import vocab
 from kerbline.operators import pixels
+from kerbline.operators.lookup import Lookup
 from kerbline.plans import views as V
 from kerbline.plans.registry import query
 from kerbline.session import scratch_dir
-from kerbline.sources import camera
+from kerbline.sources import camera, classes
 
 #: A vector of 64 numbers is an image of 8 x 8 spots, each SPOT pixels wide; the mask is that of the numbers from the end.
 SPOT, SPOTS = 4, 8
@@ -166,3 +167,44 @@ def src_14(spark, sf):
     movie = _box(b"moov", _box(b"trak", _box(b"mdia", F.lit(""))), _box(b"udta", user))
     files = V.table(spark, sf, "customer").select(k.cast("string").alias("file"), F.unhex(F.concat(_box(b"ftyp", _text(F.lit("isom"))), media, movie)).alias("content"))
     return camera.locations(files).withColumn("file", F.col("file").cast("long"))
+
+
+# ---------------------------------------------------------------- class lists, and the lookup
+
+
+@query("src_24_class_lists", """with c as (select c_custkey as k, lower(c_mktsegment) as a, 'n' || c_nationkey as b, 'k' || c_custkey % 7 as c from customer)
+select k as dataset, unnest(generate_series(0, case k % 5 when 3 then 0 else 2 end)) as class_id, unnest(case k % 5 when 0 then [a, b, c] when 1 then [c, b, a] when 2 then [b, a, c] when 3 then [a] end) as class_name from c where k % 5 < 4""")
+def src_24(spark, sf):
+    """A settings file for each customer in one of four forms (map, list, inline list, names file), or without a list; and files that do not count."""
+    c = V.table(spark, sf, "customer")
+    k, a, b, d = F.col("c_custkey"), F.lower("c_mktsegment"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("k"), (F.col("c_custkey") % 7).cast("string"))
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("path: x\nnames:\n  1: '"), b, F.lit("'\n  0: "), a, F.lit("\n# more\n  2: \""), d, F.lit("\"\nnc: 3\n  0: late\n")))
+        .when(k % 5 == 1, F.concat(F.lit("names:\n- "), d, F.lit("\n- '"), b, F.lit("'\n\n  - "), a, F.lit("\nval: x\n- late")))
+        .when(k % 5 == 2, F.concat(F.lit("nc: 3\nnames: ['"), b, F.lit("', "), a, F.lit(", \""), d, F.lit("\"]\nval: x"))).otherwise("nc: 0\nval: names of none")
+    )
+    settings = c.select(k.alias("dataset"), F.concat(F.lit("set/"), k.cast("string"), F.lit("/data.yaml")).alias("file"), text.alias("value"))
+    names = c.where("c_custkey % 5 = 3 or c_custkey % 5 = 0").select(k.alias("dataset"), F.concat(F.lit("set/"), k.cast("string"), F.lit("/classes.txt")).alias("file"), F.concat(F.lit("\n "), a, F.lit(" \n\n")).alias("value"))
+    return classes.indexed(classes.class_lists(settings.unionByName(names)))
+
+
+_SPOT = "44 + s_suppkey % 40 / 8 as latitude, 22 + s_suppkey % 24 / 8 as longitude"
+
+
+@query("src_31_landmarks", f"""with p as (select n_name as city, s_nationkey as n, s_suppkey as rank, s_name as name, 'k' || s_suppkey % 3 as kind, {_SPOT} from supplier join nation on s_nationkey = n_nationkey),
+b as (select * from (select *, row_number() over (partition by city, latitude, longitude order by rank) as i from p where n % 3 < 2) where i = 1),
+f(prefix, name, latitude, longitude) as (values ('nation_2', 'Station', 45.0, 23.0), ('nation_2', 'Bridge', 45.5, 23.5), ('nation_17', 'Square', 46.0, 24.0))
+select city, case when n % 3 = 0 then 'cache' else 'fetched' end as source, name, kind, latitude, longitude from b
+union all select n_name, 'fallback', name, case when name is not null then 'x' end, latitude, longitude from nation left join f on starts_with(lower(n_name), prefix) where n_name not in (select city from b)""")
+def src_31(spark, sf):
+    """Suppliers as the places of their nations: a third is known, a third is fetched, and the rest falls back on a list."""
+    nation, supplier = V.table(spark, sf, "nation"), V.table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    world = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("city"), F.col("s_nationkey").alias("n"), F.col("s_name").alias("name"), F.concat(F.lit("k"), (k % 3).cast("string")).alias("kind"),
+        (44 + k % 40 / 8).alias("latitude"), (22 + k % 24 / 8).alias("longitude"), k.alias("rank"),
+    )
+    store = Lookup(spark, f"{scratch_dir(spark)}/landmarks-{uuid.uuid4().hex}")
+    store.learn(world.where("n % 3 = 0"))
+    fallback = spark.createDataFrame([("nation_2", "Station", "x", 45.0, 23.0), ("nation_2", "Bridge", "x", 45.5, 23.5), ("nation_17", "Square", "x", 46.0, 24.0)], "prefix string, name string, kind string, latitude double, longitude double")
+    return store.resolve(nation.select(F.col("n_name").alias("city")), lambda cities: world.where("n % 3 = 1").join(cities, "city"), fallback)
