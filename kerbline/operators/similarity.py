@@ -16,20 +16,36 @@ def packed(bits: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def keys(h: Column, limit: int) -> Column:
-    """Keys of a hash: four of limit + 4 slices, in every choice. Two hashes at most `limit` bits apart differ in at most so many slices,
-    so four others agree; a key has some 40 bits, so that unlike hashes seldom meet however many there are."""
+def _slices(limit: int) -> list[tuple[int, int]]:
+    """Where each of limit + 4 slices of a hash begins and ends."""
     n = limit + 4
-    cuts = [64 * i // n for i in range(n + 1)]
-    slices = [F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1) for a, b in itertools.pairwise(cuts)]
-    return F.array(*(F.struct(F.lit(i).alias("choice"), *(slices[j].alias(f"s{k}") for k, j in enumerate(some))) for i, some in enumerate(itertools.combinations(range(n), 4))))
+    return list(itertools.pairwise([64 * i // n for i in range(n + 1)]))
+
+
+def keys(h: Column, limit: int) -> Column:
+    """Keys of a hash: four of limit + 4 slices, in every choice, with the number of the choice above. Two hashes at most `limit` bits apart
+    differ in at most so many slices, so four others agree; a key has some 40 bits, so that unlike hashes seldom meet however many there are."""
+    out, cuts = [], _slices(limit)
+    for i, some in enumerate(itertools.combinations(range(limit + 4), 4)):
+        key = F.lit(i).cast("long")
+        for j in some:
+            a, b = cuts[j]
+            key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1))
+        out.append(key)
+    return F.array(*out)
 
 
 def _links(hashes: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different hashes at most `limit` bits apart."""
-    each = hashes.select("h", F.explode(keys(F.col("h"), limit)).alias("key"))
-    l, r = each.select(F.col("h").alias("a"), "key"), each.select(F.col("h").alias("b"), "key")
-    return l.join(r, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)).select("a", "b").distinct()
+    """Pairs (a, b), a < b, of different hashes at most `limit` bits apart, each from the first key that both share: no other makes it again."""
+    cuts, choices = _slices(limit), list(itertools.combinations(range(limit + 4), 4))
+    # slices that must differ if a choice is to be the first that agrees
+    before = F.array(*(F.lit(sum(1 << j for j in range(max(c)) if j not in c)) for c in choices))
+    each = hashes.select("h", F.posexplode(keys(F.col("h"), limit)).alias("choice", "key"))
+    l, r = each.select(F.col("h").alias("a"), "choice", "key"), each.select(F.col("h").alias("b"), "key")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    agree = sum((F.when(F.shiftrightunsigned(apart, x).bitwiseAND((1 << (y - x)) - 1) == 0, 1 << j).otherwise(0) for j, (x, y) in enumerate(cuts)), F.lit(0))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= limit) & (agree.bitwiseAND(F.get(before, F.col("choice"))) == 0)
+    return l.join(r, "key").where(near).select("a", "b")
 
 
 def hamming_links(items: DataFrame, limit: int) -> DataFrame:

@@ -53,6 +53,34 @@ def nearest(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
     return best.select("id", "best.target_id", "best.metres")
 
 
+def nearest_of_all(points: DataFrame, targets: DataFrame, first_m: float = 500.0, decimals: int = 3) -> DataFrame:
+    """Each point (id, lat, lon) with the nearest of targets (id, lat, lon), however far: (id, target_id, metres); distances are rounded, ties go to
+    the smaller id. Places without a target within reach are sought again with twice the reach, so a round has fewer of them; without
+    any target no point has a row. Points without a position have none either.
+    """
+    at = written(places(points, "lat", "lon").select("lat", "lon"), "places")
+    targets = written(targets.where("lat is not null and lon is not null").select("id", "lat", "lon"), "targets")
+    found, rest, reach = [], at, first_m
+    while targets.limit(1).count() and rest.limit(1).count():
+        if reach > 2e6:  # the cells of such a circle would be the whole map: what is left meets all targets
+            met = rest.join(targets.select(F.col("id").alias("t"), F.col("lat").alias("y"), F.col("lon").alias("x")))
+            met = met.select("lat", "lon", "t", haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("metres"))
+        else:
+            near = within(rest, targets, reach)
+            met = near.select("l.lat", "l.lon", F.col("r.id").alias("t"), "metres")
+        best = met.groupBy("lat", "lon").agg(F.min(F.struct(F.round("metres", decimals).alias("m"), "t")).alias("best"))
+        best = written(best.select("lat", "lon", F.col("best.t").alias("target_id"), F.col("best.m").alias("metres")), "nearest")
+        found.append(best)
+        left = written(rest.join(best, ["lat", "lon"], "left_anti"), "rest")
+        rest, reach = left, 2 * reach
+    if not found:
+        return points.select("id", F.lit(None).cast(targets.schema["id"].dataType).alias("target_id"), F.lit(None).cast("double").alias("metres")).limit(0)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return points.join(every, ["lat", "lon"]).select("id", "target_id", "metres")
+
+
 def nearest_other(points: DataFrame, metres: float) -> DataFrame:
     """Each point (id, lat, lon, kind) with the nearest other point of its kind within reach: (id, target_id, metres); ties to the smaller id.
 

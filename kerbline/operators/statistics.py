@@ -8,25 +8,23 @@ from pyspark.sql import functions as F
 from kerbline.session import written
 
 
-#: Values that a range of a distribution holds, about.
-RANGE = 10_000
-
-
 def running(counts: DataFrame, by: list[str], order: Column, n: str = "n") -> DataFrame:
     """counts with `before`: the sum of n over the rows of its group that come earlier; order has no ties within a group.
 
-    No task holds a group: rows are dealt to ranges of the order, ranges are added up, and each range is summed by itself.
+    No task holds a group: rows are sorted by ranges of group and order, as many as there are partitions of a shuffle; a group's ranges are
+    added up, which are at most so many numbers, and each range is summed by itself.
     """
-    counts = written(counts.withColumn("o_", order), "counts")
-    many = -(-counts.count() // RANGE)
-    cuts = [float(x) for x in counts.approxQuantile("o_", [i / many for i in range(1, many)], 0.25 / many)] if many > 1 else []
-    part = sum(((F.col("o_") >= c).cast("int") for c in sorted(set(cuts))), F.lit(0)) if len(cuts) < 1000 else F.floor(F.col("o_"))
-    counts = counts.withColumn("part_", part)
+    ordered = counts.withColumn("o_", order).repartitionByRange(*by, "o_").withColumn("part_", F.spark_partition_id())
+    counts = written(ordered, "counts")
     totals = counts.groupBy(*by, "part_").agg(F.sum(n).alias("t_"))
     head = F.coalesce(F.sum("t_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "part_").orderBy("o_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = counts.withColumn("own_", own).join(totals.withColumn("head_", head).drop("t_"), [*by, "part_"])
-    return out.withColumn("before", F.col("head_") + F.col("own_")).drop("o_", "part_", "own_", "head_")
+    heads = totals.select(*(F.col(c).alias(f"{c}_h") for c in by), F.col("part_").alias("part_h"), head.alias("head_"))
+    same = F.col("part_") == F.col("part_h")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_h"))
+    out = counts.withColumn("own_", own).join(heads, same)
+    return out.withColumn("before", F.col("head_") + F.col("own_")).drop("o_", "part_", "own_", "head_", "part_h", *(f"{c}_h" for c in by))
 
 
 def ranks(rows: DataFrame, group: str, x: str) -> DataFrame:
@@ -47,17 +45,18 @@ def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return sums.select(group, "n", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
-def sign_flips(pairs: DataFrame, most_pairs: int = 16) -> DataFrame:
-    """Paired sign-flip test over (pair_id, diff), all 2^n sign assignments at once: exact, so there is no seed.
+def sign_flips(pairs: DataFrame, exact_pairs: int = 20, draws: int = 10_000) -> DataFrame:
+    """Paired sign-flip test over (pair_id, diff): up to exact_pairs pairs all 2^n sign assignments, so there is no seed; above, so many random
+    ones, by hashes of draw and pair, with one added to hits and draws.
 
     Columns: n_pairs, mean_difference, p_value, min_achievable_p, underpowered. Fewer than three pairs: no row.
     """
     n = pairs.count()
-    if n > most_pairs:
-        raise ValueError("too many pairs for all sign assignments")
+    if n > exact_pairs:
+        return _drawn_flips(pairs, n, draws)
     if n < 3:
         return pairs.sparkSession.createDataFrame([], "n_pairs long, mean_difference double, p_value double, min_achievable_p double, underpowered boolean")
-    diffs = pairs.agg(F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "diff"))), lambda p: p["diff"]).alias("d"))  # at most `most_pairs` numbers
+    diffs = pairs.agg(F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "diff"))), lambda p: p["diff"]).alias("d"))  # at most `exact_pairs` numbers
     signs = pairs.sparkSession.range(1 << n).join(F.broadcast(diffs))
     flipped = F.aggregate(F.zip_with("d", F.sequence(F.lit(0), F.lit(n - 1)), lambda d, i: F.when(F.getbit("id", i) == 1, -d).otherwise(d)), F.lit(0.0), lambda a, b: a + b)
     seen = F.aggregate("d", F.lit(0.0), lambda a, b: a + b)
@@ -66,6 +65,17 @@ def sign_flips(pairs: DataFrame, most_pairs: int = 16) -> DataFrame:
     return out.select(F.lit(n).cast("long").alias("n_pairs"), "mean_difference", (F.col("hits") / F.col("all")).alias("p_value"), F.lit(least).alias("min_achievable_p"), F.lit(least > 0.05).alias("underpowered"))
 
 
+def _drawn_flips(pairs: DataFrame, n: int, draws: int) -> DataFrame:
+    """Each pair takes part in every draw by a row of its own; sums of draws are combined before they are shuffled."""
+    each = pairs.select("pair_id", "diff", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    sign = F.when(draw("draw", "pair_id", size=F.lit(2)) == 1, -1.0).otherwise(1.0)
+    sums = each.groupBy("draw").agg(F.abs(F.sum(sign * F.col("diff"))).alias("s"))
+    seen = pairs.agg(F.sum("diff").alias("seen"))
+    out = sums.join(F.broadcast(seen)).agg(F.count_if(F.col("s") >= F.abs("seen") - 1e-12).alias("hits"), F.max("seen").alias("seen"))  # one row
+    least = max(2.0 ** (1 - n) if n < 1000 else 0.0, 1 / (draws + 1))
+    return out.select(F.lit(n).cast("long").alias("n_pairs"), (F.col("seen") / n).alias("mean_difference"), ((F.col("hits") + 1) / (draws + 1)).alias("p_value"), F.lit(least).alias("min_achievable_p"), F.lit(least > 0.05).alias("underpowered"))
+
+
 def draw(*columns: Column | str, size: Column) -> Column:
     """A number from 0 to size - 1 by the MD5 of these columns, so that any engine draws the same."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 8), 16, 10).cast("long") % size

@@ -73,10 +73,10 @@ def flt_04(spark, sf):
     return V.detections(spark, sf).where("id = 42").select("id", "damage_type", "severity")
 
 
-@query("flt_05_in_list", det("select id, damage_type from v_detections where id in (select detection_id from v_items join v_work_orders using (work_order_id) where status = 'draft')").replace("with ", "with " + V.DUCK["v_items"] + ", " + V.DUCK["v_work_orders"] + ", ", 1))
+@query("flt_05_in_list", det("select id, damage_type from v_detections where id in (select detection_id from v_items join v_work_orders using (work_order_id) where status = 'open')").replace("with ", "with " + V.DUCK["v_items"] + ", " + V.DUCK["v_work_orders"] + ", ", 1))
 def flt_05(spark, sf):
-    drafts = V.work_orders(spark, sf).where("status = 'draft'")
-    wanted = V.work_order_items(spark, sf).join(drafts, "work_order_id", "left_semi").select(F.col("detection_id").alias("id"))
+    open_orders = V.work_orders(spark, sf).where("status = 'open'")
+    wanted = V.work_order_items(spark, sf).join(open_orders, "work_order_id", "left_semi").select(F.col("detection_id").alias("id"))
     return V.detections(spark, sf).join(wanted, "id", "left_semi").select("id", "damage_type")
 
 

@@ -423,12 +423,6 @@ def agg_47(spark, sf):
     return V.table(spark, sf, "part").join(n, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n_staged"), F.col("n").isNull().alias("missing"))
 
 
-@query("sc_geo_09_there_and_back", "select event_id, round(1 - abs(1 - (event_id % 200) / 100), 9) as progress from events")
-def sc_geo_09(spark, sf):
-    """How far along its line a vehicle is that turns round at either end."""
-    return V.table(spark, sf, "events").select("event_id", F.round(1 - F.abs(1 - (F.col("event_id") % 200) / 100), 9).alias("progress"))
-
-
 @query("sc_str_10_safe_paths", "select p_partkey, regexp_full_match(path, '[^/].*\\.jpg') and path not like '%..%' as safe from (select p_partkey, case p_partkey % 4 when 0 then '/' when 1 then '../' else '' end || p_brand || case p_partkey % 3 when 0 then '.png' else '.jpg' end as path from part)")
 def sc_str_10(spark, sf):
     k = F.col("p_partkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline import vocab
 from kerbline.functions import scoring
-from kerbline.operators import similarity, spatial
+from kerbline.operators import similarity, spatial, statistics
 from kerbline.plans import views as V
 from kerbline.plans.queries_detections import case, det, metres
 from kerbline.plans.registry import query
@@ -200,15 +200,12 @@ def sc_cond_02(spark, sf):
 
 @query("win_02_city_rank", duck("v_users", body="select user_id, city, rank() over (order by points_total desc) as rank, rank() over (partition by city order by points_total desc) as city_rank from v_users"))
 def win_02(spark, sf):
-    """Competition ranks without one task for all users: users are counted by points, and the counts above are added up."""
+    """Competition ranks without one task for all users or for a city: users are counted by points, and the counts above are added up."""
     u = V.users(spark, sf)
-    by = u.groupBy("points_total").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("points_total") / 100))
-    above = by.groupBy("bin").agg(F.sum("n").alias("n"))  # as many rows as there are hundreds of points
-    above = above.select("bin", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy(F.desc("points_total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.withColumn("own", own).join(above, "bin").select("points_total", (F.col("above") + F.col("own") + 1).alias("rank"))
-    city = F.rank().over(Window.partitionBy("city").orderBy(F.desc("points_total"))).cast("long")
-    return u.join(ranks, "points_total").select("user_id", "city", "rank", city.alias("city_rank"))
+    down = -F.col("points_total")
+    every = statistics.running(u.groupBy("points_total").agg(F.count("*").alias("n")), [], down).select("points_total", (F.col("before") + 1).alias("rank"))
+    own = statistics.running(u.groupBy("city", "points_total").agg(F.count("*").alias("n")), ["city"], down).select("city", "points_total", (F.col("before") + 1).alias("city_rank"))
+    return u.join(every, "points_total").join(own, ["city", "points_total"]).select("user_id", "city", "rank", "city_rank")
 
 
 @query("win_03_leaderboard", duck("v_users", body="select user_id, points_total, row_number() over (order by points_total desc, user_id) as position from v_users order by points_total desc, user_id limit 50"))
@@ -252,10 +249,9 @@ def win_07(spark, sf):
 
 @query("win_08_tied_ranks", "select s_nationkey, s_suppkey, rank() over w + (count(*) over (partition by s_nationkey, floor(s_acctbal / 1000)) - 1) / 2 as fractional_rank from supplier window w as (partition by s_nationkey order by floor(s_acctbal / 1000))")
 def win_08(spark, sf):
-    v = F.floor(F.col("s_acctbal") / 1000)
-    s = V.table(spark, sf, "supplier").withColumn("v", v)
-    rank = F.rank().over(Window.partitionBy("s_nationkey").orderBy("v")) + (F.count("*").over(Window.partitionBy("s_nationkey", "v")) - 1) / 2
-    return s.select("s_nationkey", "s_suppkey", rank.alias("fractional_rank"))
+    s = V.table(spark, sf, "supplier").withColumn("v", F.floor(F.col("s_acctbal") / 1000))
+    ranks = statistics.ranks(s, "s_nationkey", "v")
+    return s.join(ranks, ["s_nationkey", "v"]).select("s_nationkey", "s_suppkey", F.col("r").alias("fractional_rank"))
 
 
 @query("win_09_running_best", duck("v_reports", body="select report_id, max(confidence) over (partition by user_id order by created_at, report_id) as best from v_reports"))

@@ -366,18 +366,18 @@ def st_13(spark, sf):
     return live.touched(_live(spark, sf).select("device_id", "t", (F.col("kind") == "sighting").alias("counted")), paired)
 
 
-@query("st_07_jolts", duck("v_reports", body="""m as (select device_id, report_id as motion_id, epoch(created_at) as t, 6 + report_id % 7 as jolt from v_reports where report_id % 2 = 0),
-f as (select device_id, report_id as fix_id, epoch(created_at) as t, case when report_id % 5 > 0 then report_id % 9 end as speed from v_reports where report_id % 2 = 1),
+@query("st_07_jolts", duck("v_reports", body="""m as (select device_id, report_id as motion_id, epoch(created_at) + report_id % 13 as t, 6 + report_id % 7 as jolt from v_reports),
+f as (select device_id, report_id as fix_id, epoch(created_at) as t, case when report_id % 5 > 0 then report_id % 9 end as speed from v_reports),
 n as (select m.*, (select max((f.t, f.fix_id)) from f where f.device_id = m.device_id and f.t <= m.t) as fx from m where jolt >= 9),
 j as (select n.device_id, motion_id, n.t, fx[2] as fix_id from n join f on f.fix_id = fx[2] where n.t - f.t <= 10 and (speed is null or speed >= 2.5)),
 h as (select *, row_number() over (partition by device_id order by t, motion_id) as i from j),
 w as (select device_id, motion_id, fix_id, i, t as lt, true as hit from h where i = 1 union all select h.device_id, h.motion_id, h.fix_id, h.i, case when h.t - lt >= 8 then h.t else lt end, h.t - lt >= 8 from w join h on h.device_id = w.device_id and h.i = w.i + 1)
 select device_id, motion_id, fix_id from w where hit""").replace("with ", "with recursive ", 1).replace("fx[2]", "fx.fix_id").replace("max((f.t, f.fix_id))", "max({'t': f.t, 'fix_id': f.fix_id})"))
 def st_07(spark, sf):
-    """Even reports are motions, odd ones fixes."""
+    """A report is a fix, and a motion some seconds later."""
     r = _live(spark, sf)
-    m = r.where("report_id % 2 = 0").select("device_id", F.col("report_id").alias("motion_id"), "t", (6 + F.col("report_id") % 7).cast("double").alias("jolt"))
-    f = r.where("report_id % 2 = 1").select("device_id", F.col("report_id").alias("fix_id"), "t", F.when(F.col("report_id") % 5 > 0, (F.col("report_id") % 9).cast("double")).alias("speed"))
+    m = r.select("device_id", F.col("report_id").alias("motion_id"), (F.col("t") + F.col("report_id") % 13).alias("t"), (6 + F.col("report_id") % 7).cast("double").alias("jolt"))
+    f = r.select("device_id", F.col("report_id").alias("fix_id"), "t", F.when(F.col("report_id") % 5 > 0, (F.col("report_id") % 9).cast("double")).alias("speed"))
     return live.jolts(m, f)
 
 

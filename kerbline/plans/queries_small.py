@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
-from kerbline.operators import assistant
+from kerbline.operators import assistant, spatial, statistics
 from kerbline.plans import views as V
 from kerbline.plans.queries_detections import det, metres
 from kerbline.plans.registry import query
@@ -54,18 +54,18 @@ def sc_str_05(spark, sf):
 
 @query("jn_11_points_in_reach", det(f"h as (select n_nationkey as h, 46.70 + n_nationkey * 0.004 as la, 23.50 + n_nationkey * 0.006 as lo from nation) select id, h from v_detections, h where {metres('latitude', 'longitude', 'la', 'lo')} <= 300"))
 def jn_11(spark, sf):
-    """Against a stated list of 25 places."""
     k = F.col("n_nationkey")
-    h = V.table(spark, sf, "nation").select(k.alias("h"), (46.70 + k * 0.004).alias("la"), (23.50 + k * 0.006).alias("lo"))
-    near = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo")) <= 300
-    return V.detections(spark, sf).join(F.broadcast(h), near).select("id", "h")
+    h = V.table(spark, sf, "nation").select(k.alias("h"), (46.70 + k * 0.004).alias("lat"), (23.50 + k * 0.006).alias("lon"))
+    d = V.detections(spark, sf).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return spatial.within(d, h, 300).select("l.id", "r.h")
 
 
 @query("jn_12_nearest_place", det(f"h as (select n_nationkey as h, 46.70 + n_nationkey * 0.004 as la, 23.50 + n_nationkey * 0.006 as lo from nation), d as (select id, h, round({metres('latitude', 'longitude', 'la', 'lo')}, 3) as m from v_detections, h) select id, h from (select *, row_number() over (partition by id order by m, h) as r from d) where r = 1"))
 def jn_12(spark, sf):
-    """The list of places is fixed, so each row finds its nearest in an expression: no join."""
-    at = [F.struct(F.round(geo.haversine_m(F.col("latitude"), F.col("longitude"), F.lit(46.70 + k * 0.004), F.lit(23.50 + k * 0.006)), 3).alias("m"), F.lit(k).alias("h")) for k in range(25)]
-    return V.detections(spark, sf).select("id", F.array_min(F.array(*at))["h"].alias("h"))
+    k = F.col("n_nationkey")
+    h = V.table(spark, sf, "nation").select(k.alias("id"), (46.70 + k * 0.004).alias("lat"), (23.50 + k * 0.006).alias("lon"))
+    d = V.detections(spark, sf).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return spatial.nearest_of_all(d, h).select("id", F.col("target_id").alias("h"))
 
 
 @query("jn_16_schema_codes", "select p_partkey as source, min(p_partkey) over (partition by p_brand, p_type) as target from part")
@@ -113,8 +113,7 @@ def flt_19(spark, sf):
 
 @query("win_12_train_val", "with g as (select o_orderkey as group_id, o_orderpriority as stratum, row_number() over w - 1 as i, count(*) over (partition by o_orderpriority) as n from orders window w as (partition by o_orderpriority order by md5(cast(o_orderkey as varchar)), o_orderkey)) select group_id, case when i < case when n >= 2 and round(n * 0.8) >= n then n - 1 else round(n * 0.8) end then 'train' else 'val' end as split from g")
 def win_12(spark, sf):
-    w = Window.partitionBy("o_orderpriority")
-    g = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), (F.row_number().over(w.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    g = statistics.placed(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_orderpriority").alias("stratum")))
     train = F.round(F.col("n") * 0.8)
     train = F.when((F.col("n") >= 2) & (train >= F.col("n")), F.col("n") - 1).otherwise(train)
     return g.select("group_id", F.when(F.col("i") < train, "train").otherwise("val").alias("split"))
