@@ -71,6 +71,35 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return runs.join(tests, "dir", "left").select("dir", "run.*", F.col("test_metrics").alias("metrics"))
 
 
+def read_run_artefacts(spark: SparkSession, root: str) -> DataFrame:
+    """Runs below a folder, a row for each run.json: (dir, experiment, seed, git_sha, git_dirty, status, metrics, per_class, per_class_split).
+
+    Files beside it may be missing or broken: metrics of the splits val and test come from test_metrics.json, else from the run's own results;
+    precisions of classes from per_class_ap.json, else there are none, of the split `unknown`. An experiment without a name has that
+    of its folder; commits are cut to 8 letters.
+    """
+    splits = "map<string, map<string, double>>"
+
+    def read(name: str, schema: str) -> DataFrame:
+        text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+        return text.select(F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*$", 1).alias("dir"), F.from_json("value", schema).alias("j"))
+
+    runs = read("run.json", f"experiment string, seed int, git_sha string, git_dirty boolean, status string, results {splits}").select("dir", F.col("j").alias("run"))
+    tests = read("test_metrics.json", splits).select("dir", F.col("j").alias("test"))
+    classes = read("per_class_ap.json", "per_class_AP50 map<string, double>, split string").select("dir", F.col("j").alias("ap"))
+
+    def of(m: Column) -> Column:
+        kept = F.map_filter(m, lambda k, _: k.isin("val", "test"))
+        return F.when(F.size(kept) > 0, kept)
+
+    out = runs.where("run is not null").join(tests, "dir", "left").join(classes, "dir", "left")
+    return out.select(
+        "dir", F.coalesce(F.nullif("run.experiment", F.lit("")), F.regexp_extract("dir", r"([^/]*)$", 1)).alias("experiment"), "run.seed", F.nullif(F.substring("run.git_sha", 1, 8), F.lit("")).alias("git_sha"),
+        F.coalesce("run.git_dirty", F.lit(False)).alias("git_dirty"), F.coalesce("run.status", F.lit("unknown")).alias("status"), F.coalesce(of(F.col("test")), of(F.col("run.results"))).alias("metrics"),
+        F.coalesce("ap.per_class_AP50", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).alias("per_class"), F.coalesce("ap.split", F.lit("unknown")).alias("per_class_split"),
+    )
+
+
 def read_metrics(spark: SparkSession, path: str, key: str = "epoch") -> DataFrame:
     """Ragged metrics tables as (file, key, metric, value): blanks are dropped, not filled."""
     raw = spark.read.option("header", True).csv(path)

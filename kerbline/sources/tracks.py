@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,32 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("time").isNotNull() & valid(F.col("lat"), F.col("lon")))
 
 
+#: The namespace that the strict dialect asks for.
+GPX_SPACE = "http://www.topografix.com/GPX/1/1"
+
+
+def read_gpx_strict(spark: SparkSession, path: str) -> DataFrame:
+    """Track points of GPX files of version 1.1 by its namespace: files of another one have none. A time is not needed, and one that cannot be
+    read is null; a coordinate that is missing counts as 0, one that is no number drops the point."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    root = F.regexp_extract("value", r"(?s)<((?:\w+:)?gpx\b[^>]*)>", 1)
+    prefix = F.regexp_extract(root, r"^(\w+:)?gpx", 1)
+    declared = F.regexp_extract(root, rf"xmlns(:\w+)?\s*=\s*[\"']{re.escape(GPX_SPACE)}[\"']", 1)
+    ours = root.contains(GPX_SPACE) & (F.concat(F.ltrim(declared, F.lit(":")), F.when(declared != "", ":").otherwise("")) == prefix)
+    points = text.where(ours).select("file", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<(?:\w+:)?trkpt\b(?:[^>]*/>|.*?</(?:\w+:)?trkpt\s*>))"), F.lit(1))).alias("p"))
+
+    def attribute(name: str) -> Column:
+        found = F.regexp_extract("p", rf"(?s)^<[^>]*?\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+        there = F.col("p").rlike(rf"(?s)^<[^>]*?\s{name}\s*=")
+        return F.when(there, F.trim(found).try_cast("double")).otherwise(0.0)
+
+    def child(name: str) -> Column:
+        return F.nullif(F.trim(F.regexp_extract("p", rf"(?s)<(?:\w+:)?{name}\s*>(.*?)</", 1)), F.lit(""))
+
+    out = points.select("file", child("time").try_cast("timestamp").alias("time"), attribute("lat").alias("lat"), attribute("lon").alias("lon"), child("ele").try_cast("double").alias("elevation"))
+    return out.where(valid(F.col("lat"), F.col("lon")))
+
+
 def read_gps_json(spark: SparkSession, path: str) -> DataFrame:
     """Fixes under `locations` or `gps`, or a bare list, with either of the usual names; times in milliseconds; 0.0 counts as missing."""
     fix = "struct<latitude: double, lat: double, longitude: double, lon: double, long: double, timestamp: double, ts: double>"

@@ -120,3 +120,17 @@ def life_stream(reports: DataFrame, eager: bool = True, lateness_s: float = fold
         return _told(state, _over_by_ms(state, round(now * 1000), grace))
 
     return folds.streamed(reports.select(*_COLUMNS), ["place"], "t", ["t", "report_id"], _start, stepped(eager), LIFE, deadline, due, lateness_s)
+
+
+def promotions(changes: DataFrame) -> DataFrame:
+    """The defects that promoted events become: (id, confidence, detection_count, first_detected, last_detected) from life() rows, one for each. An event without a confidence
+    has 0.5; it was seen at least once."""
+    by = changes.groupBy("event_id").agg(
+        F.max_by(F.struct("action", "latitude", "longitude", "confidence", "severity", "sightings", "t"), F.struct("t", F.col("action").isin(*GONE).cast("int"))).alias("e"), F.min("t").alias("first")
+    )
+    done = by.where("e.action = 'promoted'")
+    confidence = F.coalesce(F.nullif("e.confidence", F.lit(0.0)), F.lit(0.5))
+    return done.select(
+        F.col("event_id").alias("id"), confidence.alias("confidence"), F.greatest("e.sightings", F.lit(1)).cast("long").alias("detection_count"),
+        F.timestamp_seconds(F.floor("first")).cast("date").alias("first_detected"), F.timestamp_seconds(F.floor("e.t")).cast("date").alias("last_detected"),
+    )

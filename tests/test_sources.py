@@ -78,6 +78,34 @@ def test_runs_and_metrics(spark, tmp_path):
     assert sorted((r.epoch, r.metric, r.value) for r in labels.read_metrics(spark, path).collect()) == [(1, "loss", 0.5), (2, "map", 0.3)]
 
 
+def test_run_artefacts(spark, tmp_path):
+    put(tmp_path, "r/a/run.json", '{"experiment": "e", "seed": 1, "git_sha": "0123456789ab", "status": "ok", "git_dirty": true, "results": {"val": {"m": 9}}}')
+    put(tmp_path, "r/a/test_metrics.json", '{"test": {"m": 0.5}, "other": {"x": 1}}')
+    put(tmp_path, "r/a/per_class_ap.json", '{"per_class_AP50": {"pothole": 0.25, "rutting": 1}, "split": "test"}')
+    put(tmp_path, "r/x/b/run.json", '{"results": {"val": {"m": 0.1}, "more": {"m": 1}}}')
+    put(tmp_path, "r/x/b/test_metrics.json", '{"neither": {"m": 1}}')
+    put(tmp_path, "r/c/run.json", '{"experiment": ""}')
+    put(tmp_path, "r/c/per_class_ap.json", "{broken")
+    got = {r.experiment: r for r in labels.read_run_artefacts(spark, str(tmp_path / "r")).collect()}
+    assert set(got) == {"e", "b", "c"}
+    assert (got["e"].git_sha, got["e"].git_dirty, got["e"].metrics, got["e"].per_class, got["e"].per_class_split) == ("01234567", True, {"test": {"m": 0.5}}, {"pothole": 0.25, "rutting": 1.0}, "test")
+    assert (got["b"].metrics, got["b"].status, got["b"].git_dirty, got["b"].per_class, got["b"].per_class_split) == ({"val": {"m": 0.1}}, "unknown", False, {}, "unknown")
+    assert got["c"].metrics is None and got["c"].per_class == {} and got["c"].git_sha is None
+
+
+def test_strict_gpx(spark, tmp_path):
+    space = 'xmlns="http://www.topografix.com/GPX/1/1"'
+    body = '<trk><trkseg><trkpt lat="46.5" lon="23.5"><ele>300</ele><time>2024-01-01T00:00:01Z</time></trkpt><trkpt lon="5.5"/><trkpt lat="x" lon="1"/><trkpt lat="91" lon="1"/><trkpt/><trkpt lon=\'7\' lat=\'47\'><time>never</time></trkpt></trkseg></trk>'
+    put(tmp_path, "g/a.gpx", f'<?xml version="1.0"?>\n<gpx {space} version="1.1">{body}</gpx>')
+    put(tmp_path, "g/b.gpx", f"<gpx>{body}</gpx>")
+    prefixed = body.replace("<", "<q:").replace("<q:/", "</q:")
+    put(tmp_path, "g/c.gpx", f"<q:gpx {space.replace('xmlns', 'xmlns:q')}>{prefixed}</q:gpx>")
+    put(tmp_path, "g/d.gpx", f'<gpx xmlns="http://www.topografix.com/GPX/1/0">{body}</gpx>')
+    got = sorted((r.file[-5:], r.lat, r.lon, r.elevation, r.time is not None) for r in tracks.read_gpx_strict(spark, str(tmp_path / "g")).collect())
+    own = [(0.0, 5.5, None, False), (46.5, 23.5, 300.0, True), (47.0, 7.0, None, False)]
+    assert got == [(f, *x) for f in ("a.gpx", "c.gpx") for x in own]
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, 46.12345678, 23.5, None)], "id long, lat double, lon double, s int")
     labels.write_csv(df, str(tmp_path / "out"), {"lat": 4})
