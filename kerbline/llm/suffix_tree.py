@@ -80,10 +80,10 @@ def chain(root: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], n_all:
 class Chunk:
     """Texts as numbers of sorted words, with all that is known of each place so far."""
 
-    def __init__(self, words: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, held: np.ndarray, totals: np.ndarray | None = None, seen: list | None = None, counts: list | None = None):
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, held: np.ndarray, totals: np.ndarray | None = None, kept: list | None = None, counts: list | None = None):
         self.words, self.ranks, self.sizes, self.held, self.totals = words, ranks, sizes, held, totals
-        #: For each level and place: how often its context was seen (0: not retained), and how often with this word.
-        self.seen, self.counts = seen or [], counts or []
+        #: For each level and place: whether its context is retained, and how often it was seen with this word (0 if not asked).
+        self.kept, self.counts = kept or [], counts or []
 
     @classmethod
     def of(cls, docs: list[bytes], held: list[bool]) -> Chunk:
@@ -100,13 +100,13 @@ class Chunk:
     def from_row(cls, r: dict) -> Chunk:
         n = r["n_places"]
         totals = unpack(r["totals"], r["n_words"], 6) if r["totals"] is not None else None
-        each = [[unpack(x, n, 6) for x in r[c]] for c in ("seen", "counts")]
-        return cls(hashes(r["words"], r["n_words"]), unpack(r["ranks"], n, 4).astype(np.int32), np.array(r["sizes"], np.int64), np.array(r["held"], bool), totals, *each)
+        kept, counts = [unpack(x, n, 1) > 0 for x in r["kept"]], [unpack(x, n, 6) for x in r["counts"]]
+        return cls(hashes(r["words"], r["n_words"]), unpack(r["ranks"], n, 4).astype(np.int32), np.array(r["sizes"], np.int64), np.array(r["held"], bool), totals, kept, counts)
 
     def row(self, chunk: int, ids: list) -> dict:
         out = {"chunk": chunk, "ids": ids, "held": self.held.tolist(), "sizes": self.sizes.tolist(), "n_words": len(self.words), "n_places": len(self.ranks), "words": widths(self.words)}
         out |= {"ranks": pack(self.ranks, 4), "totals": None if self.totals is None else pack(self.totals, 6)}
-        return out | {"seen": [pack(x, 6) for x in self.seen], "counts": [pack(x, 6) for x in self.counts]}
+        return out | {"kept": [pack(x, 1) for x in self.kept], "counts": [pack(x, 6) for x in self.counts]}
 
     def trained(self) -> np.ndarray:
         return np.repeat(~self.held, self.sizes)
@@ -117,34 +117,39 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.ranks[self.trained()], minlength=len(self.words))
 
+    def occurrences(self, level: int) -> np.ndarray:
+        """How often the context of each place was seen: as often as what it ends with came after the rest of it. 0 where a text begins too late."""
+        before = self.totals[self.ranks] if level == 1 else self.counts[level - 2]
+        out = np.append(0, before[:-1])[: len(before)]
+        out[self.starts()] = self.totals[np.searchsorted(self.words, _END)] if level == 1 else 0  # as many starts as ends
+        return out
+
+    def retained(self, level: int) -> np.ndarray:
+        """How often the context of each place was seen, 0 if it is not retained."""
+        return np.where(self.kept[level - 1], self.occurrences(level), 0)
+
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the level after those known: the places whose context was seen twice or more, the context's hash, and how often it was seen."""
-        level = len(self.seen) + 1
-        first = self.starts()
-        into = np.arange(len(self.ranks)) - np.repeat(first, self.sizes)
-        if level == 1:
-            seen = np.append(0, self.totals[self.ranks[:-1]])[: len(self.ranks)]
-            seen[first] = self.totals[np.searchsorted(self.words, _END)]  # as many starts as ends
-        else:
-            seen = np.append(0, self.counts[-1][:-1])[: len(self.ranks)]
-        at = np.nonzero((seen > 1) & (into >= level - 1))[0]
+        """Of the level after those known: the places whose context was seen twice or more, the context's hash of 56 bits, and how often it was seen."""
+        level = len(self.kept) + 1
+        seen = self.occurrences(level)
+        at = np.nonzero(seen > 1)[0]
+        into = at - np.repeat(self.starts(), self.sizes)[at]
         h = np.zeros(len(at), np.uint64)
         for back in range(1, level + 1):
-            before = np.where(into[at] >= back, self.words[self.ranks[at - back]], _START)
-            h = mix(h * _ODD + before)
-        return at, h, seen[at]
+            h = mix(h * _ODD + np.where(into >= back, self.words[self.ranks[at - back]], _START))
+        return at, h & ~np.uint64(0xFF), seen[at]
 
     def probabilities(self, n_all: int, n_words: int, alpha: float) -> np.ndarray:
-        return chain(self.totals[self.ranks], list(zip(self.seen, self.counts, strict=True)), n_all, n_words, alpha)
+        return chain(self.totals[self.ranks], [(self.retained(i + 1), x) for i, x in enumerate(self.counts)], n_all, n_words, alpha)
 
 
 def chunk_schema(kind: str) -> str:
-    return f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, n_words int, n_places int, words binary, ranks binary, totals binary, seen array<binary>, counts array<binary>"
+    return f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, n_words int, n_places int, words binary, ranks binary, totals binary, kept array<binary>, counts array<binary>"
 
 
 def _arrow(id_type: pa.DataType) -> pa.Schema:
-    of = {"ids": pa.list_(id_type), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "n_words": pa.int32(), "n_places": pa.int32(), "seen": pa.list_(pa.binary()), "counts": pa.list_(pa.binary())}
-    return pa.schema([(c, of.get(c, pa.int64() if c == "chunk" else pa.binary())) for c in ("chunk", "ids", "held", "sizes", "n_words", "n_places", "words", "ranks", "totals", "seen", "counts")])
+    of = {"ids": pa.list_(id_type), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "n_words": pa.int32(), "n_places": pa.int32(), "kept": pa.list_(pa.binary()), "counts": pa.list_(pa.binary())}
+    return pa.schema([(c, of.get(c, pa.int64() if c == "chunk" else pa.binary())) for c in ("chunk", "ids", "held", "sizes", "n_words", "n_places", "words", "ranks", "totals", "kept", "counts")])
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +259,7 @@ class Filed:
 
     def rows(self, chunk: Chunk, number: int) -> Iterator[dict]:
         n = np.bincount(self.which[chunk.trained()[self.at]], minlength=len(self.begin))
-        seen, counts = [x[self.place] for x in chunk.seen] + [self.seen], [chunk.totals[chunk.ranks[self.place]]] + [x[self.place] for x in chunk.counts]
+        seen, counts = [chunk.retained(i + 1)[self.place] for i in range(len(chunk.kept))] + [self.seen], [chunk.totals[chunk.ranks[self.place]]] + [x[self.place] for x in chunk.counts]
         cuts = _cuts(self.bucket)
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             runs = _cuts(self.context[i:j])
@@ -325,18 +330,17 @@ def _tested(n_all: int, n_words: int, alpha: float, least_gain: float, hot: int)
 def _learned(chunk: Chunk, verdicts: list[dict], buckets: int, hot: int, retained: np.ndarray) -> None:
     """Adds a level's counts to a chunk, from what the buckets sent back."""
     filed = Filed(chunk, buckets, hot)
-    seen, count = np.zeros(len(chunk.ranks), np.int64), np.zeros(len(chunk.ranks), np.int64)
+    kept, count = np.zeros(len(chunk.ranks), bool), np.zeros(len(chunk.ranks), np.int64)
     if verdicts:
         rows = sorted(verdicts, key=lambda r: r["bucket"])
         n = np.concatenate([unpack(r["n"], r["n_grams"], 6) for r in rows])
         cuts = _cuts(filed.bucket)
         heads = np.concatenate([np.add(i, _cuts(filed.context[i:j])[:-1]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-        kept = np.concatenate([unpack(r["kept"], r["n_contexts"], 1) for r in rows])
-        kept = np.where(kept == 2, np.isin(filed.context[heads], retained), kept == 1)
-        kept = np.repeat(kept, np.diff(np.append(heads, len(filed.begin))))
-        seen[filed.at] = np.where(kept, filed.seen, 0)[filed.which]
+        told = np.concatenate([unpack(r["kept"], r["n_contexts"], 1) for r in rows])
+        told = np.where(told == 2, np.isin(filed.context[heads], retained), told == 1)
+        kept[filed.at] = np.repeat(told, np.diff(np.append(heads, len(filed.begin))))[filed.which]
         count[filed.at] = n[filed.which]
-    chunk.seen.append(seen)
+    chunk.kept.append(kept)
     chunk.counts.append(count)
 
 
