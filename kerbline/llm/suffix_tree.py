@@ -35,7 +35,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.kneser_ney import pack, unpack
 from kerbline.llm.words import TextHashes, in_parts, mapped, mix, texts, tidied_groups
 from kerbline.session import forget, written
 
@@ -52,13 +51,39 @@ NEXT_BITS = 48
 _hashes = TextHashes(17)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, not negative, as planes of bytes, compressed: as many planes as the largest needs, which the first byte tells."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = max(1, int(x.max()).bit_length() + 7 >> 3) if len(x) else 1
+    return bytes([width]) + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, size: int) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(pa.decompress(memoryview(data)[1:], size * width, "zstd", asbytes=True), np.uint8).reshape(width, size)
+    out = planes[0].astype(np.uint64)
+    for i in range(1, width):
+        out |= planes[i].astype(np.uint64) << np.uint64(8 * i)
+    return out.view(np.int64)
+
+
 def widths(x: np.ndarray) -> bytes:
     """Sorted hashes as packed differences."""
-    return pack(np.diff(x, prepend=np.uint64(0)).view(np.int64), 8)
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
 
 def hashes(data: bytes, size: int) -> np.ndarray:
-    return np.cumsum(unpack(data, size, 8).view(np.uint64))
+    return np.cumsum(unpack(data, size).view(np.uint64))
+
+
+def in_order(a: np.ndarray, b: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of numbers, b below n_b: an order by a, then b, and where in it a new pair begins. One sort of one number."""
+    key = a * n_b + b
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    return order, fresh
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -99,14 +124,14 @@ class Chunk:
     @classmethod
     def from_row(cls, r: dict) -> Chunk:
         n = r["n_places"]
-        totals = unpack(r["totals"], r["n_words"], 6) if r["totals"] is not None else None
-        kept, counts = [unpack(x, n, 1) > 0 for x in r["kept"]], [unpack(x, n, 6) for x in r["counts"]]
-        return cls(hashes(r["words"], r["n_words"]), unpack(r["ranks"], n, 4).astype(np.int32), np.array(r["sizes"], np.int64), np.array(r["held"], bool), totals, kept, counts)
+        totals = unpack(r["totals"], r["n_words"]) if r["totals"] is not None else None
+        kept, counts = [unpack(x, n) > 0 for x in r["kept"]], [unpack(x, n) for x in r["counts"]]
+        return cls(hashes(r["words"], r["n_words"]), unpack(r["ranks"], n).astype(np.int32), np.array(r["sizes"], np.int64), np.array(r["held"], bool), totals, kept, counts)
 
     def row(self, chunk: int, ids: list) -> dict:
         out = {"chunk": chunk, "ids": ids, "held": self.held.tolist(), "sizes": self.sizes.tolist(), "n_words": len(self.words), "n_places": len(self.ranks), "words": widths(self.words)}
-        out |= {"ranks": pack(self.ranks, 4), "totals": None if self.totals is None else pack(self.totals, 6)}
-        return out | {"kept": [pack(x, 1) for x in self.kept], "counts": [pack(x, 6) for x in self.counts]}
+        out |= {"ranks": pack(self.ranks), "totals": None if self.totals is None else pack(self.totals)}
+        return out | {"kept": [pack(x) for x in self.kept], "counts": [pack(x) for x in self.counts]}
 
     def trained(self) -> np.ndarray:
         return np.repeat(~self.held, self.sizes)
@@ -196,7 +221,7 @@ def _words(buckets: int):
             chunk = Chunk.from_row(r)
             n, bucket = chunk.word_counts(), bucket_of(chunk.words, buckets)
             cuts = _cuts(bucket)
-            rows = [{"bucket": int(bucket[i]), "chunk": r["chunk"], "size": int(j - i), "words": widths(chunk.words[i:j]), "n": pack(n[i:j], 4)} for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [{"bucket": int(bucket[i]), "chunk": r["chunk"], "size": int(j - i), "words": widths(chunk.words[i:j]), "n": pack(n[i:j])} for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("n", pa.binary())]))
 
     return run
@@ -206,12 +231,12 @@ def _word_sums(table: pa.Table) -> pa.Table:
     """WORDS of a bucket to SUMS: for each chunk the counts of its words over all chunks; on the first row, how many there are."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     words, at = np.unique(np.concatenate([hashes(r["words"], r["size"]) for r in rows]), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([unpack(r["n"], r["size"], 4) for r in rows]), minlength=len(words)).astype(np.int64)
+    n = np.bincount(at, weights=np.concatenate([unpack(r["n"], r["size"]) for r in rows]), minlength=len(words)).astype(np.int64)
     out, done = [], 0
     for i, r in enumerate(rows):
         own = n[at[done : done + r["size"]]]
         done += r["size"]
-        out.append({"bucket": r["bucket"], "chunk": r["chunk"], "size": r["size"], "n": pack(own, 6), "total": 0 if i else int(n.sum()), "distinct": 0 if i else int((n > 0).sum())})
+        out.append({"bucket": r["bucket"], "chunk": r["chunk"], "size": r["size"], "n": pack(own), "total": 0 if i else int(n.sum()), "distinct": 0 if i else int((n > 0).sum())})
     return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("size", pa.int32()), ("n", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
 
 
@@ -220,7 +245,7 @@ def _told(chunk: pa.Table, sums: pa.Table) -> pa.Table:
     rows = []
     for r in chunk.to_pylist():
         own = Chunk.from_row(r)
-        own.totals = np.concatenate([unpack(s["n"], s["size"], 6) for s in sorted(sums.to_pylist(), key=lambda s: s["bucket"])])
+        own.totals = np.concatenate([unpack(s["n"], s["size"]) for s in sorted(sums.to_pylist(), key=lambda s: s["bucket"])])
         rows.append(own.row(r["chunk"], r["ids"]))
     return pa.Table.from_pylist(rows, _arrow(chunk.schema.field("ids").type.value_type))
 
@@ -240,16 +265,16 @@ class Filed:
 
     def __init__(self, chunk: Chunk, buckets: int, hot: int):
         self.at, context, seen = chunk.contexts()
-        x = chunk.words[chunk.ranks[self.at]] & np.uint64((1 << NEXT_BITS) - 1)
-        order = np.lexsort((x, context))
+        rank = chunk.ranks[self.at]
+        x = chunk.words[rank] & np.uint64((1 << NEXT_BITS) - 1)
+        order, fresh = in_order(np.unique(context, return_inverse=True)[1], rank, len(chunk.words))
         bucket = bucket_of(context, buckets)
         often = seen >= hot
-        bucket[often] = (mix(context[often] + x[often] * _ODD) % np.uint64(buckets)).astype(np.int64)
         if often.any():
-            order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
+            bucket[often] = (mix(context[often] + x[often] * _ODD) % np.uint64(buckets)).astype(np.int64)
+            moved = np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+            order, fresh = order[moved], fresh[moved]  # equal ones lie in one bucket, and stay together
         context, x, bucket = context[order], x[order], bucket[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (context[1:] != context[:-1]) | (x[1:] != x[:-1])
         self.begin = np.nonzero(fresh)[0]
         #: Of each place, which of the distinct ones it is.
         self.which = np.empty(len(order), np.int64)
@@ -265,8 +290,8 @@ class Filed:
             runs = _cuts(self.context[i:j])
             first = i + runs[:-1]
             yield {
-                "bucket": int(self.bucket[i]), "chunk": number, "n_contexts": len(first), "n_grams": int(j - i), "contexts": widths(self.context[first]), "runs": pack(np.diff(runs), 4),
-                "seen": [pack(x[first], 6) for x in seen], "next": pack(self.next[i:j].view(np.int64), NEXT_BITS // 8), "n": pack(n[i:j], 4), "counts": [pack(x[i:j], 6) for x in counts],
+                "bucket": int(self.bucket[i]), "chunk": number, "n_contexts": len(first), "n_grams": int(j - i), "contexts": widths(self.context[first]), "runs": pack(np.diff(runs)),
+                "seen": [pack(x[first]) for x in seen], "next": pack(self.next[i:j].view(np.int64)), "n": pack(n[i:j]), "counts": [pack(x[i:j]) for x in counts],
             }
 
 
@@ -293,34 +318,31 @@ def _tested(n_all: int, n_words: int, alpha: float, least_gain: float, hot: int)
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         table = None
-        runs = [unpack(r["runs"], r["n_contexts"], 4) for r in rows]
+        runs = [unpack(r["runs"], r["n_contexts"]) for r in rows]
         contexts = np.concatenate([hashes(r["contexts"], r["n_contexts"]) for r in rows])
-        context = np.repeat(contexts, np.concatenate(runs))
-        x = np.concatenate([unpack(r["next"], r["n_grams"], NEXT_BITS // 8) for r in rows])
-        order = np.lexsort((x, context))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (context[order[1:]] != context[order[:-1]]) | (x[order[1:]] != x[order[:-1]])
+        heads, told = np.unique(contexts, return_inverse=True)
+        nexts, x = np.unique(np.concatenate([unpack(r["next"], r["n_grams"]) for r in rows]), return_inverse=True)
+        order, fresh = in_order(np.repeat(told, np.concatenate(runs)), x, len(nexts))
         begin = np.nonzero(fresh)[0]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(fresh) - 1
         one = order[begin]  # of each distinct row, where it stands first
-        context = context[one]
-        del x, order, fresh
-        n = np.bincount(which, weights=np.concatenate([unpack(r["n"], r["n_grams"], 4) for r in rows]), minlength=len(begin)).astype(np.int64)
-        root, *counts = (np.concatenate([unpack(r["counts"][k], r["n_grams"], 6) for r in rows])[one] for k in range(len(rows[0]["counts"])))
-        *lower, own = (np.concatenate([np.repeat(unpack(r["seen"][k], r["n_contexts"], 6), run) for r, run in zip(rows, runs, strict=True)])[one] for k in range(len(rows[0]["seen"])))
+        context = np.repeat(told, np.concatenate(runs))[one]
+        del x, nexts, order, fresh
+        n = np.bincount(which, weights=np.concatenate([unpack(r["n"], r["n_grams"]) for r in rows]), minlength=len(begin)).astype(np.int64)
+        root, *counts = (np.concatenate([unpack(r["counts"][k], r["n_grams"]) for r in rows])[one] for k in range(len(rows[0]["counts"])))
+        *lower, own = (np.concatenate([np.repeat(unpack(r["seen"][k], r["n_contexts"]), run) for r, run in zip(rows, runs, strict=True)])[one] for k in range(len(rows[0]["seen"])))
         p = chain(root, list(zip(lower, counts, strict=True)), n_all, n_words, alpha)
         part = np.where(n > 0, n * (np.log(np.maximum(n - 1, 0) + alpha * p) - np.log(p)), 0.0)
         at = _cuts(context)
-        seen, heads = own[at[:-1]], context[at[:-1]]
+        seen = own[at[:-1]]
         gain = np.add.reduceat(part, at[:-1]) if len(part) else part
         often = seen >= hot
         kept = np.where(often, 2, gain - seen * np.log(seen - 1 + alpha) >= least_gain).astype(np.int64)
         asked = [{"context": c, "seen": s, "gain": g} for c, s, g in zip(heads[often].view(np.int64).tolist(), seen[often].tolist(), gain[often].tolist(), strict=True)]
         out, done, head = [], 0, 0
         for i, r in enumerate(rows):
-            mine = np.searchsorted(heads, contexts[head : head + r["n_contexts"]])
-            out.append({k: r[k] for k in ("bucket", "chunk", "n_contexts", "n_grams")} | {"n": pack(n[which[done : done + r["n_grams"]]], 6), "kept": pack(kept[mine], 1), "hot": None if i else asked})
+            out.append({k: r[k] for k in ("bucket", "chunk", "n_contexts", "n_grams")} | {"n": pack(n[which[done : done + r["n_grams"]]]), "kept": pack(kept[told[head : head + r["n_contexts"]]]), "hot": None if i else asked})
             done, head = done + r["n_grams"], head + r["n_contexts"]
         return pa.Table.from_pylist(out, _VERDICTS)
 
@@ -333,10 +355,10 @@ def _learned(chunk: Chunk, verdicts: list[dict], buckets: int, hot: int, retaine
     kept, count = np.zeros(len(chunk.ranks), bool), np.zeros(len(chunk.ranks), np.int64)
     if verdicts:
         rows = sorted(verdicts, key=lambda r: r["bucket"])
-        n = np.concatenate([unpack(r["n"], r["n_grams"], 6) for r in rows])
+        n = np.concatenate([unpack(r["n"], r["n_grams"]) for r in rows])
         cuts = _cuts(filed.bucket)
         heads = np.concatenate([np.add(i, _cuts(filed.context[i:j])[:-1]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-        told = np.concatenate([unpack(r["kept"], r["n_contexts"], 1) for r in rows])
+        told = np.concatenate([unpack(r["kept"], r["n_contexts"]) for r in rows])
         told = np.where(told == 2, np.isin(filed.context[heads], retained), told == 1)
         kept[filed.at] = np.repeat(told, np.diff(np.append(heads, len(filed.begin))))[filed.which]
         count[filed.at] = n[filed.which]
