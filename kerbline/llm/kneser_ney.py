@@ -2,15 +2,17 @@
 
 The model is over words of order two: the probability of a word after the one before it (or after the start of the text), with the
 modified discounts, interpolated with how many different words it follows, and that with the uniform distribution. There is one
-model for each value of the language column, over all words of all documents, and what is gathered grows with them. Texts are dealt
-into two folds by their hash, and each is scored by what the other fold holds, so that neither its own words nor its exact copies
-make it look probable: a text of words that nobody else uses has a high perplexity.
+model for each value of the language column, over all words of all documents but those that noise makes no example of the language (see
+is_noisy), and what is gathered grows with them. Texts are dealt into two folds by their hash, and each is scored by what the other
+fold holds, so that neither its own words nor its exact copies make it look probable: a text of words that nobody else uses, or of
+noise, has a high perplexity, and one that dozens of others hold nearly word by word a very low one.
 
 No task holds a model. Words are hashes of 40 bits; the pairs of a language are filed under buckets by the hash of the first word,
 as many as the corpus needs, and a bucket is a set of sorted hash arrays:
 
 1. A pass over the texts gives the counts of each, and finds frequent first words: those with a bucket's share of all pairs or
-   more, at most some four in three buckets, by one text in SAMPLED (what is found decides where pairs go, and nothing else). Their pairs are dealt over all buckets by both words, so no word makes a bucket large.
+   more, at most some four in three buckets and never over MOST_HOT, by one text in SAMPLED (what is found decides where pairs go,
+   and nothing else). Their pairs are dealt over all buckets by both words, so no word makes a bucket large.
 2. Each chunk of texts sends a bucket its distinct pairs as sorted arrays; a bucket merges them, which gives counts of counts and
    how many pairs each second word ends. These numbers are added up by second word and sent back.
 3. Each chunk sends its pairs again, now with the documents that hold them. A bucket merges the arrays, has the probability of each
@@ -41,11 +43,16 @@ LOW, HIGH, LEAST_SHARE = 3.0, 7.0, 0.2
 #: Steps of a histogram, a unit of log perplexity.
 STEPS = 1000
 MARKS = b"#*$%&|<>"
+#: A text is noisy if more than these shares of its bytes are marks (or !), or capital letters.
+NOISE, MOST_NOISE, MOST_CAPITALS = MARKS + b"!", 0.03, 0.4
+_CAPITALS = bytes(range(65, 91))
 #: Bytes of text that a chunk holds, and that a bucket stands for; parts in which documents are scored.
 CHUNK_BYTES, BUCKET_BYTES, ROUNDS = 16 << 20, 16 << 20, 2
 BITS = 40
 #: Of so many texts one, chosen by its hash, is asked for frequent words.
 SAMPLED = 16
+#: However large the corpus, a frequent word begins at least one of so many pairs, so that there are not more of them.
+MOST_HOT = 1 << 20
 _START, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = TextHashes(11)
@@ -104,6 +111,12 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def is_noisy(text: bytes) -> bool:
+    """Whether a text is no example of a language: the model is not learned from it."""
+    n = len(text)
+    return n - len(text.translate(None, NOISE)) > MOST_NOISE * n or n - len(text.translate(None, _CAPITALS)) > MOST_CAPITALS * n
+
+
 _marks = [bytes([x]) for x in MARKS]
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -143,8 +156,9 @@ def _measure(buckets: int):
 
 # ---------------------------------------------------------------- pairs of words, from chunks to buckets
 
-#: n0, n1: how often the pair occurs in texts of either fold. at: the texts that hold it, of which the first n_zero are of fold 0.
-PAIRS = "bucket int, chunk long, lang string, n_first int, n_pairs int, n_at int, n_zero int, n_keys int, first binary, runs binary, second binary, n0 binary, n1 binary, at binary, keys binary"
+#: n0, n1: how often the pair occurs in texts of either fold that are learned from. held: how often at all; at: the texts that hold it, of
+#: which the first n_zero are of fold 0.
+PAIRS = "bucket int, chunk long, lang string, n_first int, n_pairs int, n_at int, n_zero int, n_keys int, first binary, runs binary, second binary, n0 binary, n1 binary, held binary, at binary, keys binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None, int, bytes]]]:
@@ -189,6 +203,7 @@ def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
         ids, before, cur, at = pairs_of([r[2] for r in own])
         keys = np.array([r[1] for r in own], np.int64)
         zeros = int((keys & 1 == 0).sum())
+        learned = ~np.array([is_noisy(r[2]) for r in own], bool)
         bucket = bucket_of(ids, buckets)[before]
         dealt = np.isin(ids, hot)[before]
         bucket[dealt] = (mix(ids[before[dealt]].astype(np.uint64) * _PAIR + ids[cur[dealt]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -202,8 +217,10 @@ def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
         fresh = np.ones(len(pair), bool)
         fresh[1:] = (pair[1:] != pair[:-1]) | (bucket[1:] != bucket[:-1])
         begin = np.nonzero(fresh)[0]
-        n1 = np.add.reduceat(at >= zeros, begin, dtype=np.int64) if len(begin) else begin
-        n0 = np.diff(np.append(begin, len(pair))) - n1
+        one = at >= zeros
+        n1 = np.add.reduceat(one & learned[at], begin, dtype=np.int64) if len(begin) else begin
+        n0 = np.add.reduceat(~one & learned[at], begin, dtype=np.int64) if len(begin) else begin
+        held = np.diff(np.append(begin, len(pair)))
         pair, bucket = pair[begin], bucket[begin]
         first, second = ids[pair // len(ids)], ids[pair % len(ids)]
         cuts = np.append(np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0], len(bucket)) if len(bucket) else [0]
@@ -213,12 +230,12 @@ def _pairs(buckets: int, often, rounds: int, mine: int, scored: bool):
             row |= {"first": pack(np.diff(first[i:j][run[:-1]], prepend=0), 5), "runs": pack(np.diff(run), 4), "second": pack(second[i:j], 5), "n0": pack(n0[i:j], 4), "n1": pack(n1[i:j], 4)}
             if scored:
                 told = at[begin[i] : begin[j] if j < len(begin) else len(at)]
-                row |= {"n_at": len(told), "at": pack(told, 4)}
+                row |= {"n_at": len(told), "at": pack(told, 4), "held": pack(held[i:j], 4)}
                 if i == 0:
                     row |= {"n_keys": len(keys), "keys": keys.tobytes()}
             yield row
 
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), *((c, pa.int32()) for c in ("n_first", "n_pairs", "n_at", "n_zero", "n_keys")), *((c, pa.binary()) for c in ("first", "runs", "second", "n0", "n1", "at", "keys"))])
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), *((c, pa.int32()) for c in ("n_first", "n_pairs", "n_at", "n_zero", "n_keys")), *((c, pa.binary()) for c in ("first", "runs", "second", "n0", "n1", "held", "at", "keys"))])
     return run
 
 
@@ -339,7 +356,7 @@ def _scored(often):
                 loss.append(-log_probabilities(of, n[f], totals, ways, told[0]["all_counts"][4 * f :][:4], told[0]["all_types"][6 * f :][:6]))
             done = 0
             for r in rows:
-                pair = np.repeat(went[done : done + r["n_pairs"]], unpack(r["n0"], r["n_pairs"], 4) + unpack(r["n1"], r["n_pairs"], 4))
+                pair = np.repeat(went[done : done + r["n_pairs"]], unpack(r["held"], r["n_pairs"], 4))
                 done += r["n_pairs"]
                 at = unpack(r["at"], r["n_at"], 4)
                 own = np.where(at < r["n_zero"], loss[0][pair], loss[1][pair])
@@ -364,10 +381,10 @@ def _summed(table: pa.Table) -> pa.Table:
 def losses(docs: DataFrame, measured: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
     """(key, loss) for each key of docs (lang, key, text) with words: the sum of the negative log probabilities of its words."""
     spark = docs.sparkSession
-    share = (measured.where(F.col("key") % SAMPLED == 0).agg(F.sum("n_words")).first()[0] or 0) / buckets
-    often = measured.where("first is not null").groupBy("lang", "first").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * share)
+    sampled = measured.where(F.col("key") % SAMPLED == 0).agg(F.sum("n_words")).first()[0] or 0
+    often = measured.where("first is not null").groupBy("lang", "first").agg(F.sum("n").alias("n")).where(F.col("n") >= max(0.75 * sampled / buckets, sampled / MOST_HOT))
     hot: dict[str | None, list[int]] = {}
-    for lang, first, _ in often.collect():  # shares of 3/4 of a bucket or more: at most 4/3 a bucket
+    for lang, first, _ in often.collect():  # at most MOST_HOT, and at most 4/3 a bucket
         hot.setdefault(lang, []).append(first)
     seen = spark.sparkContext.broadcast({k: (np.sort(np.array(v, np.int64)),) for k, v in hot.items()})
     pairs = mapped(docs, _pairs(buckets, seen, 1, 0, False), PAIRS)
