@@ -44,8 +44,10 @@ IMPLIED = {
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-#: Lines of cells longer than this are not padded for, so that one long cell does not multiply the size of its table.
+#: Where a fixed width is asked for: lines of cells longer than this are not padded for.
 WIDEST = 40
+#: A laid out table has at most so many times the characters of its text, and some more, so that a long cell does not multiply its size.
+TIMES, MORE = 4, 4000
 #: Fixed value: columns that a cell can span, by the HTML standard.
 MOST_COLUMNS = 1000
 
@@ -111,14 +113,38 @@ class Flow:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]], widest: int = WIDEST) -> list[str]:
-    """Lines of a table: cells side by side, padded to the width of their column; lines longer than `widest` stick out."""
+def _widths(rows: list[list[list[str]]], widest: int | None) -> list[int]:
+    """Width of each column: of its longest line, or of the longest of at most `widest` characters."""
     widths: list[int] = []
     for row in rows:
+        widths += [0] * (len(row) - len(widths))
         for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= widest)])
+            for x in cell:
+                if widths[i] < len(x) and (widest is None or len(x) <= widest):
+                    widths[i] = len(x)
+    return widths
+
+
+def aligned(rows: list[list[list[str]]], widest: int | None = None) -> list[str]:
+    """Lines of a table: cells side by side, padded to the width of their column.
+
+    Lines longer than `widest` stick out; without it, all are padded for, unless the table would grow beyond TIMES its text: then those
+    longer than the greatest width at which it does not stick out.
+    """
+    widths = _widths(rows, widest)
+    if widest is None:
+        lines = sum(max((len(c) for c in row), default=0) for row in rows)
+        most = TIMES * sum(len(x) for row in rows for c in row for x in c) + MORE
+        if lines * sum(widths) > most:
+            sizes = sorted({len(x) for row in rows for c in row for x in c})
+            low, high = 0, len(sizes)  # sizes below low fit, those from high on do not
+            while low < high:
+                mid = (low + high) // 2
+                if lines * sum(_widths(rows, sizes[mid])) <= most:
+                    low = mid + 1
+                else:
+                    high = mid
+            widths = _widths(rows, sizes[low - 1] if low else 0)
     out = []
     for row in rows:
         for n in range(max((len(c) for c in row), default=0)):
@@ -127,7 +153,7 @@ def aligned(rows: list[list[list[str]]], widest: int = WIDEST) -> list[str]:
 
 
 class Renderer(HTMLParser):
-    def __init__(self, widest: int = WIDEST) -> None:
+    def __init__(self, widest: int | None = WIDEST) -> None:
         super().__init__(convert_charrefs=True)
         self.widest = widest
         self.open: list[tuple[str, object, bool]] = []  # name, what its end undoes, and whether text was veiled outside
@@ -322,7 +348,7 @@ class Renderer(HTMLParser):
             flow.text(data)
 
 
-def render(html: str, widest: int = WIDEST) -> tuple[str, int, int, int]:
+def render(html: str, widest: int | None = WIDEST) -> tuple[str, int, int, int]:
     """Text, and how many items, tables and paragraphs it shows."""
     r = Renderer(widest)
     r.feed(html)
@@ -332,7 +358,7 @@ def render(html: str, widest: int = WIDEST) -> tuple[str, int, int, int]:
     return "\n".join(r.flows[0].done()), r.n["li"], r.n["table"], r.n["p"]
 
 
-def _run(widest: int):
+def _run(widest: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, 200):
             cols = list(zip(*(render(x or "", widest) for x in part.column(1).to_pylist()), strict=True)) or [[]] * 4
@@ -341,7 +367,7 @@ def _run(widest: int):
     return run
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", widest: int = WIDEST) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", widest: int | None = None) -> DataFrame:
     """Rows (page_id, text, n_items, n_tables, n_paragraphs), one for each row of pages.
 
     Null or empty HTML gives an empty text; broken HTML gives what can be shown of it. Repeated rows and null ids are rendered like
