@@ -70,7 +70,7 @@ def mean_degrees(c: str) -> Column:
     return F.round(F.avg(F.col(c).cast("decimal(12,6)")), 6).cast("double")
 
 
-def quality_grid(d: DataFrame, as_of: dt.date, cell_m: float = 120, most_cells: int | None = None) -> DataFrame:
+def quality_grid(d: DataFrame, as_of: dt.date, cell_m: float = 120) -> DataFrame:
     """Road quality by cell: severity, faded with age and cut where repaired, summed to a penalty and turned into a score and a band."""
     ref = d.agg(F.coalesce(F.avg("latitude"), F.lit(45.0))).scalar()
     dlat, dlon = metres_to_lat(cell_m), metres_to_lon(cell_m, ref)

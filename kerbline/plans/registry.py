@@ -40,7 +40,7 @@ def oracle(name: str) -> str:
 
 
 def _load() -> None:
-    from kerbline.plans import queries_detections, queries_extra, queries_joins, queries_media, queries_more, queries_orders, queries_rules, queries_small, queries_streams  # noqa: F401
+    from kerbline.plans import queries_detections, queries_extra, queries_files, queries_joins, queries_media, queries_more, queries_orders, queries_rules, queries_small, queries_streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
