@@ -147,6 +147,21 @@ def ret_01_fuzzy(spark, sf):
     return retrieval.bm25(docs, _queries(spark, sf), fuzzy=True)
 
 
+@query("ret_01_fields", """with q as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as word from benchmark where item_id % 20 = 0),
+x as (select doc_id as id, 'title' as field, 3.0::double as boost, regexp_extract_all(lower(coalesce(left(text, 60), '')), '[a-z]+') as w from documents union all select doc_id, 'text', 1.0, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') from documents
+  union all select doc_id, 'tags', 2.0, regexp_extract_all(lower(coalesce(right(text, 40), '')), '[a-z]+') from documents),
+d as (select *, len(w) as len from x), t as (select field, count(*) as n, avg(len) as avg_len from d group by field),
+p as (select id, field, boost, len, word, count(*) as tf from (select id, field, boost, len, unnest(w) as word from d) where word in (select word from q) group by all),
+f as (select field, word, count(*) as df from p group by all),
+s as (select query_id, id, round(sum(boost * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / avg_len))), 6) as score from p join q using (word) join f using (field, word) join t using (field) group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)
+select query_id, id, score, rank from r where rank <= 6""")
+def ret_01_fields(spark, sf):
+    """Documents with their beginning as title and their end as tags."""
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), "text", F.expr("right(text, 40)").alias("tags"))
+    return retrieval.bm25_fields(docs, _queries(spark, sf))
+
+
 _COS = "round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6)"
 _DENSE = f"""x as (select vec_id as id, cast(embedding as double[]) as v from embeddings), c as (select a.id as query_id, b.id, {_COS.replace('(q', '(a.v').replace(' q)', ' a.v)').replace('(v', '(b.v').replace(' v)', ' b.v)')} as score from x a, x b where a.id % 20 = 0),
 k as (select *, row_number() over (partition by query_id order by score desc, id) as rank from c)
@@ -169,7 +184,11 @@ def ret_03(spark, sf):
     return retrieval.fused(retrieval.bm25(docs, _queries(spark, sf)), _dense(spark, sf))
 
 
-@query("ret_05_grounding")
+@query("ret_05_grounding", """with a as (select conv_id, arg_min_null(text, turn) filter (where role = 'assistant') as answer, arg_min_null(text, turn) filter (where role = 'user') as context from conversations where role in ('assistant', 'user') group by conv_id having count(distinct role) = 2),
+s as (select conv_id, context, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(answer, '\\s+', ' ', 'g'), '([.!?]) ', '\\1\n', 'g'), '\n'), lambda x: length(trim(x)) > 0)) as s from a),
+k as (select conv_id, list_distinct(regexp_extract_all(lower(context), '[a-z]+')) as known, list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda w: length(w) >= 3) as own, regexp_extract_all(context, '\\d+(?:[.,]\\d+)?') as numbers, regexp_extract_all(s, '\\d+(?:[.,]\\d+)?') as said from s),
+g as (select conv_id, len(list_filter(said, lambda n: not list_contains(numbers, n))) = 0 and (len(own) = 0 or len(list_filter(own, lambda w: list_contains(known, w))) >= 0.42::double * len(own)) as keep from k)
+select conv_id as answer_id, count(*) filter (where keep) as kept, count(*) filter (where not keep) as dropped from g group by conv_id""")
 def ret_05(spark, sf):
     c = V.table(spark, sf, "conversations")
     a = c.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
