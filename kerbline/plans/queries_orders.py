@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline import vocab
 from kerbline.operators import detections as D
-from kerbline.operators import orders
+from kerbline.operators import orders, sampling
 from kerbline.plans import views as V
 from kerbline.plans.queries_streams import _LIFE, _classed
 from kerbline.plans.queries_more import _live
@@ -106,3 +106,17 @@ def sc_math_02(spark, sf):
     """Both ways to round halves, of numbers that often are halves."""
     x = F.col("p_size") / 4 + F.col("p_partkey") % 8 / 8
     return V.table(spark, sf, "part").select("p_partkey", F.bround(x).alias("half_even"), F.round(x).alias("half_away"), F.bround(F.col("p_partkey") % 1000 / 8, 2).alias("cents"))
+
+
+@query("sc_dt_08_grid", """with v as (select c_custkey as video_id, (c_custkey % 90 / 4)::double as duration_s, greatest(1 / (1 + c_custkey % 5)::double, 0.3::double) as step from customer)
+select video_id, i, i * step as t from (select *, unnest(range(cast(ceil(duration_s / step) as bigint) + 1)) as i from v where duration_s > 0) where i * step < duration_s""")
+def sc_dt_08_grid(spark, sf):
+    """Frames of a recording for each customer, of up to 22 seconds and one to five a second, at least 0.3 seconds apart."""
+    k = F.col("c_custkey")
+    return sampling.grid(V.table(spark, sf, "customer").select(k.alias("video_id"), (k % 90 / 4).alias("duration_s"), (1 + k % 5).alias("fps")), 0.3)
+
+
+@query("sc_dt_08_middles", "select c_custkey as video_id, i, (i + 0.5::double) / n * (c_custkey % 90 / 4)::double as t from (select c_custkey, c_custkey % 7 as n, unnest(range(c_custkey % 7)) as i from customer)")
+def sc_dt_08_middles(spark, sf):
+    k = F.col("c_custkey")
+    return sampling.middles(V.table(spark, sf, "customer").select(k.alias("video_id"), (k % 90 / 4).alias("duration_s"), (k % 7).alias("n")))
