@@ -176,6 +176,29 @@ def test_packing_of_odd_rows(spark, odd):
     assert sorted(r.doc_tokens for r in got.where("start = 0").collect()) == want
 
 
+def test_very_long_texts_pass_all_stages(spark, odd):
+    """Texts of some 300,000 characters: near copies are found, an item and a secret in the middle too, and all tokens are packed."""
+    rng = np.random.default_rng(31)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ren", "su") for b in ("ta", "no", "vel", "rim", "da") for c in ("pho", "xi", "gam", "el", "or", "un")]
+    long = [list(rng.choice(words, 50_000)) for _ in range(3)]
+    copy = list(long[0])
+    for k in rng.integers(0, len(copy), 200):
+        copy[k] = f"new{k}"
+    dirty = " ".join([*long[1][:25_000], ITEM, *long[1][25_000:]])
+    secret = " ".join([*long[2][:40_000], "password=hunter22x", *long[2][40_000:]])
+    texts = {1: " ".join(long[0]), 2: " ".join(copy), 3: dirty, 4: secret, 5: "short text of a few words"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "k", "g", "b", "r", "c", "n", "i") for i, t in texts.items()], EXTRA)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = written(stage(spark, docs, odd))
+        assert {r.doc_id for r in docs.collect()} == ({1, 3, 4, 5} if name == "SimHash near-dedup" else {1, 4, 5}), name
+    got = {r.doc_id: r for r in docs.collect()}
+    assert got[1].text == texts[1] and got[4].text == secret.replace("password=hunter22x", "[SECRET]") and got[4].n_chars == len(got[4].text)
+    pieces = corpus_pipeline.pack_sequences(spark, docs, odd).collect()
+    assert all(sum(p.length for p in pieces if p.doc_id == i) == max(p.doc_tokens for p in pieces if p.doc_id == i) for i in got) and sum(p.doc_id == 1 for p in pieces) > 10
+    judged = corpus_pipeline.quality_rules(spark, docs, odd)  # it passes without harm, whatever the verdict on invented words
+    assert {r.doc_id for r in judged.collect()} <= set(got)
+
+
 def test_stages_of_empty_tables(spark, odd):
     empty = spark.createDataFrame([], EXTRA)
     for name, stage in corpus_pipeline.STAGES:
