@@ -143,16 +143,26 @@ def representatives(clustered: DataFrame, score: Column, key: str = "id") -> Dat
 def interpolate(frames: DataFrame, track: DataFrame, clamp: bool = False) -> DataFrame:
     """As-of join of frames (track_id, frame_id, t) with fixes (track_id, t, lat, lon), positions linear between the fixes around.
 
-    Outside the track: null, or the end fix where clamp is set. One union, one window: no range join. t is a number of seconds.
+    Outside the track: null, or the end fix where clamp is set. One union, no range join. Rows are sorted by ranges of track and time, and a
+    window holds a track's part of one range; what lies before and after a range is told by the ends of the others. t is a number of
+    seconds.
     """
     fixes = track.select("track_id", "t", "lat", "lon").groupBy("track_id", "t").agg(F.min_by("lat", F.struct("lat", "lon")).alias("lat"), F.min_by("lon", F.struct("lat", "lon")).alias("lon"))
     fix = F.struct("t", "lat", "lon")
     both = fixes.select("track_id", "t", F.lit(None).cast("long").alias("frame_id"), fix.alias("fix")).unionByName(
         frames.select("track_id", "t", F.col("frame_id").cast("long").alias("frame_id"), F.lit(None).cast(fixes.select(fix.alias("f")).schema["f"].dataType).alias("fix"))
     )
-    w = Window.partitionBy("track_id").orderBy("t")
+    both = written(both.repartitionByRange("track_id", "t").withColumn("part", F.spark_partition_id()), "track")  # rows of one time lie in one range
+    ends = both.where("fix is not null").groupBy(F.col("track_id").alias("track"), F.col("part").alias("range")).agg(F.min_by("fix", "t").alias("first"), F.max_by("fix", "t").alias("last"))
+    held = both.select(F.col("track_id").alias("track"), F.col("part").alias("range")).distinct()
+    parts = held.join(ends.withColumnsRenamed({"track": "t_", "range": "r_"}), F.col("track").eqNullSafe(F.col("t_")) & (F.col("range") == F.col("r_")), "left")
+    of = Window.partitionBy("track").orderBy("range")  # at most as many rows as a shuffle has partitions
+    parts = parts.select("track", "range", F.last("last", ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", ignorenulls=True).over(of.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    w = Window.partitionBy("track_id", "part").orderBy("t")
     both = both.withColumn("before", F.last("fix", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("after", F.first("fix", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("frame_id is not null")
+    both = both.join(parts, F.col("track_id").eqNullSafe(F.col("track")) & (F.col("part") == F.col("range")))
+    both = both.withColumn("before", F.coalesce("before", "earlier")).withColumn("after", F.coalesce("after", "later"))
     share = F.when(F.col("after.t") > F.col("before.t"), (F.col("t") - F.col("before.t")) / (F.col("after.t") - F.col("before.t"))).otherwise(0.0)
     inside = F.col("before").isNotNull() & F.col("after").isNotNull()
 

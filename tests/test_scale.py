@@ -62,3 +62,22 @@ def test_hash_links_come_once(spark, limit):
     got = [tuple(r) for r in similarity._links(table, limit).collect()]
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= limit}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_interpolation_over_ranges(spark):
+    """A track that lies in all ranges, with frames between and outside its fixes, one in gaps of many ranges, and one without a name."""
+    import numpy as np
+
+    rng = random.Random(5)
+    fixes = [(1, float(t), 46 + t / 1e4, 23 - t / 2e4) for t in rng.sample(range(100, 9000), 700)] + [(2, 0.0, 1.0, 1.0), (2, 9000.0, 2.0, 3.0), (None, 5.0, 7.0, 7.0)]
+    frames = [(1, i, float(i * 7)) for i in range(1400)] + [(2, 10_000 + i, i * 100.0 + 1) for i in range(80)] + [(3, 20_000, 5.0), (None, 30_000, 5.0)]
+    track = spark.createDataFrame(fixes, "track_id long, t double, lat double, lon double").repartition(5)
+    table = spark.createDataFrame(frames, "track_id long, frame_id long, t double").repartition(5)
+    got = {r.frame_id: (r.lat, r.lon) for r in spatial.interpolate(table, track).collect()}
+    assert len(got) == len(frames) and got[20_000] == (None, None) and got[30_000] == (7.0, 7.0)
+    for k in (1, 2):
+        own = sorted(f for f in fixes if f[0] == k)
+        for _, i, t in (f for f in frames if f[0] == k):
+            inside = own[0][1] <= t <= own[-1][1]
+            want = [float(np.interp(t, [f[1] for f in own], [f[c] for f in own])) for c in (2, 3)]
+            assert got[i] == (pytest.approx(tuple(want)) if inside else (None, None))
