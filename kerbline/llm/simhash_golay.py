@@ -404,9 +404,7 @@ def alike(nodes: list[int], packed: list[bytes], least: float, roots: list[int]
     """Links that join what is connected by sets of this Jaccard similarity: each node is met once by the one that reached it. Nodes of one
     root are connected already, so the first that is reached brings the others."""
     size = np.array([len(x) // HASH_BYTES for x in packed])
-    start = np.concatenate([[0], np.cumsum(size)])
-    number = np.unique(_unpacked(packed), return_inverse=True)[1]
-    mark = np.zeros(len(number), bool)
+    shared = _shared(packed, size)
     root = np.arange(len(nodes)) if roots is None else np.unique(roots, return_inverse=True)[1]
     rest, queue, links = np.arange(len(nodes)), [], []
     while len(rest):
@@ -418,11 +416,8 @@ def alike(nodes: list[int], packed: list[bytes], least: float, roots: list[int]
         may = rest[np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x])]
         if not len(may):
             continue
-        own = number[start[x] : start[x + 1]]
-        mark[own] = True
-        shared = np.array([np.count_nonzero(mark[number[start[i] : start[i + 1]]]) for i in may])
-        mark[own] = False
-        got = may[shared >= least * (size[may] + size[x] - shared)]
+        both = shared(x, may)
+        got = may[both >= least * (size[may] + size[x] - both)]
         if len(got):
             links += [(nodes[x], nodes[i]) for i in got]
             met = np.isin(root[rest], root[got])
@@ -431,6 +426,39 @@ def alike(nodes: list[int], packed: list[bytes], least: float, roots: list[int]
     return links
 
 
+#: Bytes of the table of which set holds which of the shingles that two or more hold.
+TABLE_BYTES = 1 << 23
+
+
+def _shared(packed: list[bytes], size: np.ndarray):
+    """shared(x, others): how many shingles set x has in common with each of others. By bits of the shingles that two sets or more hold; if
+    there are too many of these for a table, by marking those of x."""
+    number = np.unique(_unpacked(packed), return_inverse=True)[1]
+    often = np.bincount(number) > 1
+    column = np.cumsum(often) - 1
+    start = np.concatenate([[0], np.cumsum(size)])
+    words = -(-int(often.sum()) // 64)
+    if len(size) * words * 8 <= TABLE_BYTES:
+        table = np.zeros((len(size), words * 8), np.uint8)
+        for i in range(len(size)):
+            own = number[start[i] : start[i + 1]]
+            held = np.zeros(words * 64, bool)
+            held[column[own[often[own]]]] = True
+            table[i] = np.packbits(held)
+        table = table.view(np.uint64)
+        return lambda x, others: np.bitwise_count(table[others] & table[x]).sum(axis=1, dtype=np.int64)
+    mark = np.zeros(len(often), bool)
+
+    def by_marks(x: int, others: np.ndarray) -> np.ndarray:
+        own = number[start[x] : start[x + 1]]
+        mark[own] = True
+        out = np.array([np.count_nonzero(mark[number[start[i] : start[i + 1]]]) for i in others])
+        mark[own] = False
+        return out
+
+    return by_marks
+
+
 def _alike_in_order(least: float):
     """(key, node, root, shingles) in the order of key to links within equal keys."""
 
