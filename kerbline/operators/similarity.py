@@ -45,7 +45,8 @@ def _links(hashes: DataFrame, limit: int) -> DataFrame:
     apart = F.col("a").bitwiseXOR(F.col("b"))
     agree = sum((F.when(F.shiftrightunsigned(apart, x).bitwiseAND((1 << (y - x)) - 1) == 0, 1 << j).otherwise(0) for j, (x, y) in enumerate(cuts)), F.lit(0))
     near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= limit) & (agree.bitwiseAND(F.get(before, F.col("choice"))) == 0)
-    return l.join(r, "key").where(near).select("a", "b")
+    # both sides are many times what Spark takes them for, which knows no number of keys: neither may be broadcast
+    return l.join(r.hint("merge"), "key").where(near).select("a", "b")
 
 
 def hamming_links(items: DataFrame, limit: int) -> DataFrame:

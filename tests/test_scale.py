@@ -64,6 +64,13 @@ def test_hash_links_come_once(spark, limit):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_hash_keys_are_not_broadcast(spark):
+    """Seventy keys a hash are taken for one small table, which a driver of little memory can't collect."""
+    links = similarity._links(spark.range(1000).withColumnRenamed("id", "h"), 4)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_interpolation_over_ranges(spark):
     """A track that lies in all ranges, with frames between and outside its fixes, one in gaps of many ranges, and one without a name."""
     import numpy as np
