@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,18 +201,23 @@ def snk_09(spark, sf):
     return labels.yolo_lines(li.select(F.col("l_orderkey").alias("stem"), (F.col("l_partkey") % 10).alias("class_id"), *d))
 
 
+def _enclosed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of a task, which become a file, with the root that they lie in."""
+    yield pd.DataFrame({"value": ["<annotations>"]})
+    yield from batches
+    yield pd.DataFrame({"value": ["</annotations>"]})
+
+
 @query("src_19_voc", """select filename, category_id, x, y, w, h from (select 'img' || l_orderkey as filename, l_partkey % 4 as category_id, l_linenumber * 10.0::double as x, l_quantity::double as y, (l_partkey % 30)::double as w, (l_suppkey % 40)::double as h from lineitem) where category_id < 3 and w > 0 and h > 0""")
 def src_19(spark, sf):
-    """An annotation file's boxes; names that are not known and empty boxes are skipped."""
+    """A file of annotations for each task, line by line; names that are not known and empty boxes are skipped."""
     c = lambda x: x.cast("double").cast("string")
     x, y, w, h = F.col("l_linenumber") * 10, F.col("l_quantity"), F.col("l_partkey") % 30, F.col("l_suppkey") % 40
     box = F.concat(F.lit("<object><name>k"), (F.col("l_partkey") % 4).cast("string"), F.lit("</name><bndbox><xmin>"), c(x), F.lit("</xmin><ymin>"), c(y), F.lit("</ymin><xmax>"), c(x + w), F.lit("</xmax><ymax>"), c(y + h), F.lit("</ymax></bndbox></object>"))
     each = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(box), "").alias("o"))
     text = F.concat(F.lit("<annotation><filename>img"), F.col("l_orderkey").cast("string"), F.lit("</filename>"), "o", F.lit("</annotation>"))
-    files = each.select((F.col("l_orderkey") % 16).alias("k"), text.alias("x")).groupBy("k").agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
-    path = _folder(spark, "voc")
-    files.select("k", F.concat(F.lit("<annotations>"), "x", F.lit("</annotations>")).alias("value")).repartition("k").write.partitionBy("k").text(path)
-    got = labels.read_voc(spark, path, {"k0": 0, "k1": 1, "k2": 2})
+    files = each.select(text.alias("value")).mapInPandas(_enclosed, "value string")
+    got = labels.read_voc(spark, _put(files, "voc"), {"k0": 0, "k1": 1, "k2": 2})
     return got.select("filename", F.col("category_id").cast("long").alias("category_id"), "x", "y", "w", "h")
 
 

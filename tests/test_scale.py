@@ -88,3 +88,13 @@ def test_interpolation_over_ranges(spark):
             inside = own[0][1] <= t <= own[-1][1]
             want = [float(np.interp(t, [f[1] for f in own], [f[c] for f in own])) for c in (2, 3)]
             assert got[i] == (pytest.approx(tuple(want)) if inside else (None, None))
+
+
+def test_annotations_are_written_one_a_row(spark, monkeypatch):
+    """No row holds the text of a file, which grows with the table."""
+    from kerbline.plans import queries_files
+
+    put, rows = queries_files._put, []
+    monkeypatch.setattr(queries_files, "_put", lambda table, name: rows.append(table) or put(table, name))
+    got = queries_files.src_19(spark, "/root/testdata/sf0.001")
+    assert got.count() > 1000 and rows[0].agg(F.max(F.length("value"))).first()[0] < 2000
