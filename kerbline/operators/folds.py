@@ -54,6 +54,8 @@ def folded(
 
 #: How far behind the newest row the time of a stream stands, in seconds; rows behind that are late.
 LATENESS_S = 1.0
+#: Groups that the keys of a stream are kept in: a call of a task for each key would cost more than its rows.
+BUCKETS = 1024
 
 
 def streamed(
@@ -62,37 +64,51 @@ def streamed(
 ) -> DataFrame:
     """folded() on a stream: the same rows whatever batches the stream is cut into, as long as none is late.
 
-    The state of a key (it must be JSON) outlives the batch. deadline(state) is the time, in seconds like the column t, after which it must
+    The state of a key (it must be JSON) outlives the batch; BUCKETS groups keep the states of their keys together. deadline(state) is the time, in seconds like the column t, after which it must
     be looked at: then due(state, now) may change it and returns rows of its own, such as those of what has expired. A state without
     a deadline, or with nothing due at it, is given up. Rows of a key are taken in order within a batch. Rows more than lateness_s behind
     the newest of the batches before are dropped by Spark (streaming.written.Windows keeps such rows aside); so is a row at the epoch itself.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def keep(state: GroupState, held: Any, now_ms: int) -> None:
-        until = deadline(held)
-        if until is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(math.floor(until * 1000), now_ms + 1))
-
-    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, now_ms = json.loads(state.get[0]) if state.exists else start(), state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            out = list(due(held, now_ms / 1000)) if due else []
-            if due:
-                keep(state, held, now_ms)
-            else:
-                state.remove()
-        else:
+    def tell(held: dict, now_ms: int, busy: set) -> list[tuple]:
+        """What is due of keys that had no row in this batch; states that are no more looked at go."""
+        out = []
+        for k in [k for k in held if k not in busy]:
+            until = deadline(held[k])
+            if until is not None and math.floor(until * 1000) < now_ms:
+                out.extend(due(held[k], now_ms / 1000) if due else ())
+                if not due or deadline(held[k]) is None:
+                    del held[k]
+        return out
+
+    def run(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, now_ms = json.loads(state.get[0]) if state.exists else {}, state.getCurrentWatermarkMs()
+        out: list[tuple] = []
+        busy = set()
+        if not state.hasTimedOut:
             every = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
-            out = [x for r in every.itertuples(index=False) for x in step(held, r)]
-            keep(state, held, now_ms)
+            own = zip(*(every[c] for c in by), strict=True)
+            for own_key, r in zip(own, every.itertuples(index=False), strict=True):
+                k = json.dumps(own_key)
+                if k not in held:
+                    held[k] = start()
+                busy.add(k)
+                out.extend(step(held[k], r))
+            for k in busy:
+                if deadline(held[k]) is None:
+                    del held[k]
+        out.extend(tell(held, now_ms, busy))
+        if held:
+            state.update((json.dumps(held),))
+            first = min(math.floor(deadline(x) * 1000) for x in held.values())
+            state.setTimeoutTimestamp(max(first, now_ms + 1))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=names)
 
     at = F.timestamp_micros((F.col(t) * 1_000_000).cast("long"))
-    timed = rows.withColumn("at_", at).withWatermark("at_", f"{round(lateness_s * 1000)} milliseconds")
-    return timed.groupBy(*by).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64(*by), F.lit(BUCKETS))
+    timed = rows.withColumns({"at_": at, "bucket_": bucket}).withWatermark("at_", f"{round(lateness_s * 1000)} milliseconds")
+    return timed.groupBy("bucket_").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)

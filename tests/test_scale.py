@@ -98,3 +98,19 @@ def test_annotations_are_written_one_a_row(spark, monkeypatch):
     monkeypatch.setattr(queries_files, "_put", lambda table, name: rows.append(table) or put(table, name))
     got = queries_files.src_19(spark, "/root/testdata/sf0.001")
     assert got.count() > 1000 and rows[0].agg(F.max(F.length("value"))).first()[0] < 2000
+
+
+def test_keys_of_a_stream_share_a_group(spark, monkeypatch, tmp_path):
+    """All keys in one group, over three batches: each keeps a state of its own, and the rows are those of the table."""
+    from kerbline.operators import folds
+    from kerbline.streaming import live
+
+    monkeypatch.setattr(folds, "BUCKETS", 1)
+    rng = random.Random(7)
+    rows = [(f"d{rng.randint(0, 20)}" if i % 9 else None, "a" if i % 3 else "b", i, 1000.0 + i * 3, 46.0, 23.0 + rng.randint(0, 1) / 100) for i in range(900)]
+    for n in range(3):
+        spark.createDataFrame(rows[n * 300 : n * 300 + 300], "device_id string, damage_type string, report_id long, t double, latitude double, longitude double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(r.report_id for r in live.run_available(live.cooled(stream, 200.0, 20.0), "shared").collect())
+    assert got == sorted(r.report_id for r in live.cooled(table, 200.0, 20.0).collect()) and len(got) > 100
