@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline import vocab
+from kerbline import session, vocab
 from kerbline.plans import views as V
 from kerbline.plans.queries_more import _live, _reports_of
 from kerbline.plans.registry import oracle, query
@@ -81,7 +81,7 @@ def st_04(spark, sf):
 @query("snk_08_feed", _LIFE + "select ev as event_id, len(yes) as supporters, len(no) as disputers from ends where not expired")
 def snk_08(spark, sf):
     """What a client sees that connects after the first batch of a feed and reads on."""
-    life = lifecycle.life(_classed(_live(spark, sf)))
+    life = session.written(lifecycle.life(_classed(_live(spark, sf))), "life")  # folded once for all batches
     feed = written.Feed(spark, _folder(spark, "feed"))
     begin = life.agg(F.min("t")).first()[0] or 0.0
     for n in range(3):

@@ -114,3 +114,13 @@ def test_keys_of_a_stream_share_a_group(spark, monkeypatch, tmp_path):
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted(r.report_id for r in live.run_available(live.cooled(stream, 200.0, 20.0), "shared").collect())
     assert got == sorted(r.report_id for r in live.cooled(table, 200.0, 20.0).collect()) and len(got) > 100
+
+
+def test_feed_folds_once(spark, monkeypatch):
+    """The life of events is a table by the time its batches are cut."""
+    from kerbline.plans import queries_streams
+
+    seen, each = [], queries_streams.written.Feed.each
+    monkeypatch.setattr(queries_streams.written.Feed, "each", lambda self, batch, n: seen.append(batch) or each(self, batch, n))
+    assert queries_streams.snk_08(spark, "/root/testdata/sf0.001").count() >= 0
+    assert len(seen) == 3 and all("MapInPandas" not in b._jdf.queryExecution().optimizedPlan().toString() for b in seen)
