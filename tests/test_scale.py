@@ -124,3 +124,39 @@ def test_feed_folds_once(spark, monkeypatch):
     monkeypatch.setattr(queries_streams.written.Feed, "each", lambda self, batch, n: seen.append(batch) or each(self, batch, n))
     assert queries_streams.snk_08(spark, "/root/testdata/sf0.001").count() >= 0
     assert len(seen) == 3 and all("MapInPandas" not in b._jdf.queryExecution().optimizedPlan().toString() for b in seen)
+
+
+def test_dense_keeps_a_few_rows_a_task(spark):
+    """Three batches of one task and several slabs: what leaves the task is the best k of each query, not of each batch."""
+    import numpy as np
+
+    from kerbline.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(25_000, 4)), 3)
+    x = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<double>").coalesce(1)
+    q = x.where("id % 5000 < 70").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got, ends = retrieval.dense(x, q), {r.query_id: (r.best, r.worst) for r in retrieval.extremes(x, q).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        rows.setdefault(r.query_id, []).append((r.id, r.score))
+    assert len(rows) == 350
+    for k in (0, 69, 5000, 20_069):
+        score = np.round(unit @ unit[k], 6)
+        order = np.lexsort((np.arange(len(v)), -score))[:6]
+        assert [s for _, s in rows[k]] == pytest.approx([score[i] for i in order], abs=2e-6)
+        rest = np.delete(score, k)
+        assert ends[k] == pytest.approx((rest.max(), rest.min()), abs=2e-6)
+    left = []
+
+    def seen(scored, k):
+        left.append(scored.count())
+        return scored
+
+    best, retrieval._best = retrieval._best, seen
+    try:
+        retrieval.dense(x, q)
+    finally:
+        retrieval._best = best
+    assert left == [350 * 6]
