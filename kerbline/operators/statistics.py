@@ -33,6 +33,17 @@ def ranks(rows: DataFrame, group: str, x: str) -> DataFrame:
     return counts.select(group, x, (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
 
 
+def medians(rows: DataFrame, group: str, x: str) -> DataFrame:
+    """(group, median) of x, a number: the mean of the one or two middle values, found by their places among counts of values."""
+    counts = running(rows.where(F.col(x).isNotNull()).groupBy(group, F.col(x).cast("double").alias("x_")).agg(F.count("*").alias("n")), [group], F.col("x_"))
+    counts = written(counts, "places")
+    total = counts.groupBy(F.col(group).alias("g_")).agg(F.sum("n").alias("all_"))
+    low, high = F.floor((F.col("all_") - 1) / 2), F.floor(F.col("all_") / 2)
+    after = F.col("before") + F.col("n")
+    middle = counts.join(total, F.col(group).eqNullSafe(F.col("g_"))).where((F.col("before") <= high) & (low < after))
+    return middle.groupBy(group).agg(((F.min("x_") + F.max("x_")) / 2).alias("median"))
+
+
 def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Pearson correlation of average-tie ranks by group; null where a side does not vary. Ranks come from counts of values."""
     pairs = written(rows.groupBy(group, x, y).agg(F.count("*").alias("n")), "pairs")
