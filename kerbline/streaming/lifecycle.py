@@ -66,11 +66,12 @@ def stepped(eager: bool):
             action = "merged"
             if e is None:
                 action = "created"
-                e = {"id": int(r.report_id), "lat": r.latitude, "lon": r.longitude, "yes": [], "no": [], "confidence": 0.0, "severity": 0, "sightings": 0}
+                e = {"id": int(r.report_id), "lat": r.latitude, "lon": r.longitude, "yes": [], "no": [], "confidence": None, "severity": 0, "sightings": 0}
                 state["events"].append(e)
-            known = [x for x in (r.confidence, r.severity) if x is not None and x == x]
-            confidence, severity = (x if x in known else 0 for x in (r.confidence, r.severity))
-            e.update(confidence=float(max(e["confidence"], confidence)), severity=int(max(e["severity"], severity)), sightings=e["sightings"] + 1, expires=r.t + TTL_S)
+            severity = r.severity if r.severity is not None and r.severity == r.severity else 0
+            if r.confidence is not None and r.confidence == r.confidence:  # zero is a confidence
+                e["confidence"] = float(r.confidence if e["confidence"] is None else max(e["confidence"], r.confidence))
+            e.update(severity=int(max(e["severity"], severity)), sightings=e["sightings"] + 1, expires=r.t + TTL_S)
             if r.device_id not in e["yes"]:
                 e["yes"].append(r.device_id)
             out.append(_row(e, state["place"], int(r.report_id), r.t, action))
@@ -129,7 +130,7 @@ def promotions(changes: DataFrame) -> DataFrame:
         F.max_by(F.struct("action", "latitude", "longitude", "confidence", "severity", "sightings", "t"), F.struct("t", F.col("action").isin(*GONE).cast("int"))).alias("e"), F.min("t").alias("first")
     )
     done = by.where("e.action = 'promoted'")
-    confidence = F.coalesce(F.nullif("e.confidence", F.lit(0.0)), F.lit(0.5))
+    confidence = F.coalesce("e.confidence", F.lit(0.5))
     return done.select(
         F.col("event_id").alias("id"), confidence.alias("confidence"), F.greatest("e.sightings", F.lit(1)).cast("long").alias("detection_count"),
         F.timestamp_seconds(F.floor("first")).cast("date").alias("first_detected"), F.timestamp_seconds(F.floor("e.t")).cast("date").alias("last_detected"),

@@ -35,3 +35,12 @@ def test_rankings_and_guards(spark):
     assert sorted((r.position, r.run_id, r.anchor) for r in orders.ranked_runs(runs).collect()) == [(1, 3, 0.3), (2, 5, 0.3), (3, 2, 0.3), (4, 1, 0.5), (5, 4, 0.5)]
     members = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 4, True)], "g string, m long, admin boolean")
     assert sorted(tuple(r) for r in orders.last_of_kind(members, "g", "m", F.col("admin")).collect()) == [("a", 1, False), ("a", 2, False), ("b", 4, True)]
+
+
+def test_promotion_of_an_event_without_confidence(spark):
+    """A confidence of zero stays; one that no sighting told is a half."""
+    from kerbline.streaming import lifecycle
+
+    rows = [(p, 10 * p + i, kind, 5.0 + i, "a", 46.0, 23.0, c, 3) for p, c in ((1, 0.0), (2, None), (3, 0.25)) for i, kind in enumerate(("sighting", "promote"))]
+    table = spark.createDataFrame(rows, "place long, report_id long, kind string, t double, device_id string, latitude double, longitude double, confidence double, severity int")
+    assert {r.id: r.confidence for r in lifecycle.promotions(lifecycle.life(table)).collect()} == {10: 0.0, 20: 0.5, 30: 0.25}
