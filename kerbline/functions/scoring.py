@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,12 +21,22 @@ def signal(x: Column, denom: float = 1.0) -> Column:
     return F.round(F.least(F.coalesce(x, F.lit(0.0)) / denom, F.lit(1.0)), 4)
 
 
-def raw_score(cls: Column, depth: Column, area: Column, contrast: Column, sharpness: Column) -> Column:
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f names it, wherever the plan puts it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def weighted_signals(cls: Column, depth: Column, area: Column, contrast: Column, sharpness: Column) -> Column:
+    """The sum that raw_score() rounds."""
     signals = (signal(depth), signal(area, vocab.SIGNAL_DENOMS["area"]), signal(contrast, vocab.SIGNAL_DENOMS["contrast"]), signal(sharpness, vocab.SIGNAL_DENOMS["sharpness"]))
     out = F.lit(0.0)
     for i, s in enumerate(signals):
         out = out + chosen(cls, {c: w[i] for c, w in vocab.SIGNAL_WEIGHTS.items()}, 0.25) * s
-    return F.round(out, 4)
+    return out
+
+
+def raw_score(cls: Column, depth: Column, area: Column, contrast: Column, sharpness: Column) -> Column:
+    return F.round(weighted_signals(cls, depth, area, contrast, sharpness), 4)
 
 
 def severity_score(raw: Column, cls: Column) -> Column:
@@ -34,10 +44,13 @@ def severity_score(raw: Column, cls: Column) -> Column:
 
 
 def level(score: Column) -> Column:
-    out = F.lit("S1")
-    for floor, name, _ in reversed(vocab.LEVELS):
-        out = F.when(score >= floor, name).otherwise(out)
-    return out
+    def of(s: Column) -> Column:
+        out = F.lit("S1")
+        for floor, name, _ in reversed(vocab.LEVELS):
+            out = F.when(s >= floor, name).otherwise(out)
+        return out
+
+    return once(score, of)
 
 
 def action(name: Column) -> Column:

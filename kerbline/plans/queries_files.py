@@ -302,15 +302,16 @@ select frame_id, box_id, part, round(raw, 3) as raw, case when raw * w * 2 >= 0.
 from (select *, {case('class_name', vocab.CLASS_WEIGHTS, 0.25)}::double as w from r) where abs(raw * 1000 - floor(raw * 1000) - 0.5) > 0.06 and least(abs(raw * w * 2 - 0.75), abs(raw * w * 2 - 0.55), abs(raw * w * 2 - 0.35), abs(raw * w * 2 - 0.15)) > 0.0002"""))
 def sc_sev_02(spark, sf):
     """Scores and levels of all boxes but those that lie on the edge of a rounding or of a level, where engines' last digits decide."""
-    b = V.boxes(spark, sf)
-    raw = scoring.raw_score(F.col("class_name"), F.col("depth_norm"), F.col("surface_area_px"), F.col("interior_contrast"), F.col("edge_sharpness"))
-    exact = F.lit(0.0)
-    d = vocab.SIGNAL_DENOMS
-    for i, s in enumerate((scoring.signal(F.col("depth_norm")), scoring.signal(F.col("surface_area_px"), d["area"]), scoring.signal(F.col("interior_contrast"), d["contrast"]), scoring.signal(F.col("edge_sharpness"), d["sharpness"]))):
-        exact = exact + scoring.chosen(F.col("class_name"), {c: w[i] for c, w in vocab.SIGNAL_WEIGHTS.items()}, 0.25) * s
-    b = b.withColumn("exact", exact).withColumn("score", F.col("exact") * scoring.chosen(F.col("class_name"), vocab.CLASS_WEIGHTS, 0.25) * 2)
-    clear = (F.abs(F.col("exact") * 1000 - F.floor(F.col("exact") * 1000) - 0.5) > 0.06) & (F.least(*(F.abs(F.col("score") - x) for x in (0.75, 0.55, 0.35, 0.15))) > 0.0002)
-    return b.where(clear).select("frame_id", "box_id", "part", F.round(raw, 3).alias("raw"), scoring.level(scoring.severity_score(raw, F.col("class_name"))).alias("level"))
+    b, cls = V.boxes(spark, sf), F.col("class_name")
+    exact = scoring.weighted_signals(cls, F.col("depth_norm"), F.col("surface_area_px"), F.col("interior_contrast"), F.col("edge_sharpness"))
+    weight = scoring.chosen(cls, vocab.CLASS_WEIGHTS, 0.25)
+
+    def clear(e):
+        return (F.abs(e * 1000 - F.floor(e * 1000) - 0.5) > 0.06) & (F.least(*(F.abs(e * weight * 2 - x) for x in (0.75, 0.55, 0.35, 0.15))) > 0.0002)
+
+    raw = F.round("exact", 4)
+    kept = b.withColumn("exact", exact).where(scoring.once(F.col("exact"), clear))
+    return kept.select("frame_id", "box_id", "part", F.round(raw, 3).alias("raw"), scoring.level(scoring.severity_score(raw, cls)).alias("level"))
 
 
 @query("prj_02_computed", det("select id, coalesce(is_fixed and last_detected > fixed_on, false) as reopened, id % 4 > 0 as has_evidence from v_detections"))

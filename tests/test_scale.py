@@ -166,3 +166,11 @@ def test_medians_by_places(spark):
     rows = [("a", x) for x in (3.0, 1.0, 2.0, 2.0)] + [("b", 5.0), ("b", 7.0), ("b", None), (None, 4.0)] + [("c", float(i)) for i in range(1001)]
     table = spark.createDataFrame(rows, "g string, x double").repartition(5)
     assert {r.g: r.median for r in statistics.medians(table, "g", "x").collect()} == {"a": 2.0, "b": 6.0, None: 4.0, "c": 500.0}
+
+
+def test_scores_are_computed_once(spark):
+    """The filter and the levels name a score many times; the plan rounds each signal once for the filter and once for the result."""
+    from kerbline.plans import queries_files
+
+    plan = queries_files.sc_sev_02(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") <= 20
