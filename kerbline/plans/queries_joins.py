@@ -122,8 +122,9 @@ h as (select doc_id, string_agg(case when bit then '1' else '0' end, '' order by
 
 
 def phashes(spark, sf):
-    words = V.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("w"))
-    bucket = (F.conv(F.substring(F.md5(F.lower("w")), 1, 8), 16, 10).cast("long") % 65).cast("int")
+    words = V.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\t\n\f\r ]+"), F.lit(0))).alias("w"))
+    low = F.lower(F.translate("w", "\u03a3\u0130", "\u03c3i"))  # letter by letter: no final sigma, no dot that combines
+    bucket = (F.conv(F.substring(F.md5(low), 1, 8), 16, 10).cast("long") % 65).cast("int")
     counts = words.groupBy("doc_id", bucket.alias("b")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     n = [F.coalesce(F.element_at("m", F.lit(i)), F.lit(0)) for i in range(65)]
     bits = F.concat(*(F.when(n[i] > n[i + 1], "1").otherwise("0") for i in reversed(range(64))))

@@ -174,3 +174,18 @@ def test_scores_are_computed_once(spark):
 
     plan = queries_files.sc_sev_02(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("round(") <= 20
+
+
+def test_hash_words_of_odd_letters(spark, tmp_path):
+    """A vertical tab parts no words, a final sigma and a dotted capital I are lowered like others: as in the SQL."""
+    import duckdb
+
+    from kerbline.plans import queries_joins
+
+    texts = ["a\x0bb c", "ΟΔΟΣ x", "İstanbul y", "plain Ä words\twith\nbreaks", "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.bits for r in queries_joins.phashes(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute("with " + queries_joins._PHASH + "select doc_id, h from h where doc_id in (select doc_id from w)").fetchall())
