@@ -29,31 +29,43 @@ REPORT = (
 VOTE = (Rule("device_id", "string", True, 3, 64), Rule("note", "string", False, None, 280))
 
 
-def _value(held: Column, r: Rule) -> tuple[Column, Column]:
-    """The value of a field, null if it is none of its type, and the reason why it cannot be taken (null: it can).
+def _found(r: Rule) -> list[Column]:
+    """What a record has in a field: its kind, its text, and whether it is missing."""
+    raw = F.try_variant_get("held_", f"$.{r.name}", "variant")
+    missing = raw.isNull() | F.is_variant_null(raw)
+    return [F.schema_of_variant(raw).alias(f"kind_{r.name}_"), F.try_variant_get("held_", f"$.{r.name}", "string").alias(f"text_{r.name}_"), missing.alias(f"missing_{r.name}_")]
+
+
+def _read(r: Rule) -> Column:
+    """The text of a field that is a text, or the number of one that may be a number."""
+    kind, text = F.col(f"kind_{r.name}_"), F.col(f"text_{r.name}_")
+    if r.kind == "string":
+        return F.when(kind == "STRING", text)
+    return F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(F.trim(text).try_cast("double"))
+
+
+def _value(r: Rule) -> Column:
+    """The value of a field, null if it is none of its type.
 
     Texts must be texts. Numbers may also be texts that are numbers, or true and false; whole numbers may be written with a zero fraction.
     """
-    raw = F.try_variant_get(held, f"$.{r.name}", "variant")
-    kind = F.schema_of_variant(raw)
-    text = F.try_variant_get(held, f"$.{r.name}", "string")
-    missing = raw.isNull() | F.is_variant_null(raw)
-    if r.kind == "string":
-        value = F.when(kind == "STRING", text)
-        size = F.length(value)
-    else:
-        number = F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(F.trim(text).try_cast("double"))
-        number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
-        value = number if r.kind == "double" else F.when(number == F.floor(number), number.try_cast("int"))
-        size = value
-    value = F.when(~missing, value)
-    why = F.when(missing, F.lit("is missing") if r.needed else F.lit(None).cast("string")).when(value.isNull(), F.lit(f"is no {r.kind}"))
+    read = value = F.col(f"read_{r.name}_")
+    if r.kind != "string":
+        value = F.when(~F.isnan(read) & (F.abs(read) < float("inf")), read if r.kind == "double" else F.when(read == F.floor(read), read.try_cast("int")))
+    return F.when(~F.col(f"missing_{r.name}_"), value)
+
+
+def _why(r: Rule) -> Column:
+    """The reason why a field cannot be taken (null: it can)."""
+    value = F.col(f"value_{r.name}_")
+    size = F.length(value) if r.kind == "string" else value
+    why = F.when(F.col(f"missing_{r.name}_"), F.lit("is missing") if r.needed else F.lit(None).cast("string")).when(value.isNull(), F.lit(f"is no {r.kind}"))
     low, high = "is too short" if r.kind == "string" else "is too small", "is too long" if r.kind == "string" else "is too great"
     if r.least is not None:
         why = why.when(size < r.least, F.lit(low))
     if r.most is not None:
         why = why.when(size > r.most, F.lit(high))
-    return value, F.when(why.isNotNull(), F.concat(F.lit(f"{r.name} "), why))
+    return F.concat(F.lit(f"{r.name} "), why)
 
 
 def checked(lines: DataFrame, rules: tuple[Rule, ...] = REPORT, column: str = "value") -> DataFrame:
@@ -64,9 +76,12 @@ def checked(lines: DataFrame, rules: tuple[Rule, ...] = REPORT, column: str = "v
     rest = [c for c in lines.columns if c != column]
     held = F.try_parse_json(F.col(column))
     parsed = lines.select(*rest, F.col(column).alias("raw"), F.when(F.schema_of_variant(held).startswith("OBJECT"), held).alias("held_"))
-    values = [(r.name, *_value(F.col("held_"), r)) for r in rules]
-    problems = F.when(F.col("held_").isNull(), F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(*(why for _, _, why in values))))
-    return parsed.select(*rest, "raw", *(v.alias(n) for n, v, _ in values), problems.alias("problems"))
+    # step by step, so that each step's columns are computed once; a plan of one step names a field hundreds of times
+    found = parsed.select("*", *(c for r in rules for c in _found(r)))
+    read = found.select("*", *(_read(r).alias(f"read_{r.name}_") for r in rules))
+    values = read.select("*", *(_value(r).alias(f"value_{r.name}_") for r in rules))
+    problems = F.when(F.col("held_").isNull(), F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(*(_why(r) for r in rules))))
+    return values.select(*rest, "raw", *(F.col(f"value_{r.name}_").alias(r.name) for r in rules), problems.alias("problems"))
 
 
 class Ingested:

@@ -189,3 +189,10 @@ def test_hash_words_of_odd_letters(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(con.execute("with " + queries_joins._PHASH + "select doc_id, h from h where doc_id in (select doc_id from w)").fetchall())
+
+
+def test_fields_are_read_once(spark):
+    from kerbline.streaming import ingest
+
+    plan = ingest.checked(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("try_variant_get") <= 6 * len(ingest.REPORT)
