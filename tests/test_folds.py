@@ -105,6 +105,15 @@ def test_tours_by_lists(n):
     assert sorted(routes._tour_by_lists(lat, lon, None, 5)) == list(range(n))
 
 
+def test_short_tours_compute_each_distance_once(monkeypatch):
+    """About half the table, and the same tour as by looking at all pairs, also where few stops are far from all others."""
+    rng = np.random.default_rng(5)
+    lat, lon = np.append(46 + rng.random(400), [50, 50.1]), np.append(23 + rng.random(400), [23, 29.0])
+    want, seen, km = routes._tour_by_lists(lat, lon, None, 10**6), [], routes.Stops.km
+    monkeypatch.setattr(routes.Stops, "km", lambda s, i, j: (out := km(s, i, j), seen.append(np.size(out)))[0])
+    assert routes._tour_of_few(lat, lon, None) == want and sum(seen) < 0.6 * 402**2
+
+
 def test_nearest_stops_are_the_nearest(monkeypatch):
     monkeypatch.setattr(routes, "BLOCK", 7)
     rng = np.random.default_rng(1)
