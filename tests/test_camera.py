@@ -3,6 +3,7 @@
 import datetime as dt
 import struct
 
+import pyarrow as pa
 import pytest
 
 from kerbline.sources import camera
@@ -160,6 +161,16 @@ def test_media_is_not_read():
     assert sum(n for _, n in seen) < 500
 
 
+def test_small_files_leave_a_task_together():
+    """A batch for each of many recordings costs more than they do."""
+    parts = [pa.record_batch({"a": [i] * (i % 3)}, pa.schema([("a", pa.int64())])) for i in range(25_000)]
+    got = list(camera.gathered(iter(parts)))
+    assert len(got) == 3 and [x for b in got for x in b.column(0).to_pylist()] == [x for p in parts for x in p.column(0).to_pylist()]
+    rows = [(str(i), float(i), 0.0, None, None) for i in range(25_000)]
+    got = list(camera._together(iter(rows)))
+    assert len(got) == 3 and [tuple(r.values()) for b in got for r in b.to_pylist()] == rows and not list(camera._together(iter(())))
+
+
 def test_location_files(spark, tmp_path):
     for k, (data, _) in CASES.items():
         (tmp_path / f"{k}.mp4").write_bytes(data or b"\0")
