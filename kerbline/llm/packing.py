@@ -34,19 +34,26 @@ WINDOW = 4096
 REMEMBERED = 400_000
 LEAST = 256
 END_ID = 2
+#: Bytes of texts whose new words are encoded together, unless one text has more.
+LEARNED = 1 << 20
 #: Documents whose rests are at hand at a time.
 FILL_FROM = 2000
 #: Tokens of a step group, about.
 GROUP_TOKENS = 64 * WINDOW
 
-_plain = re.compile(rb"[a-z]+|[^a-z]+")
+#: A letter of ASCII or Latin-1 in UTF-8, which is one after any normalization.
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_plain = re.compile(_LETTER + rb"+|(?:(?!" + _LETTER + rb")[^ \t-\r])+")
+_unplain = re.compile(rb"['<|>]|[\x80-\xc2\xc4-\xff](?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])|\xc3[\x97\xb7]")
+_run = re.compile(_LETTER + rb"+")
 
 
 class WordIds(dict):
     """word -> its token ids as little-endian 32-bit integers, remembered.
 
-    The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words in a row. Words of ASCII
-    letters and simple punctuation are cut further where a token always ends: between a letter and a mark other than ' < | >.
+    The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words in a row. Words of ASCII, of letters
+    of Latin-1 and of marks other than ' < | > are cut further where a token always ends: between a letter and any other character. Letters in
+    a row are one word to the tokenizer, and end with a token that ends no other part: so many of them are encoded in one text.
     """
 
     def __init__(self, path: str):
@@ -55,6 +62,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Whether a token ends a word, by id.
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.pieces: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -64,31 +74,56 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _encode_runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs of letters, encoded as one text and parted behind the tokens that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(runs):  # the tokenizer has no such tokens
+            return self._encode(runs)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
     def learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of new words, encoded together."""
         if len(self) + len(words) > REMEMBERED:
             self.clear()
-        if len(self.pieces) > REMEMBERED:
+        cut = [[w] if _unplain.search(w) else _plain.findall(w.lower()) for w in words]
+        needed = {p for parts in cut for p in parts}
+        if len(self.pieces) + len(needed) > REMEMBERED:
             self.pieces.clear()
-        cut = [_plain.findall(w.lower()) if w.isascii() and not _marks.search(w) else [w] for w in words]
-        fresh = list({p for parts in cut for p in parts if p not in self.pieces})
-        new = dict(zip(fresh, self._encode(fresh), strict=True))
-        out = [b"".join([new[p] if p in new else self.pieces[p] for p in parts]) for parts in cut]
-        self.pieces.update(new)
+        fresh = needed.difference(self.pieces)
+        for some, encode in (([p for p in fresh if _run.fullmatch(p)], self._encode_runs), ([p for p in fresh if not _run.fullmatch(p)], self._encode)):
+            if some:
+                self.pieces.update(zip(some, encode(some), strict=True))
+        out = [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
         self.update(zip(words, out, strict=True))
         return out
 
+    def documents(self, texts: list[bytes], end_id: int) -> Iterator[bytes]:
+        """The ids of each text, then end_id; new words of LEARNED bytes of texts are encoded together."""
+        end, at = np.array([end_id], "<u4").tobytes(), 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= LEARNED:
+                size += len(texts[to])
+                to += 1
+            words = [x.split() for x in texts[at:to]]
+            fresh = set().union(*words).difference(self)
+            if len(self) + len(fresh) > REMEMBERED:  # all is forgotten but what these texts need
+                self.clear()
+                fresh = set().union(*words)
+            if len(fresh) > REMEMBERED // 2:
+                yield from (b"".join(self._encode([x])) + end for x in texts[at:to])
+            else:
+                if fresh:
+                    self.learn(list(fresh))
+                yield from (b"".join(map(self.__getitem__, own)) + end for own in words)
+            at = to
+
     def document(self, text: bytes, end_id: int) -> bytes:
-        words = text.split()
-        fresh = [w for w in set(words) if w not in self]
-        if len(fresh) > REMEMBERED // 2:
-            return b"".join(self._encode([text])) + np.array([end_id], "<u4").tobytes()
-        if fresh:
-            self.learn(fresh)
-        return b"".join(map(self.__getitem__, words)) + np.array([end_id], "<u4").tobytes()
+        return next(self.documents([text], end_id))
 
 
-_marks = re.compile(rb"['<|>]")
 _loaded: dict[str, WordIds] = {}
 
 
@@ -203,8 +238,7 @@ def pack(
         id_type = None
         for part in in_parts(batches, FILL_FROM):
             id_type = part.column(0).type
-            for doc_id, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                ids = encode.document(text, end_id)
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode.documents(texts(part.column(1)), end_id), strict=True):
                 stock.append((doc_id, ids, len(ids) // 4))
                 tokens_left.append(len(ids) // 4)
                 packer.whole(len(stock) - 1, len(ids) // 4)

@@ -774,3 +774,18 @@ def test_sharding(spark, bits, most_rows, monkeypatch):
 
     assert got.groupby("shard")["size"].sum().max() == min(c for c in range(max(groups), sum(groups) + 1) if shards(c) <= 8)
     assert sharding.shard(empty(spark)).count() == 0
+
+
+def test_new_words_are_encoded_in_few_texts():
+    """Letters in a row, of ASCII and Latin-1, are encoded together and parted again; ids are those of each text by itself."""
+    rng = np.random.default_rng(7)
+    signs = "abcXYZ\u00e9\u00c9\u00df\u00ff\u00c0\u00d7\u00f7\u00f8'<|>.,#$_-09 \t\x0b\x1c\u0085\u0130\u017f\u0338\u01c5\u4e2d\u2026~`\x00="
+    texts = ["".join(rng.choice(list(signs), rng.integers(0, 40))) for _ in range(500)] + ["".join(rng.choice(list(signs[:9] + "., 0 "), rng.integers(0, 40))) for _ in range(2000)]
+    ids = packing.WordIds(tokenizer_path())
+    want = [[*x.ids, 2] for x in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.documents([x.encode() for x in texts], 2)] == want
+    given, encode = [], packing.WordIds(tokenizer_path())
+    real = encode.tokenizer
+    encode.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, t, **k: (given.extend(t), real.encode_batch_fast(t, **k))[1]})()
+    plain = [(x.encode(), w) for x, w in zip(texts[500:], want[500:], strict=True) if not set(x) & set(".,0")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode.documents([x for x, _ in plain], 2)] == [w for _, w in plain] and len(given) == 1
