@@ -2,11 +2,15 @@
 
 import itertools
 import random
+import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import similarity, spatial, statistics
+from kerbline.operators import retrieval, similarity, spatial, statistics
+from kerbline.plans import queries_more
 from kerbline.streaming.live import metres
 
 
@@ -196,3 +200,26 @@ def test_fields_are_read_once(spark):
 
     plan = ingest.checked(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("try_variant_get") <= 6 * len(ingest.REPORT)
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+@pytest.mark.parametrize("often", [1, 40, 1 << 17])
+def test_bm25_in_bounded_tasks(spark, fuzzy, often):
+    """Terms sent to all tasks or to none give the scores of the SQL, also for texts that are null, empty or share an id; no task sums more than a_task rows or so."""
+    rng = random.Random(4)
+    stems = ["a", "road", "roads", "roadside", "crack", "cracks", "patch", "patches", "potholes", "pothole", "gut\u00e9x", "Gutter"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "", "s", "er", "x1"]) for _ in range(rng.randint(0, 30))) for _ in range(120)] + [None, "", "road road"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, "road " + texts[3]), (5, None), (5, "crack")]
+    asked = [(0, "Road cracks a pothole"), (20, "patched patch gutter"), (40, "nothing"), (60, None)]
+    d, q = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    found = retrieval.bm25(d, q, fuzzy=fuzzy, often=often, a_task=20)
+    got = sorted(tuple(r) for r in found.select("query_id", "id", "score", "rank").collect())
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    db.register("benchmark", pd.DataFrame(asked, columns=["item_id", "text"]))
+    sql = queries_more._FUZZY if fuzzy else queries_more._BM25
+    want = sorted(db.execute(sql + "select query_id, id, score, rank from r where rank <= 6").fetchall())
+    assert len(want) > 6 and [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1.5e-6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert max(int(n) for n in re.findall(r"RepartitionByExpression \[query_id\S+ id\S+\], (\d+)", plan)) >= 120 * 2 // 20 - (often == 1)
