@@ -43,17 +43,19 @@ GROUP_TOKENS = 64 * WINDOW
 
 #: A letter of ASCII or Latin-1 in UTF-8, which is one after any normalization.
 _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
-_plain = re.compile(_LETTER + rb"+|(?:(?!" + _LETTER + rb")[^ \t-\r])+")
 _unplain = re.compile(rb"['<|>]|[\x80-\xc2\xc4-\xff](?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])|\xc3[\x97\xb7]")
-_run = re.compile(_LETTER + rb"+")
+#: Letters in a row, or other characters, of plain words in lower case, where a byte past ASCII is of a letter.
+_cut = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff ]+")
+_KIND = np.array([0 if b == 32 else 1 if b >= 0x80 or 97 <= b <= 122 else 2 for b in range(256)], np.uint8)
 
 
 class WordIds(dict):
     """word -> its token ids as little-endian 32-bit integers, remembered.
 
     The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words in a row. Words of ASCII, of letters
-    of Latin-1 and of marks other than ' < | > are cut further where a token always ends: between a letter and any other character. Letters in
-    a row are one word to the tokenizer, and end with a token that ends no other part: so many of them are encoded in one text.
+    of Latin-1 and of marks other than ' < | > are cut further, all at once, where a token always ends: between a letter and any other
+    character. Letters in a row are one word to the tokenizer, and end with a token that ends no other part: so many of them are encoded
+    in one text.
     """
 
     def __init__(self, path: str):
@@ -68,7 +70,8 @@ class WordIds(dict):
         self.pieces: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        return self.learn([word])[0]
+        self.learn([word])
+        return self[word]
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -83,21 +86,41 @@ class WordIds(dict):
         data = ids.tobytes()
         return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """Ids of new words, encoded together."""
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of new words, encoded together."""
         if len(self) + len(words) > REMEMBERED:
             self.clear()
-        cut = [[w] if _unplain.search(w) else _plain.findall(w.lower()) for w in words]
-        needed = {p for parts in cut for p in parts}
+        text = b" ".join(words)
+        if _unplain.search(text):
+            blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            odd = {words[i] for i in np.searchsorted(blanks, [m.start() for m in _unplain.finditer(text)]).tolist()}
+            plain = [w for w in words if w not in odd]
+            odd = list(odd)
+            self.update(zip(odd, self._encode(odd), strict=True))
+        else:
+            plain = words
+        if plain:
+            self.update(zip(plain, self._learn_plain(plain), strict=True))
+
+    def _learn_plain(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of plain words: all are cut at once, and the ids of their parts lie in one row that is parted again by the number of parts."""
+        text = b" ".join(words).lower()
+        parts = _cut.findall(text)
+        needed = set(parts)
         if len(self.pieces) + len(needed) > REMEMBERED:
             self.pieces.clear()
         fresh = needed.difference(self.pieces)
-        for some, encode in (([p for p in fresh if _run.fullmatch(p)], self._encode_runs), ([p for p in fresh if not _run.fullmatch(p)], self._encode)):
+        runs = [p for p in fresh if _KIND[p[0]] == 1]
+        for some, encode in ((runs, self._encode_runs), (list(fresh.difference(runs)), self._encode)):
             if some:
                 self.pieces.update(zip(some, encode(some), strict=True))
-        out = [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
-        self.update(zip(words, out, strict=True))
-        return out
+        found = list(map(self.pieces.__getitem__, parts))
+        kind = _KIND[np.frombuffer(text, np.uint8)]
+        starts = np.flatnonzero((kind != 0) & np.append(True, kind[1:] != kind[:-1]))
+        last = np.append(np.searchsorted(starts, np.flatnonzero(kind == 0)), len(starts)) - 1
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))[last].tolist()
+        data = b"".join(found)
+        return (data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True))
 
     def documents(self, texts: list[bytes], end_id: int) -> Iterator[bytes]:
         """The ids of each text, then end_id; new words of LEARNED bytes of texts are encoded together."""
@@ -107,17 +130,22 @@ class WordIds(dict):
             while to < len(texts) and size + len(texts[to]) <= LEARNED:
                 size += len(texts[to])
                 to += 1
-            words = [x.split() for x in texts[at:to]]
-            fresh = set().union(*words).difference(self)
-            if len(self) + len(fresh) > REMEMBERED:  # all is forgotten but what these texts need
-                self.clear()
-                fresh = set().union(*words)
+            words, ends = [], [0]
+            for x in texts[at:to]:
+                words += x.split()
+                ends.append(len(words))
+            ids = list(map(self.get, words))
+            unknown = [i for i, x in enumerate(ids) if x is None]
+            fresh = list({words[i] for i in unknown})
             if len(fresh) > REMEMBERED // 2:
                 yield from (b"".join(self._encode([x])) + end for x in texts[at:to])
             else:
                 if fresh:
-                    self.learn(list(fresh))
-                yield from (b"".join(map(self.__getitem__, own)) + end for own in words)
+                    self.learn(fresh)
+                for i in unknown:
+                    ids[i] = self[words[i]]
+                for i, j in zip(ends[:-1], ends[1:], strict=True):
+                    yield b"".join(ids[i:j]) + end
             at = to
 
     def document(self, text: bytes, end_id: int) -> bytes:

@@ -789,3 +789,21 @@ def test_new_words_are_encoded_in_few_texts():
     encode.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, t, **k: (given.extend(t), real.encode_batch_fast(t, **k))[1]})()
     plain = [(x.encode(), w) for x, w in zip(texts[500:], want[500:], strict=True) if not set(x) & set(".,0")]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode.documents([x for x, _ in plain], 2)] == [w for _, w in plain] and len(given) == 1
+
+
+@pytest.mark.parametrize("remembered", [400_000, 60])
+def test_new_words_are_found_without_a_walk_through_the_memory(monkeypatch, remembered):
+    """A step costs what its own texts cost, whatever is remembered; ids stay those of each text by itself, also when all is forgotten between."""
+
+    class Held(packing.WordIds):
+        def __iter__(self):
+            raise AssertionError("walked through")
+
+    monkeypatch.setattr(packing, "LEARNED", 100)
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    rng = np.random.default_rng(8)
+    words = ["Road", "réad9x--a", "it's", "<b>", "中…a", "...", "1a2", "ÀÉ", "a×b", "\x00q", "", *(f"w{i:x}." for i in range(300))]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(300)]
+    ids = Held(tokenizer_path())
+    want = [[*x.ids, 2] for x in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.documents([x.encode() for x in texts], 2)] == want and len(ids) <= remembered
