@@ -265,11 +265,16 @@ def _compare(limit: int, far: int):
 
 def _dealt(keys: DataFrame, node: str, block: int) -> DataFrame:
     """The same rows, but those of a key with more than `block` rows dealt out by pairs of blocks, each pair under a key of its own."""
-    rest = [c for c in keys.columns if c != "key"]
     hot = keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    return _by_blocks(keys.join(hot, "key", "left"), node)
+
+
+def _by_blocks(keys: DataFrame, node: str) -> DataFrame:
+    """Rows with the number of blocks of their key (null: one) to the same under a key for each pair of blocks."""
+    rest = [c for c in keys.columns if c not in ("key", "blocks")]
     mine = F.pmod(F.xxhash64(node), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = keys.join(hot, "key", "left").select("key", *rest, F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
+    dealt = keys.select("key", *rest, F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
     pair = F.shiftleft(F.least("mine", "other").cast("long"), 28) + F.shiftleft(F.greatest("mine", "other").cast("long"), 46)
     return dealt.select((F.col("key") + pair).alias("key"), *rest)
 
@@ -383,10 +388,66 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(signed(sketch[of]))], ["key", "sketch"])
 
 
+def _few(batches: Iterator[pa.RecordBatch], most: int, crowded: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """(key, sketch) in the order of key: the rows of keys with at most `most` rows; each other key goes to crowded, with the number of its rows.
+
+    Of a key that goes on in the next batch no more than `most` rows are held.
+    """
+    key, sketch, passed = np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            key, sketch = np.concatenate([key, _column(batch, 0)]), np.concatenate([sketch, _column(batch, 1)])
+        if not len(key):
+            continue
+        edges = runs_of(key)
+        size = np.diff(edges)
+        n = size.copy()
+        n[0] += passed
+        done = len(n) - (batch is not None)
+        over = n[:done] > most
+        crowded += [(int(key[edges[i]]), int(n[i])) for i in np.nonzero(over)[0]]
+        fine = np.repeat(~over, size[:done])
+        if fine.any():
+            yield pa.RecordBatch.from_arrays([pa.array(signed(x[: edges[done]][fine])) for x in (key, sketch)], ["key", "sketch"])
+        passed = 0 if done else passed
+        key, sketch = key[edges[done] :], sketch[edges[done] :]
+        if len(key) > most:
+            passed += len(key) - 1
+            key, sketch = key[:1], sketch[:1]
+
+
+def _compare_few(limit: int, most: int):
+    """(key, sketch) in the order of key to links (u, v, 0) within keys of at most `most` rows, and (key, key, rows) of each other key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowded: list[tuple[int, int]] = []
+        for found in _compare(limit, 64)(_few(batches, most, crowded)):
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.zeros(found.num_rows, np.int64))], ["u", "v", "n"])
+        if crowded:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in crowded], pa.int64()) for i in (0, 0, 1)], ["u", "v", "n"])
+
+    return run
+
+
+def _sketch_links(held: DataFrame, block: int) -> DataFrame:
+    """Links (u, v) that join all sketches (sketch) which are connected over SKETCH_DISTANCE bits or fewer.
+
+    Keys are not counted beforehand, as almost all are short: those found to have more than `block` rows are dealt out and compared after the
+    others. A key has at most 2 x 2^11 x 10,903 sketches, so many words being near its two codewords.
+    """
+    keys = mapped(held, _sketch_rows, "key long, sketch long")
+    near = written(mapped(keys.repartition("key").sortWithinPartitions("key"), _compare_few(SKETCH_DISTANCE, block), "u long, v long, n long"), "near")
+    linked = near.where("n = 0").select("u", "v")
+    hot = written(near.where("n > 0").select(F.col("u").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded")
+    if hot.first() is None:
+        return linked
+    dealt = _by_blocks(keys.join(hot, "key"), "sketch")
+    return linked.unionByName(mapped(dealt.repartition("key").sortWithinPartitions("key"), _compare(SKETCH_DISTANCE, 64), "u long, v long"))
+
+
 def _near_sketches(rows: DataFrame) -> DataFrame:
     """Rows (node, key) of sketches to the same with each sketch named by the least one that it reaches over SKETCH_DISTANCE bits or fewer."""
-    keys = mapped(rows.select("key").distinct(), _sketch_rows, "key long, sketch long")
-    root = components(written(mapped(_dealt(keys, "sketch", BLOCK).repartition("key").sortWithinPartitions("key"), _compare(SKETCH_DISTANCE, 64), "u long, v long"), "near"))
+    root = components(_sketch_links(rows.select(F.col("key").alias("sketch")).distinct(), BLOCK))
     return rows.join(root, rows.key == root.node, "left").select(rows.node, "size", "band", F.coalesce("root", "key").alias("key"))
 
 

@@ -43,7 +43,7 @@ class TextHashes:
     byte times a power of an odd number for its place, mixed; sums over a whole buffer give each word's as a difference."""
 
     #: Bytes handled at a time, about; a longer text is cut between words.
-    PIECE = 1 << 20
+    PIECE = 1 << 18
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)

@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm import chat_format, components, debruijn, html_render, kneser_ney, packing, secret_scan, sharding, simhash_golay, template_decon, url_filter
 from kerbline.llm.queries import HOSTILE, tokenizer_path
+from kerbline.session import written
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet consectetur " * 3000
@@ -445,6 +447,52 @@ def test_similar_in_blocks(spark, monkeypatch):
     assert got == {i: 0 for i in range(30)} | {50: 50, 51: 51, 52: 51}
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_sketches_are_named_as_by_loops(spark, monkeypatch, block):
+    """Sketches named by the least within reach, with short and crowded keys; their keys are made and shuffled once, not counted first."""
+    rng, bits, plans = np.random.default_rng(8), simhash_golay.SKETCH_BITS, {}
+    held = {(b << bits) | x for b in (0, 11) for x in rng.integers(0, 1 << bits, 40).tolist()}
+    crowd = sorted(held)[:3]
+    held |= {x ^ (1 << int(i)) for x in crowd for i in rng.integers(0, bits, 25)} | {x ^ (1 << int(i)) ^ (1 << int(j)) for x in sorted(held)[20:40] for i, j in rng.integers(0, bits, (2, 2))}
+    held = sorted(held)
+    label = dict.fromkeys(held)
+    for x in held:
+        if label[x] is None:
+            queue = [x]
+            while queue:
+                y = queue.pop()
+                label[y] = x
+                queue += [z for z in held if label[z] is None and z >> bits == y >> bits and (z ^ y).bit_count() <= simhash_golay.SKETCH_DISTANCE]
+
+    def recorded(df, name="step"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(simhash_golay, "BLOCK", block)
+    monkeypatch.setattr(simhash_golay, "written", recorded)
+    rows = spark.createDataFrame([(i, 9, x >> bits, x) for i, x in enumerate(held)], "node long, size long, band int, key long")
+    got = simhash_golay._near_sketches(rows).collect()
+    assert len(set(label.values())) < len(held) and {held[r.node]: r.key for r in got} == label and len(got) == len(held)
+    assert plans["near"].count("MapInArrow") == 2 and "Join" not in plans["near"]
+
+
+def test_crowded_keys_are_set_aside():
+    """Keys of more rows than are held, over batches of any size: each is told once with its rows; all others come whole and in order."""
+    rng = np.random.default_rng(4)
+    for most in (1, 3, 8):
+        for _ in range(60):
+            size = rng.integers(1, 2 * most + 2, int(rng.integers(0, 12)))
+            key = np.repeat(np.arange(len(size)) * 7, size)
+            row, cuts = np.arange(len(key)), sorted(rng.integers(0, len(key) + 1, 5).tolist())
+            batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(row[a:b])], ["key", "sketch"]) for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True)]
+            crowded = []
+            out = list(simhash_golay._few(iter(batches), most, crowded))
+            fine = np.repeat(size <= most, size)
+            assert crowded == [(7 * i, n) for i, n in enumerate(size.tolist()) if n > most]
+            assert [x for b in out for x in b.column(0).to_pylist()] == key[fine].tolist() and [x for b in out for x in b.column(1).to_pylist()] == row[fine].tolist()
+            assert all(a.column(0)[-1] != b.column(0)[0] for a, b in zip(out, out[1:], strict=False))
+
+
 # ------------------------------------------------ 7
 
 
